@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokens
+from . import packing, simhash, tokens
 from .common import read
 
 
@@ -18,6 +18,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_components(read(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read(spark, sf_dir, "documents"), vocabulary())
 
@@ -26,5 +30,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_decode(read(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op9_token_counts, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op4_packing, op7_simhash, op9_token_counts, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
