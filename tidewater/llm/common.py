@@ -49,3 +49,12 @@ def map_columns(df: DataFrame, columns: list[str], schema: str, function: Callab
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
 
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
+
+
+def boxed(df: DataFrame, *columns: str) -> DataFrame:
+    """The whole row as struct ``_row`` beside the named columns, so that added names can't clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[F.col(f"`{c}`") for c in columns])
+
+
+def unboxed(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col("_row").getField(c).alias(c) for c in columns])

@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import boxed
+
 #: The base kinds in their order, then what the method may add.
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("secret", "account", "local_phone", "national", "hidden_email")
@@ -215,7 +217,9 @@ def masked(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), more.alias("out"))
 
     done = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    rows = marked(docs).withColumn("text", F.when(text.isNull() | (F.size("_spans") == 0), text).otherwise(done))
+    rows = marked(boxed(docs, "text"))
+    new = {"text": F.when(text.isNull() | (F.size("_spans") == 0), text).otherwise(done)}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("_spans") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+        old = F.col("_row.n_chars")
+        new["n_chars"] = F.when(F.size("_spans") == 0, old).otherwise(F.length(new["text"]).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import boxed, cut, unboxed
 
 #: What separates words, and the characters that count as symbols.
 BLANKS = " \t\n\x0b\f\r"
@@ -142,9 +142,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their columns as they are."""
-    rows = measured(docs)
+    rows = measured(boxed(docs, "text", "lang", "source"))
     limits = cut(cutoffs(rows.select("_q.*")))
-    return _judged(rows, limits).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unboxed(_judged(rows, limits).where("_kept"), docs.columns)
 
 
 _WS = r"[^\x20\x09-\x0D]+"
