@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, quality_rules, simhash, tokens, weak_labels
+from . import mtree, packing, pii, quality_rules, simhash, tokens, url_filter, warc, weak_labels
 from .common import read
 
 
@@ -14,6 +14,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op3_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_labels.classify(read(spark, sf_dir, "documents"))
 
@@ -26,6 +34,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
+def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_components(read(spark, sf_dir, "documents"))
 
@@ -42,5 +54,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_decode(read(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op3_weak_labels, op4_packing, op5_pii, op7_simhash, op8_quality_rules, op9_token_counts, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {"op8_quality_rules": quality_rules.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc, op3_weak_labels, op4_packing, op5_pii, op6_mtree, op7_simhash, op8_quality_rules, op9_token_counts, op10_bpe)}
+ORACLE_SQL: dict[str, str] = {"op2_warc": warc.ORACLE_SQL, "op6_mtree": mtree.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL}
