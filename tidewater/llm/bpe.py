@@ -254,7 +254,11 @@ class WordBpe:
 
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens in order, of a text without special strings."""
-        return self.words(self.normal(text))
+        text = self.normal(text)
+        if text.isalpha():
+            return [text]
+        core = text.rstrip(".,;:!?&*#$%")
+        return [core, text[len(core) :]] if core.isalpha() else self.words(text)
 
     def chunks(self, text: str | None) -> list:
         """The text cut at white space, which no pre-token contains; special strings as 1-tuples.

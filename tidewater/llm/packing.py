@@ -11,6 +11,7 @@ Sequence ids carry the partition's number, so a task that runs again gives the s
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -33,7 +34,9 @@ class Packer:
         self.capacity = np.array([tokens, segments, loss], dtype=np.float64)
         self.keys: list = []
         self.starts: list[int] = []
-        self.need = np.zeros((0, 3))
+        self.need = np.zeros((3, 0))
+        self.free = np.zeros(0, dtype=bool)
+        self.held = 0
         self.bins = 0
 
     def close(self, pieces: list[tuple]) -> None:
@@ -57,46 +60,46 @@ class Packer:
             if start < tokens:
                 fresh.append((key, start, tokens - start, np.ceil(share * (tokens - start))))
         if fresh:
-            self.keys += [x[0] for x in fresh]
-            self.starts += [x[1] for x in fresh]
-            self.need = np.vstack([self.need, [[x[2], 1, x[3]] for x in fresh]])
-        while self.need[:, 0].sum() > self.pool_tokens:
+            keep = np.flatnonzero(self.free)
+            self.keys = [self.keys[i] for i in keep] + [x[0] for x in fresh]
+            self.starts = [self.starts[i] for i in keep] + [x[1] for x in fresh]
+            self.need = np.hstack([self.need[:, keep], np.array([[x[2], 1, x[3]] for x in fresh], dtype=np.float64).T])
+            self.free = np.ones(len(self.keys), dtype=bool)
+            self.held = int(self.need[0].sum())
+        while self.held > self.pool_tokens:
             self._fill(final=False)
 
     def _fill(self, final: bool) -> None:
         rest = self.capacity.copy()
-        chosen: list[int] = []
-        free = np.ones(len(self.keys), dtype=bool)
-        scaled = self.need / self.capacity
         pieces = []
-        while True:
-            score = np.where(free & (self.need <= rest).all(axis=1), scaled @ (rest / self.capacity), -1.0)
-            i = int(score.argmax()) if len(score) else -1
-            if i < 0 or score[i] < 0:
-                break
-            free[i] = False
-            rest -= self.need[i]
-            chosen.append(i)
-            pieces.append((self.keys[i], self.starts[i], int(self.need[i, 0])))
-        if self.cut and rest[0] >= 1 and rest[1] >= 1 and free.any():
+        fits = np.flatnonzero(self.free)
+        t, k = self.need[0, fits], self.need[2, fits]
+        while len(fits):
+            w = rest / self.capacity**2
+            at = int((t * w[0] + k * w[2]).argmax())  # every example is one segment
+            i = int(fits[at])
+            self.free[i] = False
+            rest -= self.need[:, i]
+            pieces.append((self.keys[i], self.starts[i], int(t[at])))
+            t[at] = np.inf
+            maybe = (t <= rest[0]) & (k <= rest[2]) & (rest[1] >= 1)
+            fits, t, k = fits[maybe], t[maybe], k[maybe]
+        self.held -= int(self.capacity[0] - rest[0])
+        if self.cut and rest[0] >= 1 and rest[1] >= 1 and self.free.any():
             # cut from the longest example what fills the bin, within its loss limit
-            i = int(np.where(free, self.need[:, 0], -1).argmax())
-            share = self.need[i, 2] / self.need[i, 0]
-            n = int(min(rest[0], rest[2] // share if share else rest[0], self.need[i, 0] - 1))
+            i = int(np.where(self.free, self.need[0], -1).argmax())
+            size, share = self.need[0, i], self.need[2, i] / self.need[0, i]
+            n = int(min(rest[0], rest[2] // share if share else rest[0], size - 1))
             if n >= 1:
                 pieces.append((self.keys[i], self.starts[i], n))
                 rest[0] -= n
+                self.held -= n
                 self.starts[i] += n
-                self.need[i] = [self.need[i, 0] - n, 1, np.ceil(share * (self.need[i, 0] - n))]
+                self.need[:, i] = [size - n, 1, np.ceil(share * (size - n))]
         if final and self.cut and rest[0]:
             self._powers(pieces)
         else:
             self.close(pieces)
-        keep = np.ones(len(self.keys), dtype=bool)
-        keep[chosen] = False
-        self.keys = [k for k, x in zip(self.keys, keep, strict=True) if x]
-        self.starts = [k for k, x in zip(self.starts, keep, strict=True) if x]
-        self.need = self.need[keep]
 
     def _powers(self, pieces: list[tuple]) -> None:
         """Cut the last, unfilled bin into sequences whose lengths are powers of two: no padding."""
@@ -113,35 +116,28 @@ class Packer:
                     now, room = [], 1 << (left.bit_length() - 1) if left else 0
 
     def finish(self) -> None:
-        while len(self.keys):
+        while self.free.any():
             self._fill(final=True)
 
 
 @lru_cache(maxsize=2)
 def _chunk_ids(path: str):
+    """Ids by chunk; the library's own model encodes each distinct pre-token."""
     from tokenizers import Tokenizer
 
     from .bpe import Memo, load
 
     tok = Tokenizer.from_file(path)
-    tok.no_padding()
-    tok.no_truncation()
 
-    class Direct(Memo):
-        """Ids by chunk (no pre-token crosses white space), straight from the library."""
+    bpe, tokenize = load(path), tok.model.tokenize
 
-        def learn(self, texts: list[list]) -> None:
-            fresh = set().union(*texts).difference(self.known) if texts else set()
-            if len(self.known) + len(fresh) > self.limit:
-                self.known, fresh = {}, set().union(*texts)
-            for c in fresh:
-                ids = tok.encode(c[0] if type(c) is tuple else c, add_special_tokens=False).ids
-                self.known[c] = np.array(ids, dtype="<u4").tobytes()
+    def encode(words: list[str]) -> dict[str, bytes]:
+        return {w: array("I", [t.id for t in tokenize(bpe.mapped(w))]).tobytes() for w in words}
 
-    return Direct(load(path), None, None)
+    return Memo(bpe, encode, lambda parts: b"".join([p if type(p) is bytes else array("I", p).tobytes() for p in parts]))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, tokens: int = 4096, segments: int = 1024, loss: int | None = None, pool_tokens: int = 1 << 20) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, tokens: int = 4096, segments: int = 1024, loss: int | None = None, pool_tokens: int = 1 << 19) -> DataFrame:
     """Pack every text, cut freely, into sequences of at most ``tokens`` ids.
 
     A document is its ids followed by ``end_id``; all of its ids bear loss (``loss``: limit a
@@ -206,7 +202,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, tokens: in
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def pack_examples(examples: DataFrame, tokens: int = 4096, segments: int = 64, loss: int = 2048, pool_tokens: int = 1 << 20) -> DataFrame:
+def pack_examples(examples: DataFrame, tokens: int = 4096, segments: int = 64, loss: int = 2048, pool_tokens: int = 1 << 19) -> DataFrame:
     """Pack whole examples ``(example_id, n_tokens, n_loss)`` under all three limits, none cut.
 
     Returns ``example_id, sequence_id, offset``. Nulls count as 0; an example that exceeds a
