@@ -1,3 +1,3 @@
 """Importing this module registers every suite of queries."""
 
-from . import market  # noqa: F401
+from . import analytics, market, trading  # noqa: F401
