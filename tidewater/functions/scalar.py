@@ -7,14 +7,15 @@ from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def norm_cdf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v != v else 0.5 * (1 + math.erf(v / math.sqrt(2))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def norm_ppf(p: pd.Series) -> pd.Series:
     """NULL outside (0, 1)."""
     inverse = NormalDist().inv_cdf
