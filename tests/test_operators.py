@@ -1,8 +1,8 @@
 """Properties and edge cases of the market operators."""
 
+import datetime as dt
 import math
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,11 +10,12 @@ from tidewater.functions import metrics, scalar, windows
 from tidewater.operators import bars, evolve, forecast, labels, ledger, sequential, validation
 from tidewater.sources import scans, sinks
 
+START = dt.datetime(2024, 1, 1)
 BAR = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double, n long"
 
 
 def series(spark, closes, symbol="a"):
-    rows = [(symbol, pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i), c, c, c, c, 1.0, 1) for i, c in enumerate(closes)]
+    rows = [(symbol, START + dt.timedelta(hours=i), c, c, c, c, 1.0, 1) for i, c in enumerate(closes)]
     return spark.createDataFrame(rows, BAR)
 
 
@@ -34,8 +35,8 @@ def test_past_features_do_not_change_when_rows_are_added(spark):
 
 
 def test_asof_ties_and_unmatched(spark):
-    left = spark.createDataFrame([("k", i, pd.Timestamp(f"2024-01-0{i}")) for i in (1, 2, 3)], "k string, id int, at timestamp_ntz")
-    right = spark.createDataFrame([("k", 20.0, pd.Timestamp("2024-01-02"))], "k string, v double, at timestamp_ntz")
+    left = spark.createDataFrame([("k", i, dt.datetime(2024, 1, i)) for i in (1, 2, 3)], "k string, id int, at timestamp_ntz")
+    right = spark.createDataFrame([("k", 20.0, dt.datetime(2024, 1, 2))], "k string, v double, at timestamp_ntz")
     got = {r.id: r.v for r in bars.asof_backward(left, right, ["v"], ["k"], on="at").collect()}
     assert got == {1: None, 2: 20.0, 3: 20.0}
 
@@ -58,9 +59,9 @@ def test_auc_and_reliability_edges(spark):
 
 
 def test_uniqueness_matches_brute_force(spark):
-    rows = [("a", pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i), pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i + 1 + i % 6)) for i in range(50)]
+    rows = [("a", START + dt.timedelta(hours=i), START + dt.timedelta(hours=i + 1 + i % 6)) for i in range(50)]
     got = {r.t0: r.overlaps for r in validation.uniqueness(spark.createDataFrame(rows, "s string, t0 timestamp_ntz, t1 timestamp_ntz"), ["s"], 6).collect()}
-    assert got == {a[1].to_pydatetime(): sum(b[1] <= a[2] and b[2] >= a[1] for b in rows) for a in rows}
+    assert got == {a[1]: sum(b[1] <= a[2] and b[2] >= a[1] for b in rows) for a in rows}
 
 
 def test_ledger_operations(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def seeded(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
@@ -50,19 +51,24 @@ def fitness(genomes: DataFrame, series: pd.DataFrame) -> DataFrame:
 
 
 def dominance_fronts(points: DataFrame, fronts: int = 50) -> DataFrame:
-    """Pareto fronts: larger ``total``, smaller ``drawdown``. Front k is what only fronts before it dominate.
+    """Pareto fronts: larger ``total``, smaller ``drawdown``; points beyond ``fronts`` are left out.
 
-    A population is small; each round is one theta join on what is left.
+    Front k is what only fronts before it dominate. A population is small by construction, so
+    the fronts are peeled off in one Arrow pass over it.
     """
-    rest, out, k = points.coalesce(1).persist(), None, 1
-    while k <= fronts and not rest.isEmpty():
-        o = rest.select(F.col("total").alias("_t"), F.col("drawdown").alias("_d"))
-        beaten = (F.col("_t") >= F.col("total")) & (F.col("_d") <= F.col("drawdown")) & ((F.col("_t") > F.col("total")) | (F.col("_d") < F.col("drawdown")))
-        front = rest.join(F.broadcast(o), beaten, "left_anti").withColumn("front", F.lit(k)).persist()  # a population
-        out = front if out is None else out.unionByName(front)
-        rest = rest.join(F.broadcast(front.select("id")), "id", "left_anti").persist()
-        k += 1
-    return out if out is not None else points.withColumn("front", F.lit(0))
+
+    def peel(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, d = pdf["total"].to_numpy(), pdf["drawdown"].to_numpy()
+        beats = (t[:, None] >= t) & (d[:, None] <= d) & ((t[:, None] > t) | (d[:, None] < d))
+        front, left = [0] * len(pdf), set(range(len(pdf)))
+        for k in range(1, fronts + 1):
+            now = [i for i in left if not any(beats[j, i] for j in left)]
+            for i in now:
+                front[i] = k
+            left -= set(now)
+        return pdf.assign(front=front).query("front > 0")
+
+    return points.groupBy().applyInPandas(peel, StructType([*points.schema.fields, StructField("front", IntegerType())]))
 
 
 def crowding(ranked: DataFrame) -> DataFrame:
