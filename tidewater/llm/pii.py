@@ -197,7 +197,9 @@ def find(docs: DataFrame) -> DataFrame:
     are all listed; an empty table gives an empty result; other columns are not read.
     """
     rows = marked(docs.select("doc_id", "text"))
-    counts = [F.size(F.filter("_base", lambda x, r=r: x["rank"] == r)).cast("long").alias(f"n_{k}") for r, k in enumerate(KINDS)]
+    # a second parameter of the lambda would be the element's index, so the rank is bound outside
+    of = lambda rank: F.size(F.filter("_base", lambda x: x["rank"] == rank)).cast("long")
+    counts = [of(rank).alias(f"n_{kind}") for rank, kind in enumerate(KINDS)]
     return rows.select("doc_id", *counts, F.sha2(_shown(F.col("_base")), 256).alias("base_sha256"), _shown(F.col("_spans")).alias("spans"))
 
 
