@@ -220,8 +220,9 @@ def masked(docs: DataFrame) -> DataFrame:
 
     done = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
     rows = marked(boxed(docs, "text"))
-    new = {"text": F.when(text.isNull() | (F.size("_spans") == 0), text).otherwise(done)}
+    same = text.isNull() | (F.size("_spans") == 0)
+    rows = rows.select("_row", same.alias("_same"), F.when(same, text).otherwise(done).alias("text"))
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        old = F.col("_row.n_chars")
-        new["n_chars"] = F.when(F.size("_spans") == 0, old).otherwise(F.length(new["text"]).cast(docs.schema["n_chars"].dataType))
+        new["n_chars"] = F.when(F.col("_same"), F.col("_row.n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
