@@ -259,6 +259,7 @@ def test_warc_round_trip_and_salvage(spark):
 def test_mtree_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(mtree, "PER_TREE", 150)
     monkeypatch.setattr(mtree, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(mtree, "LEAF", 16)
     rng = np.random.default_rng(5)
     vectors = [(i, rng.normal(size=8).tolist()) for i in range(400)] + [(i, [0.5] * 8) for i in range(400, 620)]
     vectors += [(700, None), (750, [1.0, None] * 4), (800, [float("nan")] * 8), (850, [1.0, 2.0]), (851, [3.0, 1.0])]

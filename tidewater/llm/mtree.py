@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut, shared_dir
 
 FANOUT = 16
-LEAF = 64
+LEAF = 256
 PER_TREE = 20_000
 PIVOTS = 64
 QUERY_BLOCK = 16_384
