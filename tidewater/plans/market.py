@@ -13,12 +13,12 @@ from . import sql as q
 from .registry import query
 
 R = lambda c, as_=None: F.round(F.col(c), 6).alias(as_ or c)
-T = F.col("ts").cast("timestamp_ntz").alias("ts")
+T = lambda: F.col("ts").cast("timestamp_ntz").alias("ts")
 
 
 @query("bars_hourly", f"WITH {q.BARS} SELECT symbol, ts, open, high, low, close, round(volume, 6) AS volume, n FROM bars")
 def bars_hourly(spark: SparkSession, d: str) -> DataFrame:
-    return ob.bars(spark, d).select("symbol", T, "open", "high", "low", "close", R("volume"), "n")
+    return ob.bars(spark, d).select("symbol", T(), "open", "high", "low", "close", R("volume"), "n")
 
 
 def _funding(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +37,7 @@ def feature_slice(spark: SparkSession, d: str) -> DataFrame:
     b = ob.bars(spark, d).withColumn("ret_1", fw.log_return("close")).withColumn("feed", F.lit("all"))
     b = b.withColumn("sma_ratio_20", F.try_divide(F.col("close"), fw.sma("close", 20)) - 1).withColumn("vol_24", fw.rolling_std("ret_1", 24))
     funding = ob.keep_first(_funding(spark, d), ["available_time"], [F.desc("event_id")])
-    return ob.asof_backward(b, funding, ["funding"], ["feed"]).select("symbol", T, R("ret_1"), R("sma_ratio_20"), R("vol_24"), "funding")
+    return ob.asof_backward(b, funding, ["funding"], ["feed"]).select("symbol", T(), R("ret_1"), R("sma_ratio_20"), R("vol_24"), "funding")
 
 
 @query("asof_by_user", """
@@ -76,14 +76,14 @@ SELECT symbol, ts, round(ln(close / nullif(lag(close, 4) OVER ({q.W}), 0)), 6) A
   round(100 - 100 / (1 + g / nullif(l, 0)), 6) AS rsi_14, round(macd, 6) AS macd, round(sig, 6) AS macd_signal, round(macd - sig, 6) AS macd_hist, round(atr, 6) AS atr_wilder
 FROM s""")
 def technical_block(spark: SparkSession, d: str) -> DataFrame:
-    return oi.technical(ob.bars(spark, d)).select("symbol", T, *map(R, ("ret_4", "ret_24", "sma_ratio_50", "vol_24", "volume_z", "rsi_14", "macd", "macd_signal", "macd_hist", "atr_wilder")))
+    return oi.technical(ob.bars(spark, d)).select("symbol", T(), *map(R, ("ret_4", "ret_24", "sma_ratio_50", "vol_24", "volume_z", "rsi_14", "macd", "macd_signal", "macd_hist", "atr_wilder")))
 
 
 @query("atr_variants", f"""
 WITH {q.BARS}, d AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER ({q.W})), abs(low - lag(close) OVER ({q.W}))) AS tr FROM bars)
 SELECT symbol, ts, round({q.ewm('tr', 2 / 15)}, 6) AS atr_span, round({q.rolling('avg', 'tr', 14)}, 6) AS atr_simple FROM d""")
 def atr_variants(spark: SparkSession, d: str) -> DataFrame:
-    return oi.atr_simple(oi.atr_span(ob.bars(spark, d))).select("symbol", T, R("atr_span"), R("atr_simple"))
+    return oi.atr_simple(oi.atr_span(ob.bars(spark, d))).select("symbol", T(), R("atr_span"), R("atr_simple"))
 
 
 @query("live_block", f"""
@@ -99,7 +99,7 @@ SELECT symbol, ts, round({q.rolling('stddev_pop', 'ret_1', 24)} * sqrt(24), 6) A
 FROM o""")
 def live_block(spark: SparkSession, d: str) -> DataFrame:
     five = [F.round(c, 5).alias(c) for c in ("live_volume_z", "obv_z")]
-    return oi.live_block(ob.bars(spark, d)).select("symbol", T, R("live_vol"), *five, R("vwap_ratio"), R("roc_10"), R("band_width"), R("percent_b"))
+    return oi.live_block(ob.bars(spark, d)).select("symbol", T(), R("live_vol"), *five, R("vwap_ratio"), R("roc_10"), R("band_width"), R("percent_b"))
 
 
 @query("directional_movement", f"""
@@ -109,7 +109,7 @@ s AS (SELECT symbol, ts, {q.ewm('tr', 2 / 15)} AS tr, {q.ewm('p', 2 / 15)} AS p,
 x AS (SELECT symbol, ts, 100 * p / nullif(tr, 0) AS pdi, 100 * m / nullif(tr, 0) AS mdi FROM s)
 SELECT symbol, ts, round(pdi, 5) AS plus_di, round(mdi, 5) AS minus_di, round(100 * abs(pdi - mdi) / nullif(pdi + mdi, 0), 5) AS dx FROM x""")
 def directional_movement(spark: SparkSession, d: str) -> DataFrame:
-    return oi.directional(ob.bars(spark, d)).select("symbol", T, *[F.round(c, 5).alias(c) for c in ("plus_di", "minus_di", "dx")])
+    return oi.directional(ob.bars(spark, d)).select("symbol", T(), *[F.round(c, 5).alias(c) for c in ("plus_di", "minus_di", "dx")])
 
 
 @query("microstructure_block", f"""
@@ -120,7 +120,7 @@ SELECT symbol, ts, round(CASE WHEN b IS NOT NULL THEN 2 * (exp(a) - 1) / (1 + ex
   round(CASE WHEN count(dv) {q.last(24)} >= 24 THEN sum(dv) {q.last(24)} / nullif(sum(volume) {q.last(24)}, 0) END, 6) AS vpin
 FROM a""")
 def microstructure_block(spark: SparkSession, d: str) -> DataFrame:
-    return oi.microstructure(ob.bars(spark, d)).select("symbol", T, R("spread"), R("imbalance"), R("taker_share"), R("vpin"))
+    return oi.microstructure(ob.bars(spark, d)).select("symbol", T(), R("spread"), R("imbalance"), R("taker_share"), R("vpin"))
 
 
 @query("market_structure", f"""
@@ -129,7 +129,7 @@ k AS (SELECT *, last_value(CASE WHEN sh THEN high END IGNORE NULLS) OVER w AS lh
 SELECT symbol, ts, sh AS swing_high, sl AS swing_low, CASE WHEN sh AND high > lh THEN 'HH' WHEN sh THEN 'LH' WHEN sl AND low < ll THEN 'LL' WHEN sl THEN 'HL' END AS swing,
   CASE WHEN close > lh THEN 'UP' WHEN close < ll THEN 'DOWN' END AS break_of_structure FROM k""")
 def market_structure(spark: SparkSession, d: str) -> DataFrame:
-    return oi.structure(ob.bars(spark, d)).select("symbol", T, "swing_high", "swing_low", "swing", "break_of_structure")
+    return oi.structure(ob.bars(spark, d)).select("symbol", T(), "swing_high", "swing_low", "swing", "break_of_structure")
 
 
 @query("volatility_term_structure", f"""
@@ -137,14 +137,14 @@ WITH {q.BARS}, {_RET}, v AS (SELECT *, {q.rolling('stddev_samp', 'ret_1', 6)} AS
 x AS (SELECT *, v6 / nullif(v24, 0) AS s, v24 / nullif(v72, 0) AS l FROM v)
 SELECT symbol, ts, round(s, 6) AS short_ratio, round(l, 6) AS long_ratio, CASE WHEN s IS NULL OR l IS NULL THEN 'UNKNOWN' WHEN s > 1.2 AND l > 1.1 THEN 'EXPANDING' WHEN s < 0.8 AND l < 0.9 THEN 'CONTRACTING' ELSE 'STABLE' END AS vol_regime FROM x""")
 def volatility_term_structure(spark: SparkSession, d: str) -> DataFrame:
-    return oi.term_structure(ob.bars(spark, d)).select("symbol", T, R("short_ratio"), R("long_ratio"), "vol_regime")
+    return oi.term_structure(ob.bars(spark, d)).select("symbol", T(), R("short_ratio"), R("long_ratio"), "vol_regime")
 
 
 @query("multi_timeframe", f"""
 WITH {q.BARS} SELECT symbol, ts, {', '.join(f"round(ln(close / nullif(lag(close, {k}) OVER ({q.W}), 0)), 6) AS mtf_ret_{k}, round(CASE WHEN count(*) {q.last(k)} >= {k} THEN (max(high) {q.last(k)} - min(low) {q.last(k)}) / nullif(close, 0) END, 6) AS mtf_range_{k}, round(CASE WHEN count(*) {q.last(k)} >= {k} THEN sum(volume) {q.last(k)} END, 4) AS mtf_volume_{k}" for k in (1, 4, 12, 24))} FROM bars""")
 def multi_timeframe(spark: SparkSession, d: str) -> DataFrame:
     out = oi.multi_timeframe(ob.bars(spark, d))
-    return out.select("symbol", T, *[x for k in (1, 4, 12, 24) for x in (R(f"mtf_ret_{k}"), R(f"mtf_range_{k}"), F.round(f"mtf_volume_{k}", 4).alias(f"mtf_volume_{k}"))])
+    return out.select("symbol", T(), *[x for k in (1, 4, 12, 24) for x in (R(f"mtf_ret_{k}"), R(f"mtf_range_{k}"), F.round(f"mtf_volume_{k}", 4).alias(f"mtf_volume_{k}"))])
 
 
 @query("market_state", f"""
@@ -153,7 +153,7 @@ t AS (SELECT *, CASE WHEN count(v) {q.last(168)} >= 24 THEN quantile_cont(v, 0.3
 SELECT symbol, ts, CAST(coalesce(sign(a), 0) + coalesce(sign(b), 0) + coalesce(sign(c), 0) AS INTEGER) AS trend_score,
   CASE WHEN v IS NULL OR lo IS NULL THEN 'UNKNOWN' WHEN v <= lo THEN 'LOW' WHEN v <= hi THEN 'MID' ELSE 'HIGH' END AS vol_state FROM t""")
 def market_state(spark: SparkSession, d: str) -> DataFrame:
-    return oi.market_state(ob.bars(spark, d)).select("symbol", T, F.col("trend_score").cast("int").alias("trend_score"), "vol_state")
+    return oi.market_state(ob.bars(spark, d)).select("symbol", T(), F.col("trend_score").cast("int").alias("trend_score"), "vol_state")
 
 
 @query("event_time_features", """
@@ -181,14 +181,14 @@ def forward_seconds(spark: SparkSession, d: str) -> DataFrame:
 
 @query("horizon_returns", f"WITH {q.BARS} SELECT symbol, ts, round(ln(lead(close, 4) OVER ({q.W}) / nullif(close, 0)), 6) AS fwd_ret_4, round(ln(lead(close, 24) OVER ({q.W}) / nullif(close, 0)), 6) AS fwd_ret_24 FROM bars")
 def horizon_returns(spark: SparkSession, d: str) -> DataFrame:
-    return ol.horizon_return(ol.horizon_return(ob.bars(spark, d), 4), 24).select("symbol", T, R("fwd_ret_4"), R("fwd_ret_24"))
+    return ol.horizon_return(ol.horizon_return(ob.bars(spark, d), 4), 24).select("symbol", T(), R("fwd_ret_4"), R("fwd_ret_24"))
 
 
 @query("excursions_24", f"""
 WITH {q.BARS}, x AS (SELECT *, {q.forward('max', 'high', 24)} AS hi, {q.forward('min', 'low', 24)} AS lo FROM bars)
 SELECT symbol, ts, round(hi / nullif(close, 0) - 1, 6) AS mfe_long, round(1 - lo / nullif(close, 0), 6) AS mae_long, round(close / nullif(lo, 0) - 1, 6) AS mfe_short, round(hi / nullif(close, 0) - 1, 6) AS mae_short FROM x""")
 def excursions_24(spark: SparkSession, d: str) -> DataFrame:
-    return ol.excursions(ob.bars(spark, d), 24).select("symbol", T, *map(R, ("mfe_long", "mae_long", "mfe_short", "mae_short")))
+    return ol.excursions(ob.bars(spark, d), 24).select("symbol", T(), *map(R, ("mfe_long", "mae_long", "mfe_short", "mae_short")))
 
 
 def _barrier_sql(hi: str, lo: str) -> str:
@@ -204,19 +204,19 @@ FROM k LEFT JOIN j ON k.symbol = j.symbol AND k.rn = j.rn LEFT JOIN k h ON h.sym
 
 @query("triple_barrier_close", _barrier_sql("close", "close"))
 def triple_barrier_close(spark: SparkSession, d: str) -> DataFrame:
-    return ol.triple_barrier(ob.bars(spark, d)).select("symbol", T, F.col("label").cast("int").alias("label"), F.col("t1").cast("timestamp_ntz").alias("t1"), R("ret"))
+    return ol.triple_barrier(ob.bars(spark, d)).select("symbol", T(), F.col("label").cast("int").alias("label"), F.col("t1").cast("timestamp_ntz").alias("t1"), R("ret"))
 
 
 @query("triple_barrier_intrabar", _barrier_sql("high", "low"))
 def triple_barrier_intrabar(spark: SparkSession, d: str) -> DataFrame:
-    return ol.triple_barrier(ob.bars(spark, d), intrabar=True).select("symbol", T, F.col("label").cast("int").alias("label"), F.col("t1").cast("timestamp_ntz").alias("t1"), R("ret"))
+    return ol.triple_barrier(ob.bars(spark, d), intrabar=True).select("symbol", T(), F.col("label").cast("int").alias("label"), F.col("t1").cast("timestamp_ntz").alias("t1"), R("ret"))
 
 
 @query("three_class_label", f"""
 WITH {q.BARS}, {_RET}, x AS (SELECT *, ln(lead(close, 24) OVER ({q.W}) / nullif(close, 0)) AS f, 0.5 * coalesce({q.rolling('stddev_samp', 'ret_1', 24)}, 0.005) AS e FROM r)
 SELECT symbol, ts, CASE WHEN f IS NULL THEN NULL WHEN f > e THEN 1 WHEN f < -e THEN -1 ELSE 0 END AS class FROM x""")
 def three_class_label(spark: SparkSession, d: str) -> DataFrame:
-    return ol.three_class(ob.bars(spark, d)).select("symbol", T, F.col("class").cast("int").alias("class"))
+    return ol.three_class(ob.bars(spark, d)).select("symbol", T(), F.col("class").cast("int").alias("class"))
 
 
 @query("take_profit_stop", f"""
@@ -226,7 +226,7 @@ x AS (SELECT k.*, CASE WHEN k.rn + 12 > k.total THEN NULL WHEN h.rn IS NULL THEN
   FROM k LEFT JOIN j ON k.symbol = j.symbol AND k.rn = j.rn LEFT JOIN k h ON h.symbol = k.symbol AND h.rn = j.hit LEFT JOIN k e ON e.symbol = k.symbol AND e.rn = k.rn + 12)
 SELECT symbol, ts, why AS exit_reason, round(CASE why WHEN 'TP' THEN 0.5 WHEN 'SL' THEN -0.3 WHEN 'TIME' THEN ec / close - 1 END, 6) AS pnl FROM x""")
 def take_profit_stop(spark: SparkSession, d: str) -> DataFrame:
-    return ol.take_profit_stop(ob.bars(spark, d), 0.5, 0.3, 12).select("symbol", T, "exit_reason", R("pnl"))
+    return ol.take_profit_stop(ob.bars(spark, d), 0.5, 0.3, 12).select("symbol", T(), "exit_reason", R("pnl"))
 
 
 @query("data_audit", f"""
@@ -261,13 +261,13 @@ FROM r WINDOW p AS ({q.W} ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING)""")
 def rolling_correlation(spark: SparkSession, d: str) -> DataFrame:
     b = ob.bars(spark, d).withColumn("ret_1", fw.log_return("close"))
     c = F.when(F.count("ret_1").over(fw.BARS.last(24)) >= 24, F.corr("ret_1", "volume").over(fw.BARS.last(24)))
-    return b.select("symbol", T, F.round(c, 5).alias("corr_24"), F.round(fw.past_zscore("volume", 168, 24), 5).alias("past_z"))
+    return b.select("symbol", T(), F.round(c, 5).alias("corr_24"), F.round(fw.past_zscore("volume", 168, 24), 5).alias("past_z"))
 
 
 @query("percent_rank_average", f"""
 WITH {q.BARS} SELECT symbol, ts, round((rank() OVER (PARTITION BY symbol ORDER BY n) + (count(*) OVER (PARTITION BY symbol, n) - 1) / 2.0) / count(*) OVER (PARTITION BY symbol), 6) AS share FROM bars""")
 def percent_rank_average(spark: SparkSession, d: str) -> DataFrame:
-    return ob.bars(spark, d).select("symbol", T, F.round(fw.percent_share("n"), 6).alias("share"))
+    return ob.bars(spark, d).select("symbol", T(), F.round(fw.percent_share("n"), 6).alias("share"))
 
 
 @query("sequence_windows", f"""
@@ -277,7 +277,7 @@ def sequence_windows(spark: SparkSession, d: str) -> DataFrame:
     """Sliding sequences of 12 bars, every fourth."""
     b = ob.bars(spark, d).withColumn("seq", F.collect_list("close").over(fw.BARS.last(12))).withColumn("rn", F.row_number().over(fw.BARS.base()).cast("long"))
     total = F.aggregate("seq", F.lit(0.0), lambda a, x: a + x)
-    return b.where((F.size("seq") == 12) & (F.col("rn") % 4 == 0)).select("symbol", T, "rn", F.round(total, 4).alias("total"), F.element_at("seq", 1).alias("first_close"))
+    return b.where((F.size("seq") == 12) & (F.col("rn") % 4 == 0)).select("symbol", T(), "rn", F.round(total, 4).alias("total"), F.element_at("seq", 1).alias("first_close"))
 
 
 @query("filled_series", f"""
@@ -285,10 +285,10 @@ WITH {q.BARS}, s AS (SELECT *, CASE WHEN n >= 2 THEN close END AS x FROM bars)
 SELECT symbol, ts, last_value(x IGNORE NULLS) OVER ({q.W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ffilled, first_value(x IGNORE NULLS) OVER ({q.W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS bfilled, CASE WHEN x IS NOT NULL THEN least(greatest(x, 50), 400) END AS clipped FROM s""")
 def filled_series(spark: SparkSession, d: str) -> DataFrame:
     b = ob.bars(spark, d).withColumn("x", F.when(F.col("n") >= 2, F.col("close")))
-    return b.select("symbol", T, fw.forward_fill("x").alias("ffilled"), fw.backward_fill("x").alias("bfilled"), fw.clip("x", 50.0, 400.0).alias("clipped"))
+    return b.select("symbol", T(), fw.forward_fill("x").alias("ffilled"), fw.backward_fill("x").alias("bfilled"), fw.clip("x", 50.0, 400.0).alias("clipped"))
 
 
 @query("ewm_exact", f"WITH {q.BARS} SELECT symbol, ts, round({q.ewm('close', 2 / 201).replace('500 PRECEDING', 'UNBOUNDED PRECEDING')}, 4) AS ema_200 FROM bars")
 def ewm_exact(spark: SparkSession, d: str) -> DataFrame:
     """A long span, where the grouped form is exact and cheaper than a bounded frame."""
-    return fw.ewm_exact(ob.bars(spark, d).select("symbol", "ts", "close"), "close", 2 / 201, "ema_200").select("symbol", T, F.round("ema_200", 4).alias("ema_200"))
+    return fw.ewm_exact(ob.bars(spark, d).select("symbol", "ts", "close"), "close", 2 / 201, "ema_200").select("symbol", T(), F.round("ema_200", 4).alias("ema_200"))

@@ -15,7 +15,7 @@ from . import sql as q
 from .analytics import R, S, scored
 from .registry import query
 
-T = F.col("ts").cast("timestamp_ntz").alias("ts")
+T = lambda: F.col("ts").cast("timestamp_ntz").alias("ts")
 RET = f"r AS (SELECT *, ln(close / nullif(lag(close) OVER ({q.W}), 0)) AS ret_1 FROM bars)"
 
 
@@ -118,7 +118,7 @@ WITH {P} SELECT symbol, ts, CASE WHEN p > 0.54 THEN 1.0 WHEN p < 0.46 THEN -1.0
   round(CASE WHEN p IS NOT NULL THEN least(greatest(2 * (p - 0.5), -1), 1) END, 6) AS prob_scaled, CASE WHEN abs(p - 0.5) * vol > 0.001 THEN CASE WHEN p > 0.54 THEN 1.0 WHEN p < 0.46 THEN -1.0 ELSE 0.0 END ELSE 0.0 END AS cost_aware FROM v""")
 def sizing_schemes(spark: SparkSession, d: str) -> DataFrame:
     s = signals(spark, d)
-    return s.select("symbol", T, *[F.round(bt.positions(s, k), 6).alias(k) for k in ("fixed", "vol_target", "prob_scaled", "cost_aware")])
+    return s.select("symbol", T(), *[F.round(bt.positions(s, k), 6).alias(k) for k in ("fixed", "vol_target", "prob_scaled", "cost_aware")])
 
 
 @query("risk_panel", f"""
@@ -144,7 +144,7 @@ def range_forecast(spark: SparkSession, d: str) -> DataFrame:
     f = fc.range_forecast(signals(spark, d), vol="vol")
     _, tier = fc.uncertainty(F.col("upper") - F.col("lower"), F.col("close"))
     return f.select(
-        "symbol", T, R("mfe_p10"), R("mfe_p90"), R("mae_p50"), R("upper", 4), R("lower", 4), F.round(fc.tradeability(F.col("mfe_p90"), F.col("mae_p50")), 6).alias("tradeability"),
+        "symbol", T(), R("mfe_p10"), R("mfe_p90"), R("mae_p50"), R("upper", 4), R("lower", 4), F.round(fc.tradeability(F.col("mfe_p90"), F.col("mae_p50")), 6).alias("tradeability"),
         tier.alias("uncertainty"), fc.quality_gate(F.col("close"), F.col("vol"), F.lit(0)).alias("quality"),
     )
 
@@ -163,7 +163,7 @@ def range_containment(spark: SparkSession, d: str) -> DataFrame:
 def forecast_path(spark: SparkSession, d: str) -> DataFrame:
     """A 24-step path from the newest bar of each series."""
     newest = ob.keep_first(fc.range_forecast(signals(spark, d), vol="vol"), ["symbol"], [F.desc("ts")])
-    return fc.path(newest, "mfe_p50").select("symbol", T, "step", R("expected", 4))
+    return fc.path(newest, "mfe_p50").select("symbol", T(), "step", R("expected", 4))
 
 
 @query("conformal_radius", f"""
@@ -179,7 +179,7 @@ WITH {P} SELECT symbol, ts, CASE WHEN p > CASE WHEN n >= 5 THEN 0.58 ELSE 0.54 E
 def decisions_and_blend(spark: SparkSession, d: str) -> DataFrame:
     s = signals(spark, d).where("p is not null")
     p, n = F.col("p"), F.col("n")
-    return s.select("symbol", T, fc.direction_overlay(p, n >= 5).alias("direction"), F.round(fc.blended([p, F.lit(0.5)], [n.cast("double"), F.lit(2.0)]), 6).alias("blended"), F.round(fc.harmonic(p, n / 10.0), 6).alias("confidence"))
+    return s.select("symbol", T(), fc.direction_overlay(p, n >= 5).alias("direction"), F.round(fc.blended([p, F.lit(0.5)], [n.cast("double"), F.lit(2.0)]), 6).alias("blended"), F.round(fc.harmonic(p, n / 10.0), 6).alias("confidence"))
 
 
 @query("reliability_tiers", f"""
@@ -205,7 +205,7 @@ WITH RECURSIVE {_SEQ}, c AS (SELECT symbol, i, CASE WHEN greatest(0, x) > 1.0 TH
 SELECT n.symbol, n.ts, CAST(ev AS BIGINT) AS cusum_event FROM c JOIN n USING (symbol, i)""")
 def cusum_filter(spark: SparkSession, d: str) -> DataFrame:
     b = ob.bars(spark, d).withColumn("x", fw.log_return("close")).select("symbol", "ts", "x")
-    return sq.cusum(b, ["symbol"], ["ts"], "x", 1.0).select("symbol", T, "cusum_event")
+    return sq.cusum(b, ["symbol"], ["ts"], "x", 1.0).select("symbol", T(), "cusum_event")
 
 
 @query("event_cooldown", """
@@ -221,7 +221,7 @@ def event_cooldown(spark: SparkSession, d: str) -> DataFrame:
 def max_hold_positions(spark: SparkSession, d: str) -> DataFrame:
     s = signals(spark, d)
     s = s.withColumn("signal", bt.positions(s)).select("symbol", "ts", "close", "signal")
-    return sq.max_hold(s, ["symbol"], ["ts"], "signal", 6).select("symbol", T, "held")
+    return sq.max_hold(s, ["symbol"], ["ts"], "signal", 6).select("symbol", T(), "held")
 
 
 @query("exit_policy")
@@ -230,7 +230,7 @@ def exit_policy(spark: SparkSession, d: str) -> DataFrame:
 
     s = atr_simple(signals(spark, d))
     s = s.withColumn("signal", bt.positions(s)).select("symbol", "ts", "close", "signal", "atr_simple")
-    return sq.exit_policy(s, ["symbol"], ["ts"], "signal", "atr_simple").select("symbol", T, R("exit_pnl"), "exit_reason")
+    return sq.exit_policy(s, ["symbol"], ["ts"], "signal", "atr_simple").select("symbol", T(), R("exit_pnl"), "exit_reason")
 
 
 @query("hawkes_intensity")
@@ -244,4 +244,4 @@ def hawkes_intensity(spark: SparkSession, d: str) -> DataFrame:
 def paper_arena(spark: SparkSession, d: str) -> DataFrame:
     s = signals(spark, d)
     s = s.withColumn("signal", bt.positions(s)).select("symbol", "ts", "close", "signal")
-    return sq.paper_arena(s, ["symbol"], ["ts"], "signal").select("symbol", T, R("equity"), R("drawdown"), "action")
+    return sq.paper_arena(s, ["symbol"], ["ts"], "signal").select("symbol", T(), R("equity"), R("drawdown"), "action")
