@@ -139,12 +139,12 @@ def execution_and_kelly(spark: SparkSession, d: str) -> DataFrame:
     return s.select("l_orderkey", "l_linenumber", F.round(cost, 6).alias("cost"), F.round(k, 6).alias("kelly"))
 
 
-@query("range_forecast", f"WITH {P}, f AS (SELECT *, greatest(0.005, coalesce(vol, 0)) AS s FROM v) SELECT symbol, ts, round(0.25 * s, 6) AS mfe_p10, round(2.0 * s, 6) AS mfe_p90, round(0.8 * s, 6) AS mae_p50, round(close * (1 + 2.0 * s), 4) AS upper, round(close * (1 - 1.9 * s), 4) AS lower, round(2.0 * s - 1.5 * 0.8 * s - 0.0016, 6) AS tradeability, CASE WHEN close * 3.9 * s / close < 0.02 THEN 'LOW' WHEN close * 3.9 * s / close < 0.06 THEN 'MEDIUM' ELSE 'HIGH' END AS uncertainty, CASE WHEN close <= 0 THEN 'INVALID' WHEN vol IS NULL THEN 'DEGRADED' ELSE 'VALID' END AS quality FROM f")
+@query("range_forecast", f"WITH {P}, f AS (SELECT *, greatest(0.005, coalesce(vol, 0)) AS s FROM v) SELECT symbol, ts, round(0.25 * s, 6) AS mfe_p10, round(2.0 * s, 6) AS mfe_p90, round(0.8 * s, 6) AS mae_p50, round(close * (1 + 2.0 * s), 6) AS upper, round(close * (1 - 1.9 * s), 6) AS lower, round(2.0 * s - 1.5 * 0.8 * s - 0.0016, 6) AS tradeability, CASE WHEN close * 3.9 * s / close < 0.02 THEN 'LOW' WHEN close * 3.9 * s / close < 0.06 THEN 'MEDIUM' ELSE 'HIGH' END AS uncertainty, CASE WHEN close <= 0 THEN 'INVALID' WHEN vol IS NULL THEN 'DEGRADED' ELSE 'VALID' END AS quality FROM f")
 def range_forecast(spark: SparkSession, d: str) -> DataFrame:
     f = fc.range_forecast(signals(spark, d), vol="vol")
     _, tier = fc.uncertainty(F.col("upper") - F.col("lower"), F.col("close"))
     return f.select(
-        "symbol", T(), R("mfe_p10"), R("mfe_p90"), R("mae_p50"), R("upper", 4), R("lower", 4), F.round(fc.tradeability(F.col("mfe_p90"), F.col("mae_p50")), 6).alias("tradeability"),
+        "symbol", T(), R("mfe_p10"), R("mfe_p90"), R("mae_p50"), R("upper"), R("lower"), F.round(fc.tradeability(F.col("mfe_p90"), F.col("mae_p50")), 6).alias("tradeability"),
         tier.alias("uncertainty"), fc.quality_gate(F.col("close"), F.col("vol"), F.lit(0)).alias("quality"),
     )
 
@@ -159,11 +159,11 @@ def range_containment(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("symbol").agg(F.count("*").alias("n"), share(h).alias("high_contained"), share(low).alias("low_contained"), share(h & low).alias("both_contained"))
 
 
-@query("forecast_path", f"WITH {P}, f AS (SELECT symbol, ts, close, 0.85 * greatest(0.005, coalesce(vol, 0)) AS m, row_number() OVER ({q.W.replace('ts', 'ts DESC')}) AS k FROM v) SELECT symbol, ts, CAST(step AS INTEGER) AS step, round(close * (1 + m * sqrt(step / 24.0)), 4) AS expected FROM f, range(1, 25) g(step) WHERE k = 1")
+@query("forecast_path", f"WITH {P}, f AS (SELECT symbol, ts, close, 0.85 * greatest(0.005, coalesce(vol, 0)) AS m, row_number() OVER ({q.W.replace('ts', 'ts DESC')}) AS k FROM v) SELECT symbol, ts, CAST(step AS INTEGER) AS step, round(close * (1 + m * sqrt(step / 24.0)), 8) AS expected FROM f, range(1, 25) g(step) WHERE k = 1")
 def forecast_path(spark: SparkSession, d: str) -> DataFrame:
     """A 24-step path from the newest bar of each series."""
     newest = ob.keep_first(fc.range_forecast(signals(spark, d), vol="vol"), ["symbol"], [F.desc("ts")])
-    return fc.path(newest, "mfe_p50").select("symbol", T(), "step", R("expected", 4))
+    return fc.path(newest, "mfe_p50").select("symbol", T(), "step", R("expected", 8))
 
 
 @query("conformal_radius", f"""
