@@ -163,6 +163,56 @@ def test_near_duplicates_keep_one(spark, docs):
     assert sorted(kept.doc_id.fillna(-1)) == [-1, 0, 3, 4] and list(kept.columns) == ["doc_id", "text", "a"]
 
 
+def test_links_across_the_sign_bit(spark):
+    keys = spark.createDataFrame([(1, 5, 0), (1, 5 - 2**63, 0)], "key long, a long, b long")
+    assert simhash.link(keys, 3).count() == 1
+
+
+def test_similar_components_equal_brute_force_at_the_threshold(spark, monkeypatch):
+    """Pairs at similarities of 0.6 to 0.9, cut off, prolonged or edited: linked from 0.8 on, and only those."""
+    #     monkeypatch.setattr(simhash, "CLUSTER_ROWS", 8)
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    share = 1 / np.arange(1, 4001) ** 0.8
+    texts = []
+
+    def draw(n):
+        return rng.choice(vocabulary, n, p=share / share.sum()).tolist()
+
+    for _ in range(30):
+        base = draw(int(rng.integers(80, 300)))
+        texts.append(base)
+        for target in (0.6, 0.7, 0.78, 0.8, 0.82, 0.9):
+            n, edited = len(base), list(base)
+            for i in rng.choice(n, max(1, int(n * (1 - target) / (1 + target) / 5)), replace=False):
+                edited[i] = f"new{rng.integers(1 << 40)}"
+            texts += [base[: int(n * target) + 1], base + draw(int(n / target - n)), edited]
+    boiler = draw(12)
+    texts += [boiler * 20 + draw(30) for _ in range(3)]  # repeats must not count
+    texts = [" ".join(x) for x in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(rows).collect()}
+    sets = [{*zip(*(t.split()[k:] for k in range(5)))} for t in texts]
+    parent, pairs = list(range(len(texts))), []
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            c = len(sets[i] & sets[j])
+            if c / len(sets[i] | sets[j]) >= 0.8:
+                pairs.append((j, i))
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    print("pairs", len(pairs), "caught", sum(got[i] == got[j] for i, j in pairs), "wrongly merged", sum(root(i) != root(c) for i, c in got.items()))
+    assert len(pairs) > 200
+    assert got == {i: root(i) for i in range(len(texts))}
+
+
+
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -12,7 +12,9 @@ codeword index of a half make a 28-bit key: 8 families, at most 48 keys, no link
 ``wide`` (similar shingle sets): eight 23-bit segments of a fingerprint over a text's
 distinct words, taken in pairs; two codeword indices make a key. With at most 11 differing
 bits of 184 some pair has at most 2, so a key is shared; beyond that most pairs still meet.
-A second fingerprint over the five-word shingles then verifies.
+Sixteen further keys of four minima of the shingle set each catch what these lose: at a
+similarity of 0.8 all of them differ for 2 pairs in 10,000. A second fingerprint over the
+shingle set only rules out far pairs; the exact Jaccard similarity of the sets decides.
 
 Rows that share a key are joined by one shuffle and verified bit by bit. A bucket gives only
 the links of a spanning forest, never all its pairs; large buckets are split into blocks of
@@ -38,6 +40,10 @@ from .components import components
 GENERATOR = 0b101011100011
 #: Buckets over this size are dealt out as pairs of blocks.
 BLOCK = 4096
+#: Texts and shingles in a block of a large cluster, whose pairs of blocks are compared exactly.
+CLUSTER_ROWS, CLUSTER_SHINGLES = 512, 1_000_000
+#: Keys from minima of shingle sets, and minima in a key.
+BANDS, MINIMA = 16, 4
 
 
 def syndrome(words: np.ndarray) -> np.ndarray:
@@ -124,15 +130,45 @@ def fingerprint(text: str | None, width: int, seed: int = 42) -> int:
     return int.from_bytes(majority([xxhash.xxh64_digest(s, seed) for s in found]).tobytes(), "big", signed=True)
 
 
-def _wide(text: str | None, width: int) -> tuple[list[int], int, int]:
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles."""
+    found = [xxhash.xxh3_64_intdigest(s, 3) for s in shingles(words_of(text), width)]
+    return np.unique(np.array(found, dtype=np.uint64))
+
+
+def set_digest(own: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a shingle set, as two signed longs."""
+    raw = xxhash.xxh3_128_digest(own.tobytes())
+    return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)
+
+
+@lru_cache(maxsize=1)
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(42)
+    k = BANDS * MINIMA
+    return rng.integers(0, 1 << 63, k, dtype=np.uint64) << np.uint64(1) | np.uint64(1), rng.integers(0, 1 << 63, k, dtype=np.uint64)
+
+
+def band_keys(own: np.ndarray) -> list[int]:
+    """Keys above all of ``wide_keys``; two sets share each with probability J to the power of MINIMA."""
+    if not len(own):
+        return [1 << 62] * BANDS
+    mul, add = _multipliers()
+    least = np.min([(own[lo : lo + 4096, None] * mul + add).min(axis=0) for lo in range(0, len(own), 4096)], axis=0)
+    return [xxhash.xxh3_64_intdigest(row.tobytes(), i) >> 2 | 1 << 62 for i, row in enumerate(least.reshape(BANDS, MINIMA))]
+
+
+def _wide(text: str | None, width: int) -> tuple[list[int], list[int], int, int, int, int, int]:
+    """Segments, band keys, fingerprint, digest and size of the shingle set."""
     words = words_of(text)
+    own = shingle_set(text, width)
+    h, g = set_digest(own)
     if not words:
-        return [0] * 8, 0, 0
-    own = [*{*words}]
-    bits = np.unpackbits(majority([xxhash.xxh3_128_digest(w, 1) + xxhash.xxh3_64_digest(w, 2) for w in own]))
+        return [0] * 8, band_keys(own), 0, 0, h, g, 0
+    bits = np.unpackbits(majority([xxhash.xxh3_128_digest(w, 1) + xxhash.xxh3_64_digest(w, 2) for w in {*words}]))
     segments = bits[:184].reshape(8, 23).astype(np.int64) @ (1 << np.arange(23))
-    raw = majority([xxhash.xxh3_128_digest(s, 3) for s in shingles(words, width)]).tobytes()
-    return segments.tolist(), int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)
+    raw = majority([xxhash.xxh3_128_digest(s, 3) for s in {*shingles(words, width)}]).tobytes()
+    return segments.tolist(), band_keys(own), int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True), h, g, len(own)
 
 
 def _forest(a: np.ndarray, b: np.ndarray, reach: int) -> list[tuple[int, int]]:
@@ -193,7 +229,8 @@ def link(keys: DataFrame, reach: int) -> DataFrame:
         kept = [np.zeros(0, dtype=np.int64)] * 3
 
         def links(cols: list[np.ndarray]) -> pa.RecordBatch:
-            i, j = _run_links(cols[0], cols[1], cols[2], reach)
+            # unsigned: NumPy counts the bits of a signed number's absolute value
+            i, j = _run_links(cols[0], cols[1].view(np.uint64), cols[2].view(np.uint64), reach)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (cols[1][i], cols[2][i], cols[1][j], cols[2][j])], schema=schema)
 
         for batch in batches:
@@ -212,10 +249,10 @@ def link(keys: DataFrame, reach: int) -> DataFrame:
     return found.select(F.struct(F.col("ua").alias("a"), F.col("ub").alias("b")).alias("u"), F.struct(F.col("va").alias("a"), F.col("vb").alias("b")).alias("v")).distinct()
 
 
-def _classes(prints: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
-    """``a, b, component_id``: the smallest id reachable from each distinct fingerprint."""
+def _classes(prints: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
+    """``a, b, component_id``: the smallest id of each distinct fingerprint's component, by its ``id, root``."""
     nodes = prints.groupBy("a", "b").agg(F.min(id_col).alias("least"))
-    roots = components(links).select(F.col("id.a").alias("a"), F.col("id.b").alias("b"), "root")
+    roots = roots.select(F.col("id.a").alias("a"), F.col("id.b").alias("b"), "root")
     of = cut(nodes.join(roots, ["a", "b"], "left").withColumn("root", F.coalesce("root", F.struct("a", "b"))))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     return of.join(least, "root").select("a", "b", "component_id")
@@ -244,38 +281,118 @@ def fingerprint_components(docs: DataFrame, width: int = 3, seed: int = 42, id_c
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row]), pa.array(np.zeros(len(row), dtype=np.int64))], names=["key", "a", "b"])
 
     keys = found.select("a").distinct().mapInArrow(keyed, "key long, a long, b long")
-    classes = _classes(found, link(keys, 3), id_col)
+    classes = _classes(found, components(link(keys, 3)), id_col)
     return found.join(classes, ["a", "b"]).select(id_col, F.lpad(F.lower(F.hex("a")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def exact_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links of the sets to the first of their component, where Jaccard similarity reaches the threshold."""
+    size = np.array([len(x) for x in sets])
+    _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holder = np.repeat(np.arange(len(sets)), size)[np.argsort(token, kind="stable")]
+    first, at = np.cumsum(df) - df, np.cumsum(size) - size
+    open_, out, queue, rest, root = np.ones(len(sets), dtype=bool), [], [], 0, 0
+    while rest < len(sets):
+        if queue:
+            i = queue.pop()
+        elif open_[rest]:
+            i = root = rest
+            open_[i] = False
+        else:
+            rest += 1
+            continue
+        own = token[at[i] : at[i] + size[i]]
+        own = own[df[own] > 1]
+        n = df[own]
+        listed = np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(holder[listed], minlength=len(sets))
+        found = np.flatnonzero(open_ & (shared / np.maximum(size + size[i] - shared, 1) >= similarity)).tolist()
+        open_[found] = False
+        out += [(root, j) for j in found]
+        queue += found
+    return out
+
+
+def _exact_roots(clusters: DataFrame, docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """``id, root`` (structs of a, b) of the sets ``root, a, b, n, least`` of a cluster that are similar enough.
+
+    Texts are read again by id, one of each set; a large cluster is dealt out as pairs of blocks,
+    whose links are put together.
+    """
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("all")).where("rows > 1")
+    blocks = F.ceil(F.greatest(F.col("rows") / CLUSTER_ROWS, F.col("all") / CLUSTER_SHINGLES))
+    dealt = clusters.join(sizes.select("root", blocks.alias("blocks")), "root").withColumn("own", F.pmod(F.xxhash64("a", "b"), F.col("blocks")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    other = F.explode(F.when(F.col("blocks") < 2, F.array(F.lit(0).cast("long"))).otherwise(F.filter(every, lambda x: x != F.col("own"))))
+    dealt = dealt.select("least", "a", "b", "root", "own", other.alias("other"), (F.col("blocks") < 2).alias("whole"))
+    dealt = dealt.select("whole", "least", "a", "b", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("route"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("least"), F.col(f"`{text_col}`").alias("text"))
+    routed = dealt.join(texts, "least").select("route", "whole", "a", "b", "text")
+    schema = pa.schema([(c, pa.int64()) for c in ("ua", "ub", "va", "vb")] + [("whole", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        route, names, sets = None, [], []
+
+        def links() -> pa.RecordBatch:
+            found = [names[i] + names[j] + (route[1],) for i, j in exact_forest(sets, similarity)]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], f.type) for k, f in enumerate(schema)], schema=schema)
+
+        for batch in batches:
+            for r, whole, a, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (r, whole) != route:
+                    if len(sets) > 1:
+                        yield links()
+                    route, names, sets = (r, whole), [], []
+                own = shingle_set(text, width)
+                if set_digest(own) == (a, b):  # an id may stand for several texts
+                    names.append((a, b))
+                    sets.append(own)
+        if len(sets) > 1:
+            yield links()
+
+    found = routed.repartition("route").sortWithinPartitions("route", "whole").mapInArrow(run, "ua long, ub long, va long, vb long, whole boolean")
+    u, v = (F.struct(F.col(f"{x}a").alias("a"), F.col(f"{x}b").alias("b")).alias(x) for x in "uv")
+    links = cut(found.select(u, v, "whole").where("u <> v").distinct())
+    # a cluster in one group is settled by its first set, which has no row of its own
+    return links.where("whole").select(F.col("v").alias("id"), F.col("u").alias("root")).unionByName(components(links.where("not whole").select("u", "v")))
+
+
 def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, a, b, component_id``: texts whose shingle sets have about this Jaccard similarity or more.
+    """``doc_id, a, b, component_id``: texts whose shingle sets have this Jaccard similarity or more are linked.
 
     SimHash estimates the angle of two shingle sets, which fixes their similarity J by
-    cos = 2 J / (1 + J). Links are the pairs whose 128-bit shingle fingerprints differ by no
-    more bits than J predicts, plus one standard deviation of the estimate, so that pairs at
-    the threshold are caught; candidates come from the word fingerprint's Golay keys.
+    cos = 2 J / (1 + J). Rows that share a key (Golay keys of the word fingerprint, or minima of
+    the shingle set) and whose 128-bit shingle fingerprints differ by at most the bits that the
+    threshold predicts, plus five standard deviations, form clusters; within a cluster the
+    exact similarity of all pairs decides. No pair below the threshold is linked.
     """
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    reach = int(128 * p + np.sqrt(128 * p * (1 - p)))
+    reach = int(128 * p + 5 * np.sqrt(128 * p * (1 - p)))
 
     def prints(ids: list, texts: list) -> dict[str, list]:
-        found = [_wide(t, width) for t in texts]
-        return {id_col: ids, "segments": [x[0] for x in found], "a": [x[1] for x in found], "b": [x[2] for x in found]}
+        columns = zip(*(_wide(t, width) for t in texts), strict=True)
+        return {id_col: ids, **{k: list(c) for k, c in zip(("segments", "bands", "a", "b", "h", "g", "n"), columns, strict=True)}}
 
-    found = cut(map_columns(docs, [id_col, text_col], f"{id_col} long, segments array<int>, a long, b long", prints))
+    found = cut(map_columns(docs, [id_col, text_col], f"{id_col} long, segments array<int>, bands array<long>, a long, b long, h long, g long, n long", prints))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             segments = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, 8)
-            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            bands = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
             for lo in range(0, len(a), 1024):
                 key, row = wide_keys(segments[lo : lo + 1024])
+                part = bands[lo : lo + 1024]
+                key, row = np.concatenate([key, part.ravel()]), np.concatenate([row, np.repeat(np.arange(len(part)), BANDS)])
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a[lo + row]), pa.array(b[lo + row])], names=["key", "a", "b"])
 
-    keys = found.select("segments", "a", "b").distinct().mapInArrow(keyed, "key long, a long, b long")
-    classes = _classes(found, link(keys, reach), id_col)
-    return found.join(classes, ["a", "b"]).select(id_col, "a", "b", "component_id")
+    keys = found.select("segments", "bands", "a", "b").distinct().mapInArrow(keyed, "key long, a long, b long")
+    roots = components(link(keys, reach)).select(F.col("id.a").alias("a"), F.col("id.b").alias("b"), "root")
+    sets = found.groupBy("a", "b", "h", "g").agg(F.min("n").alias("n"), F.min(id_col).alias("least"))
+    clusters = cut(sets.join(roots, ["a", "b"], "left").select(F.coalesce("root", F.struct("a", "b")).alias("root"), F.col("h").alias("a"), F.col("g").alias("b"), "n", "least"))
+    named = found.select(F.col(id_col), F.col("h").alias("a"), F.col("g").alias("b"))
+    classes = _classes(named, _exact_roots(clusters, docs, width, similarity, id_col, text_col), id_col)
+    return found.join(classes.select(F.col("a").alias("h"), F.col("b").alias("g"), "component_id"), ["h", "g"]).select(id_col, "a", "b", "component_id")
 
 
 def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
