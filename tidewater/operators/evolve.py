@@ -30,24 +30,28 @@ def bred(generation: DataFrame, best: DataFrame, n: int, seed: int = 42) -> Data
     return both.select((F.col("child") + top).alias("id"), (F.col("a_generation") + 1).alias("generation"), gene("enter", 1), gene("take", 2), gene("stop", 3), gene("hold", 4).cast("int").alias("hold"), F.array("a_id", "b_id").alias("parents"))
 
 
-def fitness(genomes: DataFrame, series: pd.DataFrame) -> DataFrame:
-    """Return, drawdown and trades of each genome on one bounded series (broadcast once); genomes run in parallel."""
-    shared = genomes.sparkSession.sparkContext.broadcast(series[["p", "r"]].to_numpy())
+def fitness(genomes: DataFrame, bars: DataFrame, by: str = "symbol") -> DataFrame:
+    """Return, drawdown and trades of each genome over all bars ``by, ts, p, r``; series run in parallel.
 
-    def run(batches):
+    Returns and trades are summed over the series, the drawdown is the deepest of any. The
+    population (small by construction) is sent to every series.
+    """
+    genes = genomes.select("id", "enter", "take", "stop", "hold").toPandas()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        data = np.nan_to_num(shared.value)
-        for pdf in batches:
-            out = []
-            for g in pdf.itertuples():
-                pos = np.where(data[:, 0] > g.enter, 1.0, np.where(data[:, 0] < 1 - g.enter, -1.0, 0.0))
-                pnl = np.clip(pos[:-1] * data[1:, 1], -g.stop / 100, g.take / 100) - 0.0005 * np.abs(np.diff(pos))
-                eq = np.cumprod(1 + pnl) if len(pnl) else np.ones(1)
-                out.append((g.id, float(pnl.sum()), float((1 - eq / np.maximum.accumulate(eq)).max()), int((np.diff(pos) != 0).sum())))
-            yield pd.DataFrame(out, columns=["id", "total", "drawdown", "trades"])
-
-    return genomes.mapInPandas(run, "id long, total double, drawdown double, trades long")
+        data = np.nan_to_num(pdf.sort_values("ts")[["p", "r"]].to_numpy(dtype=float))
+        out = []
+        for g in genes.itertuples():
+            pos = np.where(data[:, 0] > g.enter, 1.0, np.where(data[:, 0] < 1 - g.enter, -1.0, 0.0))
+            pnl = np.clip(pos[:-1] * data[1:, 1], -g.stop / 100, g.take / 100) - 0.0005 * np.abs(np.diff(pos))
+            eq = np.cumprod(1 + pnl) if len(pnl) else np.ones(1)
+            out.append((g.id, float(pnl.sum()), float((1 - eq / np.maximum.accumulate(eq)).max()), int((np.diff(pos) != 0).sum())))
+        return pd.DataFrame(out, columns=["id", "total", "drawdown", "trades"])
+
+    each = bars.select(by, "ts", "p", "r").groupBy(by).applyInPandas(run, "id long, total double, drawdown double, trades long")
+    return each.groupBy("id").agg(F.sum("total").alias("total"), F.max("drawdown").alias("drawdown"), F.sum("trades").alias("trades"))
 
 
 def dominance_fronts(points: DataFrame, fronts: int = 50) -> DataFrame:

@@ -156,8 +156,8 @@ def pareto_front(spark: SparkSession, d: str) -> DataFrame:
 
 @query("evolution")
 def evolution(spark: SparkSession, d: str) -> DataFrame:
-    """Two generations on the newest 2 000 bars of one series: fitness, fronts, survivors, children."""
-    series = signals(spark, d).where("symbol = 'click'").orderBy(F.desc("ts")).limit(2000).orderBy("ts").select("p", "r").toPandas()
+    """Two generations on all bars of every series: fitness, fronts, survivors, children."""
+    series = signals(spark, d).select("symbol", "ts", "p", "r").persist()
     first = ev.seeded(spark, 24).persist()
     alive = ev.survivors(ev.dominance_fronts(ev.fitness(first, series), 4), 8)
     children = ev.bred(first, first.join(alive.select("id"), "id", "left_semi"), 16).persist()
