@@ -335,3 +335,20 @@ def test_pipeline_stages(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, DATA).columns == docs.columns
         assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_warc_digests_in_base32_and_unknown_forms():
+    import base64
+
+    body = b"page"
+
+    def block(digest):
+        http = b"HTTP/1.1 200 OK\r\n\r\n" + body
+        return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (digest, len(http), http)
+
+    sha = hashlib.sha1(body)
+    for good in (sha.hexdigest().encode(), base64.b32encode(sha.digest()), base64.b32encode(sha.digest()).lower(), b"unknown"):
+        assert warc.parse(block(good))[1].endswith(body)
+    for bad in (hashlib.sha1(b"x").hexdigest().encode(), base64.b32encode(hashlib.sha1(b"x").digest())):
+        with pytest.raises(ValueError, match="payload digest"):
+            warc.parse(block(bad))
