@@ -265,12 +265,44 @@ def test_weak_labels_agree_with_held_out_labels(spark, odd):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     got = weak_labels.classify(docs).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").toPandas()
     assert (got.kept == (got.quality == 1)).mean() > 0.97
-    assert got[got.quality == 1].kept.mean() > 0.99
+    assert got[got.quality == 1].kept.mean() > 0.99 and got[got.quality == 0].kept.mean() < 0.2
+    long = spark.createDataFrame([(1, "good words of the text and more " * 40_000), (2, "x" * 1_000_000), (None, "a b"), (4, None)], "doc_id long, text string")
+    assert weak_labels.classify(long).count() == 4
     kept = weak_labels.keep(odd)
     assert kept.columns == odd.columns and weak_labels.classify(odd).count() == len(ODD)
     assert weak_labels.classify(odd.limit(0)).count() == 0
 
 
+def test_em_of_dependent_labellers_equals_a_plain_twin():
+    """Against EM written over single documents and arrays; and an EM that lets no labeller be wrong about good documents."""
+    rng = np.random.default_rng(11)
+    k = len(weak_labels.LABELLERS)
+    docs = ["".join(rng.choice(list("ggggba"), k)) if rng.random() < 0.2 else "".join(rng.choice(list("gggga"), k)) for _ in range(300)]
+    model = weak_labels.accuracies(sorted({p: docs.count(p) for p in docs}.items()), rounds=7)
+    bad, said = (np.array([[v in x for v in p] for p in docs], dtype=float) for x in ("b", "gb"))
+    share0, rate0 = np.array([0.8] + [0.2 / k] * k), np.vstack([np.full(k, 0.002), np.where(np.eye(k), 0.95, 0.02)])
+    share, rate = share0, rate0
+    for _ in range(7):
+        like = np.exp(bad @ np.log(rate).T + (said - bad) @ np.log(1 - rate).T) * share
+        p = like / like.sum(axis=1, keepdims=True)
+        total = 20 * share0 + p.sum(axis=0)
+        rate = (20 * share0[:, None] * rate0 + p.T @ bad) / (20 * share0[:, None] + p.T @ said)
+        share = total / total.sum()
+    np.testing.assert_allclose([m[0] for m in model], share, rtol=1e-9)
+    np.testing.assert_allclose([m[1] for m in model], rate, rtol=1e-9)
+
+
+def test_linear_scorer_and_cutoff_by_brute_force():
+    rng = np.random.default_rng(2)
+    scores, y = rng.integers(-5, 5, 60).astype(float), rng.random(60)
+    best = min((5 * y[scores < t].sum() + (1 - y)[scores >= t].sum(), t) for t in np.arange(-6, 6, 0.5))
+    t = weak_labels.cutoff(scores, y, 5.0)
+    assert 5 * y[scores < t].sum() + (1 - y)[scores >= t].sum() == pytest.approx(best[0])
+    assert weak_labels.cutoff(np.zeros(0), np.zeros(0), 5.0) == 0.0 and weak_labels.cutoff(np.ones(2), np.zeros(2), 5.0) == 2.0
+    v = weak_labels.vector("Ab cd Ab.\nx\nx")
+    assert sum(v.values()) == pytest.approx(5.0)  # three slots a word as shares, two of the text
+
+
 def test_url_filter(spark):
     urls = ["http://A.com/en/1?x", "https://x.example.com/en/7", "https://example.net/de/8", "ftp://example.net/de/9#f", "no url", None, "http://", "http://www.cheappills.example.com/fr/1", "http://blog.example.org/fr/2", "http://com?/en/"]
     rows = [(i, u, "<p>the cheap pills blog</p>" if i else None, "clash") for i, u in enumerate(urls)] * 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,21 +17,29 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder path under the shared folder of ``spark.checkpoint.dir``.
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where that setting is absent (tests on one machine) a local folder is used.
+    Only a local master (tests on one machine) may do without the setting.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(root or '/tmp/checkpoints').rstrip('/')}/{uuid.uuid4().hex}"
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"{tempfile.gettempdir()}/checkpoints"
+    return root.rstrip("/")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh folder path under the shared folder."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(root or "/tmp/checkpoints")
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 
