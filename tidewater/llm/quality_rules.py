@@ -2,10 +2,13 @@
 
 Everything is DataFrame expressions. Each text gives five whole-number measures; a sketch
 counts them in log-linear buckets (exact below 16, then 16 to a power of two, so within a
-sixteenth). Sketches are plain counts: partial aggregation merges them before the shuffle,
-and a small group's sketch is merged with that of its language. The cutoff of a measure is
-the upper quartile plus ``fence`` times the quartile distance, which has a floor so that a
-group without spread doesn't reject its first odd text.
+sixteenth, and at most 976 buckets). Sketches are plain counts: partial aggregation merges them
+before the shuffle, and those of a language's sources add up to that of the language, those of
+the languages to that of the corpus. The cutoff of a measure is the upper quartile plus
+``FENCE`` times the quartile distance, which has a floor so that a group without spread doesn't
+reject its first odd text. Small groups lean on larger ones: a group's cutoff is the mean of its
+own, weighing its rows, and its language's, weighing ``prior`` rows; the language's leans on the
+corpus in the same way. So verdicts change smoothly with a group's size.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, cut, unboxed
+from .common import boxed, cut, shared_dir, unboxed
 
 #: What separates words, and the characters that count as symbols.
 BLANKS = " \t\n\x0b\f\r"
@@ -22,7 +25,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Measures with the least quartile distance each.
 MEASURES = {"m_symbols": 25, "m_word": 100, "m_dup": 150, "m_repeat": 100, "m_upper": 80}
 FENCE = 3
-SMALL_GROUP = 100
+#: Rows that the larger group's cutoff weighs in a smaller group's.
+PRIOR = 100
 #: More groups than this are joined by a shuffle instead of a broadcast.
 BROADCAST_GROUPS = 50_000
 
@@ -35,7 +39,7 @@ def _dropped(text: Column, letters: str) -> Column:
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` with one more column ``_q``: a struct of base counts, measures and group keys.
 
-    Null text counts as empty; null language or source as the empty string.
+    Null text counts as empty; a null language or source is that of the empty string.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     words = docs.select("*", F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "").alias("_w"), F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0).alias("_l"))
@@ -91,16 +95,10 @@ def bottom(b: Column) -> Column:
     return F.when(b < 16, b).otherwise((16 + F.pmod(b, F.lit(16))) * F.pow(F.lit(2.0), F.floor(b / 16) - 1)).cast("long")
 
 
-def cutoffs(stats: DataFrame) -> DataFrame:
-    """``lang, source, cut_<measure>...`` from rows that have ``lang``, ``source`` and the measures."""
-    long = stats.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), bucket(F.col(m)).alias("b")) for m in MEASURES])).alias("x"))
-    sketch = long.groupBy("lang", "source", "x.m", "x.b").agg(F.count("*").alias("n"))
-    of_lang = sketch.groupBy("lang", "m", "b").agg(F.sum("n").alias("n"))
-    sizes = sketch.groupBy("lang", "source", "m").agg(F.sum("n").alias("rows"))
-    small = sizes.where(F.col("rows") < SMALL_GROUP).join(of_lang, ["lang", "m"]).select("lang", "source", "m", "b", "n")
-    large = sketch.join(sizes.where(F.col("rows") >= SMALL_GROUP).select("lang", "source", "m"), ["lang", "source", "m"], "left_semi")
-    # a sketch has some hundred buckets at most, so each group is sorted whole
-    arrays = large.select("lang", "source", "m", "b", "n").unionByName(small).groupBy("lang", "source", "m").agg(F.sort_array(F.collect_list(F.struct("b", "n"))).alias("s"), F.sum("n").alias("total"))
+def _edges(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """``by..., m, total, edge`` from ``by..., m, b, n``."""
+    # at most 976 buckets a group, so each sketch is sorted whole
+    arrays = sketch.groupBy(*by, "m").agg(F.sort_array(F.collect_list(F.struct("b", "n"))).alias("s"), F.sum("n").alias("total"))
 
     def quantile(percent: int) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("b"))
@@ -110,8 +108,21 @@ def cutoffs(stats: DataFrame) -> DataFrame:
     least = F.lit(0)
     for m, v in MEASURES.items():
         least = F.when(F.col("m") == m, v).otherwise(least)
-    edge = F.col("high") + FENCE * F.greatest(F.col("high") - F.col("low"), least)
-    of = arrays.select("lang", "source", "m", quantile(75).alias("high"), quantile(25).alias("low")).withColumn("edge", edge.cast("long"))
+    of = arrays.select(*by, "m", "total", quantile(75).alias("high"), quantile(25).alias("low"))
+    return of.select(*by, "m", "total", (F.col("high") + FENCE * F.greatest(F.col("high") - F.col("low"), least)).cast("long").alias("edge"))
+
+
+def cutoffs(stats: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """``lang, source, cut_<measure>...`` from rows that have ``lang``, ``source`` and the measures."""
+    long = stats.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), bucket(F.col(m)).alias("b")) for m in MEASURES])).alias("x"))
+    sketch = cut(long.groupBy("lang", "source", "x.m", "x.b").agg(F.count("*").alias("n")))
+    of_lang = sketch.groupBy("lang", "m", "b").agg(F.sum("n").alias("n"))
+    of_all = _edges(of_lang.groupBy("m", "b").agg(F.sum("n").alias("n")), [])
+    lean = lambda total, own, other: (own + F.floor(prior * (other - own) / (total + prior))).cast("long")
+    langs = _edges(of_lang, ["lang"]).join(F.broadcast(of_all.select("m", F.col("edge").alias("_all"))), "m")  # five rows
+    langs = langs.select("lang", "m", lean(F.col("total"), F.col("edge"), F.col("_all")).alias("_lang"))
+    of = _edges(sketch, ["lang", "source"]).join(langs, ["lang", "m"])
+    of = of.withColumn("edge", lean(F.col("total"), F.col("edge"), F.col("_lang")))
     return of.groupBy("lang", "source").agg(*[F.max(F.when(F.col("m") == m, F.col("edge"))).alias(f"cut_{m}") for m in MEASURES])
 
 
@@ -127,24 +138,31 @@ def _judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     return joined.withColumn("_kept", F.coalesce(within, F.lit(False)))
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept``.
 
     Defined results: null or empty texts have no words and fail; repeated rows give a row
-    each; null ids, languages and sources are kept as groups of their own; ties at a cutoff are
-    kept; an empty table gives an empty result; other columns are not read.
+    each; null ids stay null; null languages and sources are grouped with empty ones; ties at a
+    cutoff are kept; an empty table gives an empty result; other columns are not read.
     """
     stats = cut(measured(docs.select("doc_id", "text", "lang", "source")).select("doc_id", "_q"))
-    limits = cut(cutoffs(stats.select("_q.*")))
+    limits = cut(cutoffs(stats.select("_q.*"), prior))
     shown = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return _judged(stats, limits).select("doc_id", *[F.col(f"_q.{c}").alias(c) for c in shown], F.col("_kept").alias("kept"))
 
 
-def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with their columns as they are."""
-    rows = measured(boxed(docs, "text", "lang", "source"))
-    limits = cut(cutoffs(rows.select("_q.*")))
-    return unboxed(_judged(rows, limits).where("_kept"), docs.columns)
+def keep(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their columns as they are.
+
+    Rows and measures are written once to the shared folder and read twice: the measures alone
+    for the cutoffs, then all.
+    """
+    path = shared_dir(docs.sparkSession)
+    measured(boxed(docs, "text", "lang", "source")).select("_row", "_q").write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
+    limits = cut(cutoffs(rows.select("_q.*"), prior))
+    kept = unboxed(_judged(rows, limits).where("_kept"), docs.columns)
+    return kept
 
 
 _WS = r"[^\x20\x09-\x0D]+"
@@ -169,15 +187,13 @@ m AS (
 long AS (SELECT lang, source, m, v FROM m UNPIVOT (v FOR m IN (m_symbols, m_word, m_dup, m_repeat, m_upper))),
 e AS (SELECT lang, source, m, v, len(bin(v)) - 1 AS e FROM long),
 b AS (SELECT lang, source, m, CASE WHEN v < 16 THEN v ELSE 16 * (e - 3) + ((v >> (e - 4)) % 16) END AS b, count(*) AS n FROM e GROUP BY ALL),
-size AS (SELECT lang, source, m, sum(n) AS rows FROM b GROUP BY ALL),
-s AS (
-  SELECT b.lang, b.source, b.m, b.b, b.n FROM b JOIN size USING (lang, source, m) WHERE rows >= {SMALL_GROUP}
-  UNION ALL
-  SELECT size.lang, size.source, size.m, l.b, l.n FROM size JOIN (SELECT lang, m, b, sum(n) AS n FROM b GROUP BY ALL) l ON size.lang = l.lang AND size.m = l.m WHERE rows < {SMALL_GROUP}),
-c AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, m ORDER BY b) AS seen, sum(n) OVER (PARTITION BY lang, source, m) AS total,
-    CASE WHEN b < 16 THEN b ELSE (16 + b % 16) << CAST(b // 16 - 1 AS INTEGER) END AS v FROM s),
-f AS (SELECT lang, source, m, min(v) FILTER (100 * seen >= 75 * total) AS high, min(v) FILTER (100 * seen >= 25 * total) AS low FROM c GROUP BY ALL),
-edge AS (SELECT lang, source, m, high + {FENCE} * greatest(high - low, CASE m {" ".join(f"WHEN '{k}' THEN {v}" for k, v in MEASURES.items())} END) AS edge FROM f),
+lv AS (SELECT lang, source, m, b, n, 2 AS lv FROM b UNION ALL SELECT lang, '', m, b, sum(n), 1 FROM b GROUP BY lang, m, b UNION ALL SELECT '', '', m, b, sum(n), 0 FROM b GROUP BY m, b),
+c AS (SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, m ORDER BY b) AS seen, sum(n) OVER (PARTITION BY lv, lang, source, m) AS total,
+    CASE WHEN b < 16 THEN b ELSE (16 + b % 16) << CAST(b // 16 - 1 AS INTEGER) END AS v FROM lv),
+f AS (SELECT lv, lang, source, m, total, min(v) FILTER (100 * seen >= 75 * total) AS high, min(v) FILTER (100 * seen >= 25 * total) AS low FROM c GROUP BY ALL),
+own AS (SELECT lv, lang, source, m, total, high + {FENCE} * greatest(high - low, CASE m {" ".join(f"WHEN '{k}' THEN {v}" for k, v in MEASURES.items())} END) AS edge FROM f),
+le AS (SELECT l.lang, l.m, l.edge + CAST(floor({PRIOR} * (a.edge - l.edge) / CAST(l.total + {PRIOR} AS DOUBLE)) AS BIGINT) AS edge FROM own l JOIN own a ON l.lv = 1 AND a.lv = 0 AND a.m = l.m),
+edge AS (SELECT g.lang, g.source, g.m, g.edge + CAST(floor({PRIOR} * (le.edge - g.edge) / CAST(g.total + {PRIOR} AS DOUBLE)) AS BIGINT) AS edge FROM own g JOIN le ON g.lv = 2 AND le.lang = g.lang AND le.m = g.m),
 p AS (PIVOT edge ON m IN ('m_symbols', 'm_word', 'm_dup', 'm_repeat', 'm_upper') USING max(edge) GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND m.m_symbols <= p.m_symbols AND m.m_word <= p.m_word AND m.m_dup <= p.m_dup AND m.m_repeat <= p.m_repeat AND m.m_upper <= p.m_upper AS kept
