@@ -240,7 +240,10 @@ def test_pii(spark, odd, docs):
         assert hashlib.sha256(text.encode()).hexdigest() == got.base_sha256[i]
         assert set(filter(None, text.split(","))) <= set(got.spans[i].split(","))
         assert got.n_email[i] == sum(s[3] == "email" for s in spans)
-    assert "secret:9:49" in got.spans[507]
+    assert "secret:9:49" in got.spans[507] and got.n_secret[507] == 1 and got.n_spans[507] == len(got.spans[507].split(","))
+    dense = spark.createDataFrame([(1, "a@b.cc " * 3000, "clash", "clash")], "doc_id long, text string, _base string, _spans string")
+    one = pii.find(dense).first()
+    assert one.n_email == 3000 and one.spans.endswith(f"email:{7 * 2999}:{7 * 2999 + 6}")
     masked = pii.masked(more.withColumn("_row", F.lit("clash")).withColumn("n_chars", F.lit(1).cast("long"))).toPandas().set_index("doc_id")
     assert masked.text[507] == 'token = "<secret>"' and masked.text[504] == "é😀 <phone> <email>" and masked.n_chars[507] == 18
     assert pii.find(rows.limit(0)).count() == 0

@@ -47,6 +47,8 @@ CONTEXT = r"[=:][\s]*[\"']?$"
 VOTES = ("strict", "gazetteer", "context", "mixed", "digits")
 FEATURES = {"shape": 5, "size": 6, "share": 6, "gazetteer": 2, "context": 2, "strict": 2}
 CERTAIN = 0.9
+#: Matches of a text are placed in blocks of this many.
+BLOCK = 256
 
 
 def _spans(text: Column, pattern: str, make) -> Column:
@@ -55,10 +57,16 @@ def _spans(text: Column, pattern: str, make) -> Column:
     parts = F.transform(parts, lambda x: F.struct(F.length(x["p"]).cast("long").alias("before"), F.coalesce(x["m"], F.lit("")).alias("m")))
     # zero-length "matches" are the text after the last match
     found = F.filter(parts, lambda x: x["m"] != "")
+    # blocks of matches, and where each begins: an array grows by a copy, so none grows long
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), lambda k: F.slice(found, k * BLOCK + 1, F.lit(BLOCK)))
+    length = lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda a, x: a + x["before"] + F.length(x["m"]))
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.filter(F.array(F.struct(F.lit(0).cast("long").alias("at"), F.slice(found, 1, 1).alias("block"))), lambda x: F.lit(False)).alias("out"))
+    begun = F.aggregate(blocks, first, lambda acc, x: F.struct((acc["at"] + length(x)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), x.alias("block")))).alias("out")))["out"]
     at = lambda acc, x: acc["at"] + x["before"]
     none = F.filter(make(F.lit(""), F.lit(0).cast("long"), F.lit(0).cast("long")), lambda x: F.lit(False))
     step = lambda acc, x: F.struct((at(acc, x) + F.length(x["m"])).cast("long").alias("at"), F.concat(acc["out"], make(x["m"], at(acc, x), (at(acc, x) + F.length(x["m"])).cast("long"))).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(found, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step)["out"]).otherwise(none)
+    each = F.transform(begun, lambda z: F.aggregate(z["block"], F.struct(z["at"].alias("at"), none.alias("out")), step)["out"])
+    return F.when(text.rlike(pattern), F.flatten(each)).otherwise(none)
 
 
 def _luhn(digits: Column) -> Column:
@@ -189,18 +197,19 @@ def marked(docs: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``.
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``, then ``n_spans`` and a count of each added kind.
 
-    Counts and hash are of the base kinds; ``spans`` has all spans as kind:start:end in code
-    points. Defined results: a null or empty text has no spans (hash of the empty string);
+    The four counts and the hash are of the base kinds; ``spans`` has all spans as kind:start:end
+    in code points, ``n_spans`` their number. Defined results: a null or empty text has no spans (hash of the empty string);
     repeated rows give a row each; null ids stay null; spans of different kinds may overlap and
     are all listed; an empty table gives an empty result; other columns are not read.
     """
     rows = marked(docs.select("doc_id", "text"))
     # a second parameter of the lambda would be the element's index, so the rank is bound outside
-    of = lambda rank: F.size(F.filter("_base", lambda x: x["rank"] == rank)).cast("long")
-    counts = [of(rank).alias(f"n_{kind}") for rank, kind in enumerate(KINDS)]
-    return rows.select("doc_id", *counts, F.sha2(_shown(F.col("_base")), 256).alias("base_sha256"), _shown(F.col("_spans")).alias("spans"))
+    of = lambda spans, rank: F.size(F.filter(spans, lambda x: x["rank"] == rank)).cast("long")
+    counts = [of("_base", rank).alias(f"n_{kind}") for rank, kind in enumerate(KINDS)]
+    added = [of("_spans", rank).alias(f"n_{kind}") for rank, kind in enumerate(ADDED, len(KINDS))]
+    return rows.select("doc_id", *counts, F.sha2(_shown(F.col("_base")), 256).alias("base_sha256"), _shown(F.col("_spans")).alias("spans"), F.size("_spans").cast("long").alias("n_spans"), *added)
 
 
 def masked(docs: DataFrame) -> DataFrame:
