@@ -1,9 +1,12 @@
 """The training-data operators against brute force, round trips and held-out labels; edge cases of each."""
 
+import functools
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -306,6 +309,68 @@ def test_linear_scorer_and_cutoff_by_brute_force():
     assert sum(v.values()) == pytest.approx(5.0)  # three slots a word as shares, two of the text
 
 
+def plain_filter(pages, rounds):
+    """A twin over dictionaries: best split by trying all, naive Bayes by EM over single pages."""
+    words = Counter({w: url_filter.BASE_COUNT for w in url_filter.BASE_WORDS})
+    for _, _, html in pages:
+        words.update(re.findall(r"(?<![a-z])[a-z]{2,63}(?![a-z])", (html or "").lower()))
+    total = sum(words.values())
+
+    @functools.cache
+    def best(label):
+        if not label:
+            return 0.0, ()
+        options = []
+        for k in range(1, min(63, len(label)) + 1):
+            w = label[-k:]
+            cost = math.log(total / words[w]) if k > 1 and words[w] else math.log(total / 10) + k * math.log(10)
+            before = best(label[:-k])
+            options.append((before[0] + cost, len(label) - k, (*before[1], w)))
+        cost, _, split = min(options)
+        return cost, split
+
+    rows = []
+    for _, url, _ in pages:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.split("[/?#]", rest)[0].lower()
+        path = re.split("[?#]", rest[len(host) :])[0].lower()
+        labels = [x for x in re.split("[^a-z0-9]+", re.sub("[0-9]+", "0", host)) if x]
+        rows.append(["h:" + w for x in labels for w in best(x)[1]] + ["p:" + w for w in re.split("[^a-z0-9]+", re.sub("[0-9]+", "0", path)) if w])
+    seeds, met, a = {"h:" + w for w in url_filter.SEEDS}, {t for r in rows for t in r}, url_filter.SMOOTHING
+    weight, base = {t: url_filter.START * (t in seeds) for t in met}, math.log(url_filter.SHARE / (1 - url_filter.SHARE))
+    for _ in range(rounds):
+        p = [1 / (1 + math.exp(-base - sum(weight[t] for t in r))) for r in rows]
+        block = {t: a + url_filter.SEEN * (t in seeds) + sum(x * r.count(t) for x, r in zip(p, rows, strict=True)) for t in met}
+        allow = {t: a + sum((1 - x) * r.count(t) for x, r in zip(p, rows, strict=True)) for t in met}
+        weight = {t: math.log(block[t] / sum(block.values())) - math.log(allow[t] / sum(allow.values())) for t in met}
+        n, b = url_filter.PAGES, sum(p)
+        base = math.log((b + n * url_filter.SHARE) / (len(p) - b + n * (1 - url_filter.SHARE)))
+    return [base + sum(weight[t] for t in r) for r in rows]
+
+
+def test_url_filter_scores_equal_a_plain_twin(spark, monkeypatch):
+    harmless = [(i, f"http://{'www.' * (i % 2)}dairyfarm{'shop' * (i % 3)}.example.org/fr/{i}", "<p>the dairy farm shop and its barn</p>") for i in range(60)]
+    bad = [(100 + i, f"http://m.{x}.example.net/fr/{i}.html", None) for i, x in enumerate(["casinowin", "luckycasino", "cheappills", "luckypills", "luckybets", "casinobets"] * 3)]
+    pages = [*harmless, *bad, (200, "http://luckyspins.example.net/fr/9", "lucky spins lucky"), (201, "http://dairynews.example.org/fr/1", None), (202, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("tokens", F.lit("clash"))
+    got = url_filter.judge(df, rules=()).toPandas().set_index("page_id")
+    np.testing.assert_allclose(got.score[[p[0] for p in pages]], plain_filter(pages, 5), atol=2e-6)
+    # beyond a search for listed words: a word beside them is learned, one among harmless words is cleared
+    assert got.verdict[200] == "block" and (got.verdict[:60] == "allow").all() and (got.verdict[[100 + i for i in range(18)]] == "block").all()
+    monkeypatch.setattr(url_filter, "BROADCAST_HOSTS", 0)
+    again = url_filter.judge(df, rules=()).toPandas().set_index("page_id")
+    assert (again.score.sort_index() == got.score.sort_index()).all()
+
+
+def test_url_filter_edges(spark):
+    label = "cheappills" * 300
+    rows = [(None, f"http://{label}.example.com/fr/1", "cheap pills"), (2, "http://a.b/", None), (2, "http://a.b/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert url_filter.judge(df).count() == 3 and url_filter.judge(df.limit(0)).count() == 0
+    tokens = url_filter.segmented(spark.createDataFrame([(f"x.{label}",)], "host string"), url_filter.lexicon(df.select("html"))).first().tokens
+    assert tokens == ["x", *["cheap", "pills"] * 300]
+
+
 def test_url_filter(spark):
     urls = ["http://A.com/en/1?x", "https://x.example.com/en/7", "https://example.net/de/8", "ftp://example.net/de/9#f", "no url", None, "http://", "http://www.cheappills.example.com/fr/1", "http://blog.example.org/fr/2", "http://com?/en/"]
     rows = [(i, u, "<p>the cheap pills blog</p>" if i else None, "clash") for i, u in enumerate(urls)] * 2

@@ -4,7 +4,10 @@ Concatenated host labels are split into words by a unigram Viterbi search. The u
 come from the words of all pages (and a small base list); a distinct host meets only the
 counts of its own substrings, by a join, so no lexicon has to fit anywhere. Multinomial naive
 Bayes has hashed tokens (a fixed number of slots, so the model's size doesn't depend on the
-corpus) and learns from distant labels: hosts with a seed word are to be blocked.
+corpus). There are no labelled urls: a list of seed words is only the model's prior, and
+expectation-maximisation over all pages' tokens does the rest. It learns words that stand
+beside blocked ones and clears seed words that stand among harmless ones, so verdicts differ
+from a search for seed words.
 """
 
 from __future__ import annotations
@@ -21,13 +24,20 @@ from .common import cut
 
 #: (verdict, rule); a rule is a host and a path prefix, and holds for all subdomains.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Seed words of unwanted hosts, and common words of host names.
+#: Words that make a host suspect at first, and common words of host names.
 SEEDS = ("casino", "pills", "bets", "betting", "poker", "spam", "porn", "xxx", "adult", "viagra", "ads", "track", "tracker", "win", "cheap", "loan", "farm")
 BASE_WORDS = ("www", "blog", "news", "shop", "mail", "example", "com", "net", "org", "free", "online", "the", "my", "web", "site", "home", "page", "info", "forum", "wiki", *SEEDS)
 BASE_COUNT = 1000
-LONGEST = 24
+#: A label of a valid host has at most 63 characters, so no longer word can be part of one.
+LONGEST = 63
 SLOTS = 1 << 16
 SMOOTHING = 0.1
+#: The prior: share of blocked pages and its weight in pages; how often each listed word was seen in them, and its log odds at first.
+SHARE, PAGES, SEEN, START = 0.05, 20.0, 1.0, 5.0
+#: Up to this many distinct hosts their tokens are broadcast; beyond it, joined with pages spread over ``SALTS`` parts a host.
+BROADCAST_HOSTS, SALTS = 100_000, 16
+#: Labels are cut into substrings in pieces of this length.
+PIECE = 1024
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -50,8 +60,8 @@ def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
 
 
 def lexicon(pages: DataFrame) -> DataFrame:
-    """``word, n``: how often each lower-case word of 2 to 24 letters stands in the pages' html."""
-    words = pages.select(F.explode(F.regexp_extract_all(F.lower("html"), F.lit(rf"(?<![a-z])[a-z]{{2,{LONGEST}}}(?![a-z])"), F.lit(0))).alias("word"))
+    """``word, n``: how often each lower-case word of 2 to 63 letters stands in the pages' html."""
+    words = pages.select(F.explode(F.regexp_extract_all(F.lower("html"), F.lit(rf"(?<![a-z])[a-z]{{2,{LONGEST}}}+(?![a-z])"), F.lit(0))).alias("word"))
     base = pages.sparkSession.createDataFrame([(w, BASE_COUNT) for w in sorted({*BASE_WORDS})], "word string, n long")
     return words.groupBy("word").agg(F.count("*").alias("n")).unionByName(base).groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -77,11 +87,15 @@ def segmented(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """``host, tokens`` for distinct ``host``; digits become 0."""
     total = counts.agg(F.sum("n")).first()[0]
     letters = F.regexp_replace("host", "[0-9]+", "0")
-    labels = hosts.select("host", F.explode(F.split(letters, r"[^a-z0-9]+")).alias("label")).where(F.length("label").between(1, 253))
-    places = F.transform(F.sequence(F.lit(1), F.length("label")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("label") - i + 1)), lambda k: F.substring("label", i, k)))
-    parts = labels.select("label").distinct().select("label", F.explode(F.array_distinct(F.flatten(places))).alias("word"))
-    # at most 253 x 24 rows a label
-    known = parts.join(counts, "word").groupBy("label").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("ns"))
+    # each label once, in the order of the host's labels; labels of any length
+    labels = hosts.select("host", F.posexplode(F.filter(F.split(letters, r"[^a-z0-9]+"), lambda x: x != "")).alias("place", "label"))
+    distinct = labels.select("label").distinct()
+    pieces = distinct.select("label", F.explode(F.sequence(F.lit(1), F.length("label"), F.lit(PIECE))).alias("from"))
+    pieces = pieces.select("label", F.substring("label", F.col("from"), F.lit(PIECE + LONGEST - 1)).alias("piece"))
+    starts = pieces.select("label", "piece", F.explode(F.sequence(F.lit(1), F.least(F.length("piece"), F.lit(PIECE)))).alias("at"))
+    parts = starts.select("label", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.lit(LONGEST), F.length("piece") - F.col("at") + 1))), lambda k: F.substring("piece", F.col("at"), k))).alias("word"))
+    # at most 62 words a letter of the label
+    known = parts.distinct().join(counts, "word").groupBy("label").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("ns"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,52 +103,91 @@ def segmented(hosts: DataFrame, counts: DataFrame) -> DataFrame:
             out = [viterbi(x, dict(zip(w or (), n or (), strict=True)), total) for x, w, n in zip(label, words, ns, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(out, type=pa.list_(pa.string()))], names=["label", "tokens"])
 
-    distinct = labels.select("label").distinct().join(known, "label", "left")
-    tokens = distinct.mapInArrow(split, "label string, tokens array<string>")
-    return labels.join(tokens, "label").groupBy("host").agg(F.flatten(F.sort_array(F.collect_list("tokens"))).alias("tokens"))
-
-
-def train(rows: DataFrame) -> tuple[np.ndarray, float]:
-    """Log odds of block by slot, and the prior's, from ``slots`` and ``block``; unseen slots weigh nothing."""
-    counts = rows.select("block", F.explode("slots").alias("slot")).groupBy("block", "slot").count().collect()  # at most 2 x SLOTS rows
-    seen = np.zeros((2, SLOTS))
-    for r in counts:
-        seen[int(r["block"]), r["slot"]] += r["count"]
-    met = seen.sum(axis=0) > 0
-    odds = np.log((seen + SMOOTHING) / (seen.sum(axis=1, keepdims=True) + SMOOTHING * max(1, met.sum())))
-    share = dict(rows.groupBy("block").count().collect())
-    return np.where(met, odds[1] - odds[0], 0.0), math.log((share.get(True, 0) + 1) / (share.get(False, 0) + 1))
-
-
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+    tokens = distinct.join(known, "label", "left").mapInArrow(split, "label string, tokens array<string>")
+    ordered = F.sort_array(F.collect_list(F.struct("place", "tokens")))
+    return labels.join(tokens, "label").groupBy("host").agg(F.flatten(F.transform(ordered, lambda x: x["tokens"])).alias("tokens"))
+
+
+def prior() -> np.ndarray:
+    """Pseudo-counts of tokens, 2 x SLOTS (allow, block): listed words were seen in blocked pages."""
+    from xxhash import xxh64_intdigest
+
+    seen = np.full((2, SLOTS), SMOOTHING)
+    for word in SEEDS:
+        seen[1, xxh64_intdigest(b"h:" + word.encode(), 42) % SLOTS] += SEEN
+    return seen
+
+
+def weights_of(seen: np.ndarray, met: np.ndarray) -> np.ndarray:
+    """Log odds of block by slot; slots that nothing met weigh nothing."""
+    share = np.log(seen / np.maximum((seen * met).sum(axis=1, keepdims=True), SMOOTHING))
+    return np.where(met, share[1] - share[0], 0.0)
+
+
+def log_odds(slots: pa.ListArray, weights: np.ndarray, base: float) -> np.ndarray:
+    of = np.repeat(np.arange(len(slots)), np.diff(slots.offsets.to_numpy()))
+    return base + np.bincount(of, weights=weights[slots.flatten().to_numpy(zero_copy_only=False)], minlength=len(slots))
+
+
+def train(rows: DataFrame, rounds: int = 5) -> tuple[np.ndarray, float]:
+    """Log odds of block by slot, and the share's, by expectation-maximisation over ``slots`` of all rows."""
+    start, base = prior(), math.log(SHARE / (1 - SHARE))
+    weights = START * (start[1] > SMOOTHING)  # before anything is met, only listed words weigh
+    rows = rows.select("slots")
+    for _ in range(rounds):
+        model = rows.sparkSession.sparkContext.broadcast((weights, base))  # SLOTS doubles
+
+        def expect(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            w, b = model.value
+            total, block, n, of_block = np.zeros(SLOTS), np.zeros(SLOTS), 0, 0.0
+            for batch in batches:
+                slots = batch.column(0)
+                p = 1 / (1 + np.exp(-np.clip(log_odds(slots, w, b), -50, 50)))
+                flat = slots.flatten().to_numpy(zero_copy_only=False)
+                total += np.bincount(flat, minlength=SLOTS)
+                block += np.bincount(flat, weights=np.repeat(p, np.diff(slots.offsets.to_numpy())), minlength=SLOTS)
+                n, of_block = n + len(p), of_block + float(p.sum())
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1].astype(np.int32)), pa.array(np.r_[total[at], n]), pa.array(np.r_[block[at], of_block])], names=["slot", "n", "block"])
+
+        found = rows.mapInArrow(expect, "slot int, n double, block double").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("block").alias("block")).toPandas()  # at most SLOTS + 1 rows
+        model.unpersist()
+        counts, pages = np.zeros((2, SLOTS)), found[found.slot < 0]
+        found = found[found.slot >= 0]
+        counts[0, found.slot], counts[1, found.slot] = found.n, found.block
+        weights = weights_of(start + np.vstack([counts[0] - counts[1], counts[1]]), counts[0] > 0)
+        n, block = float(pages.n.sum()), float(pages.block.sum())
+        base = math.log((block + PAGES * SHARE) / (n - block + PAGES * (1 - SHARE)))
+    return weights, base
+
+
+def judge(pages: DataFrame, rules=RULES, rounds: int = 5) -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` for every row; ``score`` is the log odds of block.
 
     Defined results: a null url, or one without ``://``, has empty host and path, no rule, and
-    the verdict of no tokens (the prior's); null html adds no words; repeated rows give a row
+    the verdict of no tokens (the share's); null html adds no words; repeated rows give a row
     each; null ids stay null; a score of 0 allows; an empty table gives an empty result.
     """
     host, path = host_and_path(F.col("url"))
     named = pages.select("page_id", host.alias("host"), path.alias("path"))
     hosts = named.select("host").distinct()
     tokens = cut(segmented(hosts, cut(lexicon(pages.select("html")))))
+    if tokens.count() <= BROADCAST_HOSTS:
+        met = named.join(F.broadcast(tokens), "host", "left")
+    else:
+        salted = tokens.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = named.withColumn("_s", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")).join(salted, ["host", "_s"], "left")
     of_path = F.filter(F.split(F.regexp_replace(F.lower("path"), "[0-9]+", "0"), "[^a-z0-9]+"), lambda x: x != "")
     slot = lambda prefix: lambda x: F.pmod(F.xxhash64(F.concat(F.lit(prefix), x)), F.lit(SLOTS)).cast("int")
     none = F.array().cast("array<string>")
-    own = F.coalesce("tokens", none)
-    rows = named.join(tokens, "host", "left").select(
-        "page_id", "host", "path", F.concat(F.transform(own, slot("h:")), F.transform(of_path, slot("p:"))).alias("slots"), F.arrays_overlap(own, F.array(*map(F.lit, SEEDS))).alias("block")
-    )
-    rows = cut(rows)
-    weights, prior = train(rows)
+    rows = cut(met.select("page_id", "host", "path", F.concat(F.transform(F.coalesce("tokens", none), slot("h:")), F.transform(of_path, slot("p:"))).alias("slots")))
+    weights, base = train(rows, rounds)
     model = pages.sparkSession.sparkContext.broadcast(weights)  # SLOTS doubles
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model.value
         for batch in batches:
-            slots = batch.column(3)
-            of = np.repeat(np.arange(len(slots)), np.diff(slots.offsets.to_numpy()))
-            z = prior + np.bincount(of, weights=w[slots.flatten().to_numpy(zero_copy_only=False)], minlength=len(slots))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(z)], names=["page_id", "host", "path", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(log_odds(batch.column(3), w, base))], names=["page_id", "host", "path", "score"])
 
     kind = dict(named.dtypes)["page_id"]
     scored = rows.select("page_id", "host", "path", "slots").mapInArrow(score, f"page_id {kind}, host string, path string, score double")
