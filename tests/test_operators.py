@@ -2,11 +2,13 @@
 
 import datetime as dt
 import math
+import random
+from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.functions import metrics, scalar, windows
+from tidewater.functions import blocks, metrics, ranks, scalar, windows
 from tidewater.operators import bars, evolve, forecast, labels, ledger, sequential, validation
 from tidewater.sources import scans, sinks
 
@@ -66,6 +68,7 @@ def test_uniqueness_matches_brute_force(spark):
 
 def test_ledger_operations(spark):
     t = spark.createDataFrame([(1, "a"), (2, None)], "id int, v string")
+    assert {tuple(r) for r in ledger.update(t, spark.createDataFrame([(1, None)], "id int, v string"), ["id"], ["v"]).collect()} == {(1, None), (2, None)}
     assert {tuple(r) for r in ledger.update(t, spark.createDataFrame([(2, "b")], "id int, v string"), ["id"], ["v"]).collect()} == {(1, "a"), (2, "b")}
     assert ledger.delete(t, F.col("v") == "a").collect() == [(2, None)]
     assert ledger.insert_new(t, t.unionByName(spark.createDataFrame([(3, "c")], "id int, v string")), ["id"]).count() == 3
@@ -73,26 +76,134 @@ def test_ledger_operations(spark):
 
 def test_sequential_cooldown_and_hold(spark):
     e = series(spark, [1.0] * 10).withColumn("signal", F.when(F.hour("ts") == 0, 1.0))
-    assert sequential.cooldown(e, ["symbol"], ["ts"], 3 * 3600).where("counted = 1").count() == 4
     assert sequential.max_hold(e, ["symbol"], ["ts"], "signal", 3).where("held <> 0").count() == 3
+    rows = [(i, "ab"[i % 2], START + dt.timedelta(minutes=(i * 37) % 5000)) for i in range(400)]
+    ticks = spark.createDataFrame(rows, "event_id long, kind string, ts timestamp_ntz").repartition(7)
+    want = set()
+    for k in "ab":
+        last = None
+        for i, _, t in sorted((r for r in rows if r[1] == k), key=lambda r: (r[2], r[0])):
+            if last is None or t - last >= dt.timedelta(hours=3):
+                want.add(i)
+                last = t
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        assert {r.event_id for r in sequential.cooldown(ticks, "kind", "event_id", 3 * 3600).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_exits_stay_flat_until_the_signal_changes(spark):
+    closes = [100, 101, 103, 104, 104, 104, 104, 98, 97, 97]
+    side = [1, 1, 1, 1, 0, -1, -1, -1, -1, 1]
+    rows = [("a", START + dt.timedelta(hours=i), float(c), float(s), None if i == 9 else 1.0) for i, (c, s) in enumerate(zip(closes, side, strict=True))]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double, signal double, atr double")
+    out = sequential.exit_policy(df, ["symbol"], ["ts"], "signal", "atr").orderBy("ts").collect()
+    assert [r.exit_reason for r in out] == [None, None, "TP", None, None, None, None, "TP", None, None]
+    assert [r.held for r in out] == [1, 1, 0, 0, 0, -1, -1, 0, 0, 1]
+
+
+def test_hawkes_equals_the_recursion(spark):
+    rng = random.Random(4)
+    t, rows = 0.0, []
+    for i in range(600):
+        t += rng.choice([0.001, 0.3, 2.0, 40.0, 400.0])
+        rows.append((i, START + dt.timedelta(seconds=t), rng.choice(["trade", "bid_update", "imbalance_change"]), rng.choice([-1.0, 1.0])))
+    got = {r.event_id: r for r in sequential.hawkes(spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, kind string, signed_volume double")).collect()}
+    kernel = [[0.0] * 4 for _ in range(4)]
+    before = None
+    for i, at, kind, volume in rows:
+        if before is not None:
+            gap = (at - before[0]).total_seconds()
+            kernel = [[x * math.exp(-sequential.BETA[r] * gap) + (sequential.ALPHA[r][c] * math.exp(-sequential.BETA[r] * gap) if c == before[1] else 0.0) for c, x in enumerate(row)] for r, row in enumerate(kernel)]
+        rate = [m + sum(k) for m, k in zip(sequential.MU, kernel, strict=True)]
+        assert got[i].lambda_buy == pytest.approx(rate[0]) and got[i].event_cluster_score == pytest.approx(sum(rate) / sum(sequential.MU))
+        before = (at, (0 if volume > 0 else 1) if kind == "trade" else 2 if kind == "bid_update" else 3)
 
 
 def test_normal_functions_and_overfitting(spark):
-    r = spark.createDataFrame([(0.0,), (1.96,)], "x double").select(scalar.norm_cdf("x").alias("c")).collect()
-    assert r[0].c == 0.5 and abs(r[1].c - 0.975) < 1e-3
-    assert scalar.probability_of_overfitting([[3, 3, 3, 3], [1, 1, 1, 1], [2, 2, 2, 2]]) == 0.0
-    assert scalar.probability_of_overfitting([[1, 2]], [[5, 50]]) is None
-    assert scalar.deflated_sharpe(0.2, 500, 0, 3, 10, 0.01) > scalar.deflated_sharpe(0.2, 500, 0, 3, 1000, 0.01)
-
-
-def test_pareto_fronts(spark):
-    p = spark.createDataFrame([(1, 2.0, 1.0), (2, 1.0, 2.0), (3, 3.0, 3.0), (4, 0.5, 3.0)], "id long, total double, drawdown double")
-    assert {r.id: r.front for r in evolve.dominance_fronts(p).collect()} == {1: 1, 3: 1, 2: 2, 4: 3}
-
-
-def test_conformal_radius_needs_enough_rows(spark):
+    xs = [-30.0, -6.5, -3.01, -2.99, -1.0, 0.0, 1e-9, 1.96, 4.2, 9.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", scalar.erf("x").alias("e"), scalar.norm_cdf("x").alias("c")).collect()
+    for r in got:
+        assert r.e == pytest.approx(math.erf(r.x), abs=1e-12) and r.c == pytest.approx(NormalDist().cdf(r.x), abs=1e-12)
+    ps = [0.0, 1e-9, 0.01, 0.3, 0.5, 0.975, 1 - 1e-9, 1.0]
+    for r in spark.createDataFrame([(p,) for p in ps], "p double").select("p", scalar.norm_ppf("p").alias("z")).collect():
+        assert r.z is None if r.p in (0.0, 1.0) else r.z == pytest.approx(NormalDist().inv_cdf(r.p), abs=1e-7)
+
+    def pbo(matrix, trades=50):
+        rows = [(g, f, float(x), trades) for g, m in enumerate(matrix) for f, x in enumerate(m)]
+        return scalar.probability_of_overfitting(spark.createDataFrame(rows, "genome int, fold int, sharpe double, trades int"), len(matrix[0])).first().pbo
+
+    assert pbo([[3, 3, 3, 3], [1, 1, 1, 1], [2, 2, 2, 2]]) == 0.0 and pbo([[3, 3], [1, 1]], trades=5) is None
+    assert pbo([[9, -9, 0, 0], [-9, 9, 0, 0], [0, 0, 9, -9], [0, 0, -9, 9]]) > 0.5
+    one = spark.createDataFrame([(0.2, 500, 0.0, 3.0)], "s double, n int, skew double, k double")
+    less, more = (one.select(scalar.deflated_sharpe(F.col("s"), F.col("n"), F.col("skew"), F.col("k"), trials, "haircut").alias("d")).first().d for trials in (1000, 10))
+    assert less < more < 0.2
+
+
+def test_pareto_fronts_and_crowding(spark):
+    rng = random.Random(9)
+    rows = [(i, *[float(rng.randint(0, 6)) for _ in range(5)]) for i in range(80)] + [(80, None, 9.0, 9.0, 9.0, 9.0)]
+    names = evolve.OBJECTIVES
+    points = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in names))
+    got = {r.id: r.front for r in evolve.dominance_fronts(points).collect()}
+    value = {r[0]: [-math.inf if x is None else x for x in r[1:]] for r in rows}
+    beats = lambda a, b: -math.inf not in a and all(x >= y for x, y in zip(a, b, strict=True)) and a != b
+    left, k = set(value), 1
+    while left:
+        front = {i for i in left if not any(beats(value[j], value[i]) for j in left)}
+        assert {i for i in front if got[i] != k} == set()
+        left, k = left - front, k + 1
+    crowd = evolve.crowding(points.where("sharpe is not null").withColumn("front", F.lit(1))).collect()
+    assert sum(r.crowding == math.inf for r in crowd) >= 2 and len(crowd) == 80
+    assert evolve.survivors(evolve.dominance_fronts(points), 10).agg(F.max("front")).first()[0] <= k
+
+
+def test_conformal_radius_takes_the_largest_of_a_few(spark):
     r = spark.createDataFrame([("a", float(i)) for i in range(1, 20)] + [("b", 1.0)], "k string, e double")
-    assert {x.k: x.radius for x in forecast.conformal_radius(r, "e", ["k"]).collect()} == {"a": 18.0, "b": None}
+    assert {x.k: x.radius for x in forecast.conformal_radius(r, "e", ["k"]).collect()} == {"a": 18.0, "b": 1.0}
+
+
+def test_duplicates_add_no_keys(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.randint(0, 1), rng.randint(0, 12), START + dt.timedelta(hours=rng.randint(0, 15)), i) for i in range(120)]
+    got = {r.seq: r.duplicate for r in ledger.first_of_their_keys(spark.createDataFrame(rows, "book int, id int, ts timestamp_ntz, seq long"), ["book"], str(tmp_path / "x")).collect()}
+    seen = set()
+    for book, i, ts, seq in sorted(rows, key=lambda r: (r[2], r[3])):
+        again = (book, "id", i) in seen or (book, "ts", ts) in seen
+        assert got[seq] == again
+        if not again:
+            seen |= {(book, "id", i), (book, "ts", ts)}
+
+
+def test_blocks_of_ticks_equal_one_pass(spark):
+    rng = random.Random(7)
+    rows = [(i, "ab"[i % 3 > 1], START + dt.timedelta(seconds=rng.randint(0, 40_000)), float(rng.randint(0, 9))) for i in range(700)]
+    ticks = spark.createDataFrame(rows, "event_id long, event_type string, ts timestamp_ntz, value double")
+    order = sorted(rows, key=lambda r: (r[2], r[0]))
+    got = {r.event_id: r._rn for r in blocks.numbered(ticks, [], "event_id").collect()}
+    assert got == {r[0]: k for k, r in enumerate(order)}
+    one = {(r.event_type, r.cluster): r.events for r in bars.clusters(ticks, 60, width=3_600_000_000).collect()}
+    assert one == {(r.event_type, r.cluster): r.events for r in bars.clusters(ticks, 60, width=10**15).collect()}
+    ahead = blocks.time_blocks(ticks, 3_600_000_000, after=900_000_000)
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("event_type", "_block").orderBy("_us").rangeBetween(1, 900_000_000)
+    n = {r.event_id: r.n for r in ahead.withColumn("n", F.count("*").over(w)).where("_own").collect()}
+    assert n == {a[0]: sum(b[1] == a[1] and dt.timedelta() < b[2] - a[2] <= dt.timedelta(seconds=900) for b in rows) for a in rows}
+
+
+def test_exact_quantiles_and_ranks(spark):
+    rng = random.Random(5)
+    rows = [("a", rng.choice([1.0, 2.0, rng.random()])) for _ in range(900)] + [("b", 3.0), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r.k: r for r in ranks.exact_quantiles(df, ["k"], "x", {"lo": 0.1, "mid": 0.5, "hi": 0.99}).collect()}
+    import numpy as np
+
+    values = [x for k, x in rows if k == "a"]
+    assert [got["a"].lo, got["a"].mid, got["a"].hi] == pytest.approx(np.quantile(values, [0.1, 0.5, 0.99]).tolist()) and got["b"].mid == 3.0
+    r = ranks.average_ranks(df, ["k"], "x", "r").where("k = 'a'").toPandas()
+    assert r.r.tolist() == r.x.rank().tolist()
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -115,4 +226,4 @@ def test_fitness_takes_all_bars_of_every_series(spark):
     single, both = (evolve.fitness(genome, x).first() for x in (two.where("symbol = 'a'"), two))
     # the only trades are older than the newest 2 000 bars
     assert single.trades == 99 and single.total == pytest.approx(-0.001 * 50 - 0.0005 * 99)
-    assert both.trades == 198 and both.total == pytest.approx(2 * single.total) and both.drawdown == pytest.approx(single.drawdown)
+    assert both.trades == 198 and both.total == pytest.approx(2 * single.total) and both.max_drawdown == pytest.approx(single.max_drawdown)

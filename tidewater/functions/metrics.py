@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import average_rank
+from .ranks import average_ranks, below, counted
 
 
 def pinball(y: Column, forecast: Column, q: float) -> Column:
@@ -35,26 +35,37 @@ def winkler_flat(y: Column, low: Column, high: Column, penalty: float = 2.0) ->
 def auc(df: DataFrame, score: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Area under the ROC curve by rank sums, exact with ties; NULL if a class is missing.
 
-    Ranks come from counts per distinct score, so a global AUC needs no single-partition sort
-    of the rows: only distinct scores are ordered.
+    Ranks come from counts per distinct score, dealt by score.
     """
-    per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.count("*").alias("_n"))
-    from pyspark.sql import Window
-
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("_rank", F.coalesce(F.sum("_n").over(below), F.lit(0)) + (F.col("_n") + 1) / 2)
+    there = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    per = counted(there, by, score, {"_p": F.sum(F.col(label).cast("long"))})
+    ranked = per.withColumn("_rank", F.col("_before") + below(by, score) + (F.col("_n") + 1) / 2)
     out = ranked.groupBy(*by).agg(F.sum(F.col("_rank") * F.col("_p")).alias("_s"), F.sum("_p").alias("positives"), F.sum(F.col("_n") - F.col("_p")).alias("negatives"))
     value = F.try_divide(F.col("_s") - F.col("positives") * (F.col("positives") + 1) / 2, F.nullif(F.col("positives") * F.col("negatives"), F.lit(0)))
     return out.withColumn("auc", value).drop("_s")
 
 
-def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...]) -> DataFrame:
+def auc_one_vs_rest(df: DataFrame, scores: dict[str, str], label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean of the areas of each class against the rest; ``scores`` names the score column of each class."""
+    out = None
+    for value, column in scores.items():
+        one = auc(df.withColumn("_y", (F.col(label) == value).cast("int")), column, "_y", by).select(*by, F.col("auc").alias("_one"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy(*by).agg(F.avg("_one").alias("auc"))
+
+
+def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Rank correlation per group: average ranks, then Pearson."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = both.withColumn("_x", average_rank(x, by)).withColumn("_y", average_rank(y, by))
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    ranked = average_ranks(average_ranks(both, by, x, "_x"), by, y, "_y")
     return ranked.groupBy(*by).agg(F.corr("_x", "_y").alias("ic"), F.count("*").alias("n"))
 
 
+def brier_classes(probabilities: list[Column], label: Column) -> Column:
+    """Mean over rows of the squared errors of all classes; ``label`` is the class's number."""
+    return F.avg(sum(((p - F.when(label == k, 1.0).otherwise(0.0)) * (p - F.when(label == k, 1.0).otherwise(0.0)) for k, p in enumerate(probabilities)), F.lit(0.0)))
+
+
 def reliability(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
     """Equal-width bins, left-closed, the last one closed on both sides."""
     b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int")
@@ -95,8 +106,6 @@ def entropy(df: DataFrame, column: str) -> DataFrame:
 def mutual_information(df: DataFrame, x: str, y: str) -> DataFrame:
     """In nats, from joint counts of two discrete columns."""
     joint = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     nx, ny = F.sum("n").over(Window.partitionBy(x)), F.sum("n").over(Window.partitionBy(y))
     total = joint.agg(F.sum("n").alias("total"))
     each = joint.withColumn("nx", nx).withColumn("ny", ny).crossJoin(F.broadcast(total))  # one row
@@ -104,12 +113,15 @@ def mutual_information(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def kolmogorov_smirnov(a: DataFrame, b: DataFrame, x: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Largest distance of two empirical distributions; only distinct values are ordered."""
-    from pyspark.sql import Window
-
-    both = a.select(*by, x, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(*by, x, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
-    per = both.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
-    up_to = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    gap = F.abs(F.sum("_a").over(up_to) / F.sum("_a").over(whole) - F.sum("_b").over(up_to) / F.sum("_b").over(whole))
-    return per.withColumn("_d", gap).groupBy(*by).agg(F.max("_d").alias("ks"), F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"))
+    """Largest distance of two empirical distributions, by counts per distinct value, dealt by value."""
+    both = a.select(*by, x, F.lit(1).alias("_a")).unionByName(b.select(*by, x, F.lit(0).alias("_a")))
+    per = counted(both, by, x, {"_k": F.sum("_a")})
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    firsts = per.groupBy(*by, "_b").agg(F.sum("_k").alias("_s")).withColumn("_ka", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    sums = per.groupBy(*by).agg(F.sum("_k").alias("n_a"), F.sum(F.col("_n") - F.col("_k")).alias("n_b"))
+    each = per.join(firsts, [*by, "_b"])
+    each = each.join(F.broadcast(sums), list(by)) if by else each.crossJoin(F.broadcast(sums))  # one row a group
+    up_to = F.col("_before") + below(by, x) + F.col("_n")
+    ones = F.col("_ka") + below(by, x, "_k") + F.col("_k")
+    gap = F.abs(F.try_divide(ones, F.nullif(F.col("n_a"), F.lit(0))) - F.try_divide(up_to - ones, F.nullif(F.col("n_b"), F.lit(0))))
+    return each.withColumn("_d", gap).groupBy(*by).agg(F.max("_d").alias("ks"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))

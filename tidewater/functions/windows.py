@@ -123,26 +123,58 @@ def drawdown(equity, key: Key = BARS) -> Column:
     return F.try_divide(top - col(equity), top)
 
 
-def ewm(df: DataFrame, column: str, alpha: float, out: str, key: Key = BARS, least: int = 1, horizon: int = 500) -> DataFrame:
-    """Exponential mean without bias correction, natively, over a bounded frame.
+@dataclass(frozen=True)
+class Ewm:
+    """One exponential mean: of ``column`` to ``out``, NULL before ``least`` values.
+
+    ``adjust`` weighs by the geometric series (bias-corrected); otherwise the recursion starts
+    from the first value. ``deviation`` gives the bias-corrected standard deviation instead.
+    """
+
+    column: str
+    alpha: float
+    out: str
+    least: int = 1
+    adjust: bool = False
+    deviation: bool = False
+
+
+def span(k: float) -> float:
+    return 2 / (k + 1)
+
+
+def series_pass(df: DataFrame, fields: list[StructField], run, key: Key = BARS) -> DataFrame:
+    """Add columns that only a pass over an ordered series gives; ``run(frame)`` gives their values.
 
-    With ``horizon`` rows the weight beyond is (1 - alpha)^horizon; the oldest row of the frame
-    takes the remaining weight, as the recursion's start does. Rows must have no NULL within.
+    A group is one series of bars, which is bounded (ten years of hours are 90,000 rows).
     """
-    frame = key.base().rowsBetween(-horizon, 0)
-    seen = F.collect_list(F.col(column)).over(frame)
-    folded = F.aggregate(F.slice("_seen", F.lit(2), F.greatest(F.size("_seen") - 1, F.lit(0))), F.element_at("_seen", 1), lambda s, x: s * (1 - alpha) + x * alpha)
-    value = F.when(F.size("_seen") >= max(least, 1), folded)
-    return df.withColumn("_seen", seen).withColumn(out, value).drop("_seen")
+    kept = [f for f in df.schema.fields if f.name not in {x.name for x in fields}]
+
+    def go(pdf):
+        pdf = pdf.sort_values(list(key.order), kind="stable").reset_index(drop=True)
+        for f, values in zip(fields, run(pdf), strict=True):
+            pdf[f.name] = values
+        return pdf[[f.name for f in (*kept, *fields)]]
+
+    return df.groupBy(*key.by).applyInPandas(go, StructType([*kept, *fields]))
+
+
+def ewms(df: DataFrame, specs: list[Ewm], key: Key = BARS) -> DataFrame:
+    """Several exponential means in one pass over each series; leading NULLs are skipped."""
+
+    def run(pdf):
+        for x in specs:
+            w = pdf[x.column].astype(float).ewm(alpha=x.alpha, adjust=x.adjust, min_periods=x.least)
+            yield w.std() if x.deviation else w.mean()
+
+    return series_pass(df, [StructField(x.out, DoubleType()) for x in specs], run, key)
 
 
-def ewm_exact(df: DataFrame, column: str, alpha: float, out: str, key: Key = BARS, adjust: bool = False) -> DataFrame:
-    """The same recursion without a bounded frame, grouped and Arrow-batched (long spans, adjust=True)."""
-    schema = df.schema if out in df.columns else StructType([*df.schema.fields, StructField(out, DoubleType())])
+def expanding_quantiles(df: DataFrame, column: str, shares: dict[str, float], least: int, key: Key = BARS) -> DataFrame:
+    """Quantiles of all rows so far, one column each, NULL before ``least`` values; a skip list a series."""
 
     def run(pdf):
-        pdf = pdf.sort_values(list(key.order))
-        pdf[out] = pdf[column].ewm(alpha=alpha, adjust=adjust).mean()
-        return pdf
+        for q in shares.values():
+            yield pdf[column].astype(float).expanding(min_periods=least).quantile(q)
 
-    return df.groupBy(*key.by).applyInPandas(run, schema)
+    return series_pass(df, [StructField(c, DoubleType()) for c in shares], run, key)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import in_buckets
 from ..functions.windows import BARS, Key
 
 
@@ -29,19 +30,25 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_from_ticks(events(spark, sf_dir))
 
 
-def asof_backward(left: DataFrame, right: DataFrame, values: list[str], by: list[str], on: str = "available_time", tolerance: str | None = None) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, values: list[str], by: list[str], on: str = "available_time", tolerance: str | None = None, slot: str = "day") -> DataFrame:
     """Left outer as-of join: each left row gets the newest right row at or before its time.
 
-    Both sides are stacked and the last right value is carried forward, right rows first on
-    ties: one shuffle on ``by`` instead of a range join. With ``tolerance`` (an interval) older
-    matches become NULL.
+    Both sides are stacked within slots of time, right rows first on ties, and the last right
+    value is carried forward: one shuffle on ``by`` and slot, so that neither a hot key nor a
+    missing one makes a single task. What holds at the start of a slot is the newest right row of
+    all slots before, found over one row a slot. With ``tolerance`` (an interval) older matches
+    become NULL. Of right rows of equal time the largest counts.
     """
     packed = F.struct(F.col(on).alias("_at"), *values)
-    names = left.columns
-    a = left.select(F.struct(*names).alias("_left"), *by, F.col(on).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(packed.alias("x")).schema["x"].dataType).alias("_right"))
-    b = right.select(F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), *by, F.col(on).alias("_t"), F.lit(0).alias("_side"), packed.alias("_right"))
-    w = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    held = a.unionByName(b).withColumn("_right", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
+    names, at = left.columns, F.date_trunc(slot, F.col("_t"))
+    a = left.select(F.struct(*names).alias("_left"), *by, F.col(on).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(packed.alias("x")).schema["x"].dataType).alias("_right")).withColumn("_slot", at)
+    b = right.where(F.col(on).isNotNull()).select(F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), *by, F.col(on).alias("_t"), F.lit(0).alias("_side"), packed.alias("_right")).withColumn("_slot", at)
+    slots = a.select(*by, "_slot", F.lit(None).cast(b.schema["_right"].dataType).alias("_right")).unionByName(b.select(*by, "_slot", "_right")).groupBy(*by, "_slot").agg(F.max("_right").alias("_right"))
+    so_far = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)  # a row a slot
+    carried = slots.withColumn("_right", F.last("_right", ignorenulls=True).over(so_far)).where("_right is not null")
+    carried = carried.select(F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), *by, F.col("_slot").cast(a.schema["_t"].dataType).alias("_t"), F.lit(-1).alias("_side"), "_right", "_slot")
+    w = Window.partitionBy(*by, "_slot").orderBy("_t", "_side", "_right").rowsBetween(Window.unboundedPreceding, 0)
+    held = a.unionByName(b).unionByName(carried).withColumn("_right", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
     fresh = F.lit(True) if tolerance is None else F.expr(f"_t - _right._at <= interval {tolerance}")
     return held.select("_left.*", *[F.when(fresh, F.col(f"_right.{v}")).alias(v) for v in values])
 
@@ -82,10 +89,33 @@ def islands(df: DataFrame, flag: Column, key: Key = BARS) -> DataFrame:
     return marked.groupBy(*key.by, "run").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("bars"))
 
 
-def clusters(ticks: DataFrame, seconds: float, by: str = "event_type") -> DataFrame:
-    """Sessions of ticks with gaps of at most ``seconds`` (gaps and islands)."""
-    w = Window.partitionBy(by).orderBy("ts", "event_id")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    new = F.when(us - F.lag(us).over(w) <= int(seconds * 1e6), 0).otherwise(1)
-    numbered = ticks.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(by, "cluster").agg(F.count("*").alias("events"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.sum("value").alias("total"))
+def clusters(ticks: DataFrame, seconds: float, by: str = "event_type", width: int = 86_400_000_000) -> DataFrame:
+    """Sessions of ticks with gaps of at most ``seconds`` (gaps and islands).
+
+    Ticks are compared within buckets of time; the last tick before a bucket and the number of
+    clusters begun before it come from one row a bucket.
+    """
+    dealt = in_buckets(ticks, width)
+    w = Window.partitionBy(by, "_b").orderBy("_us", "event_id")
+    before = Window.partitionBy(by).orderBy("_b")  # a row a bucket
+    ends = dealt.groupBy(by, "_b").agg(F.max("_us").alias("_end")).withColumn("_last", F.lag("_end").over(before)).drop("_end")
+    gap = F.col("_us") - F.coalesce(F.lag("_us").over(w), F.col("_last"))
+    marked = dealt.join(ends, [by, "_b"]).withColumn("_new", F.when(gap <= int(seconds * 1e6), 0).otherwise(1))
+    begun = marked.groupBy(by, "_b").agg(F.sum("_new").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    placed = marked.join(begun, [by, "_b"]).withColumn("cluster", F.col("_before") + F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return placed.groupBy(by, "cluster").agg(F.count("*").alias("events"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.sum("value").alias("total"))
+
+
+def l2_events(ticks: DataFrame) -> DataFrame:
+    """Order-book events with the columns of a level-2 feed, derived from each event alone.
+
+    The driver's events have no quotes: prices come from the value, depths from the ids; purchases
+    buy and clicks sell.
+    """
+    half = (F.col("event_id") % 7 + 1) * 0.005
+    side = F.when(F.col("event_type") == "purchase", F.col("value")).when(F.col("event_type") == "click", -F.col("value")).otherwise(0.0)
+    kind = F.when(F.col("event_type").isin("purchase", "click"), "trade").when(F.col("event_type") == "view", "depth_update").otherwise("imbalance_change")
+    return ticks.select(
+        "event_id", "ts", kind.alias("kind"), (F.col("value") - half).alias("bid"), (F.col("value") + half).alias("ask"), (F.col("user_id") % 13 + 1).cast("double").alias("depth_bid"),
+        (F.col("event_id") % 11 + 1).cast("double").alias("depth_ask"), side.alias("signed_volume"), ((F.col("event_id") % 21 - 10) / 10.0).alias("imbalance"),
+    )

@@ -30,11 +30,17 @@ def bred(generation: DataFrame, best: DataFrame, n: int, seed: int = 42) -> Data
     return both.select((F.col("child") + top).alias("id"), (F.col("a_generation") + 1).alias("generation"), gene("enter", 1), gene("take", 2), gene("stop", 3), gene("hold", 4).cast("int").alias("hold"), F.array("a_id", "b_id").alias("parents"))
 
 
+#: Objectives of a genome, all better when larger (a drawdown is negative).
+OBJECTIVES = ("sharpe", "calmar", "win_rate", "max_drawdown", "thrift")
+#: A population is small by construction; larger ones are refused.
+MOST_POINTS = 20_000
+
+
 def fitness(genomes: DataFrame, bars: DataFrame, by: str = "symbol") -> DataFrame:
-    """Return, drawdown and trades of each genome over all bars ``by, ts, p, r``; series run in parallel.
+    """Objectives of each genome over all bars ``by, ts, p, r``; series run in parallel.
 
-    Returns and trades are summed over the series, the drawdown is the deepest of any. The
-    population (small by construction) is sent to every series.
+    Sums over a series are added up over all; the drawdown is the deepest of any. The population
+    (small by construction) is sent to every series. ``thrift`` is minus the turnover a bar.
     """
     genes = genomes.select("id", "enter", "take", "stop", "hold").toPandas()
 
@@ -45,48 +51,71 @@ def fitness(genomes: DataFrame, bars: DataFrame, by: str = "symbol") -> DataFram
         out = []
         for g in genes.itertuples():
             pos = np.where(data[:, 0] > g.enter, 1.0, np.where(data[:, 0] < 1 - g.enter, -1.0, 0.0))
-            pnl = np.clip(pos[:-1] * data[1:, 1], -g.stop / 100, g.take / 100) - 0.0005 * np.abs(np.diff(pos))
+            turn = np.abs(np.diff(pos))
+            pnl = np.clip(pos[:-1] * data[1:, 1], -g.stop / 100, g.take / 100) - 0.0005 * turn
             eq = np.cumprod(1 + pnl) if len(pnl) else np.ones(1)
-            out.append((g.id, float(pnl.sum()), float((1 - eq / np.maximum.accumulate(eq)).max()), int((np.diff(pos) != 0).sum())))
-        return pd.DataFrame(out, columns=["id", "total", "drawdown", "trades"])
+            out.append((g.id, float(pnl.sum()), float((pnl**2).sum()), len(pnl), int((pnl > 0).sum()), float((1 - eq / np.maximum.accumulate(eq)).max()), float(turn.sum()), int((turn != 0).sum())))
+        return pd.DataFrame(out, columns=["id", "s", "ss", "n", "wins", "deep", "turn", "trades"])
+
+    each = bars.select(by, "ts", "p", "r").groupBy(by).applyInPandas(run, "id long, s double, ss double, n long, wins long, deep double, turn double, trades long")
+    t = each.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("s", "ss", "n", "wins", "turn", "trades")], F.max("deep").alias("deep"))
+    n, mean = F.nullif(F.col("n"), F.lit(0)), F.try_divide(F.col("s"), F.nullif(F.col("n"), F.lit(0)))
+    dev = F.nullif(F.sqrt(F.greatest(F.try_divide(F.col("ss"), n) - mean * mean, F.lit(0.0))), F.lit(0.0))
+    return t.select(
+        "id", F.col("s").alias("total"), "trades", (F.try_divide(mean, dev) * 8760**0.5).alias("sharpe"), F.try_divide(mean * 8760, F.nullif(F.col("deep"), F.lit(0.0))).alias("calmar"),
+        F.try_divide(F.col("wins"), n).alias("win_rate"), (-F.col("deep")).alias("max_drawdown"), (-F.try_divide(F.col("turn"), n)).alias("thrift"),
+    )
 
-    each = bars.select(by, "ts", "p", "r").groupBy(by).applyInPandas(run, "id long, total double, drawdown double, trades long")
-    return each.groupBy("id").agg(F.sum("total").alias("total"), F.max("drawdown").alias("drawdown"), F.sum("trades").alias("trades"))
 
+def _small(points: DataFrame) -> DataFrame:
+    if points.limit(MOST_POINTS + 1).count() > MOST_POINTS:
+        raise ValueError(f"a population of over {MOST_POINTS} points")
+    return points
 
-def dominance_fronts(points: DataFrame, fronts: int = 50) -> DataFrame:
-    """Pareto fronts: larger ``total``, smaller ``drawdown``; points beyond ``fronts`` are left out.
 
-    Front k is what only fronts before it dominate. A population is small by construction, so
-    the fronts are peeled off in one Arrow pass over it.
+def dominance_fronts(points: DataFrame, objectives: tuple[str, ...] = OBJECTIVES) -> DataFrame:
+    """Pareto front of every point, from 1: what only fronts before it dominate.
+
+    A point dominates another if it is at least as good in every objective and better in one; a
+    missing objective is worse than any, and its point dominates none. The front of a point is one
+    more than the last front among those that dominate it, taken in the order of the objectives;
+    a bounded population is one Arrow pass with memory for one row of comparisons.
     """
 
     def peel(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, d = pdf["total"].to_numpy(), pdf["drawdown"].to_numpy()
-        beats = (t[:, None] >= t) & (d[:, None] <= d) & ((t[:, None] > t) | (d[:, None] < d))
-        front, left = [0] * len(pdf), set(range(len(pdf)))
-        for k in range(1, fronts + 1):
-            now = [i for i in left if not any(beats[j, i] for j in left)]
-            for i in now:
-                front[i] = k
-            left -= set(now)
-        return pdf.assign(front=front).query("front > 0")
-
-    return points.groupBy().applyInPandas(peel, StructType([*points.schema.fields, StructField("front", IntegerType())]))
-
-
-def crowding(ranked: DataFrame) -> DataFrame:
-    """Crowding distance within each front; extremes are infinite (NULL here, sorted first)."""
-    out = ranked
-    for c in ("total", "drawdown"):
-        w = Window.partitionBy("front").orderBy(c, "id")
-        span = F.nullif(F.max(c).over(Window.partitionBy("front")) - F.min(c).over(Window.partitionBy("front")), F.lit(0.0))
-        out = out.withColumn(f"_c_{c}", F.try_divide(F.lead(c).over(w) - F.lag(c).over(w), span))
-    return out.withColumn("crowding", F.col("_c_total") + F.col("_c_drawdown")).drop("_c_total", "_c_drawdown")
-
-
-def survivors(ranked: DataFrame, n: int) -> DataFrame:
-    return crowding(ranked).orderBy("front", F.desc_nulls_first("crowding"), "id").limit(n)
+        import numpy as np
+
+        x = pdf[list(objectives)].to_numpy(dtype=float)
+        x = np.where(np.isfinite(x), x, -np.inf)
+        whole = np.isfinite(x).all(axis=1)
+        order = np.lexsort(x.T[::-1])[::-1]
+        front = np.zeros(len(x), dtype=np.int64)
+        for k, i in enumerate(order):
+            done = order[:k]
+            beats = whole[done] & (x[done] >= x[i]).all(axis=1) & (x[done] > x[i]).any(axis=1)
+            front[i] = 1 + front[done[beats]].max(initial=0)
+        return pdf.assign(front=front.astype(np.int32))
+
+    return _small(points).groupBy().applyInPandas(peel, StructType([*points.schema.fields, StructField("front", IntegerType())]))
+
+
+def crowding(ranked: DataFrame, objectives: tuple[str, ...] = OBJECTIVES) -> DataFrame:
+    """Crowding distance within each front: for every objective the span of a point's neighbours as a share of the front's.
+
+    The ends of a front, and fronts of one or two, are infinitely far.
+    """
+    out, whole, total, end = ranked, Window.partitionBy("front"), F.lit(0.0), F.count("*").over(Window.partitionBy("front")) <= 2
+    for c in objectives:
+        w = whole.orderBy(c, "id")
+        span = F.nullif(F.max(c).over(whole) - F.min(c).over(whole), F.lit(0.0))
+        out = out.withColumn(f"_g_{c}", F.lead(c).over(w) - F.lag(c).over(w)).withColumn(f"_s_{c}", span).withColumn(f"_e_{c}", F.lead("id").over(w).isNull() | F.lag("id").over(w).isNull())
+        total, end = total + F.coalesce(F.try_divide(F.col(f"_g_{c}"), F.col(f"_s_{c}")), F.lit(0.0)), end | F.col(f"_e_{c}")
+    return out.withColumn("_end", end).withColumn("crowding", F.when(F.col("_end"), float("inf")).otherwise(total)).drop("_end", *[f"_{k}_{c}" for k in "gse" for c in objectives])
+
+
+def survivors(ranked: DataFrame, n: int, objectives: tuple[str, ...] = OBJECTIVES) -> DataFrame:
+    """The next generation: whole fronts first, then the most isolated points of the front that fits in part."""
+    return crowding(ranked, objectives).orderBy("front", F.desc("crowding"), "id").limit(n)
 
 
 def quarantine(trades: DataFrame, least: int = 30) -> DataFrame:

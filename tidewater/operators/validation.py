@@ -23,39 +23,53 @@ def uniqueness(labels: DataFrame, by: list[str], max_hours: int) -> DataFrame:
     return met.groupBy(*by, "t0", "t1").agg(F.count("*").alias("overlaps")).withColumn("uniqueness", 1 / F.col("overlaps"))
 
 
+def _embargo(by: list[str], least: int):
+    """Bars that an embargo lasts: ``least``, or the 95 % quantile of label lengths in hours, rounded up."""
+    hours = (F.unix_micros(F.col("t1").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))) / 3.6e9
+    return F.greatest(F.lit(least), F.ceil(F.coalesce(F.percentile(hours, F.lit(0.95)).over(Window.partitionBy(*by)), F.lit(0.0))).cast("int"))
+
+
 def walk_forward(rows: DataFrame, by: list[str], folds: int, embargo: int, order: list[str]) -> DataFrame:
     """Expanding walk-forward: role of every row in every fold (train, test, purged, embargo).
 
     Chunk size is n // (folds + 1). A training row whose label ends at or after the test start is
-    purged. Rows within ``embargo`` after an earlier test block are left out of training.
+    purged. Rows within the embargo after an earlier test block are left out of training; the
+    embargo is raised to the 95 % quantile of label lengths.
     """
     n = F.count("*").over(Window.partitionBy(*by))
-    k = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).withColumn("_c", F.floor(n / (folds + 1)))
-    fold = k.crossJoin(F.broadcast(rows.sparkSession.range(1, folds + 1).select(F.col("id").cast("int").alias("fold"))))
+    k = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).withColumn("_c", F.floor(n / (folds + 1))).withColumn("_e", _embargo(by, embargo))
+    fold = k.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
     start, stop = F.col("fold") * F.col("_c"), F.when(F.col("fold") == folds, F.lit(2**62)).otherwise((F.col("fold") + 1) * F.col("_c"))
     first = F.min(F.when(F.col("_i") == start, F.col("t0"))).over(Window.partitionBy(*by, "fold"))
     fold = fold.withColumn("_start", first)
     # an earlier test block j ended at (j + 1) * c; the last of them ends where this one starts
-    after = F.pmod(F.col("_i"), F.col("_c")) < embargo
+    after = F.pmod(F.col("_i"), F.greatest(F.col("_c"), F.lit(1))) < F.col("_e")
     role = F.when((F.col("_i") >= start) & (F.col("_i") < stop), "test").when(F.col("_i") >= stop, "unused").when(F.col("t1") >= F.col("_start"), "purged")
     role = role.when((F.col("fold") >= 3) & (F.col("_i") >= 2 * F.col("_c")) & after, "embargo").otherwise("train")
-    return fold.withColumn("role", role).drop("_i", "_c", "_start")
+    return fold.withColumn("role", role).drop("_i", "_c", "_e", "_start")
 
 
-def combinatorial(rows: DataFrame, by: list[str], groups: int, tests: int, order: list[str]) -> DataFrame:
-    """Every choice of ``tests`` of ``groups`` consecutive groups as test set; overlapping labels are purged.
+def combinatorial(rows: DataFrame, by: list[str], groups: int, tests: int, order: list[str], embargo: int = 24) -> DataFrame:
+    """Every choice of ``tests`` of ``groups`` consecutive groups as test set.
 
-    A training row is purged if its interval [t0, t1] meets that of a test group.
+    Group k begins at row floor(k n / groups). A row before a test group whose label ends at or
+    after its start is purged; rows of the embargo after a test group are left out too.
     """
-    k = rows.withColumn("_g", F.ntile(groups).over(Window.partitionBy(*by).orderBy(*order)) - 1)
-    spans = k.groupBy(*by, "_g").agg(F.min("t0").alias("_a"), F.max("t1").alias("_b"))
-    grid = rows.sparkSession.createDataFrame([(i, list(c)) for i, c in enumerate(itertools.combinations(range(groups), tests))], "split int, chosen array<int>")
-    chosen = F.broadcast(grid)
-    held = spans.crossJoin(chosen).where(F.array_contains("chosen", F.col("_g"))).groupBy(*by, "split").agg(F.collect_list(F.struct("_a", "_b")).alias("_spans"))
-    full = k.crossJoin(chosen).join(F.broadcast(held), [*by, "split"])  # groups choose tests rows a series
-    meets = F.exists("_spans", lambda s: (F.col("t0") <= s["_b"]) & (F.col("t1") >= s["_a"]))
-    role = F.when(F.array_contains("chosen", F.col("_g")), "test").when(meets, "purged").otherwise("train")
-    return full.withColumn("role", role).drop("_g", "_spans", "chosen")
+    whole = Window.partitionBy(*by)
+    k = rows.withColumn("_i", F.row_number().over(whole.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(whole)).withColumn("_e", _embargo(by, embargo))
+    begin = lambda g: F.floor(F.lit(g) * F.col("_n") / groups)
+    k = k.withColumns({f"_t{g}": F.min(F.when(F.col("_i") == begin(g), F.col("t0"))).over(whole) for g in range(groups)})
+    splits = [F.struct(F.lit(i).alias("split"), F.array(*map(F.lit, c)).alias("chosen")) for i, c in enumerate(itertools.combinations(range(groups), tests))]
+    full = k.withColumn("_x", F.explode(F.array(*splits)))
+    has = lambda g: F.array_contains(F.col("_x.chosen"), g)
+    none = F.lit(False)
+    test = purged = rested = none
+    for g in range(groups):
+        test = test | (has(g) & (F.col("_i") >= begin(g)) & (F.col("_i") < begin(g + 1)))
+        purged = purged | (has(g) & (F.col("t0") < F.col(f"_t{g}")) & (F.col("t1") >= F.col(f"_t{g}")))
+        rested = rested | (has(g) & (F.col("_i") >= begin(g + 1)) & (F.col("_i") < begin(g + 1) + F.col("_e")))
+    role = F.when(test, "test").when(F.coalesce(purged, none), "purged").when(rested, "embargo").otherwise("train")
+    return full.withColumn("split", F.col("_x.split")).withColumn("role", role).drop("_i", "_n", "_e", "_x", *[f"_t{g}" for g in range(groups)])
 
 
 def three_way(rows: DataFrame, by: list[str], shares: tuple[float, float], embargo: int, order: list[str]) -> DataFrame:
@@ -72,18 +86,44 @@ def drawn(draw, block, total):
     return F.pmod((draw * 7919 + block * 104729 + draw * block * 31), total)
 
 
-def block_bootstrap(rows: DataFrame, value: str, order: list[str], block: int, resamples: int) -> DataFrame:
-    """Mean of each resample of whole blocks of consecutive rows.
+def _numbered_blocks(rows: DataFrame, order: list[str], block: int) -> DataFrame:
+    return rows.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("b", F.floor(F.col("_i") / block))  # one series, reduced to a row an hour
+
+
+def _draws(blocks: DataFrame, resamples: int) -> DataFrame:
+    """``draw, slot, b``: as many whole blocks as there are, drawn for each resample."""
+    total = blocks.agg(F.count("*").alias("total"))
+    draws = blocks.sparkSession.range(resamples).withColumnRenamed("id", "draw").crossJoin(F.broadcast(total)).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)))  # one row
+    return draws.withColumn("b", drawn(F.col("draw"), F.col("slot"), F.col("total")))
+
+
+def block_bootstrap(rows: DataFrame, value: str, order: list[str], block: int, resamples: int, per_year: float = 8766) -> DataFrame:
+    """``draw, mean, sharpe, profit_factor`` of each resample of whole blocks of consecutive rows.
 
     Rows are first reduced to sums per block, so a resample is a join of block numbers with a few
     numbers a block, never of rows.
     """
-    numbered = rows.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1)  # one ordered series
-    blocks = numbered.groupBy(F.floor(F.col("_i") / block).alias("b")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    total = blocks.agg(F.count("*").alias("total"))
-    draws = rows.sparkSession.range(resamples).withColumnRenamed("id", "draw").crossJoin(F.broadcast(total)).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)))
-    picked = draws.withColumn("b", drawn(F.col("draw"), F.col("slot"), F.col("total")))
-    return picked.join(blocks, "b").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    x = F.col(value)
+    blocks = _numbered_blocks(rows, order, block).groupBy("b").agg(F.sum(x).alias("s"), F.sum(x * x).alias("ss"), F.sum(F.greatest(x, F.lit(0.0))).alias("up"), F.sum(F.greatest(-x, F.lit(0.0))).alias("down"), F.count(x).alias("n"))
+    sums = _draws(blocks, resamples).join(blocks, "b").groupBy("draw").agg(*[F.sum(c).alias(c) for c in ("s", "ss", "up", "down", "n")])
+    mean = F.col("s") / F.col("n")
+    dev = F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0)))
+    return sums.select("draw", mean.alias("mean"), (mean / (dev + 1e-8) * per_year**0.5).alias("sharpe"), (F.col("up") / F.greatest(F.lit(1e-6), F.col("down"))).alias("profit_factor"))
+
+
+def bootstrap_drawdown(rows: DataFrame, value: str, order: list[str], block: int, resamples: int) -> DataFrame:
+    """``draw, max_drawdown`` of the equity of each resample, its blocks in the drawn order.
+
+    A block is its log growth, highest and lowest point and deepest fall; two in a row combine into
+    the same four numbers, so a resample is a fold over its blocks.
+    """
+    w = Window.partitionBy("b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    e = _numbered_blocks(rows, order, block).withColumn("_e", F.sum(F.log1p(F.greatest(F.col(value), F.lit(-0.999999)))).over(w)).withColumn("_top", F.greatest(F.lit(0.0), F.max("_e").over(w)))
+    blocks = e.groupBy("b").agg(F.max_by("_e", "_i").alias("e"), F.greatest(F.lit(0.0), F.max("_e")).alias("top"), F.min("_e").alias("low"), F.max(F.col("_top") - F.col("_e")).alias("dd"))
+    lists = _draws(blocks, resamples).join(blocks, "b").groupBy("draw").agg(F.sort_array(F.collect_list(F.struct("slot", "e", "top", "low", "dd"))).alias("l"))  # a row a block
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("e", "top", "dd")])
+    step = lambda a, x: F.struct((a["e"] + x["e"]).alias("e"), F.greatest(a["top"], a["e"] + x["top"]).alias("top"), F.greatest(a["dd"], x["dd"], a["top"] - a["e"] - x["low"]).alias("dd"))
+    return lists.select("draw", (1 - F.exp(-F.aggregate("l", zero, step)["dd"])).alias("max_drawdown"))
 
 
 def sign_flip(blocks: DataFrame, diff: str, resamples: int) -> DataFrame:

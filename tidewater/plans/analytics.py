@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as fm
+from ..functions import ranks as fr
 from ..functions import windows as fw
 from ..operators import bars as ob
 from ..operators import ledger as og
+from ..sources.shared import shared_dir
 from . import sql as q
 from .registry import query
 
@@ -106,11 +108,13 @@ def regime_transitions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("last_n_summaries", f"WITH {S}, k AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY ts DESC, l_orderkey DESC, l_linenumber DESC) AS rn FROM s) SELECT horizon, " + ", ".join(f"CASE WHEN count(*) >= {n} THEN round(avg(CASE WHEN rn <= {n} THEN r END), 6) END AS mean_{n}, CASE WHEN count(*) >= {n} THEN 'OK' ELSE 'INSUFFICIENT' END AS status_{n}" for n in (25, 50, 100, 250)) + " FROM k GROUP BY horizon")
 def last_n_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Only the newest 250 of a group are ranked: the limit is applied before the shuffle as well."""
     w = Window.partitionBy("horizon").orderBy(F.desc("ts"), F.desc("l_orderkey"), F.desc("l_linenumber"))
-    k = scored(spark, d).withColumn("rn", F.row_number().over(w))
+    s = scored(spark, d)
+    k = s.withColumn("rn", F.row_number().over(w)).where("rn <= 250").join(F.broadcast(s.groupBy("horizon").agg(F.count("*").alias("total"))), "horizon")  # a row a horizon
     out = []
     for n in (25, 50, 100, 250):
-        enough = F.count("*") >= n
+        enough = F.max("total") >= n
         out += [F.when(enough, F.round(F.avg(F.when(F.col("rn") <= n, F.col("r"))), 6)).alias(f"mean_{n}"), F.when(enough, "OK").otherwise("INSUFFICIENT").alias(f"status_{n}")]
     return k.groupBy("horizon").agg(*out)
 
@@ -118,8 +122,9 @@ def last_n_summaries(spark: SparkSession, d: str) -> DataFrame:
 @query("quantile_table", f"WITH {S} SELECT horizon, round(quantile_cont(x, 0.1), 6) AS p10, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.9), 6) AS p90, round(quantile_cont(CAST(price AS DOUBLE), 0.99), 6) AS price_p99 FROM s GROUP BY horizon")
 def quantile_table(spark: SparkSession, d: str) -> DataFrame:
     """Exact quantiles with linear interpolation."""
-    p = lambda c, v, name: F.round(F.percentile(c, F.lit(v)), 6).alias(name)
-    return scored(spark, d).groupBy("horizon").agg(p("x", 0.1, "p10"), p("x", 0.5, "p50"), p("x", 0.9, "p90"), p("price", 0.99, "price_p99"))
+    s = scored(spark, d)
+    x = fr.exact_quantiles(s, ["horizon"], "x", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return x.join(fr.exact_quantiles(s, ["horizon"], "price", {"price_p99": 0.99}), "horizon").select("horizon", R("p10"), R("p50"), R("p90"), R("price_p99"))
 
 
 @query("quantile_calibration", f"WITH {S}, u AS (SELECT r, unnest([0.1, 0.25, 0.5, 0.75, 0.9]) AS q, unnest([-0.03, -0.02, 0.0, 0.02, 0.03]) AS f FROM s) SELECT CAST(q AS DOUBLE) AS q, round(avg(CAST(r <= f AS INTEGER)), 6) AS coverage, round(avg(CAST(r <= f AS INTEGER)) - CAST(q AS DOUBLE), 6) AS coverage_error, round(avg(greatest(q * (r - f), (q - 1) * (r - f))), 6) AS pinball FROM u GROUP BY q")
@@ -192,13 +197,13 @@ def worst_days(spark: SparkSession, d: str) -> DataFrame:
     return s.join(worst, "day", "left_semi").groupBy("horizon").agg(F.count("*").alias("n"), F.round(F.avg("r"), 6).alias("mean"))
 
 
-@query("prefix_progress", f"WITH {S}, b AS (SELECT CAST(ts AS DATE) AS day, avg(r) AS r FROM s GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY day) AS id FROM b) SELECT CAST(step AS BIGINT) AS step, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS dev FROM k, (VALUES (5), (10), (20), (30)) g(step) WHERE id <= step GROUP BY step")
+@query("prefix_progress", f"WITH {S}, b AS (SELECT CAST(ts AS DATE) AS day, avg(r) AS r FROM s GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY day) AS id, count(*) OVER () AS n FROM b) SELECT step AS step, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS dev FROM k, LATERAL (SELECT unnest([5, 10, 20, 30, n]) AS step) g WHERE id <= step GROUP BY step")
 def prefix_progress(spark: SparkSession, d: str) -> DataFrame:
-    """Aggregates over the first 5 to 30 daily blocks."""
-    b = scored(spark, d).groupBy(F.to_date("ts").alias("day")).agg(F.avg("r").alias("r")).orderBy("day").limit(30)
-    k = b.withColumn("id", F.row_number().over(Window.orderBy("day")))  # thirty rows
-    steps = spark.createDataFrame([(x,) for x in (5, 10, 20, 30)], "step long")
-    return k.crossJoin(F.broadcast(steps)).where("id <= step").groupBy("step").agg(F.round(F.avg("r"), 6).alias("mean"), F.round(F.stddev_samp("r"), 6).alias("dev"))
+    """Aggregates over the first 5 to 30 daily blocks, and over all."""
+    b = scored(spark, d).groupBy(F.to_date("ts").alias("day")).agg(F.avg("r").alias("r"))
+    k = b.withColumn("id", F.row_number().over(Window.orderBy("day"))).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(1))))  # a row a day
+    steps = k.withColumn("step", F.explode(F.array_union(F.array(*[F.lit(x).cast("long") for x in (5, 10, 20, 30)]), F.array("n"))))
+    return steps.where("id <= step").groupBy("step").agg(F.round(F.avg("r"), 6).alias("mean"), F.round(F.stddev_samp("r"), 6).alias("dev"))
 
 
 @query("value_counts", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY event_type")
@@ -222,13 +227,17 @@ def interval_join(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.round(F.max("l_extendedprice"), 2).alias("most"), F.round(F.min("l_extendedprice"), 2).alias("least"))
 
 
+# --- resolution of forecasts ----------------------------------------------------------------
 @query("range_resolution", f"""
-WITH {q.BARS}, f AS (SELECT event_id AS forecast_id, event_type AS symbol, ts AS made_at, value AS price FROM events WHERE event_id % 7 = 0),
+WITH {q.BARS}, f AS (SELECT event_id AS forecast_id, event_type AS symbol, ts AS made_at, value AS price FROM events),
 o AS (SELECT forecast_id, max(high) AS hi, min(low) AS lo, arg_max(close, b.ts) AS c, count(*) AS n FROM f JOIN bars b ON f.symbol = b.symbol AND b.ts > made_at AND b.ts <= made_at + INTERVAL 24 HOUR GROUP BY 1)
-SELECT forecast_id, round(hi / nullif(price, 0) - 1, 6) AS mfe, round(1 - lo / nullif(price, 0), 6) AS mae, c AS window_close, n AS window_bars, n IS NOT NULL AS resolved FROM f LEFT JOIN o USING (forecast_id)""")
+SELECT forecast_id, round(hi / nullif(price, 0) - 1, 6) AS mfe, round(1 - lo / nullif(price, 0), 6) AS mae, c AS window_close, n AS window_bars, n IS NOT NULL AS resolved, CAST(hi <= price * 4 AS INTEGER) AS upper_covered, CAST(lo >= price / 4 AS INTEGER) AS lower_covered, CAST(hi <= price * 4 AND lo >= price / 4 AS INTEGER) AS path_contained FROM f LEFT JOIN o USING (forecast_id)""")
 def range_resolution(spark: SparkSession, d: str) -> DataFrame:
-    f = t(spark, d, "events").where("event_id % 7 = 0").select(F.col("event_id").alias("forecast_id"), F.col("event_type").alias("symbol"), F.col("ts").alias("made_at"), F.col("value").alias("price"))
-    return og.resolve(f, ob.bars(spark, d), 24, ["symbol"]).select("forecast_id", R("mfe"), R("mae"), "window_close", "window_bars", "resolved")
+    """Every event is a forecast of a range of a quarter to four times its price; all are resolved."""
+    f = t(spark, d, "events").select(F.col("event_id").alias("forecast_id"), F.col("event_type").alias("symbol"), F.col("ts").alias("made_at"), F.col("value").alias("price"))
+    up, low = F.col("window_high") <= F.col("price") * 4, F.col("window_low") >= F.col("price") / 4
+    out = og.resolve(f, ob.bars(spark, d), 24, ["symbol"]).withColumn("upper_covered", up.cast("int")).withColumn("lower_covered", low.cast("int")).withColumn("path_contained", (up & low).cast("int"))
+    return out.select("forecast_id", R("mfe"), R("mae"), "window_close", "window_bars", "resolved", "upper_covered", "lower_covered", "path_contained")
 
 
 @query("orphans_and_semi", "SELECT c_custkey, 'orphan' AS kind FROM customer ANTI JOIN orders ON c_custkey = o_custkey UNION ALL SELECT c_custkey, 'active' FROM customer SEMI JOIN orders ON c_custkey = o_custkey")
@@ -254,11 +263,14 @@ def overlap_uniqueness(spark: SparkSession, d: str) -> DataFrame:
     return ov.uniqueness(ob.bars(spark, d).select("symbol", F.col("ts").alias("t0"), F.expr("ts + make_interval(0, 0, 0, 0, CAST(1 + n % 6 AS INT))").alias("t1")), ["symbol"], 6).select("symbol", F.col("t0").cast("timestamp_ntz").alias("t0"), "overlaps", R("uniqueness"))
 
 
-@query("lineage_recursive", "WITH RECURSIVE r AS (SELECT c_custkey AS id, c_custkey AS node, 0 AS depth FROM customer WHERE c_custkey % 100 = 0 UNION ALL SELECT id, node // 2, depth + 1 FROM r WHERE node > 1 AND depth < 8) SELECT id, max(depth) AS depth, min(node) AS ancestor FROM r GROUP BY id")
+@query("lineage_recursive", "WITH RECURSIVE r AS (SELECT c_custkey AS id, c_custkey AS node, 0 AS depth FROM customer UNION ALL SELECT id, node // 2, depth + 1 FROM r WHERE node > 1 AND depth < 8) SELECT id, max(depth) AS depth, min(node) AS ancestor FROM r GROUP BY id")
 def lineage_recursive(spark: SparkSession, d: str) -> DataFrame:
-    """First parents followed to a depth limit."""
-    t(spark, d, "customer").select("c_custkey").createOrReplaceTempView("_lineage")
-    return spark.sql("WITH RECURSIVE r (id, at, depth) AS (SELECT c_custkey, c_custkey, 0 FROM _lineage WHERE c_custkey % 100 = 0 UNION ALL SELECT id, at div 2, depth + 1 FROM r WHERE at > 1 AND depth < 8) SELECT id, max(depth) AS depth, min(at) AS ancestor FROM r GROUP BY id")
+    """First parents of every node followed to a depth limit, which also ends cycles."""
+    nodes = t(spark, d, "customer").select("c_custkey")
+    text = "WITH RECURSIVE r (id, at, depth) AS (SELECT c_custkey, c_custkey, 0 FROM {nodes} UNION ALL SELECT id, at div 2, depth + 1 FROM r WHERE at > 1 AND depth < 8) SELECT id, max(depth) AS depth, min(at) AS ancestor FROM r GROUP BY id"
+    limit = "spark.sql.cteRecursionRowLimit"
+    spark.conf.set(limit, "-1")
+    return spark.sql(text, nodes=nodes)
 
 
 @query("upsert_latest", "WITH k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) SELECT o_custkey, o_orderkey, o_totalprice FROM k WHERE rn = 1")
@@ -286,14 +298,18 @@ def predicate_delete(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("record_audit", """
-WITH k AS (SELECT *, l_orderkey // 2 AS id, row_number() OVER (PARTITION BY l_orderkey // 2 ORDER BY l_shipdate, l_orderkey * 10 + l_linenumber) AS i, row_number() OVER (PARTITION BY l_shipdate ORDER BY l_orderkey * 10 + l_linenumber) AS t FROM lineitem)
-SELECT CASE WHEN i > 1 OR t > 1 THEN 'DUPLICATE' WHEN l_tax = 0 THEN 'INVALID_SCHEMA' WHEN l_returnflag = 'A' THEN 'SYNTHETIC' WHEN l_linestatus = 'O' THEN 'UNRESOLVED' WHEN l_quantity < 23.5 THEN 'INVALID_HORIZON' WHEN l_discount < 0.05 THEN 'PRE' ELSE 'VALID' END AS kind, count(*) AS n FROM k GROUP BY 1""")
+WITH k AS (SELECT *, l_partkey % 50 AS id, l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey AS seq FROM lineitem), o AS (SELECT l_suppkey, list({'id': id, 'ts': l_shipdate, 'seq': seq} ORDER BY l_shipdate, seq) AS log FROM k GROUP BY 1),
+f AS (SELECT l_suppkey, list_reduce(list_prepend({'ids': [-1], 'tss': [TIMESTAMP '1900-01-01'], 'kept': [CAST(-1 AS BIGINT)], 'x': log[1]}, list_transform(log, lambda e: {'ids': [-1], 'tss': [TIMESTAMP '1900-01-01'], 'kept': [CAST(-1 AS BIGINT)], 'x': e})),
+  lambda a, b: CASE WHEN list_contains(a.ids, b.x.id) OR list_contains(a.tss, CAST(b.x.ts AS TIMESTAMP)) THEN a ELSE {'ids': list_append(a.ids, b.x.id), 'tss': list_append(a.tss, CAST(b.x.ts AS TIMESTAMP)), 'kept': list_append(a.kept, CAST(b.x.seq AS BIGINT)), 'x': b.x} END).kept AS kept FROM o),
+u AS (SELECT l_suppkey, unnest(kept) AS seq FROM f), j AS (SELECT k.*, u.seq IS NULL AS dup FROM k LEFT JOIN u ON k.l_suppkey = u.l_suppkey AND k.seq = u.seq)
+SELECT CASE WHEN dup THEN 'DUPLICATE' WHEN l_tax = 0 THEN 'INVALID_SCHEMA' WHEN l_returnflag = 'A' THEN 'SYNTHETIC' WHEN l_linestatus = 'O' THEN 'UNRESOLVED' WHEN l_quantity < 23.5 THEN 'INVALID_HORIZON' WHEN l_discount < 0.05 THEN 'PRE' ELSE 'VALID' END AS kind, count(*) AS n FROM j GROUP BY 1""")
 def record_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Each supplier's ledger: a record that shares an id or a time with an accepted one is a duplicate."""
     r = t(spark, d, "lineitem").select(
-        F.expr("l_orderkey div 2").alias("id"), F.col("l_shipdate").alias("ts"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.when(F.col("l_tax") != 0, 1).alias("schema_version"),
+        "l_suppkey", (F.col("l_partkey") % 50).alias("id"), F.col("l_shipdate").alias("ts"), (F.col("l_orderkey") * 10_000_000 + F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("seq"), F.when(F.col("l_tax") != 0, 1).alias("schema_version"),
         F.when(F.col("l_returnflag") == "A", "SYNTHETIC").otherwise("LIVE").alias("source"), (F.col("l_linestatus") != "O").alias("resolved"), F.col("l_quantity").alias("hours"), (F.col("l_discount") < 0.05).alias("before"),
     )
-    return og.classified(r).groupBy("kind").agg(F.count("*").alias("n"))
+    return og.classified(r, ["l_suppkey"], shared_dir(spark)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("block_quality", "WITH e AS (SELECT ts, CASE WHEN value < 2 THEN 'INVALID' WHEN value > 400 THEN 'DEGRADED' ELSE 'VALID' END AS quality FROM events) SELECT date_trunc('day', ts) AS block, count(*) AS rows, CASE WHEN bool_or(quality = 'INVALID') THEN 'INVALID' WHEN bool_and(quality = 'VALID') THEN 'VALID' WHEN bool_and(quality = 'DEGRADED') THEN 'DEGRADED' ELSE 'MIXED' END AS block_quality FROM e GROUP BY 1")
@@ -344,7 +360,8 @@ def last_n_ascending(spark: SparkSession, d: str) -> DataFrame:
 def top_quantile_selection(spark: SparkSession, d: str) -> DataFrame:
     """Selective prediction: the most confident share, for several shares (four thresholds)."""
     s, shares = scored(spark, d), (0.1, 0.25, 0.5, 1.0)
-    cuts = s.agg(F.percentile("x", F.array(*[F.lit(1 - c) for c in shares])).alias("c")).select(F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("coverage"), F.col("c").alias("cut"))).alias("z")).select("z.*")
+    cuts = fr.exact_quantiles(s, [], "x", {f"c{i}": 1 - c for i, c in enumerate(shares)})
+    cuts = cuts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("coverage"), F.col(f"c{i}").alias("cut")) for i, c in enumerate(shares)])).alias("z")).select("z.*")
     return s.crossJoin(F.broadcast(cuts)).where("x >= cut").groupBy("coverage", "cut").agg(F.count("*").alias("n"), F.round(F.avg("r"), 6).alias("mean")).withColumn("cut", F.round("cut", 6))
 
 
@@ -354,23 +371,13 @@ def range_export(spark: SparkSession, d: str) -> DataFrame:
     return e.where(F.col("ts").between(F.expr("timestamp_ntz'2024-01-05 00:00:00'"), F.expr("timestamp_ntz'2024-01-06 00:00:00'"))).orderBy("ts", "event_id")
 
 
-@query("calendar_and_flags", "SELECT event_id, isodow(ts) - 1 AS weekday, hour(ts) AS hour, CAST(isodow(ts) IN (3, 5) AND hour(ts) BETWEEN 12 AND 16 AS INTEGER) AS macro_window, list_filter([CASE WHEN value > 400 THEN 'LARGE' END, CASE WHEN value < 5 THEN 'SMALL' END, CASE WHEN hour(ts) < 6 THEN 'NIGHT' END], lambda x: x IS NOT NULL)[1] AS first_flag, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
+@query("calendar_and_flags", "SELECT event_id, isodow(ts) - 1 AS weekday, hour(ts) AS hour, CASE WHEN isodow(ts) IN (3, 5) AND hour(ts) BETWEEN 12 AND 16 THEN 0.85 ELSE 0.15 END AS event_intensity, array_to_string(list_filter([CASE WHEN value > 400 THEN 'LARGE' END, CASE WHEN value < 5 THEN 'SMALL' END, CASE WHEN hour(ts) < 6 THEN 'NIGHT' END], lambda x: x IS NOT NULL), ',') AS flags, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
 def calendar_and_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Release windows, multi-label event flags and a field of the JSON context."""
+    """Release windows, all flags of an event and a field of the JSON context."""
     e, h = t(spark, d, "events"), F.hour("ts")
     flags = F.filter(F.array(F.when(F.col("value") > 400, "LARGE"), F.when(F.col("value") < 5, "SMALL"), F.when(h < 6, "NIGHT")), lambda x: x.isNotNull())
-    macro = (F.weekday("ts").isin(2, 4) & h.between(12, 16)).cast("int")
-    return e.select("event_id", F.weekday("ts").cast("long").alias("weekday"), h.cast("long").alias("hour"), macro.alias("macro_window"), F.get(flags, 0).alias("first_flag"), F.get_json_object("props", "$.k").cast("long").alias("k"))
-
-
-@query("regime_rules", f"""
-WITH {q.BARS}, {q.BARS and f"r AS (SELECT *, ln(close / nullif(lag(close) OVER ({q.W}), 0)) AS ret_1 FROM bars)"}, v AS (SELECT *, {q.rolling('stddev_samp', 'ret_1', 24)} AS v, close / nullif({q.rolling('avg', 'close', 50)}, 0) - 1 AS m, ln(close / nullif(lag(close, 24) OVER ({q.W}), 0)) AS r24 FROM r)
-SELECT symbol, CASE WHEN v > 1.4 THEN 'HIGH_VOLATILITY' WHEN abs(r24) > 2 THEN 'BREAKOUT' WHEN m > 0.1 THEN 'BULL' WHEN m < -0.1 THEN 'BEAR' ELSE 'RANGING' END AS regime, count(*) AS n FROM v GROUP BY ALL""")
-def regime_rules(spark: SparkSession, d: str) -> DataFrame:
-    """First rule that holds names the regime."""
-    b = ob.bars(spark, d).withColumn("ret_1", fw.log_return("close")).withColumn("v", fw.rolling_std("ret_1", 24)).withColumn("m", F.try_divide(F.col("close"), fw.sma("close", 50)) - 1).withColumn("r24", fw.log_return("close", 24))
-    regime = F.when(F.col("v") > 1.4, "HIGH_VOLATILITY").when(F.abs("r24") > 2, "BREAKOUT").when(F.col("m") > 0.1, "BULL").when(F.col("m") < -0.1, "BEAR").otherwise("RANGING")
-    return b.groupBy("symbol", regime.alias("regime")).agg(F.count("*").alias("n"))
+    macro = F.when(F.weekday("ts").isin(2, 4) & h.between(12, 16), 0.85).otherwise(0.15)
+    return e.select("event_id", F.weekday("ts").cast("long").alias("weekday"), h.cast("long").alias("hour"), macro.alias("event_intensity"), F.array_join(flags, ",").alias("flags"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
 @query("embedding_agreement", "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), p AS (SELECT *, lead(v) OVER (PARTITION BY label ORDER BY vec_id) AS w FROM e) SELECT vec_id, round(list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))), 5) AS cosine FROM p WHERE w IS NOT NULL")

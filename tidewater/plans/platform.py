@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from ..operators import bars as ob
 from ..operators import evolve as ev
 from ..operators import models as om
 from ..sources import scans, sinks
+from ..sources.shared import shared_dir
 from ..streaming import live
 from . import sql as q
 from .analytics import R, S, scored, t
@@ -19,20 +18,25 @@ from .registry import query
 from .trading import signals
 
 
-def _place(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+SLICES = 5
+
+
+def _slices(rows: DataFrame) -> list[DataFrame]:
+    """The rows in slices of time of about equal size, as a stream would bring them."""
+    cuts = rows.agg(F.percentile_approx("ts", F.array(*[F.lit(k / SLICES) for k in range(1, SLICES)]))).first()[0] or []
+    edges = [None, *cuts, None]
+    between = lambda lo, hi: (F.lit(True) if lo is None else F.col("ts") > F.lit(lo)) & (F.lit(True) if hi is None else F.col("ts") <= F.lit(hi))
+    return [rows.where(between(lo, hi)) for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
 def _ticks(spark: SparkSession, d: str) -> DataFrame:
-    """The events, ordered by time in files of a day each, as a stream."""
-    path = _place(spark)
-    spark.read.parquet(f"{d}/events.parquet").repartitionByRange(1, "ts").sortWithinPartitions("ts", "event_id").write.parquet(path)
-    return live.ticks(spark, path)
+    return spark.read.parquet(f"{d}/events.parquet")
 
 
-def _run(stream: DataFrame, name: str) -> DataFrame:
-    return live.drain(stream, f"{name}_{uuid.uuid4().hex[:8]}", _place(stream.sparkSession))
+def _run(rows: DataFrame, build, schema: str = live.TICK) -> DataFrame:
+    """What ``build(stream)`` writes while slices of ``rows`` arrive one by one, the query being started anew for each."""
+    spark = rows.sparkSession
+    return live.replay(_slices(rows), build, schema, shared_dir(spark))
 
 
 NTZ = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
@@ -41,32 +45,32 @@ CLOSED = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM
 
 @query("streaming_bars", f"WITH {q.BARS} SELECT symbol, ts, open, high, low, close, round(volume, 6) AS volume, n FROM bars WHERE ts + INTERVAL 1 HOUR <= {CLOSED}")
 def streaming_bars(spark: SparkSession, d: str) -> DataFrame:
-    out = _run(live.live_bars(_ticks(spark, d)), "bars")
+    out = _run(_ticks(spark, d), live.live_bars)
     return out.select("symbol", NTZ("ts"), "open", "high", "low", "close", R("volume"), "n")
 
 
 @query("streaming_sliding", f"WITH w AS (SELECT event_type, value, unnest([date_trunc('hour', ts) + k * INTERVAL 15 MINUTE for k in range(-3, 4)]) AS start, ts FROM events) SELECT start AS ts, event_type, count(*) AS n, round(sum(value), 6) AS total FROM w WHERE ts >= start AND ts < start + INTERVAL 1 HOUR AND start + INTERVAL 1 HOUR <= {CLOSED} GROUP BY ALL")
 def streaming_sliding(spark: SparkSession, d: str) -> DataFrame:
-    return _run(live.sliding(_ticks(spark, d)), "sliding").select(NTZ("ts"), "event_type", "n", R("total"))
+    return _run(_ticks(spark, d), live.sliding).select(NTZ("ts"), "event_type", "n", R("total"))
 
 
 @query("streaming_sessions", f"""
 WITH n AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id) < 300000000 THEN 0 ELSE 1 END AS new FROM events), c AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM n),
 s AS (SELECT event_type, min(ts) AS start_ts, max(ts) + INTERVAL 5 MINUTE AS end_ts, count(*) AS events, round(sum(value), 6) AS total FROM c GROUP BY event_type, k) SELECT * FROM s WHERE end_ts <= {CLOSED}""")
 def streaming_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return _run(live.sessions(_ticks(spark, d)), "sessions").select("event_type", NTZ("start_ts"), NTZ("end_ts"), "events", R("total"))
+    return _run(_ticks(spark, d), live.sessions).select("event_type", NTZ("start_ts"), NTZ("end_ts"), "events", R("total"))
 
 
 @query("streaming_once", "SELECT user_id, CAST(ts AS DATE) AS day, count(*) > 0 AS seen FROM events GROUP BY ALL")
 def streaming_once(spark: SparkSession, d: str) -> DataFrame:
-    s = _ticks(spark, d).withColumn("day", F.to_date("ts"))
-    return _run(live.once(s, ["user_id", "day"], "40 days"), "once").select("user_id", "day", F.lit(True).alias("seen"))
+    out = _run(_ticks(spark, d), lambda s: live.once(s.withColumn("day", F.to_date("ts")), ["user_id", "day"], "40 days"))
+    return out.select("user_id", "day", F.lit(True).alias("seen"))
 
 
 @query("streaming_carry_forward", "WITH e AS (SELECT *, CASE WHEN value >= 20 THEN value END AS v FROM events) SELECT event_id, last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS value, v IS NULL AS degraded FROM e")
 def streaming_carry_forward(spark: SparkSession, d: str) -> DataFrame:
-    s = _ticks(spark, d).withColumn("value", F.when(F.col("value") >= 20, F.col("value")))
-    return _run(live.carry_forward(s), "carry").select("event_id", "value", "degraded")
+    out = _run(_ticks(spark, d), lambda s: live.carry_forward(s.withColumn("value", F.when(F.col("value") >= 20, F.col("value")))))
+    return out.select("event_id", "value", "degraded")
 
 
 @query("streaming_cooldown", """
@@ -74,24 +78,29 @@ WITH RECURSIVE e AS (SELECT event_id, event_type, ts, row_number() OVER (PARTITI
   UNION ALL SELECT e.event_id, e.event_type, e.i, CASE WHEN e.ts - c.last >= INTERVAL 900 SECOND THEN e.ts ELSE c.last END, CASE WHEN e.ts - c.last >= INTERVAL 900 SECOND THEN 1 ELSE 0 END FROM c JOIN e ON e.event_type = c.event_type AND e.i = c.i + 1)
 SELECT event_id FROM c WHERE k = 1""")
 def streaming_cooldown(spark: SparkSession, d: str) -> DataFrame:
-    return _run(live.cooled(_ticks(spark, d).where("value > 150")), "cooldown").select("event_id")
+    return _run(_ticks(spark, d), lambda s: live.cooled(s.where("value > 150"))).select("event_id")
 
 
 @query("streaming_features", f"""
 WITH {q.BARS}, r AS (SELECT *, ln(close / lag(close) OVER ({q.W})) AS x FROM bars) SELECT symbol, ts, round({q.rolling('avg', 'close', 20).replace('THEN', 'THEN close /')} - 1, 6) AS sma_ratio_20, round({q.rolling('stddev_pop', 'x', 24)}, 6) AS vol_24, CAST(least(500, row_number() OVER ({q.W})) AS BIGINT) AS held FROM r""")
 def streaming_features(spark: SparkSession, d: str) -> DataFrame:
     """Online features of closed bars from a bounded list of state."""
-    path = _place(spark)
-    ob.bars(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).select("symbol", "ts", "close", "volume").coalesce(1).sortWithinPartitions("ts").write.parquet(path)
-    bars = spark.readStream.schema("symbol string, ts timestamp, close double, volume double").parquet(path)
-    return _run(live.live_features(bars), "features").select("symbol", NTZ("ts"), R("sma_ratio_20"), R("vol_24"), "held")
+    bars = ob.bars(spark, d).select("symbol", "ts", "open", "high", "low", "close", "volume")
+    out = _run(bars, live.live_features, "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
+    return out.select("symbol", NTZ("ts"), R("sma_ratio_20"), R("vol_24"), "held")
 
 
-@query("streaming_resolution", "SELECT f.event_id AS forecast_id, e.event_id FROM events f JOIN events e ON f.event_type = e.event_type AND e.ts > f.ts AND e.ts <= f.ts + INTERVAL 6 HOUR WHERE f.event_id % 50 = 0")
+@query("streaming_resolution", f"""
+WITH w AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS w FROM events), m AS (SELECT f.event_id AS forecast_id, e.event_id FROM events f JOIN events e ON f.event_type = e.event_type AND e.ts > f.ts AND e.ts <= f.ts + INTERVAL 6 HOUR)
+SELECT * FROM m UNION ALL SELECT event_id, NULL FROM events, w WHERE ts + INTERVAL 6 HOUR < w AND event_id NOT IN (SELECT forecast_id FROM m)""")
 def streaming_resolution(spark: SparkSession, d: str) -> DataFrame:
-    f = _ticks(spark, d).where("event_id % 50 = 0").select(F.col("event_id").alias("forecast_id"), F.col("event_type").alias("forecast_symbol"), F.col("ts").alias("made_at"))
-    o = _ticks(spark, d).select("event_id", F.col("event_type").alias("symbol"), "ts")
-    return _run(live.resolved(f, o, 6), "resolved").select("forecast_id", "event_id")
+    """Every event is a forecast; outcomes are the events of its kind in the next six hours, or none by then."""
+
+    def build(stream: DataFrame) -> DataFrame:
+        f = stream.select(F.col("event_id").alias("forecast_id"), F.col("event_type").alias("forecast_symbol"), F.col("ts").alias("made_at"))
+        return live.resolved(f, stream.select("event_id", F.col("event_type").alias("symbol"), "ts"), 6).select("forecast_id", "event_id")
+
+    return _run(_ticks(spark, d), build)
 
 
 def _frame(spark: SparkSession, d: str) -> DataFrame:
@@ -148,10 +157,23 @@ def perturbation_attribution(spark: SparkSession, d: str) -> DataFrame:
     return om.perturbation(lambda c: 0.6 * c["p"] + 0.01 * c["x"], s, ["p", "x"]).select("l_orderkey", "l_linenumber", R("effect_p", 3), R("effect_x", 3))
 
 
-@query("pareto_front", "WITH p AS (SELECT s_suppkey AS id, s_acctbal AS total, CAST(s_suppkey * 7919 % 101 AS DOUBLE) AS drawdown FROM supplier) SELECT id, 1 AS front FROM p WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.total >= p.total AND o.drawdown <= p.drawdown AND (o.total > p.total OR o.drawdown < p.drawdown))")
+OBJ = "s_suppkey AS id, s_acctbal AS sharpe, CAST(s_suppkey * 7919 % 101 AS DOUBLE) AS calmar, CAST(s_suppkey * 104729 % 97 AS DOUBLE) AS win_rate, -CAST(s_suppkey * 31 % 89 AS DOUBLE) AS max_drawdown, -CAST(s_suppkey * 17 % 83 AS DOUBLE) AS thrift"
+_ALL = " AND ".join(f"a.{c} >= b.{c}" for c in ev.OBJECTIVES)
+_ANY = " OR ".join(f"a.{c} > b.{c}" for c in ev.OBJECTIVES)
+
+
+@query("pareto_front", f"""
+WITH RECURSIVE p AS (SELECT {OBJ} FROM supplier), d AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON {_ALL} AND ({_ANY})), r(id, front) AS (SELECT id, 1 FROM p UNION SELECT d.b, r.front + 1 FROM r JOIN d ON d.a = r.id),
+f AS (SELECT id, max(front) AS front FROM r GROUP BY id), x AS (SELECT * FROM p JOIN f USING (id)),
+c AS (SELECT id, front, count(*) OVER (PARTITION BY front) <= 2 OR {' OR '.join(f"lead(id) OVER w_{c} IS NULL OR lag(id) OVER w_{c} IS NULL" for c in ev.OBJECTIVES)} AS is_end,
+  {' + '.join(f"coalesce((lead({c}) OVER w_{c} - lag({c}) OVER w_{c}) / nullif(max({c}) OVER (PARTITION BY front) - min({c}) OVER (PARTITION BY front), 0), 0)" for c in ev.OBJECTIVES)} AS dist FROM x WINDOW {', '.join(f"w_{c} AS (PARTITION BY front ORDER BY {c}, id)" for c in ev.OBJECTIVES)})
+SELECT id, CAST(front AS INTEGER) AS front, CASE WHEN is_end THEN NULL ELSE round(dist, 6) END AS crowding FROM c""")
 def pareto_front(spark: SparkSession, d: str) -> DataFrame:
-    p = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("total"), F.pmod(F.col("s_suppkey") * 7919, F.lit(101)).cast("double").alias("drawdown"))
-    return ev.dominance_fronts(p, 1).select("id", "front")
+    """Fronts and crowding of suppliers by five stand-in objectives."""
+    k = F.col("s_suppkey")
+    mod = lambda a, m: F.pmod(k * a, F.lit(m)).cast("double")
+    p = t(spark, d, "supplier").select(k.alias("id"), F.col("s_acctbal").alias("sharpe"), mod(7919, 101).alias("calmar"), mod(104729, 97).alias("win_rate"), (-mod(31, 89)).alias("max_drawdown"), (-mod(17, 83)).alias("thrift"))
+    return ev.crowding(ev.dominance_fronts(p)).select("id", "front", F.when(F.col("crowding") < float("inf"), F.round("crowding", 6)).alias("crowding"))
 
 
 @query("evolution")
@@ -159,10 +181,10 @@ def evolution(spark: SparkSession, d: str) -> DataFrame:
     """Two generations on all bars of every series: fitness, fronts, survivors, children."""
     series = signals(spark, d).select("symbol", "ts", "p", "r").persist()
     first = ev.seeded(spark, 24).persist()
-    alive = ev.survivors(ev.dominance_fronts(ev.fitness(first, series), 4), 8)
+    alive = ev.survivors(ev.dominance_fronts(ev.fitness(first, series)), 8)
     children = ev.bred(first, first.join(alive.select("id"), "id", "left_semi"), 16).persist()
     both = ev.fitness(first, series).unionByName(ev.fitness(children, series))
-    return ev.dominance_fronts(both, 3).select("id", "front", R("total"), R("drawdown"), "trades")
+    return ev.dominance_fronts(both).select("id", "front", R("total"), R("sharpe", 4), R("max_drawdown"), "trades")
 
 
 @query("quarantine_states", "WITH t AS (SELECT l_suppkey AS genome_id, l_tax - 0.04 AS pnl FROM lineitem), a AS (SELECT genome_id, count(*) AS trades, avg(pnl) AS m, avg(CAST(pnl > 0 AS INTEGER)) AS w FROM t GROUP BY 1) SELECT genome_id, trades, CASE WHEN trades < 30 THEN 'WAITING' WHEN round(m, 9) > 0 AND w >= 0.5 THEN 'PROMOTED' ELSE 'DEMOTED' END AS state FROM a")
@@ -180,18 +202,22 @@ def registry_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     return ev.lifecycle(t(spark, d, "orders").select(F.col("o_custkey").alias("model_id"), F.col("o_orderkey").alias("at"), name.alias("event")))
 
 
-@query("paged_scan", "SELECT 'BTC/USD' AS symbol, CAST(3000 AS BIGINT) AS rows, CAST(0 AS BIGINT) AS duplicates")
+@query("paged_scan", """
+WITH b AS (SELECT i * 3600 AS s FROM range(0, 3000) x(i)), p AS (SELECT s, 65000 * exp(0.02 * sin(s / 86400.0) + 0.005 * sin(s / 3700.0)) AS o, 65000 * exp(0.02 * sin((s + 3600) / 86400.0) + 0.005 * sin((s + 3600) / 3700.0)) AS c, 10.0 + s % 7 AS v FROM b)
+SELECT CAST(DATE '1970-01-01' + CAST(s // 86400 AS INTEGER) AS DATE) AS day, count(*) AS rows, CAST(0 AS BIGINT) AS duplicates, round(max(greatest(o, c) * 1.001), 4) AS high, round(min(least(o, c) * 0.999), 4) AS low, round(sum(v), 4) AS volume FROM p GROUP BY 1""")
 def paged_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Days of the bars that a paged source serves; pages overlap by a bar, which is dropped again."""
     spark.dataSource.register(scans.PagedSource)
     df = spark.read.format("paged").options(start=0, stop=3000 * 3600, step=3600, page=500).load()
-    return df.groupBy("symbol").agg(F.count("*").alias("rows"), (F.count("*") - F.count_distinct("ts")).alias("duplicates"))
+    one = ob.keep_first(df, ["symbol", "ts"], [F.col("ts")])
+    return one.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("rows"), (F.count("*") - F.count_distinct("ts")).alias("duplicates"), F.round(F.max("high"), 4).alias("high"), F.round(F.min("low"), 4).alias("low"), F.round(F.sum("volume"), 4).alias("volume"))
 
 
 @query("sink_round_trip", f"WITH {q.BARS} SELECT symbol, count(*) AS rows, round(sum(close), 4) AS total FROM bars GROUP BY symbol")
 def sink_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Bars written by symbol and day, appended again, read as the newest of each key."""
-    path = _place(spark)
+    path = shared_dir(spark)
     b = ob.bars(spark, d).drop("n")
     sinks.append_version(b.withColumn("close", F.lit(-1.0)), path)
     sinks.append_version(b, path)
-    return sinks.read_latest(spark, path, ["symbol", "ts"]).groupBy("symbol").agg(F.count("*").alias("rows"), F.round(F.sum("close"), 4).alias("total"))
+    return sinks.read_latest(spark, path, ["symbol", "ts"]).groupBy("symbol").agg(F.count("*").alias("rows"), F.round(F.sum("close"), 4).alias("total"))
\ No newline at end of file

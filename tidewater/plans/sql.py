@@ -24,5 +24,20 @@ def forward(agg: str, x: str, k: int) -> str:
 
 
 def ewm(x: str, alpha: float, least: int = 1) -> str:
-    frame = f"OVER ({W} ROWS BETWEEN 500 PRECEDING AND CURRENT ROW)"
-    return f"CASE WHEN count(*) {frame} >= {least} THEN list_reduce(list({x}) {frame}, lambda s, v: s * (1 - {alpha!r}) + v * {alpha!r}) END"
+    """The recursion from the first value that is there, over all rows so far."""
+    frame = f"OVER ({W} ROWS UNBOUNDED PRECEDING)"
+    values = f"list({x}) FILTER (WHERE ({x}) IS NOT NULL) {frame}"
+    return f"CASE WHEN count({x}) {frame} >= {least} THEN list_reduce({values}, lambda s, v: s * (1 - {alpha!r}) + v * {alpha!r}) END"
+
+
+def ewm_adjusted(x: str, alpha: float) -> str:
+    """The mean weighted by the geometric series."""
+    frame = f"OVER ({W} ROWS UNBOUNDED PRECEDING)"
+    return f"list_reduce(list({x}) {frame}, lambda s, v: s * (1 - {alpha!r}) + v) / ((1 - pow(1 - {alpha!r}, count(*) {frame})) / {alpha!r})"
+
+
+def cdf(x: str) -> str:
+    """Normal distribution by the power series of the error function; beyond three it is 1 to four digits."""
+    z = f"(({x}) / sqrt(2.0))"
+    series = f"2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda term_: pow(-1.0, term_) * pow({z}, 2 * term_ + 1) / (CASE WHEN term_ < 2 THEN 1.0 ELSE exp(lgamma(term_ + 1.0)) END * (2 * term_ + 1))))"
+    return f"0.5 * (1 + CASE WHEN abs({z}) >= 3 THEN sign({z}) ELSE {series} END)"

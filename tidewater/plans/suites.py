@@ -1,3 +1,3 @@
 """Importing this module registers every suite of queries."""
 
-from . import analytics, market, platform, trading  # noqa: F401
+from . import analytics, market, platform, research, trading  # noqa: F401

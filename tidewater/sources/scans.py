@@ -44,6 +44,11 @@ def coalesced(df: DataFrame, names: dict[str, list[str]]) -> DataFrame:
     return df.select(*out)
 
 
+def last_days(df: DataFrame, ts: str, days: int, until) -> DataFrame:
+    """Rows of the last ``days`` before ``until``, as far as a source keeps history; nothing if there is no end."""
+    return df.where(F.lit(False)) if until is None else df.where(F.col(ts) >= F.lit(until) - F.expr(f"interval {days} days"))
+
+
 class PagedSource(DataSource):
     """``spark.read.format("paged")``: pages of an exchange-like API, a partition a time slice.
 
@@ -72,7 +77,9 @@ class PagedReader(DataSourceReader):
         return [InputPartition((at, min(at + width, self.stop))) for at in range(self.start, self.stop, width)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from fetch(*partition.value, self.step)
+        # a page also holds the first bar of the next, as an exchange answers closed ranges
+        start, stop = partition.value
+        yield from fetch(start, min(stop + self.step, self.stop), self.step)
 
 
 def fetch(start: int, stop: int, step: int) -> Iterator[tuple]:
