@@ -7,17 +7,22 @@ those of the largest inner product: d^2 = |q|^2 + M^2 - 2 q.x.
 Vectors are dealt to trees by their nearest pivot (a bounded sample); cells over ``PER_TREE``
 vectors are split, so a tree has a bounded size whatever the skew. Inner nodes are pages of
 entries with a routing vector, covering radius and distance to the parent; leaves are pages
-of vectors with their distances to the parent. A search skips, by the stored distances alone,
-entries that the triangle inequality excludes, and computes the rest. Scores are exact whole
-numbers; bounds in floating point have slack. Trees lie in the shared folder; queries come in
-blocks of bounded size, each sent to all trees, and the best of each tree are merged.
+of vectors with their distances to the parent. A search goes best first for a block of queries
+at once: a page waits under the least bound of the queries that still want it, each page is
+opened once a block, and an entry is computed only for those queries whose stored distances
+don't exclude it by the triangle inequality. Scores are exact whole numbers: products of doubles
+where no sum can pass 2^53, Python's integers otherwise; bounds in floating point have slack.
+Trees lie in the shared folder; queries come in blocks of bounded size, each sent to all trees,
+and the best of each tree are merged. With few trees a block's queries are parted as well.
 """
 
 from __future__ import annotations
 
+import decimal
 import heapq
 import io
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +37,21 @@ LEAF = 256
 PER_TREE = 20_000
 PIVOTS = 64
 QUERY_BLOCK = 16_384
+#: Queries that search a tree together.
+GROUP = 64
 
 
 def whole_numbers(vectors: DataFrame, scale: int) -> DataFrame:
-    """``vec_id, v``: floor(scale * x) of each component, for vectors without null or non-finite ones."""
+    """``vec_id, v``: floor(scale * x) of each component, for vectors without null or non-finite ones.
+
+    Components are whole doubles, which hold the floor of any finite product exactly.
+    """
     x = F.col("embedding")
-    fine = x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda y: y.isNull() | F.isnan(y) | (F.abs(y) > 2.0**20))
-    over = F.exists(x, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) > 2.0**20) & (F.abs(y) < float("inf")))
-    checked = F.when(over, F.raise_error(F.lit("a component exceeds 2^20 in size"))).otherwise(F.transform(x, lambda y: F.floor(y.cast("double") * scale).cast("long")))
-    return vectors.select("vec_id", F.when(fine | F.coalesce(over, F.lit(False)), checked).alias("v")).where("v is not null and vec_id is not null")
+    scaled = F.transform(x, lambda y: y.cast("double") * scale)
+    fine = x.isNotNull() & (F.size(x) > 0) & ~F.exists(scaled, lambda y: y.isNull() | F.isnan(y) | (F.abs(y) == float("inf")))
+    # floor() gives a long, which large doubles pass; they are whole already
+    whole = F.transform(scaled, lambda y: F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y))
+    return vectors.select("vec_id", F.when(fine, whole).alias("v")).where("v is not null and vec_id is not null")
 
 
 def _distance(points: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -48,15 +59,24 @@ def _distance(points: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", d, d))
 
 
+def _scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Inner products, rows by queries, exact: doubles if no partial sum can pass 2^53, else Python's integers."""
+    most = np.abs(rows).max(initial=0) * np.abs(queries).max(initial=0) * rows.shape[1]
+    if most < 2.0**53:
+        return rows @ queries.T
+    whole = lambda x: np.array([[int(v) for v in r] for r in x.tolist()], dtype=object)
+    return np.array([[sum(map(operator.mul, r, q)) for q in whole(queries)] for r in whole(rows)], dtype=object)
+
+
 class MTree:
     """Bulk-loaded tree; ``entries[i]`` is a page: routing rows, radii, parent distances, children or a leaf's rows."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.lexsort((ids,))
         self.ids, self.vectors = ids[order], vectors[order]
-        norms = (self.vectors.astype(np.float64) ** 2).sum(axis=1)
+        norms = (self.vectors**2).sum(axis=1)
         self.top = float(norms.max())
-        self.points = np.hstack([self.vectors.astype(np.float64), np.sqrt(np.maximum(self.top - norms, 0))[:, None]])
+        self.points = np.hstack([self.vectors, np.sqrt(np.maximum(self.top - norms, 0))[:, None]])
         self.pages: list[tuple] = []
         self.computed = self.skipped = 0
         root = self.points.mean(axis=0)
@@ -86,45 +106,63 @@ class MTree:
         self.pages[at] = (True, rows, _distance(self.points[rows], parent))
         return at
 
-    def search(self, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The ``k`` best ``(score, -id)``, largest first, without rows of id ``own``."""
-        query = np.append(q.astype(np.float64), 0.0)
-        square = float(query @ query) + self.top
-        slack = 1e-6 * (1 + math.sqrt(square))
-        best: list[tuple[int, int]] = []  # heap: the worst of the best on top
-
-        def reach() -> float:
-            """Largest distance at which a row can still count; ties go to smaller ids, so they count."""
-            return math.inf if len(best) < k else math.sqrt(max(0.0, square - 2.0 * best[0][0])) + slack
-
-        d = float(_distance(self.root_point[None], query)[0])
-        queue = [(0.0, self.root, d)]
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+        """For each query the ``k`` best ``(score, -id)``, largest first, without rows of its ``own`` id."""
+        n = len(queries)
+        square = (queries**2).sum(axis=1) + self.top
+        slack = 1e-6 * (1 + np.sqrt(square))
+        asked = np.hstack([queries, np.zeros((n, 1))])
+        best: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        #: Largest distance at which a row can still count; ties go to smaller ids, so they count.
+        reach = np.full(n, np.inf)
+        low = np.full(n, -np.inf)  # scores below can't count
+
+        def offer(at: np.ndarray, rows: np.ndarray, scores: np.ndarray, may: np.ndarray) -> None:
+            """Merge scores (rows by queries ``at``) where ``may`` holds."""
+            may = may & (scores >= low[at][None, :])
+            for j in np.flatnonzero(may.any(axis=0)).tolist():
+                q, of = int(at[j]), scores[:, j]
+                fit = np.flatnonzero(may[:, j])
+                if len(fit) > 4 * k and of.dtype != object:
+                    # far more than can count: what is below the k-th besides the query's own goes
+                    fit = fit[self.ids[rows[fit]] != own[q]]
+                    if len(fit) > k:
+                        fit = fit[of[fit] >= np.partition(of[fit], len(fit) - k)[len(fit) - k]]
+                met = [(int(x), -i) for x, i in zip(of[fit].tolist(), self.ids[rows[fit]].tolist(), strict=True) if i != own[q]]
+                best[q] = heapq.nlargest(k, best[q] + met)
+                if len(best[q]) == k:
+                    worst = best[q][-1][0]
+                    low[q] = np.nextafter(float(worst), -np.inf)
+                    reach[q] = math.sqrt(max(0.0, square[q] - 2.0 * worst)) + slack[q]
+
+        first = _distance(asked, self.root_point)
+        queue: list[tuple] = [(0.0, self.root, np.arange(n), first, np.zeros(n))]
         while queue:
-            bound, page, d = heapq.heappop(queue)
-            limit = reach()
-            if bound > limit:
-                break
+            _, page, at, d, bound = heapq.heappop(queue)
+            live = bound <= reach[at]
+            if not live.any():
+                continue
+            at, d = at[live], d[live]
             entry = self.pages[page]
             if entry[0]:
-                rows = entry[1][np.abs(d - entry[2]) <= limit]
-                self.skipped += len(entry[1]) - len(rows)
-                self.computed += len(rows)
-                scores = self.vectors[rows] @ q
-                if len(best) == k:
-                    rows, scores = rows[scores >= best[0][0]], scores[scores >= best[0][0]]
-                for s, i in zip(scores.tolist(), self.ids[rows].tolist(), strict=True):
-                    if i != own and (len(best) < k or (s, -i) > best[0]):
-                        (heapq.heappush if len(best) < k else heapq.heapreplace)(best, (s, -i))
+                may = np.abs(d[None, :] - entry[2][:, None]) <= reach[at][None, :]
+                self.skipped += int(may.size - may.sum())
+                self.computed += int(may.sum())
+                some = np.flatnonzero(may.any(axis=1))
+                if len(some):
+                    rows = entry[1][some]
+                    offer(at, rows, _scores(self.vectors[rows], queries[at]), may[some])
             else:
                 _, routing, radii, parent, children = entry
-                maybe = np.flatnonzero(np.abs(d - parent) - radii <= limit)
-                self.skipped += len(radii) - len(maybe)
-                self.computed += len(maybe)
-                found = _distance(routing[maybe], query)
-                for b, c, x in zip(np.maximum(found - radii[maybe], 0).tolist(), children[maybe].tolist(), found.tolist(), strict=True):
-                    if b <= limit:
-                        heapq.heappush(queue, (b, c, x))
-        return sorted(best, reverse=True)
+                may = np.abs(d[None, :] - parent[:, None]) - radii[:, None] <= reach[at][None, :]
+                self.skipped += int(may.size - may.sum())
+                self.computed += int(may.sum())
+                for e in np.flatnonzero(may.any(axis=1)).tolist():
+                    who = at[may[e]]
+                    found = _distance(asked[who], routing[e])
+                    bound = np.maximum(found - radii[e], 0)
+                    heapq.heappush(queue, (float(bound.min()), int(children[e]), who, found, bound))
+        return best
 
     def dump(self) -> bytes:
         out = io.BytesIO()
@@ -169,7 +207,7 @@ def build(vectors: DataFrame, path: str) -> None:
                 cell.append(-1 if p is None else int((((p - np.array(x, dtype=np.float64)) ** 2).sum(axis=1)).argmin()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, type=pa.int32()), pa.array([len(x) for x in v], type=pa.int32())], names=["vec_id", "v", "cell", "dims"])
 
-    placed = cut(vectors.mapInArrow(assign, "vec_id long, v array<long>, cell int, dims int"))
+    placed = cut(vectors.mapInArrow(assign, "vec_id long, v array<double>, cell int, dims int"))
     # small cells share a tree, large ones are split by hash: about PER_TREE vectors each
     sizes = {(r["dims"], r["cell"]): r["count"] for r in placed.groupBy("dims", "cell").count().collect()}  # PIVOTS rows
     first, tree_of, number = 0, {}, 0
@@ -206,10 +244,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     no part, nor do rows without an id; a vector is compared with those of its own length; all
     rows of the query's id are its own and no candidates; repeated query rows are answered
     once, repeated candidate rows count each; ties go to the smaller id; fewer candidates give
-    fewer rows; an empty table gives an empty result. Sizes beyond 2^20 raise an error.
+    fewer rows; an empty table gives an empty result; other columns are not read. Ranks follow
+    the exact scores; a score that a long can't hold is shown as the nearest long.
     """
     spark, path = vectors.sparkSession, shared_dir(vectors.sparkSession)
-    schema = "query_id long, vec_id long, score long"
+    schema = "query_id long, vec_id long, score decimal(38,0)"
     valid = cut(whole_numbers(vectors, scale))
     queries = valid.where(F.col("vec_id") % every == 0).distinct()
     blocks = math.ceil(queries.count() / QUERY_BLOCK)
@@ -217,27 +256,36 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     build(valid, f"{path}/trees")
     trees = spark.read.parquet(f"{path}/trees")
+    # with fewer trees than cores, a block's queries are parted: a task is a tree and a part
+    parts = max(1, math.ceil(2 * spark.sparkContext.defaultParallelism / max(1, trees.count())))
+    asks = trees.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(F.xxhash64("tree", "part")) if parts > 1 else trees.withColumn("part", F.lit(0))
     for b in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").toArrow()  # about QUERY_BLOCK rows
         ids = rows.column("vec_id").to_numpy()
-        asked = spark.sparkContext.broadcast((ids, [np.array(x, dtype=np.int64) for x in rows.column("v").to_pylist()]))
+        asked = spark.sparkContext.broadcast((ids, [np.array(x, dtype=np.float64) for x in rows.column("v").to_pylist()]))
 
         def search(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
             ids, asks = asked.value
+            sizes = np.array([len(q) for q in asks])
             for batch in batches:
-                for dims, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    tree, out = MTree.load(data.as_py()), []
-                    for i, q in zip(ids.tolist(), asks, strict=True):
-                        if len(q) == dims:
-                            out += [(i, -n, s) for s, n in tree.search(q, i, k)]
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
-
-        trees.repartition(F.xxhash64("tree")).mapInArrow(search, schema).write.parquet(f"{path}/found/{b}")
+                for dims, data, part in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                    mine = np.flatnonzero((sizes == dims) & (np.arange(len(ids)) % parts == part))
+                    tree = MTree.load(data.as_py()) if len(mine) else None
+                    for lo in range(0, len(mine), GROUP):
+                        some = mine[lo : lo + GROUP]
+                        out = [(i, -n, s) for i, found in zip(ids[some].tolist(), tree.search(np.array([asks[q] for q in some]), ids[some], k), strict=True) for s, n in found]
+                        if out:
+                            score = pa.array([decimal.Decimal(s) for _, _, s in out], type=pa.decimal128(38, 0)) if max(abs(s) for _, _, s in out) < 10**38 else None
+                            if score is None:
+                                raise OverflowError("a score of over 38 digits")
+                            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out]), score], names=["query_id", "vec_id", "score"])
+
+        asks.select("dims", "tree", "part").mapInArrow(search, schema).write.parquet(f"{path}/found/{b}")
         asked.unpersist()
     found = spark.read.schema(schema).parquet(*[f"{path}/found/{b}" for b in range(blocks)])
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    nearest = F.greatest(F.least(F.col("score"), F.lit(2**63 - 1)), F.lit(-(2**63))).cast("long")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", nearest.alias("score"))
 
 
 ORACLE_SQL = """
