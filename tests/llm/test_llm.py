@@ -90,7 +90,7 @@ def test_packing(spark, odd, docs, hf):
 def test_vector_packing_keeps_every_limit(spark):
     rnd = random.Random(2)
     rows = [(i, rnd.randint(0, 900), 0) for i in range(3000)]
-    rows = [(i, n, rnd.randint(0, n)) for i, n, _ in rows] + [(5000, 9000, 1), (5001, None, None)]
+    rows = [(i, n, rnd.randint(0, n)) for i, n, _ in rows] + [(5000, 9000, 1), (5001, None, None), (5002, 2037, 1500), (5003, 4096, 1500)]
     ex = spark.createDataFrame(rows, "example_id long, n_tokens long, n_loss long").coalesce(1)
     out = packing.pack_examples(ex, 4096, 8, 1500).join(ex, "example_id").toPandas().fillna(0)
     assert len(out) == len(rows)
@@ -444,7 +444,7 @@ def test_warc_round_trip_and_salvage(spark):
     import duckdb
 
     long = "payload ü " * 200
-    rows = [(1, "http://a b/\r\n", long), (2, "u", long), (3, None, None), (4, "y", "short"), (5, "y", "short"), (6, "z", "b" * 17_000_000), (7, "q", "")]
+    rows = [(1, "http://a b/\r\n", long), (2, "u", long), (None, "v", "nameless"), (3, None, None), (4, "y", "short"), (5, "y", "short"), (6, "z", "b" * 17_000_000), (7, "q", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
     got = warc.round_trip(pages).toPandas().sort_values("page_id").reset_index(drop=True)
     con = duckdb.connect()
@@ -464,6 +464,53 @@ def test_warc_round_trip_and_salvage(spark):
         assert sum(f[0] == "record" for f in found) == 18
 
 
+def test_damaged_archives_are_salvaged_through_spark(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "UNIT", 4096)
+    monkeypatch.setattr(warc, "UNITS_PER_FILE", 4)
+    rng = random.Random(8)
+    rows = [(i if i else None, f"http://h/{i}", "".join(rng.choice("abcdef") for _ in range(rng.choice([10, 2000, 30_000])))) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    warc.write(pages, str(tmp_path / "w"))
+    files = sorted((tmp_path / "w").glob("part-*"))
+    assert len(files) > 4 and all(f.stat().st_size < 4 * 4096 + 30_000 for f in files)
+    found = warc.read(spark, str(tmp_path / "w"), payloads=True)
+    assert warc.gaps(found).count() == 0 and {(r.page_id, r.payload.decode()) for r in found.collect()} == {(i, h) for i, _, h in rows}
+    data = bytearray(files[1].read_bytes())
+    at = data.index(b"\x1f\x8b\x08", 10)
+    data[at + 12] ^= 0xFF
+    files[1].write_bytes(bytes(data))
+    (tmp_path / "w" / f".{files[1].name}.crc").unlink(missing_ok=True)
+    found = warc.read(spark, str(tmp_path / "w"))
+    log = warc.gaps(found).collect()
+    assert len(log) == 1 and log[0].start_byte == at and log[0].reason and found.where("kind = 'record'").count() == 59
+    assert warc.gaps(warc.read(spark, str(tmp_path / "w"), most=20_000)).where("reason = 'record too long'").count() > 0
+
+
+def test_conversations_pack_under_three_limits(spark):
+    talks = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    want = {}
+    for r in talks.collect():
+        n = len((r.text or "").split())
+        a, b = want.get(r.conv_id, (0, 0))
+        want[r.conv_id] = (a + n, b + n * (r.role == "assistant"))
+    examples = packing.conversation_examples(talks)
+    assert {r.example_id: (r.n_tokens, r.n_loss) for r in examples.collect()} == {k: v for k, v in want.items() if k is not None}
+    limits = [4096, 8, 2560]
+    out = packing.pack_examples(examples, *limits).join(examples, "example_id").where("not oversize").groupBy("sequence_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("s"), F.sum("n_loss").alias("k")).toPandas()
+    assert out.t.max() <= limits[0] and out.s.max() <= limits[1] and out.k.max() <= limits[2]
+    # the loss limit binds: some sequence has room for tokens but for no more loss
+    assert (out.k > 0.8 * limits[2]).any() and packing.pack_examples(examples.limit(0)).count() == 0
+
+
+def test_short_documents_leave_no_padding(spark):
+    rows = spark.createDataFrame([(i, "a") for i in range(3000)], "doc_id long, text string").coalesce(1)
+    p = packing.pack_documents(rows, vocabulary()).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("s")).toPandas()
+    assert p.n.sum() == 6000 and all(n & (n - 1) == 0 for n in p.n.tolist()) and p.s.max() <= 1024
+    clash = rows.limit(3).withColumn("start", F.lit("x")).withColumn("sequence_id", F.lit("y"))
+    assert packing.pack_documents(clash, vocabulary()).count() == 3 and packing.pack_documents(clash.limit(0), vocabulary()).count() == 0
+    assert tokens.encode_decode(clash.withColumn("n_tokens", F.lit("x")), vocabulary()).count() == 3 and tokens.encode_decode(clash.limit(0), vocabulary()).count() == 0
+
+
 def test_mtree_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(mtree, "PER_TREE", 150)
     monkeypatch.setattr(mtree, "QUERY_BLOCK", 4)

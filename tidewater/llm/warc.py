@@ -4,13 +4,17 @@ Writing. A record is one gzip member. Archives go through Spark's own text write
 store that Spark can write to will do: a member's last byte is the top of its 32-bit length
 and is zero below 16 MiB, and that zero is what the writer puts between rows. (Longer records
 are closed by an empty member of their own, which also ends in zero.) Equal payloads are
-found by digest: the key and the largest id are aggregated before the shuffle.
+found by digest: the key and the largest id are aggregated before the shuffle, and only payloads
+that may be recorded once are joined with them. Files are bounded in bytes: the writer gets rows
+of members up to ``UNIT`` bytes, a longer record is followed by empty members, a row for each
+further unit, and no file takes more than ``UNITS_PER_FILE`` rows.
 
 Reading. Members are checked in turn: gzip's own checksum, the version line, the header, the
 length of the block and the payload's digest. After a failed check the reader searches for
 the next place where a member opens with a version line (in plain files: the next version
-line), goes on from there, and logs the gap. Members are read as streams; a record is the
-unit of memory.
+line), goes on from there, and logs the gap. A task holds one archive file at a time (Spark's
+binaryFile source gives whole files, at most 2 GiB), so its memory is bounded by the file: about
+``UNIT * UNITS_PER_FILE`` bytes, or one longer record, for archives written here.
 """
 
 from __future__ import annotations
@@ -32,8 +36,8 @@ EMPTY_MEMBER = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Payloads from this many bytes on are recorded once.
 REVISIT_FROM = 1000
-#: No archive file takes more records than this, which bounds what a reader task loads.
-RECORDS_PER_FILE = 20_000
+#: Bytes of members in a row of the writer, and rows in an archive file.
+UNIT, UNITS_PER_FILE = 1 << 20, 64
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -70,24 +74,36 @@ def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> No
     rows = pages.select("page_id", "url", payload.cast("binary").alias("body"), F.sha1(payload.cast("binary")).alias("digest"))
     large = F.octet_length("body") >= REVISIT_FROM
     copies = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    joined = rows.join(copies, "digest", "left")
-    to = F.when(large & (F.col("page_id") != F.col("first")), F.col("first"))
-    records = joined.select("page_id", "url", "body", "digest", to.alias("refers_to"))
+    to = F.when(F.col("page_id") != F.col("first"), F.col("first"))
+    records = rows.where(large).join(copies, "digest", "left").select("page_id", "url", "body", "digest", to.alias("refers_to"))
+    records = records.unionByName(rows.where(~large).withColumn("refers_to", F.lit(None).cast(records.schema["refers_to"].dataType)))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            # a unit is its members, each but the last with the zero that the writer leaves out
+            units = [b"\0".join(held)] + [EMPTY_MEMBER[:-1]] * (size // UNIT)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(units, type=pa.binary())], names=["m"])
+
         for batch in batches:
-            found, size = [], 0
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found.append(member(record(*row, date)))
-                size += len(found[-1])
-                if size > 1 << 24:
-                    yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.binary())], names=["m"])
-                    found, size = [], 0
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.binary())], names=["m"])
+                one = member(record(*row, date))
+                if held and size + len(one) > UNIT:
+                    yield flush()
+                    size = 0
+                held.append(one)
+                size += len(one)
+                if size >= UNIT:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
 
     members = records.mapInArrow(build, "m binary")
-    members.select(F.col("m").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    members.select(F.col("m").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", UNITS_PER_FILE).text(path)
 
 
 def _digest_agrees(own: bytes, want: str) -> bool:
@@ -203,12 +219,13 @@ def _next(data: bytes, raw: memoryview, at: int, window: int = 1 << 20) -> int:
     return len(data)
 
 
-def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
+def read(spark: SparkSession, path: str, payloads: bool = False, most: int = 1 << 30) -> DataFrame:
     """Records and gaps of all archives under ``path``.
 
     ``kind`` (record or gap), ``file, start_byte, end_byte, reason``, and of records ``page_id,
     url, record_type, payload_digest, payload_bytes, refers_to`` (with ``payloads`` also
-    ``payload``). Read through Spark's binaryFile source, a file a row.
+    ``payload``). Read through Spark's binaryFile source, a file a row. A record of over ``most``
+    unpacked bytes is a gap, with that reason.
     """
     names = ["kind", "file", "start_byte", "end_byte", "reason", "page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to"]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
@@ -231,7 +248,7 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
 
         for batch in batches:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for kind, start, end, why, head, block in salvage(data.as_py() or b""):
+                for kind, start, end, why, head, block in salvage(data.as_py() or b"", most):
                     if kind == "gap":
                         row = (kind, file, start, end, why, *[None] * (len(names) - 5))
                     else:
@@ -254,6 +271,11 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     return files.mapInArrow(run, ", ".join(f"{n} {ddl[k]}" for n, k in zip(names, kinds, strict=True)))
 
 
+def gaps(records: DataFrame) -> DataFrame:
+    """The log of quarantined bytes in what ``read`` gives: ``file, start_byte, end_byte, reason``."""
+    return records.where("kind = 'gap'").select("file", "start_byte", "end_byte", "reason")
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write archives to the shared folder and read them back: ``page_id, payload_bytes,
     payload_digest, record_type, refers_to`` a record.
