@@ -49,7 +49,7 @@ class Packer:
             start = 0
             share = loss / tokens if tokens else 0
             # a piece that fills a bin by itself; the loss limit may allow only less
-            most = min(size, max(1, int(self.capacity[2] / share))) if share else size
+            most = min(size, max(1, int(self.capacity[2] / share + 1e-6))) if share else size
             while tokens - start > most or (tokens - start == size and most == size):
                 if not self.cut:
                     raise ValueError(f"an example of {tokens} tokens, {loss} with loss, exceeds a bin")
@@ -96,13 +96,13 @@ class Packer:
                 self.held -= n
                 self.starts[i] += n
                 self.need[:, i] = [size - n, 1, np.ceil(share * (size - n))]
-        if final and self.cut and rest[0]:
+        if self.cut and rest[0] and (final or rest[1] < 1):
             self._powers(pieces)
         else:
             self.close(pieces)
 
     def _powers(self, pieces: list[tuple]) -> None:
-        """Cut the last, unfilled bin into sequences whose lengths are powers of two: no padding."""
+        """Cut an unfilled bin into sequences whose lengths are powers of two: no padding."""
         left = sum(p[2] for p in pieces)
         now: list[tuple] = []
         room = 1 << (left.bit_length() - 1)
@@ -146,7 +146,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, tokens: in
 
     Defined results: a null or empty text is the single id ``end_id``; repeated rows are
     packed each; a null ``doc_id`` stays null; an empty table gives no rows; a sequence that
-    would need padding is only the last of a partition, and is cut into powers of two.
+    would need padding is only the last of a partition, or one whose segments ran out, and is cut
+    into powers of two. Plain documents bear loss in every id, so unless ``loss`` is given its
+    limit is that of the tokens; ``pack_examples`` packs instruction data under all three limits.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -251,8 +253,11 @@ def pack_examples(examples: DataFrame, tokens: int = 4096, segments: int = 64, l
 
 
 def conversation_examples(conversations: DataFrame) -> DataFrame:
-    """Instruction data: an example a conversation, counted in words; the assistant's bear loss."""
+    """Instruction data: an example a conversation, counted in words; the assistant's bear loss.
+
+    Nulls: a null text has no words; rows without a ``conv_id`` are in no conversation.
+    """
     n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")).cast("long")
-    return conversations.groupBy(F.col("conv_id").alias("example_id")).agg(
+    return conversations.where("conv_id is not null").groupBy(F.col("conv_id").cast("long").alias("example_id")).agg(
         F.sum(n).alias("n_tokens"), F.sum(F.when(F.col("role") == "assistant", n).otherwise(0)).alias("n_loss")
     )

@@ -54,5 +54,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_decode(read(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc, op3_weak_labels, op4_packing, op5_pii, op6_mtree, op7_simhash, op8_quality_rules, op9_token_counts, op10_bpe)}
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations in sequences of at most 4096 words, 8 conversations and 2560 words that bear loss."""
+    examples = packing.conversation_examples(read(spark, sf_dir, "conversations"))
+    return packing.pack_examples(examples, 4096, 8, 2560).join(examples, "example_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc, op3_weak_labels, op4_packing, op5_pii, op6_mtree, op7_simhash, op8_quality_rules, op9_token_counts, op10_bpe, instruction_packing)}
 ORACLE_SQL: dict[str, str] = {"op2_warc": warc.ORACLE_SQL, "op6_mtree": mtree.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL}
