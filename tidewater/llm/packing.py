@@ -51,14 +51,14 @@ class Packer:
             # a piece that fills a bin by itself; the loss limit may allow only less
             most = min(size, max(1, int(self.capacity[2] / share + 1e-6))) if share else size
             while tokens - start > most or (tokens - start == size and most == size):
-                if not self.cut:
+                if not self.cut and tokens > most:
                     raise ValueError(f"an example of {tokens} tokens, {loss} with loss, exceeds a bin")
                 self.close([(key, start, most)])
                 start += most
                 if start == tokens:
                     break
             if start < tokens:
-                fresh.append((key, start, tokens - start, np.ceil(share * (tokens - start))))
+                fresh.append((key, start, tokens - start, np.ceil(share * (tokens - start) - 1e-9)))
         if fresh:
             keep = np.flatnonzero(self.free)
             self.keys = [self.keys[i] for i in keep] + [x[0] for x in fresh]
@@ -95,7 +95,7 @@ class Packer:
                 rest[0] -= n
                 self.held -= n
                 self.starts[i] += n
-                self.need[:, i] = [size - n, 1, np.ceil(share * (size - n))]
+                self.need[:, i] = [size - n, 1, np.ceil(share * (size - n) - 1e-9)]
         if self.cut and rest[0] and (final or rest[1] < 1):
             self._powers(pieces)
         else:
