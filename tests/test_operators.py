@@ -215,6 +215,14 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.write_series(df, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == 2
     assert scans.synthetic_candles(spark, 50).where("high < low").count() == 0
+    ticks = scans.synthetic_ticks(spark, 20_000).cache()
+    assert ticks.where("timestamp_ms < 10").count() == 0 and 190 < ticks.agg(F.max("timestamp_ms") / 20_000).first()[0] < 230
+    h = scans.synthetic_horizons(spark, 2000).where("high < close or low > close").count()
+    assert h < 1000 and scans.synthetic_onchain(spark).where("nupl between -0.2 and 0.8").count() == 180
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    props = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.range(100).withColumnRenamed("id", "K").write.format("jdbc").options(url=url, dbtable="T", **props).save()
+    assert scans.jdbc_table(spark, url, "T", "K", 4, props).agg(F.sum("K")).first()[0] == 4950
     assert "| symbol |" in sinks.markdown(df.select("symbol"))
 
 
@@ -227,3 +235,29 @@ def test_fitness_takes_all_bars_of_every_series(spark):
     # the only trades are older than the newest 2 000 bars
     assert single.trades == 99 and single.total == pytest.approx(-0.001 * 50 - 0.0005 * 99)
     assert both.trades == 198 and both.total == pytest.approx(2 * single.total) and both.max_drawdown == pytest.approx(single.max_drawdown)
+
+
+def test_late_ticks_do_not_change_closed_bars(spark, tmp_path):
+    from tidewater.streaming import live
+
+    rows = [(i, START + dt.timedelta(minutes=10 * i), 1, "a", float(i), "") for i in range(40)]
+    late = (99, START + dt.timedelta(minutes=5), 1, "a", 1e9, "")
+    slices = [rows[:15], rows[15:30], [late, *rows[30:]]]
+    out = live.replay([spark.createDataFrame(s, live.TICK) for s in slices], live.live_bars, live.TICK, str(tmp_path / "s"))
+    got = {r.ts: (r.open, r.high, r.n) for r in out.collect()}
+    first = START.replace(tzinfo=None)
+    assert got[first] == (0.0, 5.0, 6) and all(n == 6 for _, _, n in got.values()) and len(got) == 6
+
+
+def test_expired_forecasts_are_reported(spark, tmp_path):
+    from tidewater.streaming import live
+
+    rows = [(i, START + dt.timedelta(hours=3 * i), 1, "a" if i else "lonely", 1.0, "") for i in range(20)]
+
+    def build(s):
+        f = s.select(F.col("event_id").alias("forecast_id"), F.col("event_type").alias("forecast_symbol"), F.col("ts").alias("made_at"))
+        return live.resolved(f, s.select("event_id", F.col("event_type").alias("symbol"), "ts"), 6).select("forecast_id", "event_id")
+
+    out = live.replay([spark.createDataFrame(s, live.TICK) for s in (rows[:8], rows[8:14], rows[14:])], build, live.TICK, str(tmp_path / "r"))
+    got = [(r.forecast_id, r.event_id) for r in out.collect()]
+    assert (0, None) in got and (1, 2) in got and (1, 3) in got and (2, 5) not in got

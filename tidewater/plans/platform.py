@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import udtf
 from ..functions import windows as fw
 from ..operators import bars as ob
 from ..operators import evolve as ev
 from ..operators import models as om
+from ..operators.indicators import macro_cycle
+from ..operators.ledger import latest
 from ..sources import scans, sinks
 from ..sources.shared import shared_dir
 from ..streaming import live
 from . import sql as q
 from .analytics import R, S, scored, t
 from .registry import query
-from .trading import signals
+from .trading import FORECAST, forecasts, signals
 
 
 SLICES = 5
@@ -220,4 +223,46 @@ def sink_round_trip(spark: SparkSession, d: str) -> DataFrame:
     b = ob.bars(spark, d).drop("n")
     sinks.append_version(b.withColumn("close", F.lit(-1.0)), path)
     sinks.append_version(b, path)
-    return sinks.read_latest(spark, path, ["symbol", "ts"]).groupBy("symbol").agg(F.count("*").alias("rows"), F.round(F.sum("close"), 4).alias("total"))
\ No newline at end of file
+    return sinks.read_latest(spark, path, ["symbol", "ts"]).groupBy("symbol").agg(F.count("*").alias("rows"), F.round(F.sum("close"), 4).alias("total"))
+
+
+@query("path_table_function", f"""WITH {FORECAST}, l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM fo)
+SELECT symbol, CAST(step AS INTEGER) AS step, round(close * (1 + CASE direction WHEN 'BULLISH' THEN mfe_p50 WHEN 'BEARISH' THEN -mae_p50 ELSE 0 END * (step / 6.0)), 6) AS projected, round(close * (1 + mfe_p90 * sqrt(step / 6.0)), 6) AS band_high, round(close * (1 - mae_p90 * sqrt(step / 6.0)), 6) AS band_low FROM l, range(1, 7) g(step) WHERE k = 1""")
+def path_table_function(spark: SparkSession, d: str) -> DataFrame:
+    """The same path as a table function in SQL."""
+    udtf.register(spark)
+    newest = ob.keep_first(forecasts(spark, d), ["symbol"], [F.desc("ts")])
+    text = "SELECT symbol, p.* FROM {newest}, LATERAL forecast_path(close, mfe_p50, mae_p50, mfe_p90, mae_p90, direction, 6) p"
+    return spark.sql(text, newest=newest).select("symbol", "step", R("projected"), R("band_high"), R("band_low"))
+
+
+@query("depth_snapshots", """
+WITH e AS (SELECT event_id, user_id, ts, value, event_id % 9 = 0 AS gone, event_id % 5 + 1 AS a, event_id % 7 + 1 AS b FROM events), s AS (SELECT *, CASE WHEN NOT gone THEN a + 2.5 END AS bd, CASE WHEN NOT gone THEN b + 1.5 END AS ad FROM e),
+h AS (SELECT event_id, gone, last_value(bd IGNORE NULLS) OVER w AS bd, last_value(ad IGNORE NULLS) OVER w AS ad FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING))
+SELECT event_id, round(bd, 6) AS bid_depth, round(ad, 6) AS ask_depth, CASE WHEN bd IS NOT NULL THEN 2.0 END AS spread, round((bd - ad) / (bd + ad + 1e-8), 6) AS imbalance, gone AS degraded FROM h""")
+def depth_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Order-book answers of each user's venue as JSON; every ninth is empty."""
+    level = lambda price, size: F.array(price.cast("string"), size.cast("string"))
+    v, i = F.lit(100.0), F.col("event_id")
+    book = F.to_json(F.struct(F.array(level(v - 1, i % 5 + 1), level(v - 2, F.lit(2.5))).alias("bids"), F.array(level(v + 1, i % 7 + 1), level(v + 2, F.lit(1.5))).alias("asks")))
+    e = t(spark, d, "events").select("event_id", "user_id", "ts", F.when(i % 9 == 0, '{"bids": [], "asks": []}').otherwise(book).alias("text"))
+    return scans.depth_snapshots(e, "text", "user_id", "ts").select("event_id", R("bid_depth"), R("ask_depth"), R("spread"), R("imbalance"), "degraded")
+
+
+@query("onchain_valuation", """
+WITH e AS (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN value * 200 END AS price, CASE WHEN event_id % 3 = 0 THEN value / 100 END AS m, CASE WHEN event_id % 3 = 0 THEN value / 600 END AS u FROM events),
+x AS (SELECT event_id, m IS NOT NULL AS live, coalesce(m, CASE WHEN price IS NULL THEN 1.85 ELSE least(greatest((price / 42000 - 1) * 1.5 + 1.2, 0.6), 5.5) END) AS m, coalesce(u, CASE WHEN price IS NULL THEN 0.42 ELSE least(greatest((price / 42000 - 1) * 0.35 + 0.30, -0.2), 0.85) END) AS u FROM e)
+SELECT event_id, round(m, 6) AS mvrv, round(u, 6) AS nupl, CASE WHEN live THEN 'live' ELSE 'calibrated_proxy' END AS source, CASE WHEN live THEN 1.0 ELSE 0.0 END AS influence_weight, CASE WHEN m < 1.0 OR u < 0 THEN 'CAPITULATION' WHEN m >= 3.5 OR u >= 0.7 THEN 'EUPHORIA' WHEN m < 1.6 AND u < 0.25 THEN 'ACCUMULATION' ELSE 'NEUTRAL' END AS cycle FROM x""")
+def onchain_valuation(spark: SparkSession, d: str) -> DataFrame:
+    """Valuation as given by a source, or a proxy; and the macro cycle."""
+    i, v = F.col("event_id"), F.col("value")
+    e = t(spark, d, "events").select("event_id", F.when(i % 10 != 0, v * 200).alias("price"), F.when(i % 3 == 0, v / 100).alias("mvrv"), F.when(i % 3 == 0, v / 600).alias("nupl"))
+    out = scans.valuation(e, "price", "mvrv", "nupl").withColumn("cycle", macro_cycle(F.col("mvrv"), F.col("nupl")))
+    return out.select("event_id", R("mvrv"), R("nupl"), "source", "influence_weight", "cycle")
+
+
+@query("guarded_ledger", "WITH k AS (SELECT o_custkey AS id, o_orderkey AS seq, o_totalprice AS v FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderpriority <> '5-LOW'), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM k) SELECT id, seq, v FROM n WHERE rn = 1")
+def guarded_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence before the boundary or of another version is refused; the newest of each key stays."""
+    o = t(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("v"), F.col("o_orderdate").alias("ts"), F.when(F.col("o_orderpriority") == "5-LOW", "v0").otherwise("v1").alias("version"))
+    return latest(sinks.guarded(o, "1996-01-01", "v1"), ["id"], [F.desc("seq")]).select("id", "seq", "v")
