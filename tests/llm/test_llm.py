@@ -536,14 +536,61 @@ def test_mtree_equals_brute_force(spark, monkeypatch):
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
-    rows = corpus_pipeline.run(spark, DATA)
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    assert 0 < rows.select("doc_id").distinct().count() < docs.count()
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, DATA).columns == docs.columns
         assert stage(spark, docs.limit(0), DATA).count() == 0
 
 
+def test_pipeline_equals_a_plain_version(spark, hf):
+    """Scores by dictionary, rules by DuckDB, similarities of all pairs, masks by position, ids by the library."""
+    import corpus_pipeline
+    import duckdb
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    weights, bias, least = weak_labels.train(docs)
+    rows = docs.toPandas()
+    score = [bias + sum(weights[i] * x for i, x in weak_labels.vector(t).items()) if (t or "").split() else -math.inf for t in rows.text]
+    rows = rows[np.array(score) >= least]
+    con = duckdb.connect()
+    con.register("documents", rows)
+    judged = con.sql(quality_rules.ORACLE_SQL).df().set_index("doc_id").kept
+    rows = rows[judged[rows.doc_id].to_numpy()]
+    sets = {i: {*zip(*(weak.split()[k:] for k in range(5)))} or {tuple(weak.split())} for i, weak in zip(rows.doc_id, rows.text.str.lower(), strict=True)}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    rows = rows[[root(i) == i for i in rows.doc_id]]
+    kept = spark.createDataFrame(rows[["doc_id", "text"]], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.find(kept).collect()}
+
+    def masked(text, marks):
+        out, at = [], 0
+        for kind, s, e in sorted(((k, int(s), int(e)) for k, s, e in (m.split(":") for m in marks.split(",") if m)), key=lambda m: (m[1], (*pii.KINDS, *pii.ADDED).index(m[0]))):
+            if s >= at:
+                out += [text[at:s], f"<{kind}>"]
+            at = max(at, e)
+        return "".join(out) + text[at:]
+
+    want = {i: hf.encode(masked(t, spans[i]), add_special_tokens=False).ids + [2] for i, t in zip(rows.doc_id, rows.text, strict=True)}
+    got = corpus_pipeline.run(spark, DATA).toPandas()
+    assert set(got.doc_id) == set(want) and 0 < len(want) < docs.count()
+    for i, g in got.sort_values("start").groupby("doc_id"):
+        whole = np.array(want[i], dtype="<u4")
+        assert g.length.sum() == len(whole) == g.doc_tokens.iloc[0]
+        assert all(zlib.crc32(whole[s : s + n].tobytes()) == c for s, n, c in zip(g.start, g.length, g.ids_crc32, strict=True))
+
+
 def test_warc_digests_in_base32_and_unknown_forms():
     import base64
 
