@@ -11,10 +11,11 @@ from .common import cut
 def components(edges: DataFrame) -> DataFrame:
     """``id, root`` for every node of ``edges (u, v)``; nodes may be of any orderable type.
 
-    Each round sends every node to that neighbour (or itself) which comes first in an order
-    drawn anew, contracts the graph and drops loops and repeats, so it shrinks by a constant
-    factor whatever its shape; the maps are composed backwards. Neighbours are reduced by a
-    minimum (combined before the shuffle), and each round is cut by a reliable checkpoint.
+    In each round every node takes the first, in an order drawn anew, of all nodes at most two
+    steps away; the graph is contracted to these and drops loops and repeats. A star, the usual
+    shape of a group of copies, is one node after a round; the maps are composed backwards.
+    Neighbours are reduced by a minimum (combined before the shuffle), and each round is cut by
+    a reliable checkpoint.
     Defined results: loops and repeated edges are ignored, edges with a null end too; no edges
     give no rows.
     """
@@ -22,10 +23,11 @@ def components(edges: DataFrame) -> DataFrame:
     maps: list[DataFrame] = []
     while not rest.isEmpty():
         drawn = F.lit(len(maps))
+        place = lambda c, drawn=drawn: F.struct(F.xxhash64(c, drawn).alias("p"), F.col(c).alias("v"))
         both = rest.unionByName(rest.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        first = F.min(F.struct(F.xxhash64("v", drawn).alias("p"), F.col("v").alias("v")))
-        own = F.struct(F.xxhash64("u", drawn).alias("p"), F.col("u").alias("v"))
-        to = cut(both.groupBy("u").agg(first.alias("m")).select(F.col("u").alias("id"), F.least(F.col("m"), own)["v"].alias("root")))
+        near = cut(both.groupBy("u").agg(F.min(place("v")).alias("m")).select("u", F.least("m", place("u")).alias("m")))
+        beyond = both.join(near.select(F.col("u").alias("v"), "m"), "v").groupBy("u").agg(F.min("m").alias("n"))
+        to = cut(near.join(beyond, "u").select(F.col("u").alias("id"), F.least("m", "n")["v"].alias("root")))
         maps.append(to)
         a = rest.join(to.select(F.col("id").alias("u"), F.col("root").alias("x")), "u")
         b = a.join(to.select(F.col("id").alias("v"), F.col("root").alias("y")), "v")
