@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mtree, packing, pii, quality_rules, simhash, tokens, url_filter, warc, weak_labels
+from . import bytebpe, centroids, mtree, packing, phrases, pii, quality_rules, simhash, tokens, url_filter, warc, weak_labels
 from .common import read
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,11 +54,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_decode(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.encode_decode(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole conversations in sequences of at most 4096 words, 8 conversations and 2560 words that bear loss."""
     examples = packing.conversation_examples(read(spark, sf_dir, "conversations"))
     return packing.pack_examples(examples, 4096, 8, 2560).join(examples, "example_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc, op3_weak_labels, op4_packing, op5_pii, op6_mtree, op7_simhash, op8_quality_rules, op9_token_counts, op10_bpe, instruction_packing)}
-ORACLE_SQL: dict[str, str] = {"op2_warc": warc.ORACLE_SQL, "op6_mtree": mtree.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc, op3_weak_labels, op4_packing, op5_pii, op6_mtree, op7_simhash, op8_quality_rules, op9_token_counts, op10_bpe, op11_centroids, op12_byte_bpe, op13_phrases, instruction_packing)}
+ORACLE_SQL: dict[str, str] = {"op2_warc": warc.ORACLE_SQL, "op6_mtree": mtree.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL, "op11_centroids": centroids.ORACLE_SQL, "op13_phrases": phrases.ORACLE_SQL}
