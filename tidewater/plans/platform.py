@@ -14,7 +14,7 @@ from ..operators.indicators import macro_cycle
 from ..operators.ledger import latest
 from ..sources import scans, sinks
 from ..sources.shared import shared_dir
-from ..streaming import live
+from ..streaming import features, live
 from . import sql as q
 from .analytics import R, S, scored, t
 from .registry import query
@@ -84,13 +84,51 @@ def streaming_cooldown(spark: SparkSession, d: str) -> DataFrame:
     return _run(_ticks(spark, d), lambda s: live.cooled(s.where("value > 150"))).select("event_id")
 
 
-@query("streaming_features", f"""
-WITH {q.BARS}, r AS (SELECT *, ln(close / lag(close) OVER ({q.W})) AS x FROM bars) SELECT symbol, ts, round({q.rolling('avg', 'close', 20).replace('THEN', 'THEN close /')} - 1, 6) AS sma_ratio_20, round({q.rolling('stddev_pop', 'x', 24)}, 6) AS vol_24, CAST(least(500, row_number() OVER ({q.W})) AS BIGINT) AS held FROM r""")
+#: Stand-ins for the feeds beside the bars, each absent now and then.
+CONTEXT = {
+    "bid_depth": "n % 13 + 1.0", "ask_depth": "CASE WHEN n % 5 <> 0 THEN n % 11 + 1.0 END", "spread": "n / 4.0", "imbalance": "CASE WHEN n % 3 = 0 THEN n % 7 / 7.0 END", "funding_rate": "CASE WHEN n % 2 = 0 THEN n / 1e5 END",
+    "open_interest": "CASE WHEN n % 4 <> 0 THEN 1000.0 + n END", "fear_greed": "CASE WHEN n % 6 <> 0 THEN n % 101 END", "sentiment_score": "CASE WHEN n % 2 = 1 THEN n % 9 / 9.0 END", "embed_dim0": "n % 5 / 5.0", "embed_dim1": "CAST(NULL AS DOUBLE)", "embed_dim2": "n % 8 / 8.0",
+}
+
+
+def _features_sql(size: int = 500) -> str:
+    """Every window of bars folded anew, as the definitions say."""
+    last = lambda k: f"OVER ({q.W} ROWS {k - 1} PRECEDING)"
+    now, spans = "CASE WHEN close > 0 THEN close ELSE 1.0 END", (12, 20, 26, 50, 200)
+    step = ", ".join(f"'e{k}': s.e{k} * {1 - 2 / (k + 1)!r} + v.e{k} * {2 / (k + 1)!r}" for k in spans)
+    fold = f"list_reduce(cs, lambda s, v: {{{step}, 'sig': s.sig * 0.8 + 0.2 * (s.e12 * {1 - 2 / 13!r} + v.e12 * {2 / 13!r} - s.e26 * {1 - 2 / 27!r} - v.e26 * {2 / 27!r})}})"
+    moves = {"g": 1 / 14, "l": 1 / 14, "t": 2 / 15, "p": 2 / 15, "m": 2 / 15}
+    slide = "list_reduce(ds, lambda s, v: {" + ", ".join(f"'{k}': s.{k} * {1 - a!r} + v.{k} * {a!r}" for k, a in moves.items()) + "})"
+    pack = "{" + ", ".join(f"'e{k}': close" for k in spans) + ", 'sig': 0.0}"
+    ratio = lambda k: f"CASE WHEN e.e{k} > 0 THEN now / e.e{k} - 1 ELSE 0.0 END"
+    columns = {
+        "norm_open": "(open - now) / now", "norm_high": "(high - now) / now", "norm_low": "(low - now) / now", "norm_close_ret": "ln(now / CASE WHEN pc > 0 THEN pc ELSE now END)",
+        "norm_volume": f"(volume - avg(volume) {last(20)}) / (stddev_pop(volume) {last(20)} + 1e-8)", "ema_20_ratio": ratio(20), "ema_50_ratio": ratio(50), "ema_200_ratio": ratio(200),
+        "vwap_ratio": f"now / (sum((high + low + close) / 3 * volume) {last(size)} / sum(volume) {last(size)}) - 1", "roc_10": f"now / CASE WHEN rn > 10 THEN lag(close, 10) OVER ({q.W}) ELSE first(close) {last(size)} END - 1",
+        "rsi_14": "CASE WHEN rn >= 15 THEN 1 - 2 / (1 + f.g / (f.l + 1e-8)) ELSE 0.0 END", "macd": "(e.e12 - e.e26) / now", "macd_signal": "CASE WHEN rn >= 9 THEN e.sig ELSE e.e12 - e.e26 END / now", "macd_hist": "CASE WHEN rn >= 9 THEN e.e12 - e.e26 - e.sig ELSE 0.0 END / now",
+        "atr_14_ratio": "coalesce(f.t, high - low) / now", "bollinger_width": f"4 * (stddev_pop(close) {last(20)} + 1e-8) / avg(close) {last(20)}", "bollinger_pct_b": f"(now - avg(close) {last(20)} + 2 * (stddev_pop(close) {last(20)} + 1e-8)) / (4 * (stddev_pop(close) {last(20)} + 1e-8) + 1e-8)",
+        "realized_vol_24": f"coalesce(stddev_pop(ln(close / pc)) {last(24)} * sqrt(24), 0.0)", "adx_14": "CASE WHEN rn >= 15 THEN abs(pdi - mdi) / (pdi + mdi + 1e-8) ELSE 0.25 END",
+        "obv_norm": f"CASE WHEN rn > 20 THEN (obv - avg(obv) {last(20)}) / (stddev_pop(obv) {last(20)} + 1e-8) ELSE 0.0 END", "plus_minus_di_spread": "CASE WHEN rn >= 15 THEN (pdi - mdi) / (pdi + mdi + 1e-8) ELSE 0.0 END",
+        "bid_ask_spread": "CASE WHEN spread > 1 THEN spread / now ELSE spread END", "order_book_imbalance": "(bid_depth - coalesce(ask_depth, 100)) / (bid_depth + coalesce(ask_depth, 100) + 1e-8)", "depth_liquidity_score": "ln(1 + bid_depth + coalesce(ask_depth, 100))",
+        "microstructure_pressure": "coalesce(imbalance, (bid_depth - coalesce(ask_depth, 100)) / (bid_depth + coalesce(ask_depth, 100) + 1e-8))", "funding_rate": "coalesce(funding_rate, 0.0001)",
+        "open_interest_delta": f"(coalesce(open_interest, 1000) - coalesce(lag(open_interest) OVER ({q.W}), open_interest, 1000)) / (coalesce(lag(open_interest) OVER ({q.W}), open_interest, 1000) + 1e-8)", "fear_greed_index": "(coalesce(fear_greed, 50) - 50) / 50",
+        "sentiment_score": "coalesce(sentiment_score, 0.0)", "sentiment_embed_dim0": "embed_dim0", "sentiment_embed_dim1": "coalesce(embed_dim1, 0.0)", "sentiment_embed_dim2": "embed_dim2",
+    }
+    return f"""WITH {q.BARS}, d0 AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in CONTEXT.items())}, {now} AS now, row_number() OVER ({q.W}) AS rn, lag(close) OVER ({q.W}) AS pc, high - lag(high) OVER ({q.W}) AS up, lag(low) OVER ({q.W}) - low AS dn FROM bars),
+d1 AS (SELECT *, greatest(close - pc, 0.0) AS g, greatest(pc - close, 0.0) AS l, greatest(high - low, abs(high - pc), abs(low - pc)) AS t, CASE WHEN up > dn AND up > 0 THEN up ELSE 0.0 END AS p, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0.0 END AS m,
+  sum(coalesce(sign(close - pc), 0) * volume) OVER ({q.W} ROWS UNBOUNDED PRECEDING) AS obv FROM (SELECT *, coalesce(lag(close) OVER ({q.W}), close) AS _ FROM d0)),
+d2 AS (SELECT *, list({pack}) {last(size)} AS cs, list({{'g': g, 'l': l, 't': t, 'p': p, 'm': m}}) FILTER (WHERE pc IS NOT NULL) {last(size - 1)} AS ds FROM d1),
+d3 AS (SELECT *, {fold} AS e, CASE WHEN rn > 1 THEN {slide} END AS f FROM d2), d4 AS (SELECT *, 100 * f.p / (f.t + 1e-8) AS pdi, 100 * f.m / (f.t + 1e-8) AS mdi FROM d3)
+SELECT symbol, ts, CAST(least({size}, rn) AS BIGINT) AS held, {", ".join(f"round({v}, 5) AS {k}" for k, v in columns.items())} FROM d4"""
+
+
+@query("streaming_features", _features_sql())
 def streaming_features(spark: SparkSession, d: str) -> DataFrame:
-    """Online features of closed bars from a bounded list of state."""
-    bars = ob.bars(spark, d).select("symbol", "ts", "open", "high", "low", "close", "volume")
-    out = _run(bars, live.live_features, "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
-    return out.select("symbol", NTZ("ts"), R("sma_ratio_20"), R("vol_24"), "held")
+    """All live features of closed bars, in constant work a bar; feeds beside the bars are stand-ins."""
+    bars = ob.bars(spark, d).select("symbol", "ts", "open", "high", "low", "close", "volume", *[F.expr(v).cast("double").alias(k) for k, v in CONTEXT.items()])
+    schema = "symbol string, ts timestamp_ntz, " + ", ".join(f"{k} double" for k in (*features.PRICES, *CONTEXT))
+    out = _run(bars, features.live_features, schema)
+    return out.select("symbol", NTZ("ts"), "held", *[F.round(k, 5).alias(k) for k in features.NAMES])
 
 
 @query("streaming_resolution", f"""
