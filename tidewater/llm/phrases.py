@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 LONGEST = 4
-SLICE = 8 << 20
+SLICE = 4 << 20
 MOST_BITS = 24
 #: Distinct words whose hashes a task remembers.
 KNOWN = 400_000
