@@ -13,9 +13,11 @@ passed the bitmaps (DHP's trimming). Bitmaps have no false negatives, so the exa
 follow are whole; a false positive only costs a count. Their size is fixed by ``bits``, which
 follows the table's size up to 2^24 buckets (2 MB a bitmap).
 
-Tasks work on slices of some megabytes as arrays of word numbers; a slice sends one row for
-each distinct phrase, and Spark adds them up before and after its shuffle. No language or
-word is gathered in one task: the last ranking goes through 4096 and 64 parts of a language.
+Tasks work on slices of some megabytes as arrays of word numbers; a slice gives one row for
+each distinct phrase, a task one row for each 4096 buckets. Both lie in one table of the shared
+folder; Spark adds phrases up before and after a shuffle, and bucket rows meet by their part in
+tasks that add them as they come. No language or word is gathered in one task: the last ranking
+goes through 4096 and 64 parts of a language.
 
 Defined results: null and empty texts have no words; repeated rows count each; a language
 without candidates has no rows; an empty table gives none; other columns aren't read.
@@ -35,13 +37,17 @@ from .common import shared_dir
 
 LONGEST = 4
 SLICE = 4 << 20
+#: Rows of a batch that become Python objects together.
+ROWS = 2048
 MOST_BITS = 24
 #: Distinct words whose hashes a task remembers.
-KNOWN = 400_000
+KNOWN = 150_000
+#: Buckets of a row.
+PART = 4096
 _STOP = b"."
 _LETTERS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz.........\x20")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_COUNTED = "lang string, phrase binary, h long, bucket int, n long"
+_RAW = "lang string, phrase binary, h long, n long, part int, buckets binary"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -152,26 +158,53 @@ def _slices(langs: list, texts: list) -> Iterator[tuple[str, list[bytes]]]:
 
 
 def _pass(texts: DataFrame, k: int, bits: int, least: int, bitmaps) -> DataFrame:
-    """Rows of counted phrases, of words per language (no phrase) and of buckets (no language)."""
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("h", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64())])
+    """Rows of counted phrases, of words per language (no phrase) and of bucket counts (no language)."""
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("h", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("buckets", pa.binary())])
+    width = _width(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = _Pass(k, bits, least, *(bitmaps.value if bitmaps is not None else (None, None)))
         for batch in batches:
-            for lang, part in _slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                phrases, h, n, total = work.count(lang, part)
-                m = len(phrases) + (k == 1)
-                if k == 1:
-                    phrases, h, n = [*phrases, None], np.append(h, np.uint64(0)), np.append(n, total)
-                if m:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * m), pa.array(phrases, pa.binary()), pa.array(h.view(np.int64)), pa.nulls(m, pa.int32()), pa.array(n.astype(np.int64))], schema=schema)
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                for lang, part in _slices(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    phrases, h, n, total = work.count(lang, part)
+                    m = len(phrases) + (k == 1)
+                    if k == 1:
+                        phrases, h, n = [*phrases, None], np.append(h, np.uint64(0)), np.append(n, total)
+                    if m:
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * m), pa.array(phrases, pa.binary()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
         if work.table is not None:
-            full = np.flatnonzero(work.table)
-            for i in range(0, len(full), 1 << 16):
-                at = full[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(np.minimum(work.table[at], least).astype(np.int64))], schema=schema)
+            for part in range(0, 1 << bits, PART):
+                counts = work.table[part : part + PART]
+                if counts.any():
+                    yield pa.RecordBatch.from_arrays([*[pa.nulls(1, f.type) for f in list(schema)[:4]], pa.array([part // PART], pa.int32()), pa.array([np.minimum(counts, least).astype(width).tobytes()], pa.binary())], schema=schema)
 
-    return texts.mapInArrow(run, _COUNTED)
+    return texts.mapInArrow(run, _RAW)
+
+
+def _width(least: int) -> type:
+    """Bucket counts stop at ``least``, so mostly a byte holds one."""
+    return np.uint8 if least < 256 else np.uint32
+
+
+def _full_buckets(stored: DataFrame, bits: int, least: int, tasks: int) -> np.ndarray:
+    """Bitmap of the buckets that reach ``least`` over all tasks' rows; 2^bits / 8 bytes come to the driver."""
+    width = _width(least)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                more = np.frombuffer(counts, dtype=width).astype(np.uint32)
+                total[part] = np.minimum(total[part] + more, least) if part in total else more
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.packbits(v >= least, bitorder="little").tobytes() for v in total.values()], pa.binary())], names=["part", "bits"])
+
+    out = np.zeros(max(1 << bits >> 3, 1), dtype=np.uint8)
+    for part, data in stored.where("part is not null").select("part", "buckets").repartition(tasks, "part").mapInArrow(add, "part int, bits binary").collect():
+        out[part * PART // 8 : part * PART // 8 + len(data)] = np.frombuffer(bytes(data), dtype=np.uint8)
+    return out
 
 
 def _bitmap(positions: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -196,22 +229,20 @@ def frequent(docs: DataFrame, least: int = 30, bits: int | None = None) -> tuple
         held = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         bits = min(MOST_BITS, max(16, (held // 4).bit_length()))
     root, bitmaps, found, words = shared_dir(spark), None, [], None
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for k in range(1, LONGEST + 1):
-        path = f"{root}/{k}"
-        summed = _pass(texts, k, bits, least, bitmaps).groupBy("lang", "phrase", "h", "bucket").agg(F.sum("n").alias("n"))
-        kept = summed.where(F.col("phrase").isNull() & F.col("bucket").isNull() | (F.col("n") >= least))
-        kept.select("*", F.when(F.col("bucket").isNotNull(), "bucket").when(F.col("phrase").isNull(), "words").otherwise("phrase").alias("kind")).write.partitionBy("kind").parquet(path)
-        stored = spark.read.schema(f"{_COUNTED}, kind string").parquet(path)
-        counted = stored.where("kind = 'phrase'")
+        _pass(texts, k, bits, least, bitmaps).write.parquet(f"{root}/raw{k}")
+        raw = spark.read.schema(_RAW).parquet(f"{root}/raw{k}")
+        raw.where("phrase is not null").groupBy("lang", "phrase", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).write.parquet(f"{root}/{k}")
+        counted = spark.read.schema("lang string, phrase binary, h long, n long").parquet(f"{root}/{k}")
         found.append(counted.select("lang", F.col("phrase").cast("string").alias("phrase"), F.lit(k).alias("words"), "n"))
         if k == 1:
-            words = stored.where("kind = 'words'").select("lang", "n")
+            words = raw.where("phrase is null and lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
         if k < LONGEST:
-            buckets = _bitmap(stored.where("kind = 'bucket'"), "bucket", bits)
-            parts = _bitmap(counted.select(F.shiftrightunsigned("h", 64 - bits).alias("at")), "at", bits)
+            both = _full_buckets(raw, bits, least, tasks), _bitmap(counted.select(F.shiftrightunsigned("h", 64 - bits).alias("at")), "at", bits)
             if bitmaps is not None:
                 bitmaps.unpersist()
-            bitmaps = spark.sparkContext.broadcast((buckets, parts))
+            bitmaps = spark.sparkContext.broadcast(both)
     bitmaps.unpersist()
     every = found[0]
     for more in found[1:]:
