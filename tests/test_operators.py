@@ -226,17 +226,6 @@ def test_sources_and_sinks(spark, tmp_path):
     assert "| symbol |" in sinks.markdown(df.select("symbol"))
 
 
-def test_fitness_takes_all_bars_of_every_series(spark):
-    at = "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, CAST(i AS INT))"
-    one = spark.range(2500).withColumnRenamed("id", "i").selectExpr(f"{at} AS ts", "CASE WHEN i < 100 AND i % 2 = 0 THEN 0.9 ELSE 0.5 END AS p", "CASE WHEN i < 100 THEN -0.001 ELSE 0.0 END AS r")
-    two = one.selectExpr("'a' AS symbol", "*").unionByName(one.selectExpr("'b' AS symbol", "*"))
-    genome = spark.sql("SELECT 7L AS id, 0.6D AS enter, 1.0D AS take, 1.0D AS stop, 4 AS hold")
-    single, both = (evolve.fitness(genome, x).first() for x in (two.where("symbol = 'a'"), two))
-    # the only trades are older than the newest 2 000 bars
-    assert single.trades == 99 and single.total == pytest.approx(-0.001 * 50 - 0.0005 * 99)
-    assert both.trades == 198 and both.total == pytest.approx(2 * single.total) and both.max_drawdown == pytest.approx(single.max_drawdown)
-
-
 def test_late_ticks_do_not_change_closed_bars(spark, tmp_path):
     from tidewater.streaming import live
 

@@ -1,102 +1,98 @@
-"""Evolution of strategies: genomes, fitness per genome in parallel, dominance ranks, lineage, quarantine."""
+"""Selection of strategies: dominance ranks, crowding, survivors, quarantine, life-cycle."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..sources.shared import written
 
-def seeded(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """A first generation with reproducible genes."""
-    u = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(10_000)) / 10_000.0
-    return spark.range(n).select("id", F.lit(0).alias("generation"), (0.5 + 0.2 * u(1)).alias("enter"), (1 + (u(2) * 3)).alias("take"), (0.5 + u(3) * 2).alias("stop"), (4 + F.floor(u(4) * 20)).cast("int").alias("hold"), F.array().cast("array<long>").alias("parents"))
 
+#: Objectives of a genome, all better when larger (a drawdown is negative).
+OBJECTIVES = ("sharpe", "calmar", "win_rate", "max_drawdown", "thrift")
 
-def bred(generation: DataFrame, best: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Children of pairs of the best (a small table): genes from either parent, sometimes mutated."""
-    ranked = best.withColumn("_r", F.row_number().over(Window.orderBy("id")) - 1)
-    size = ranked.count()
-    top = generation.agg(F.max("id")).first()[0] + 1
-    pick = lambda k: F.pmod(F.xxhash64("child", F.lit(seed), F.lit(k)), F.lit(size))
-    pairs = generation.sparkSession.range(n).select(F.col("id").alias("child")).withColumn("_a", pick(1)).withColumn("_b", pick(2))
-    a = ranked.select(F.col("_r").alias("_a"), *[F.col(c).alias(f"a_{c}") for c in ("id", "enter", "take", "stop", "hold", "generation")])
-    b = ranked.select(F.col("_r").alias("_b"), *[F.col(c).alias(f"b_{c}") for c in ("id", "enter", "take", "stop", "hold")])
-    both = pairs.join(F.broadcast(a), "_a").join(F.broadcast(b), "_b")
-    coin = lambda k: F.pmod(F.xxhash64("child", F.lit(seed), F.lit(k + 10)), F.lit(2)) == 0
-    drift = lambda k: 1 + F.when(F.pmod(F.xxhash64("child", F.lit(seed), F.lit(k + 20)), F.lit(5)) == 0, 0.1).otherwise(0.0)
-    gene = lambda c, k: (F.when(coin(k), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")) * drift(k)).alias(c)
-    return both.select((F.col("child") + top).alias("id"), (F.col("a_generation") + 1).alias("generation"), gene("enter", 1), gene("take", 2), gene("stop", 3), gene("hold", 4).cast("int").alias("hold"), F.array("a_id", "b_id").alias("parents"))
+#: Most points that one task peels, and the size of the blocks that larger sets are compared in.
+SMALL, BLOCK = 20_000, 4096
 
 
-#: Objectives of a genome, all better when larger (a drawdown is negative).
-OBJECTIVES = ("sharpe", "calmar", "win_rate", "max_drawdown", "thrift")
-#: A population is small by construction; larger ones are refused.
-MOST_POINTS = 20_000
+def _values(pdf: pd.DataFrame, objectives: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Objectives (missing ones are -inf), which rows have all, and an order in which no row follows one that it dominates."""
+    x = pdf[list(objectives)].to_numpy(dtype=float)
+    x = np.where(np.isfinite(x), x, -np.inf)
+    return x, np.isfinite(x).all(axis=1), np.lexsort(x.T[::-1])[::-1]
 
 
-def fitness(genomes: DataFrame, bars: DataFrame, by: str = "symbol") -> DataFrame:
-    """Objectives of each genome over all bars ``by, ts, p, r``; series run in parallel.
+def _any_beats(best: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return (best >= row).all(axis=1) & (best > row).any(axis=1)
 
-    Sums over a series are added up over all; the drawdown is the deepest of any. The population
-    (small by construction) is sent to every series. ``thrift`` is minus the turnover a bar.
-    """
-    genes = genomes.select("id", "enter", "take", "stop", "hold").toPandas()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+def _thinned(points: DataFrame, objectives: tuple[str, ...], parts: int) -> DataFrame:
+    """The points that no other point of their part dominates; parts are dealt by the hash of the id."""
 
-        data = np.nan_to_num(pdf.sort_values("ts")[["p", "r"]].to_numpy(dtype=float))
-        out = []
-        for g in genes.itertuples():
-            pos = np.where(data[:, 0] > g.enter, 1.0, np.where(data[:, 0] < 1 - g.enter, -1.0, 0.0))
-            turn = np.abs(np.diff(pos))
-            pnl = np.clip(pos[:-1] * data[1:, 1], -g.stop / 100, g.take / 100) - 0.0005 * turn
-            eq = np.cumprod(1 + pnl) if len(pnl) else np.ones(1)
-            out.append((g.id, float(pnl.sum()), float((pnl**2).sum()), len(pnl), int((pnl > 0).sum()), float((1 - eq / np.maximum.accumulate(eq)).max()), float(turn.sum()), int((turn != 0).sum())))
-        return pd.DataFrame(out, columns=["id", "s", "ss", "n", "wins", "deep", "turn", "trades"])
+    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, whole, order = _values(pdf, objectives)
+        best, found, keep = np.empty_like(x), 0, []
+        for i in order:
+            if not _any_beats(best[:found], x[i]).any():
+                keep.append(i)
+                if whole[i]:
+                    best[found], found = x[i], found + 1
+        return pdf.iloc[keep]
 
-    each = bars.select(by, "ts", "p", "r").groupBy(by).applyInPandas(run, "id long, s double, ss double, n long, wins long, deep double, turn double, trades long")
-    t = each.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("s", "ss", "n", "wins", "turn", "trades")], F.max("deep").alias("deep"))
-    n, mean = F.nullif(F.col("n"), F.lit(0)), F.try_divide(F.col("s"), F.nullif(F.col("n"), F.lit(0)))
-    dev = F.nullif(F.sqrt(F.greatest(F.try_divide(F.col("ss"), n) - mean * mean, F.lit(0.0))), F.lit(0.0))
-    return t.select(
-        "id", F.col("s").alias("total"), "trades", (F.try_divide(mean, dev) * 8760**0.5).alias("sharpe"), F.try_divide(mean * 8760, F.nullif(F.col("deep"), F.lit(0.0))).alias("calmar"),
-        F.try_divide(F.col("wins"), n).alias("win_rate"), (-F.col("deep")).alias("max_drawdown"), (-F.try_divide(F.col("turn"), n)).alias("thrift"),
-    )
+    schema = StructType([*points.schema.fields, StructField("_part", IntegerType())])
+    return points.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).groupBy("_part").applyInPandas(thin, schema).drop("_part")
 
 
-def _small(points: DataFrame) -> DataFrame:
-    if points.limit(MOST_POINTS + 1).count() > MOST_POINTS:
-        raise ValueError(f"a population of over {MOST_POINTS} points")
-    return points
+def _skyline(points: DataFrame, n: int, objectives: tuple[str, ...]) -> DataFrame:
+    """The points that none dominates: first within parts, then what is left by pairs of blocks of bounded size."""
+    left = written(_thinned(points, objectives, -(-n // BLOCK)))
+    m = left.count()
+    if m <= BLOCK:
+        return _thinned(left, objectives, 1)
+    blocks = -(-m // BLOCK)
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")
+    mine = left.select("id", *objectives, own.alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    other = left.select(*objectives, own.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("a"))
 
+    def beaten(mine: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        x, (y, whole, _) = _values(mine, objectives)[0], _values(other, objectives)
+        y = y[whole]
+        return pd.DataFrame({"id": [i for i, row in zip(mine["id"], x, strict=True) if _any_beats(y, row).any()]})
 
-def dominance_fronts(points: DataFrame, objectives: tuple[str, ...] = OBJECTIVES) -> DataFrame:
-    """Pareto front of every point, from 1: what only fronts before it dominate.
+    lost = mine.groupBy("a", "b").cogroup(other.groupBy("a", "b")).applyInPandas(beaten, StructType([points.schema["id"]]))
+    return left.join(lost.distinct(), "id", "left_anti")
+
+
+def dominance_fronts(points: DataFrame, objectives: tuple[str, ...] = OBJECTIVES, small: int = SMALL) -> DataFrame:
+    """Pareto front of every point (unique ``id``), from 1: what only fronts before it dominate.
 
     A point dominates another if it is at least as good in every objective and better in one; a
-    missing objective is worse than any, and its point dominates none. The front of a point is one
-    more than the last front among those that dominate it, taken in the order of the objectives;
-    a bounded population is one Arrow pass with memory for one row of comparisons.
+    missing objective is worse than any, and its point dominates none. While more than ``small``
+    points are left, a round finds those that none dominates (a skyline of parts, then of pairs of
+    blocks) and takes them out; the rest, of bounded size, is peeled in one task.
     """
 
     def peel(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        x = pdf[list(objectives)].to_numpy(dtype=float)
-        x = np.where(np.isfinite(x), x, -np.inf)
-        whole = np.isfinite(x).all(axis=1)
-        order = np.lexsort(x.T[::-1])[::-1]
-        front = np.zeros(len(x), dtype=np.int64)
+        x, whole, order = _values(pdf, objectives)
+        front = np.zeros(len(x), dtype=np.int32)
         for k, i in enumerate(order):
             done = order[:k]
-            beats = whole[done] & (x[done] >= x[i]).all(axis=1) & (x[done] > x[i]).any(axis=1)
-            front[i] = 1 + front[done[beats]].max(initial=0)
-        return pdf.assign(front=front.astype(np.int32))
-
-    return _small(points).groupBy().applyInPandas(peel, StructType([*points.schema.fields, StructField("front", IntegerType())]))
+            front[i] = 1 + front[done[whole[done] & _any_beats(x[done], x[i])]].max(initial=0)
+        return pdf.assign(front=front)
+
+    schema = StructType([*points.schema.fields, StructField("front", IntegerType())])
+    rest, fronts = points, []
+    while (n := rest.count()) > small:
+        best = written(_skyline(rest, n, objectives))
+        fronts.append(best.withColumn("front", F.lit(len(fronts) + 1)))
+        rest = written(rest.join(best.select("id"), "id", "left_anti").select(*points.columns))
+    out = rest.groupBy().applyInPandas(peel, schema).withColumn("front", F.col("front") + len(fronts))
+    for f in fronts:
+        out = out.unionByName(f)
+    return out
 
 
 def crowding(ranked: DataFrame, objectives: tuple[str, ...] = OBJECTIVES) -> DataFrame:

@@ -9,15 +9,17 @@ from ..functions import udtf
 from ..functions import windows as fw
 from ..operators import bars as ob
 from ..operators import evolve as ev
+from ..operators import genomes as ge
 from ..operators import models as om
-from ..operators.indicators import macro_cycle
+from ..operators.indicators import macro_cycle, market_state
 from ..operators.ledger import latest
 from ..sources import scans, sinks
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, written
 from ..streaming import features, live
+from . import market
 from . import sql as q
 from .analytics import R, S, scored, t
-from .registry import query
+from .registry import ORACLE_SQL, query
 from .trading import FORECAST, forecasts, signals
 
 
@@ -198,34 +200,88 @@ def perturbation_attribution(spark: SparkSession, d: str) -> DataFrame:
     return om.perturbation(lambda c: 0.6 * c["p"] + 0.01 * c["x"], s, ["p", "x"]).select("l_orderkey", "l_linenumber", R("effect_p", 3), R("effect_x", 3))
 
 
-OBJ = "s_suppkey AS id, s_acctbal AS sharpe, CAST(s_suppkey * 7919 % 101 AS DOUBLE) AS calmar, CAST(s_suppkey * 104729 % 97 AS DOUBLE) AS win_rate, -CAST(s_suppkey * 31 % 89 AS DOUBLE) AS max_drawdown, -CAST(s_suppkey * 17 % 83 AS DOUBLE) AS thrift"
+OBJ = "c_custkey AS id, c_acctbal AS sharpe, CAST(c_custkey * 7919 % 101 AS DOUBLE) AS calmar, CAST(c_custkey * 104729 % 97 AS DOUBLE) AS win_rate, -CAST(c_custkey * 31 % 89 AS DOUBLE) AS max_drawdown, -CAST(c_custkey * 17 % 83 AS DOUBLE) AS thrift"
 _ALL = " AND ".join(f"a.{c} >= b.{c}" for c in ev.OBJECTIVES)
 _ANY = " OR ".join(f"a.{c} > b.{c}" for c in ev.OBJECTIVES)
 
 
 @query("pareto_front", f"""
-WITH RECURSIVE p AS (SELECT {OBJ} FROM supplier), d AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON {_ALL} AND ({_ANY})), r(id, front) AS (SELECT id, 1 FROM p UNION SELECT d.b, r.front + 1 FROM r JOIN d ON d.a = r.id),
+WITH RECURSIVE p AS (SELECT {OBJ} FROM customer), d AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON {_ALL} AND ({_ANY})), r(id, front) AS (SELECT id, 1 FROM p UNION SELECT d.b, r.front + 1 FROM r JOIN d ON d.a = r.id),
 f AS (SELECT id, max(front) AS front FROM r GROUP BY id), x AS (SELECT * FROM p JOIN f USING (id)),
 c AS (SELECT id, front, count(*) OVER (PARTITION BY front) <= 2 OR {' OR '.join(f"lead(id) OVER w_{c} IS NULL OR lag(id) OVER w_{c} IS NULL" for c in ev.OBJECTIVES)} AS is_end,
   {' + '.join(f"coalesce((lead({c}) OVER w_{c} - lag({c}) OVER w_{c}) / nullif(max({c}) OVER (PARTITION BY front) - min({c}) OVER (PARTITION BY front), 0), 0)" for c in ev.OBJECTIVES)} AS dist FROM x WINDOW {', '.join(f"w_{c} AS (PARTITION BY front ORDER BY {c}, id)" for c in ev.OBJECTIVES)})
 SELECT id, CAST(front AS INTEGER) AS front, CASE WHEN is_end THEN NULL ELSE round(dist, 6) END AS crowding FROM c""")
 def pareto_front(spark: SparkSession, d: str) -> DataFrame:
-    """Fronts and crowding of suppliers by five stand-in objectives."""
-    k = F.col("s_suppkey")
+    """Fronts and crowding of customers by five stand-in objectives."""
+    k = F.col("c_custkey")
     mod = lambda a, m: F.pmod(k * a, F.lit(m)).cast("double")
-    p = t(spark, d, "supplier").select(k.alias("id"), F.col("s_acctbal").alias("sharpe"), mod(7919, 101).alias("calmar"), mod(104729, 97).alias("win_rate"), (-mod(31, 89)).alias("max_drawdown"), (-mod(17, 83)).alias("thrift"))
+    p = t(spark, d, "customer").select(k.alias("id"), F.col("c_acctbal").alias("sharpe"), mod(7919, 101).alias("calmar"), mod(104729, 97).alias("win_rate"), (-mod(31, 89)).alias("max_drawdown"), (-mod(17, 83)).alias("thrift"))
     return ev.crowding(ev.dominance_fronts(p)).select("id", "front", F.when(F.col("crowding") < float("inf"), F.round("crowding", 6)).alias("crowding"))
 
 
+def strategy_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Bars with regime, price, ATR, volatility and a forecast's probability; prices lie 1000 higher than values, so that returns are those of a price."""
+    s = market_state(market.states(spark, d))
+    p = F.try_divide(F.col("close") - F.col("low"), F.nullif(F.col("high") - F.col("low"), F.lit(0.0)))
+    return s.select("symbol", "ts", "regime", (F.col("close") + 1000).alias("price"), F.col("atr_wilder").alias("atr"), F.coalesce(F.col("vol_24") / 100, F.lit(0.01)).alias("vol"), F.coalesce(p, F.lit(0.5)).alias("p"))
+
+
+_GENES = {
+    "id": "s_suppkey", "regime": f"element_at(array({', '.join(map(repr, ge.REGIMES))}), CAST(s_suppkey % 5 + 1 AS INT))", "take": "1 + s_suppkey * 7 % 41 / 10.0D", "stop": "0.5D + s_suppkey * 11 % 26 / 10.0D",
+    "hold": "CAST(4 + s_suppkey * 13 % 93 AS INT)", "sizing": f"element_at(array({', '.join(map(repr, ge.SIZINGS))}), CAST(s_suppkey % 3 + 1 AS INT))",
+}
+
+
+def _fitness_sql() -> str:
+    """Every bar with a position is tried as an entry; a walk over the entries finds those that close, then one back-test."""
+    k, key = "id, symbol, fold", "PARTITION BY id, symbol, fold"
+    w = f"OVER ({key} ORDER BY i)"
+    return f"""
+WITH RECURSIVE {market.STATES}, ms AS ({ORACLE_SQL["market_state"]}),
+rows_ AS (SELECT st.symbol, st.ts, ms.regime, close + 1000 AS price, atr, coalesce(vol_24 / 100, 0.01) AS vol, coalesce((close - low) / nullif(high - low, 0), 0.5) AS p,
+  row_number() OVER (PARTITION BY st.symbol ORDER BY st.ts) - 1 AS k, count(*) OVER (PARTITION BY st.symbol) // 6 AS c FROM st JOIN ms ON ms.symbol = st.symbol AND ms.ts = st.ts),
+folds AS (SELECT *, CAST(least(k // c, 5) AS INTEGER) AS fold FROM rows_ WHERE c > 0 AND k >= c),
+tape AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, fold, regime ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol, fold, regime) AS m, count(*) OVER (PARTITION BY symbol, fold) AS f FROM folds) WHERE m >= 20 AND f >= 20),
+gen AS (SELECT s_suppkey AS id, [{", ".join(map(repr, ge.REGIMES))}][s_suppkey % 5 + 1] AS regime, 1 + s_suppkey * 7 % 41 / 10.0::DOUBLE AS take, 0.5::DOUBLE + s_suppkey * 11 % 26 / 10.0::DOUBLE AS stop, 4 + s_suppkey * 13 % 93 AS hold, s_suppkey % 3 AS sizing FROM supplier),
+x0 AS (SELECT {k}, i, m, price, take, stop, hold, CASE WHEN atr > 0 THEN atr ELSE 0.001 * price END AS unit,
+  CASE sizing WHEN 0 THEN CASE WHEN p > 0.55 THEN 1.0 WHEN p < 0.45 THEN -1.0 ELSE 0.0 END WHEN 1 THEN least(greatest(sign(p - 0.5) * (0.02 / greatest(vol, 1e-6)), -1), 1) ELSE least(greatest((p - 0.5) * 2, -1), 1) END::DOUBLE AS pos FROM tape JOIN gen USING (regime)),
+x1 AS (SELECT *, CASE WHEN abs(pos) = 1 THEN pos ELSE 0 END AS u, CASE WHEN abs(abs(pos) - 1) < 0.01 THEN sign(pos) ELSE 0 END AS v FROM x0),
+x2 AS (SELECT *, CASE WHEN u = lag(u) {w} THEN 0 ELSE 1 END AS nu, CASE WHEN v = lag(v) {w} THEN 0 ELSE 1 END AS nv FROM x1),
+x3 AS (SELECT *, sum(nu) OVER ({key} ORDER BY i ROWS UNBOUNDED PRECEDING) AS bu, sum(nv) OVER ({key} ORDER BY i ROWS UNBOUNDED PRECEDING) AS bv FROM x2),
+x4 AS (SELECT *, max(i) OVER (PARTITION BY {k}, bu) AS eu, max(i) OVER (PARTITION BY {k}, bv) AS ev FROM x3),
+xs AS (SELECT *, CASE WHEN pos <> 0 AND lead(u) {w} = sign(pos) THEN lead(eu) {w} ELSE i END AS l FROM x4),
+hit AS (SELECT {k}, a.i, min(b.i) AS j, arg_min(b.ev, b.i) AS z FROM xs a JOIN xs b USING ({k}) WHERE a.pos <> 0 AND b.i > a.i AND b.i <= a.l
+  AND (b.i - a.i >= a.hold OR b.price >= a.price + a.unit * CASE WHEN a.pos > 0 THEN a.take ELSE a.stop END OR b.price <= a.price - a.unit * CASE WHEN a.pos > 0 THEN a.stop ELSE a.take END) GROUP BY ALL),
+step AS (SELECT {k}, xs.i, j, z, CASE WHEN pos = 0 THEN xs.i + 1 WHEN j IS NOT NULL THEN z + 1 WHEN l = m - 1 THEN m ELSE xs.i + 1 END AS after FROM xs LEFT JOIN hit USING ({k}, i)),
+walk AS (SELECT {k}, i, j, z, after FROM step WHERE i = 0 UNION ALL SELECT {k}, s.i, s.j, s.z, s.after FROM walk JOIN step s USING ({k}) WHERE s.i = walk.after),
+gone AS (SELECT {k}, unnest(range(j, z + 1)) AS i FROM walk WHERE j IS NOT NULL),
+y AS (SELECT xs.*, CASE WHEN gone.i IS NULL THEN pos ELSE 0 END AS q FROM xs LEFT JOIN gone USING ({k}, i)),
+mv AS (SELECT *, coalesce(lag(q) {w}, 0) AS held, coalesce(price / lag(price) {w} - 1, 0) AS ret FROM y),
+pn AS (SELECT *, abs(q - held) AS turn, held * ret - 0.001 * abs(q - held) AS pnl FROM mv), eq AS (SELECT *, exp(sum(ln(1 + pnl)) OVER ({key} ORDER BY i ROWS UNBOUNDED PRECEDING)) AS eq FROM pn),
+dd AS (SELECT *, 1 - eq / max(eq) OVER ({key} ORDER BY i ROWS UNBOUNDED PRECEDING) AS dd FROM eq),
+fr AS (SELECT {k}, CASE WHEN max(pnl) = min(pnl) THEN 0 ELSE round(avg(pnl) / stddev_samp(pnl) * sqrt(8760), 4) END AS sharpe, -round(max(dd), 6) AS deep, avg(turn) AS turn, arg_max(eq, i) - 1 AS total, sum(CAST(turn > 1e-5 AS INTEGER)) AS trades FROM dd GROUP BY {k}),
+al AS (SELECT id, avg(sharpe) AS sharpe, avg(deep) AS deep, avg(turn) AS turn, avg(total) AS total, avg(CAST(sharpe > 0 AS INTEGER)) AS win, sum(trades) AS trades, count(*) AS folds FROM fr GROUP BY id)
+SELECT gen.id, gen.regime, round(sharpe, 3) AS sharpe, round(CASE WHEN deep = 0 THEN 0 ELSE total / abs(deep) END, 4) AS calmar, round(win, 6) AS win_rate, round(deep, 6) AS max_drawdown, round(-turn, 6) AS thrift, CAST(coalesce(trades, 0) AS BIGINT) AS trades, coalesce(folds, 0) AS folds FROM gen LEFT JOIN al USING (id)"""
+
+
+@query("genome_fitness", _fitness_sql())
+def genome_fitness(spark: SparkSession, d: str) -> DataFrame:
+    """One exit policy for each supplier, judged on its regime's bars in every test fold of every series."""
+    genomes = t(spark, d, "supplier").select(*[F.expr(v).alias(k) for k, v in _GENES.items()])
+    return ge.fitness(genomes, strategy_bars(spark, d)).join(genomes.select("id", "regime"), "id").select("id", "regime", R("sharpe", 3), R("calmar", 4), R("win_rate"), R("max_drawdown"), R("thrift"), "trades", "folds")
+
+
 @query("evolution")
 def evolution(spark: SparkSession, d: str) -> DataFrame:
-    """Two generations on all bars of every series: fitness, fronts, survivors, children."""
-    series = signals(spark, d).select("symbol", "ts", "p", "r").persist()
-    first = ev.seeded(spark, 24).persist()
-    alive = ev.survivors(ev.dominance_fronts(ev.fitness(first, series)), 8)
-    children = ev.bred(first, first.join(alive.select("id"), "id", "left_semi"), 16).persist()
-    both = ev.fitness(first, series).unionByName(ev.fitness(children, series))
-    return ev.dominance_fronts(both).select("id", "front", R("total"), R("sharpe", 4), R("max_drawdown"), "trades")
+    """Two generations of exit policies: fitness over folds and regimes, fronts, survivors, children."""
+    bars = written(strategy_bars(spark, d))
+    first = written(ge.seeded(spark, 40))
+    judged = written(ge.fitness(first, bars))
+    alive = ev.survivors(ev.dominance_fronts(judged), 20)
+    children = written(ge.bred(first, first.join(alive.select("id"), "id", "left_semi"), 20))
+    both = judged.unionByName(ge.fitness(children, bars))
+    genes = first.unionByName(children)
+    return ev.dominance_fronts(both).join(genes, "id").select("id", "generation", "regime", "front", R("sharpe", 4), R("calmar", 4), R("max_drawdown"), "trades", "folds")
 
 
 @query("quarantine_states", "WITH t AS (SELECT l_suppkey AS genome_id, l_tax - 0.04 AS pnl FROM lineitem), a AS (SELECT genome_id, count(*) AS trades, avg(pnl) AS m, avg(CAST(pnl > 0 AS INTEGER)) AS w FROM t GROUP BY 1) SELECT genome_id, trades, CASE WHEN trades < 30 THEN 'WAITING' WHEN round(m, 9) > 0 AND w >= 0.5 THEN 'PROMOTED' ELSE 'DEMOTED' END AS state FROM a")
