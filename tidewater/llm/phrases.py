@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 LONGEST = 4
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Rows of a batch that become Python objects together.
 ROWS = 2048
 MOST_BITS = 24
@@ -97,6 +97,7 @@ class _Pass:
         numbers = _Numbers({_STOP: 0})
         words = b" . ".join(texts).translate(_LETTERS).replace(_STOP, b" . ").split()
         ids = np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))
+        del words
         of = self.hashes(numbers, lang)
         names, base, h = list(numbers), len(numbers), of[ids]
         total = int(np.count_nonzero(ids))
@@ -231,7 +232,7 @@ def frequent(docs: DataFrame, least: int = 30, bits: int | None = None) -> tuple
     root, bitmaps, found, words = shared_dir(spark), None, [], None
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for k in range(1, LONGEST + 1):
-        _pass(texts, k, bits, least, bitmaps).write.parquet(f"{root}/raw{k}")
+        _pass(texts, k, bits, least, bitmaps).write.option("parquet.block.size", 16 << 20).parquet(f"{root}/raw{k}")
         raw = spark.read.schema(_RAW).parquet(f"{root}/raw{k}")
         raw.where("phrase is not null").groupBy("lang", "phrase", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).write.parquet(f"{root}/{k}")
         counted = spark.read.schema("lang string, phrase binary, h long, n long").parquet(f"{root}/{k}")
