@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .ranks import average_ranks, below, counted
 
 
@@ -125,3 +126,52 @@ def kolmogorov_smirnov(a: DataFrame, b: DataFrame, x: str, by: tuple[str, ...] =
     ones = F.col("_ka") + below(by, x, "_k") + F.col("_k")
     gap = F.abs(F.try_divide(ones, F.nullif(F.col("n_a"), F.lit(0))) - F.try_divide(up_to - ones, F.nullif(F.col("n_b"), F.lit(0))))
     return each.withColumn("_d", gap).groupBy(*by).agg(F.max("_d").alias("ks"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+
+
+#: Shares that a common value's rows are dealt to when they fetch its rank.
+SALTS = 8
+
+
+def kolmogorov_tail(x: Column, terms: int = 100) -> Column:
+    """P(K > x) of the Kolmogorov distribution: 2 sum over k of (-1)^(k-1) exp(-2 k^2 x^2); 1 below 0.2, where it is 1 to ten digits."""
+    each = F.transform(F.sequence(F.lit(1), F.lit(terms)), lambda k: F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * x * x))
+    return F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * F.aggregate(each, F.lit(0.0), lambda a, b: a + b))))
+
+
+def drift(base: DataFrame, current: DataFrame, x: str, by: tuple[str, ...] = (), least: int = 15) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov test with its asymptotic p-value, and the relative shift of the mean, with a status each.
+
+    A side of fewer than ``least`` rows, or none, tests as no drift.
+    """
+    k = kolmogorov_smirnov(base, current, x, by)
+    both = base.select(*by, x, F.lit(True).alias("_a")).unionByName(current.select(*by, x, F.lit(False).alias("_a")))
+    means = both.groupBy(*by).agg(F.avg(F.when(F.col("_a"), F.col(x))).alias("_b"), F.avg(F.when(~F.col("_a"), F.col(x))).alias("_c"))
+    few, a, b = F.least("n_a", "n_b") < least, F.col("n_a").cast("double"), F.col("n_b").cast("double")
+    out = k.join(means, list(by)) if by else k.crossJoin(F.broadcast(means))  # one row
+    out = out.withColumn("p_value", F.when(few, 1.0).otherwise(kolmogorov_tail(F.sqrt(a * b / (a + b)) * F.col("ks")))).withColumn("ks", F.when(few, 0.0).otherwise(F.col("ks")))
+    out = out.withColumn("mean_shift", F.abs(F.col("_c") - F.col("_b")) / F.greatest(F.col("_b"), F.lit(1e-4)))
+    status = lambda bad, odd: F.when(bad, "ALERT").when(odd, "WATCH").otherwise("NORMAL")
+    p, m = F.col("p_value"), F.col("mean_shift")
+    return out.select(*by, F.col("n_a").alias("n_base"), F.col("n_b").alias("n_current"), "ks", "p_value", status(p < 0.01, p < 0.05).alias("status"), "mean_shift", status(m > 0.4, m > 0.2).alias("shift_status"))
+
+
+def ranked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Each column replaced by its average ranks over all rows, NULL staying NULL.
+
+    Values of all columns are one table, dealt by column and value; a row gets its ranks back by a
+    number of its own, so a common value is as spread as any.
+    """
+    held = written(rows.select(*columns).withColumn("_id", F.monotonically_increasing_id()))
+    long = held.select("_id", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("_x")).select("_id", "_x.c", "_x.v").where("v is not null")
+    ranks = counted(long, ["c"], "v").select("c", "v", (F.col("_before") + below(["c"], "v") + (F.col("_n") + 1) / 2).alias("rank"))
+    salt = F.pmod(F.col("_id"), F.lit(SALTS)).cast("int")
+    back = long.withColumn("s", salt).join(ranks.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["c", "v", "s"])
+    return back.groupBy("_id").agg(*[F.max(F.when(F.col("c") == c, F.col("rank"))).alias(c) for c in columns]).drop("_id")
+
+
+def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``feature_a, feature_b, rho`` of every pair of columns, in one pass of sums over the rows."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    one = rows.agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    cells = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"_{i}").alias("rho")) for i, (a, b) in enumerate(pairs)])
+    return one.select(F.explode(cells).alias("x")).select("x.*")

@@ -133,25 +133,6 @@ def microstructure(bars: DataFrame, key: Key = BARS) -> DataFrame:
     return out.withColumn("vpin", clip(F.coalesce(vpin, F.lit(0.2)), 0.0, 1.0)).drop("_a", "_c", "_o", "_i")
 
 
-def structure(bars: DataFrame, key: Key = BARS, reach: int = 3, same: float = 0.0015) -> DataFrame:
-    """Swing highs and lows, higher/lower labels, breaks and changes of structure, equal highs and lows, wick sweeps."""
-    centred = key.base().rowsBetween(-reach, reach)
-    full = F.count("*").over(centred) == 2 * reach + 1
-    out = bars.withColumn("swing_high", full & (F.col("high") == F.max("high").over(centred))).withColumn("swing_low", full & (F.col("low") == F.min("low").over(centred)))
-    # a swing is known only reach bars later
-    known = key.base().rowsBetween(-(10**9), -reach)
-    out = out.withColumn("last_high", F.last(F.when(F.col("swing_high"), F.col("high")), ignorenulls=True).over(known)).withColumn("last_low", F.last(F.when(F.col("swing_low"), F.col("low")), ignorenulls=True).over(known))
-    shape = F.when(F.col("swing_high") & (F.col("high") > F.col("last_high")), "HH").when(F.col("swing_high"), "LH").when(F.col("swing_low") & (F.col("low") < F.col("last_low")), "LL").when(F.col("swing_low"), "HL")
-    broke = F.when(F.col("close") > F.col("last_high"), "UP").when(F.col("close") < F.col("last_low"), "DOWN")
-    out = out.withColumn("swing", shape).withColumn("break_of_structure", broke)
-    earlier = F.last("break_of_structure", ignorenulls=True).over(key.base().rowsBetween(-(10**9), -1))
-    near = lambda a, b: F.abs(F.try_divide(F.col(a), F.col(b)) - 1) < same
-    out = out.withColumn("change_of_character", F.coalesce(F.col("break_of_structure") != earlier, F.lit(False)))
-    out = out.withColumn("equal_highs", F.coalesce(F.col("swing_high") & near("high", "last_high"), F.lit(False))).withColumn("equal_lows", F.coalesce(F.col("swing_low") & near("low", "last_low"), F.lit(False)))
-    swept = F.when((F.col("high") > F.col("last_high")) & (F.col("close") < F.col("last_high")), "HIGH").when((F.col("low") < F.col("last_low")) & (F.col("close") > F.col("last_low")), "LOW")
-    return out.withColumn("sweep", swept)
-
-
 def term_structure(rows: DataFrame) -> DataFrame:
     """Volatilities of 5 minutes, 1, 4 and 24 hours, scaled to a day and compared; the regime and trend they name."""
     day = F.greatest(F.lit(1e-6), F.col("vol_24h"))
@@ -281,7 +262,8 @@ def event_features(events: DataFrame, by: list[str], size: int = 8192) -> DataFr
     e = e.withColumn("_r", F.coalesce(F.try_divide(F.col("mid_price"), F.lag("mid_price").over(w)) - 1, F.lit(0.0)))
     # the first 49 events take the first known value, which is in their own block
     e = e.withColumn("_v", F.when(F.col("_rn") >= 49, rolling(F.stddev_samp, "_r", last(50), 50)))
-    e = e.withColumn("realized_vol_50", F.coalesce("_v", F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(0.0005)))
+    known = F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col("_rn"))).over(Window.partitionBy(*by, "_block"))
+    e = e.withColumn("realized_vol_50", F.coalesce("_v", known, F.lit(0.0005)))
     return e.where("_own").drop("_block", "_own", "_rn", "_us", "_ms", "_dt", "_r", "_v")
 
 

@@ -1,17 +1,13 @@
 """Path-dependent operators: what happens at a row depends on decisions at earlier rows.
 
 Those over bars are one grouped, Arrow-batched pass per series, which is bounded. Those over raw
-ticks hold no series in memory: the cooldown streams over sorted rows and jumps from one counted
-event to the next; Hawkes intensities forget, so they are computed in blocks of time.
+ticks hold no series in memory: Hawkes intensities forget, so they are computed in blocks of time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
@@ -94,39 +90,6 @@ def exit_policy(rows: DataFrame, by: list[str], order: list[str], position: str,
     return _per_series(rows, by, order, [StructField("held", DoubleType()), StructField("exit_reason", StringType())], run)
 
 
-def cooldown(rows: DataFrame, by: str, tie: str, seconds: float) -> DataFrame:
-    """The rows that count: an event counts only if the last counted one of its key is at least ``seconds`` earlier.
-
-    Greedy, so a key is one ordered pass; rows stream through it in batches, and the next counted
-    row is found by search, so work beyond the sort grows with what is counted.
-    """
-    wait, names = int(seconds * 1e6), rows.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last = None, None
-        for batch in batches:
-            keys, us, kept, at = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_numpy(), [], 0
-            while at < len(us):
-                if keys[at] != key:
-                    key, last = keys[at], None
-                lo, hi = at, len(us)  # where this key's rows end
-                while lo < hi:
-                    mid = (lo + hi) // 2
-                    lo, hi = (mid + 1, hi) if keys[mid] == key else (lo, mid)
-                while at < lo:
-                    if last is not None:
-                        at += int(np.searchsorted(us[at:lo], last + wait))
-                    if at < lo:
-                        kept.append(at)
-                        last = us[at]
-                        at += 1
-            yield batch.take(pa.array(kept, type=pa.int64())).select(list(range(len(names))))
-
-    # keys stand together after the sort, so a batch is searched by key
-    dealt = rows.select("*", F.col(by).cast("string").alias("_key"), micros().alias("_us")).repartition("_key").sortWithinPartitions("_key", "_us", tie)
-    return dealt.mapInArrow(run, rows.schema)
-
-
 #: Fixed values of the intensities: base rates, excitation of row by column, decay of each row a second (buy, sell, liquidity, volatility).
 MU = (0.5, 0.5, 0.3, 0.1)
 ALPHA = ((0.25, 0.05, 0.10, 0.15), (0.05, 0.25, 0.10, 0.15), (0.10, 0.10, 0.20, 0.10), (0.20, 0.20, 0.15, 0.30))
@@ -173,27 +136,3 @@ def hawkes(events: DataFrame, width: int = 3_600_000_000) -> DataFrame:
         return out[pdf["_own"].to_numpy()]
 
     return dealt.groupBy("_block").applyInPandas(run, schema)
-
-
-def paper_arena(rows: DataFrame, by: list[str], order: list[str], signal: str, cost: float = 0.001, risk: float = 0.1) -> DataFrame:
-    """Paper trading: open, close, equity and drawdown with a share of equity at risk; stops at 50 % drawdown."""
-
-    def run(pdf: pd.DataFrame):
-        equity, top, pos, entry = 1.0, 1.0, 0.0, 0.0
-        eq, dd, act = [], [], []
-        for s, c in zip(pdf[signal].fillna(0.0), pdf["close"], strict=True):
-            did = None
-            if pos and s != pos:
-                equity *= 1 + risk * max(-1.0, pos * (c / entry - 1)) - risk * cost
-                pos, did = 0.0, "CLOSE"
-            if not pos and s and c > 0 and 1 - equity / top < 0.5:
-                pos, entry = s, c
-                equity *= 1 - risk * cost
-                did = "FLIP" if did else "OPEN"
-            top = max(top, equity)
-            eq.append(equity)
-            dd.append(1 - equity / top)
-            act.append(did)
-        return [eq, dd, act]
-
-    return _per_series(rows, by, order, [StructField("equity", DoubleType()), StructField("drawdown", DoubleType()), StructField("action", StringType())], run)

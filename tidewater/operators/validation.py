@@ -111,21 +111,6 @@ def block_bootstrap(rows: DataFrame, value: str, order: list[str], block: int, r
     return sums.select("draw", mean.alias("mean"), (mean / (dev + 1e-8) * per_year**0.5).alias("sharpe"), (F.col("up") / F.greatest(F.lit(1e-6), F.col("down"))).alias("profit_factor"))
 
 
-def bootstrap_drawdown(rows: DataFrame, value: str, order: list[str], block: int, resamples: int) -> DataFrame:
-    """``draw, max_drawdown`` of the equity of each resample, its blocks in the drawn order.
-
-    A block is its log growth, highest and lowest point and deepest fall; two in a row combine into
-    the same four numbers, so a resample is a fold over its blocks.
-    """
-    w = Window.partitionBy("b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    e = _numbered_blocks(rows, order, block).withColumn("_e", F.sum(F.log1p(F.greatest(F.col(value), F.lit(-0.999999)))).over(w)).withColumn("_top", F.greatest(F.lit(0.0), F.max("_e").over(w)))
-    blocks = e.groupBy("b").agg(F.max_by("_e", "_i").alias("e"), F.greatest(F.lit(0.0), F.max("_e")).alias("top"), F.min("_e").alias("low"), F.max(F.col("_top") - F.col("_e")).alias("dd"))
-    lists = _draws(blocks, resamples).join(blocks, "b").groupBy("draw").agg(F.sort_array(F.collect_list(F.struct("slot", "e", "top", "low", "dd"))).alias("l"))  # a row a block
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("e", "top", "dd")])
-    step = lambda a, x: F.struct((a["e"] + x["e"]).alias("e"), F.greatest(a["top"], a["e"] + x["top"]).alias("top"), F.greatest(a["dd"], x["dd"], a["top"] - a["e"] - x["low"]).alias("dd"))
-    return lists.select("draw", (1 - F.exp(-F.aggregate("l", zero, step)["dd"])).alias("max_drawdown"))
-
-
 def sign_flip(blocks: DataFrame, diff: str, resamples: int) -> DataFrame:
     """Permutation p-value of a mean difference: signs of whole blocks flipped by a hash.
 

@@ -155,14 +155,25 @@ def entropy_and_mi(spark: SparkSession, d: str) -> DataFrame:
     return fm.entropy(s, "horizon").crossJoin(fm.mutual_information(s, "horizon", "regime")).select(R("bits"), R("normalised"), R("mi"))
 
 
+_TAIL = "greatest(0, least(1, CASE WHEN lam < 0.2 THEN 1 ELSE 2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * k * k * lam * lam))) END))"
+_STATUS = "CASE WHEN p < 0.01 THEN 'ALERT' WHEN p < 0.05 THEN 'WATCH' ELSE 'NORMAL' END"
+
+
 @query("ks_drift", f"""
-WITH {S}, v AS (SELECT x, sum(CAST(regime = 'O' AS INTEGER)) AS a, sum(CAST(regime = 'F' AS INTEGER)) AS b FROM s GROUP BY x),
-c AS (SELECT abs(sum(a) OVER (ORDER BY x) / sum(a) OVER () - sum(b) OVER (ORDER BY x) / sum(b) OVER ()) AS d FROM v)
-SELECT round(max(d), 6) AS ks, CASE WHEN max(d) > 0.2 THEN 'ALERT' WHEN max(d) > 0.1 THEN 'WATCH' ELSE 'NORMAL' END AS status FROM c""")
+WITH {S}, u AS (SELECT unnest([{{'f': 'x', 'v': x}}, {{'f': 'p', 'v': p}}, {{'f': 'r', 'v': r * 100}}, {{'f': 'price', 'v': price}}], recursive := true), horizon, regime, 100 * extract(year FROM ts) + extract(month FROM ts) AS month FROM s),
+z AS (SELECT f, v, month <= 199806 AS base FROM u WHERE month BETWEEN 199804 AND 199808 AND month <> 199807), v AS (SELECT f, v, sum(CAST(base AS INTEGER)) AS a, sum(CAST(NOT base AS INTEGER)) AS b FROM z GROUP BY ALL),
+c AS (SELECT f, sum(a) OVER g AS n, sum(b) OVER g AS m, abs(sum(a) OVER o / sum(a) OVER g - sum(b) OVER o / sum(b) OVER g) AS d FROM v WINDOW g AS (PARTITION BY f), o AS (PARTITION BY f ORDER BY v)),
+k AS (SELECT f, max(n) AS n, max(m) AS m, max(d) AS d, sqrt(max(n) * max(m) / (max(n) + max(m))) * max(d) AS lam FROM c GROUP BY f), h AS (SELECT f, avg(v) FILTER (WHERE base) AS mb, avg(v) FILTER (WHERE NOT base) AS mc FROM z GROUP BY f),
+q AS (SELECT *, CASE WHEN least(n, m) < 15 THEN 1 ELSE {_TAIL} END AS p, abs(mc - mb) / greatest(mb, 1e-4) AS shift FROM k JOIN h USING (f))
+SELECT f AS feature, CAST(n AS BIGINT) AS n_base, CAST(m AS BIGINT) AS n_current, CASE WHEN least(n, m) < 15 THEN 0 ELSE round(d, 6) END AS ks, round(p, 6) AS p_value, {_STATUS} AS status, round(shift, 6) AS mean_shift, CASE WHEN shift > 0.4 THEN 'ALERT' WHEN shift > 0.2 THEN 'WATCH' ELSE 'NORMAL' END AS shift_status FROM q""")
 def ks_drift(spark: SparkSession, d: str) -> DataFrame:
-    s = scored(spark, d)
-    out = fm.kolmogorov_smirnov(s.where("regime = 'O'"), s.where("regime = 'F'"), "x")
-    return out.select(R("ks"), F.when(F.col("ks") > 0.2, "ALERT").when(F.col("ks") > 0.1, "WATCH").otherwise("NORMAL").alias("status"))
+    """Drift of four features between a quarter and the month after next: distance, p-value, status, mean shift."""
+    month = F.year("ts") * 100 + F.month("ts")
+    s = scored(spark, d).withColumn("month", month).where("month between 199804 and 199808 and month <> 199807")
+    parts = F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(c) * k).cast("double").alias("value")) for c, k in (("x", 1), ("p", 1), ("r", 100), ("price", 1))])
+    rows = s.select((F.col("month") <= 199806).alias("base"), F.explode(parts).alias("f")).select("base", "f.*")
+    out = fm.drift(rows.where("base"), rows.where("not base"), "value", ("feature",))
+    return out.select("feature", "n_base", "n_current", R("ks"), R("p_value"), "status", R("mean_shift"), "shift_status")
 
 
 @query("event_shocks", f"""
@@ -394,7 +405,25 @@ def manifest_hashes(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "orders").select("o_orderkey", F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority"), 256).alias("digest"))
 
 
-@query("factor_correlations", f"WITH {S} SELECT regime, round(corr(x, price), 6) AS x_price, round(corr(p, r), 6) AS p_r, abs(corr(x, price)) >= 0.8 AS x_price_strong FROM s GROUP BY regime")
+_FACTORS = {
+    "quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax", "line": "l_linenumber", "revenue": "l_extendedprice * (1 - l_discount)", "charge": "l_extendedprice * (1 - l_discount) * (1 + l_tax)", "part": "l_partkey",
+    "supplier": "l_suppkey", "saved": "l_extendedprice * l_discount",
+}
+
+
+def _correlation_sql() -> str:
+    names = list(_FACTORS)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    ranks = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r_{c}" for c in names)
+    each = " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({a}, {b}) AS pearson, corr(r_{a}, r_{b}) AS spearman FROM r" for a, b in pairs)
+    return f"""WITH f AS (SELECT {", ".join(f"CAST(round({v}, 4) AS DOUBLE) AS {k}" for k, v in _FACTORS.items())} FROM lineitem), r AS (SELECT *, {ranks} FROM f), p AS ({each})
+SELECT feature_a, feature_b, round(pearson, 5) AS pearson, round(spearman, 5) AS spearman, CASE WHEN abs(spearman) >= 0.95 THEN 'Near Duplicate' WHEN abs(spearman) >= 0.8 THEN 'High Collinearity' END AS relationship FROM p"""
+
+
+@query("factor_correlations", _correlation_sql())
 def factor_correlations(spark: SparkSession, d: str) -> DataFrame:
-    c = F.corr("x", "price")
-    return scored(spark, d).groupBy("regime").agg(F.round(c, 6).alias("x_price"), F.round(F.corr("p", "r"), 6).alias("p_r"), (F.abs(c) >= 0.8).alias("x_price_strong"))
+    """Pearson and Spearman correlation of every pair of factors, and what pairs from 0.80 on are called."""
+    rows = t(spark, d, "lineitem").select(*[F.round(F.expr(v), 4).cast("double").alias(k) for k, v in _FACTORS.items()])
+    both = fm.correlations(rows, list(_FACTORS)).withColumnRenamed("rho", "pearson").join(fm.correlations(fm.ranked(rows, list(_FACTORS)), list(_FACTORS)).withColumnRenamed("rho", "spearman"), ["feature_a", "feature_b"])
+    strong = F.abs("spearman")
+    return both.select("feature_a", "feature_b", R("pearson", 5), R("spearman", 5), F.when(strong >= 0.95, "Near Duplicate").when(strong >= 0.8, "High Collinearity").alias("relationship"))

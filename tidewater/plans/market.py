@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scans
 from ..functions import windows as fw
 from ..operators import bars as ob
 from ..operators import indicators as oi
+from ..operators import intelligence as on
 from ..operators import labels as ol
 from . import sql as q
 from .registry import query
@@ -177,15 +179,46 @@ def microstructure_block(spark: SparkSession, d: str) -> DataFrame:
     return oi.microstructure(ob.bars(spark, d)).select("symbol", T(), R("spread"), R("imbalance"), R("taker_share"), R("vpin"))
 
 
+def _swing(name: str, source: str, best: str) -> str:
+    w = f"OVER ({q.W} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
+    return f"CASE WHEN count(*) {w} = 7 AND {source} = {best}({source}) {w} THEN {source} END AS {name}"
+
+
 @query("market_structure", f"""
-WITH {q.BARS}, c AS (SELECT *, count(*) OVER w = 7 AND high = max(high) OVER w AS sh, count(*) OVER w = 7 AND low = min(low) OVER w AS sl FROM bars WINDOW w AS ({q.W} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
-k AS (SELECT *, last_value(CASE WHEN sh THEN high END IGNORE NULLS) OVER w AS lh, last_value(CASE WHEN sl THEN low END IGNORE NULLS) OVER w AS ll FROM c WINDOW w AS ({q.W} ROWS BETWEEN UNBOUNDED PRECEDING AND 3 PRECEDING)),
-b AS (SELECT *, CASE WHEN close > lh THEN 'UP' WHEN close < ll THEN 'DOWN' END AS bos FROM k)
-SELECT symbol, ts, sh AS swing_high, sl AS swing_low, CASE WHEN sh AND high > lh THEN 'HH' WHEN sh THEN 'LH' WHEN sl AND low < ll THEN 'LL' WHEN sl THEN 'HL' END AS swing, bos AS break_of_structure,
-  coalesce(bos <> last_value(bos IGNORE NULLS) OVER ({q.W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS change_of_character, coalesce(sh AND abs(high / nullif(lh, 0) - 1) < 0.0015, false) AS equal_highs, coalesce(sl AND abs(low / nullif(ll, 0) - 1) < 0.0015, false) AS equal_lows,
-  CASE WHEN high > lh AND close < lh THEN 'HIGH' WHEN low < ll AND close > ll THEN 'LOW' END AS sweep FROM b""")
+WITH {q.BARS}, c AS (SELECT *, row_number() OVER ({q.W}) AS i, {_swing('sh', 'high', 'max')}, {_swing('sl', 'low', 'min')} FROM bars),
+a AS (SELECT *, list(sh) FILTER (WHERE sh IS NOT NULL) OVER w AS hs, list(sl) FILTER (WHERE sl IS NOT NULL) OVER w AS ls FROM c WINDOW w AS ({q.W} ROWS BETWEEN UNBOUNDED PRECEDING AND 3 PRECEDING)),
+k AS (SELECT *, hs[-1] AS h1, ls[-1] AS l1, coalesce(hs[-1] > hs[-2], false) AS hh, coalesce(hs[-1] < hs[-2], false) AS lh, coalesce(ls[-1] > ls[-2], false) AS hl, coalesce(ls[-1] < ls[-2], false) AS ll FROM a)
+SELECT symbol, ts, CASE WHEN hh AND hl THEN 'Bullish' WHEN lh AND ll THEN 'Bearish' WHEN hh THEN 'Consolidating Bullish' WHEN lh THEN 'Consolidating Bearish' ELSE 'Ranging' END AS structure,
+  CASE WHEN hh AND hl THEN 84 WHEN lh AND ll THEN 78 WHEN hh THEN 65 WHEN lh THEN 60 ELSE 52 END AS trend_strength, round((close - coalesce(h1, close)) / nullif(coalesce(h1, close), 0) * 100, 2) AS break_pct,
+  coalesce(hh AND close < l1, false) OR coalesce(ll AND close > h1, false) AS change_of_character, coalesce(h1, close) AS last_swing_high, coalesce(l1, close) AS last_swing_low FROM k""")
 def market_structure(spark: SparkSession, d: str) -> DataFrame:
-    return oi.structure(ob.bars(spark, d)).select("symbol", T(), "swing_high", "swing_low", "swing", "break_of_structure", "change_of_character", "equal_highs", "equal_lows", "sweep")
+    return on.structure(ob.bars(spark, d)).select("symbol", T(), "structure", "trend_strength", F.round("break_pct", 2).alias("break_pct"), "change_of_character", "last_swing_high", "last_swing_low")
+
+
+@query("market_liquidity", f"""
+WITH {q.BARS}, a AS (SELECT *, list_sort(list(high) {q.last(20)}) AS hs, list_sort(list(low) {q.last(20)}) AS ls, 2.5 * greatest(abs(close - open), 10.0) AS body FROM bars),
+k AS (SELECT *, list_filter(range(1, len(hs)), lambda i: (hs[i + 1] - hs[i]) / nullif(hs[i], 0) < 0.0015)[1] AS hi, list_filter(range(1, len(ls)), lambda i: (ls[i + 1] - ls[i]) / nullif(ls[i], 0) < 0.0015)[1] AS li FROM a),
+s AS (SELECT *, CASE WHEN high - greatest(close, open) > body THEN 'UPPER_WICK' WHEN least(close, open) - low > body THEN 'LOWER_WICK' ELSE 'NONE' END AS sweep FROM k)
+SELECT symbol, ts, hi IS NOT NULL AS equal_highs, li IS NOT NULL AS equal_lows, sweep, CASE WHEN sweep <> 'NONE' THEN 'HIGH' WHEN hi IS NOT NULL OR li IS NOT NULL THEN 'ELEVATED' ELSE 'LOW' END AS risk,
+  round(CASE WHEN hi IS NOT NULL THEN hs[hi + 1] WHEN li IS NOT NULL THEN ls[li] ELSE close * 1.012 END, 4) AS sweep_target FROM s""")
+def market_liquidity(spark: SparkSession, d: str) -> DataFrame:
+    return on.liquidity(ob.bars(spark, d)).select("symbol", T(), "equal_highs", "equal_lows", "sweep", "risk", F.round("sweep_target", 4).alias("sweep_target"))
+
+
+@query("market_momentum", f"""
+WITH {q.BARS}, a AS (SELECT *, coalesce((close - lag(close, 14) OVER ({q.W})) / nullif(lag(close, 14) OVER ({q.W}), 0), 0.01) AS roc, volume / nullif(avg(volume) {q.last(20)}, 0) AS ve, coalesce(CAST(close > lag(close) OVER ({q.W}) AS INTEGER), 0) AS up FROM bars),
+k AS (SELECT *, CAST(trunc(greatest(15.0, least(95.0, 50 + roc * 500 + (ve - 1) * 20))) AS INTEGER) AS strength, CAST(trunc(avg(up) {q.last(10)} * 100) AS INTEGER) AS persistence FROM a)
+SELECT symbol, ts, CASE WHEN strength >= 65 THEN 'Expanding' WHEN strength <= 35 THEN 'Compressing' ELSE 'Neutral' END AS momentum, strength AS momentum_strength, round(roc * 100, 2) AS roc_14_pct, round(ve, 4) AS volume_expansion, persistence FROM k""")
+def market_momentum(spark: SparkSession, d: str) -> DataFrame:
+    return on.momentum(ob.bars(spark, d)).select("symbol", T(), "momentum", "momentum_strength", F.round("roc_14_pct", 2).alias("roc_14_pct"), F.round("volume_expansion", 4).alias("volume_expansion"), "persistence")
+
+
+@query("market_volatility", f"""
+WITH {q.BARS}, r AS (SELECT *, ln(close / lag(close) OVER ({q.W})) AS x FROM bars), v AS (SELECT *, stddev_samp(x) {q.last(24)} AS v, count(x) {q.last(24)} AS k FROM r),
+h AS (SELECT *, list(v) FILTER (WHERE k = 24) {q.last(697)} AS past FROM v), p AS (SELECT *, coalesce(100.0 * len(list_filter(past, lambda y: y < v)) / nullif(len(past), 0), 35.0) AS p FROM h)
+SELECT symbol, ts, CASE WHEN p < 25 THEN 'Compression' WHEN p < 60 THEN 'Quiet' WHEN p < 85 THEN 'Expansion' WHEN p < 95 THEN 'Exhaustion' ELSE 'Panic' END AS volatility_state, CAST(trunc(p) AS INTEGER) AS volatility_percentile, round(v, 4) AS realized_vol_24 FROM p""")
+def market_volatility(spark: SparkSession, d: str) -> DataFrame:
+    return on.volatility(ob.bars(spark, d)).select("symbol", T(), "volatility_state", "volatility_percentile", F.round("realized_vol_24", 4).alias("realized_vol_24"))
 
 
 @query("volatility_term_structure", f"""
@@ -468,3 +501,15 @@ def ewm_exact(spark: SparkSession, d: str) -> DataFrame:
     return b.select("symbol", T(), F.round("ema_200", 4).alias("ema_200"), F.round("ema_50_adjusted", 4).alias("ema_50_adjusted"))
 
 
+_DECAY = "list_reduce(l, lambda s, v: {'d': A * s.d + 1, 'e': A * A * s.e + 1, 'm': (A * s.d * s.m + v.m) / (A * s.d + 1), 'q': A * s.q + A * s.d / (A * s.d + 1) * (s.m - v.m) * (s.m - v.m)})".replace("A", f"{1 - 2 / 51!r}::DOUBLE")
+
+
+@query("ewm_ticks", f"""
+WITH x AS (SELECT event_id, event_type AS symbol, ts, value FROM events), o AS (PLACE)
+SELECT event_id, round(level, 5) AS level, round(w.m, 5) AS mean, CASE WHEN n >= 2 THEN round(sqrt(w.q / w.d * w.d * w.d / (w.d * w.d - w.e)), 5) END AS deviation FROM (SELECT *, {_DECAY} AS w FROM o)""".replace("PLACE", """SELECT event_id, list_reduce(list(value) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), lambda s, v: s * 0.9::DOUBLE + v * 0.1::DOUBLE) AS level, count(*) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n,
+  list({'d': 1::DOUBLE, 'e': 1::DOUBLE, 'm': value, 'q': 0::DOUBLE}) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS l FROM x"""))
+def ewm_ticks(spark: SparkSession, d: str) -> DataFrame:
+    """Exponential level, and bias-corrected mean and deviation, of the raw ticks of each kind: a scan over blocks of rows."""
+    specs = [fw.Ewm("value", 0.1, "level"), fw.Ewm("value", fw.span(50), "mean", adjust=True), fw.Ewm("value", fw.span(50), "deviation", adjust=True, deviation=True)]
+    out = scans.ewm_scan(ob.events(spark, d).select("event_id", "event_type", "ts", "value"), specs, ["event_type"], "event_id")
+    return out.select("event_id", *[F.round(c, 5).alias(c) for c in ("level", "mean", "deviation")])

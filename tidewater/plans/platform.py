@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import udtf
 from ..functions import windows as fw
+from ..operators import arena
 from ..operators import bars as ob
 from ..operators import evolve as ev
 from ..operators import genomes as ge
@@ -271,6 +272,46 @@ def genome_fitness(spark: SparkSession, d: str) -> DataFrame:
     return ge.fitness(genomes, strategy_bars(spark, d)).join(genomes.select("id", "regime"), "id").select("id", "regime", R("sharpe", 3), R("calmar", 4), R("win_rate"), R("max_drawdown"), R("thrift"), "trades", "folds")
 
 
+def _arena_sql() -> str:
+    """Candle after candle: an open position is watched, or else one may open."""
+    return f"""
+WITH RECURSIVE {market.STATES}, sb AS (SELECT symbol, ts, high + 1000 AS high, low + 1000 AS low, close + 1000 AS close, atr, coalesce((close - low) / nullif(high - low, 0), 0.5) AS p, row_number() OVER ({q.W}) AS i FROM st),
+w AS (SELECT symbol, CAST(0 AS BIGINT) AS i, CAST(10 AS DOUBLE) AS balance, CAST(10 AS DOUBLE) AS peak, CAST(0 AS DOUBLE) AS side, CAST(0 AS DOUBLE) AS entry, CAST(0 AS DOUBLE) AS take, CAST(0 AS DOUBLE) AS stop, CAST(0 AS DOUBLE) AS qty, CAST(0 AS DOUBLE) AS size, 0 AS bars,
+  CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS VARCHAR) AS event, CAST(NULL AS VARCHAR) AS exit_reason, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS DOUBLE) AS pnl FROM sb WHERE i = 1
+  UNION ALL SELECT symbol, i, nbal, greatest(peak, nbal), CASE WHEN why IS NOT NULL THEN 0 WHEN opens THEN d ELSE side END, CASE WHEN opens THEN close ELSE entry END, CASE WHEN opens THEN nt ELSE take END, CASE WHEN opens THEN ns ELSE stop END,
+    CASE WHEN opens THEN nsize / greatest(1.0, close) ELSE qty END, CASE WHEN opens THEN nsize ELSE size END, CASE WHEN opens THEN 0 ELSE nb END, ts, CASE WHEN why IS NOT NULL THEN 'TRADE_CLOSED' WHEN opens THEN 'POSITION_OPENED' END, why, CASE WHEN opens THEN close ELSE xp END, npnl
+  FROM (SELECT *, CASE WHEN why IS NOT NULL THEN round(greatest(0.1, balance + npnl), 4) ELSE balance END AS nbal, least(0.02 * balance, 0.2) / greatest(0.005, d * (close - ns) / close) AS nsize
+  FROM (SELECT *, CASE WHEN why IS NOT NULL THEN round(qty * side * (xp - entry) - size * 0.001, 4) END AS npnl, round(close + d * 2 * unit, 2) AS nt, round(close - d * 1.5 * unit, 2) AS ns
+  FROM (SELECT *, CASE why WHEN 'TP_HIT' THEN take WHEN 'SL_HIT' THEN stop WHEN 'TIME_EXPIRED' THEN close END AS xp
+  FROM (SELECT w.* EXCLUDE (i, ts), b.i, b.ts, b.high, b.low, b.close, CASE WHEN b.p > 0.54 THEN 1.0 ELSE -1.0 END AS d, CASE WHEN b.atr > 0 THEN b.atr ELSE b.close * 0.008 END AS unit, CASE WHEN side <> 0 THEN bars + 1 ELSE 0 END AS nb, side = 0 AND (b.p >= 0.55 OR b.p <= 0.45) AS opens,
+    CASE WHEN side <> 0 THEN CASE WHEN (side > 0 AND b.high >= take) OR (side < 0 AND b.low <= take) THEN 'TP_HIT' WHEN (side > 0 AND b.low <= stop) OR (side < 0 AND b.high >= stop) THEN 'SL_HIT' WHEN bars + 1 >= 30 THEN 'TIME_EXPIRED' END END AS why
+    FROM w JOIN sb b ON b.symbol = w.symbol AND b.i = w.i + 1)))))
+SELECT symbol, ts, event, exit_reason, round(price, 4) AS price, round(pnl, 4) AS pnl, round(balance, 4) AS balance, round(least(0, (balance - peak) / peak), 6) AS drawdown, CAST(bars AS BIGINT) AS bars_held FROM w WHERE event IS NOT NULL"""
+
+
+def _candles(spark: SparkSession, d: str) -> DataFrame:
+    s = market.states(spark, d)
+    p = F.coalesce(F.try_divide(F.col("close") - F.col("low"), F.nullif(F.col("high") - F.col("low"), F.lit(0.0))), F.lit(0.5))
+    direction = F.when(p > 0.54, "LONG").when(p < 0.46, "SHORT").otherwise("SKIP")
+    return s.select("symbol", "ts", *[(F.col(c) + 1000).alias(c) for c in ("high", "low", "close")], F.col("atr_wilder").alias("atr"), direction.alias("direction"), p.alias("probability"))
+
+
+def _told(events: DataFrame) -> DataFrame:
+    return events.select("symbol", NTZ("ts"), "event", "exit_reason", R("price", 4), R("pnl", 4), R("balance", 4), R("drawdown"), "bars_held")
+
+
+@query("paper_arena", _arena_sql())
+def paper_arena(spark: SparkSession, d: str) -> DataFrame:
+    """Trades of each symbol's account, closed on the candle's high and low or after 30 bars."""
+    return _told(arena.played(_candles(spark, d)))
+
+
+@query("streaming_arena", _arena_sql())
+def streaming_arena(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a stream of candles, the account being state."""
+    return _told(_run(_candles(spark, d), arena.live, "symbol string, ts timestamp_ntz, high double, low double, close double, atr double, direction string, probability double"))
+
+
 @query("evolution")
 def evolution(spark: SparkSession, d: str) -> DataFrame:
     """Two generations of exit policies: fitness over folds and regimes, fronts, survivors, children."""

@@ -14,6 +14,7 @@ from ..operators import bars as ob
 from ..operators import forecast as fc
 from ..operators import labels as ol
 from ..operators import ledger as og
+from ..operators import resampling as rs
 from ..operators import services as sv
 from ..operators import validation as ov
 from ..sources import scans, sinks
@@ -266,7 +267,7 @@ def overfitting(spark: SparkSession, d: str) -> DataFrame:
     return fs.probability_of_overfitting(f, 5).select(R("pbo")).crossJoin(F.broadcast(thin))  # one row
 
 
-DR = "SELECT d AS draw, (d * 7919 + s * 104729 + d * s * 31) % t AS b FROM t, range(0, 300) x(d), range(0, 100000) y(s) WHERE s < t"
+DR = "SELECT d AS draw, (d * 7919 + s * 104729 + d * s * 31) % t AS b FROM t, range(0, 2000) x(d), range(0, 100000) y(s) WHERE s < t"
 BLK = f"{S}, k AS (SELECT CAST(ts AS DATE) AS day, p, y FROM s), dy AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS b FROM (SELECT DISTINCT day FROM k)), pc AS (SELECT dy.b // 20 AS b, p, count(*) AS n, sum(y) AS py FROM k JOIN dy USING (day) GROUP BY ALL), t AS (SELECT count(DISTINCT b) AS t FROM pc)"
 
 
@@ -292,14 +293,23 @@ WITH {BLK}, dr AS ({DR}), g AS (SELECT draw, p, sum(n) AS n, sum(py) AS py FROM
 a AS (SELECT draw, {_AUC} AS auc FROM r GROUP BY draw) SELECT round(avg(auc), 6) AS mean, round(quantile_cont(CAST(auc AS DOUBLE), 0.025), 5) AS low, round(quantile_cont(CAST(auc AS DOUBLE), 0.975), 5) AS high FROM a""")
 def auc_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Confidence of an area under the curve: blocks of days are drawn, their counts per score added."""
-    blocks = _score_blocks(spark, d).persist()
-    total = blocks.agg(F.count_distinct("b").alias("total"))
-    draws = spark.range(300).withColumnRenamed("id", "draw").crossJoin(F.broadcast(total)).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)))  # one row
-    picked = draws.withColumn("b", ov.drawn(F.col("draw"), F.col("slot"), F.col("total"))).join(blocks, "b").groupBy("draw", "p").agg(F.sum("n").alias("n"), F.sum("py").alias("py"))
-    a = _auc_of_counts(picked, ["draw"])
+    a = rs.auc_bootstrap(_score_blocks(spark, d), 2000)
     return a.agg(F.round(F.avg("auc"), 6).alias("mean"), F.round(F.percentile("auc", F.lit(0.025)), 5).alias("low"), F.round(F.percentile("auc", F.lit(0.975)), 5).alias("high"))
 
 
+@query("auc_permutation", f"""
+WITH {S}, dy AS (SELECT CAST(ts AS DATE) AS day, round(avg(p), 6) AS p, CAST(2 * sum(y) >= count(*) AS INTEGER) AS y FROM s GROUP BY 1), z AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () // 24 AS t FROM dy),
+w AS (SELECT i, y, i // 24 AS b, i % 24 AS k, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rk FROM z WHERE i < t * 24), bl AS (SELECT DISTINCT b FROM w),
+pm AS (SELECT d AS draw, b, row_number() OVER (PARTITION BY d ORDER BY (d * 7919 + b * 104729 + d * b * 31) % 1000003, b) - 1 AS slot FROM bl, range(0, 500) x(d)),
+c AS (SELECT sum(y) AS pos, count(*) - sum(y) AS neg, sum(rk * y) AS o FROM w), r AS (SELECT draw, sum(place.rk * lab.y) AS o FROM pm JOIN w lab ON lab.b = pm.b JOIN w place ON place.b = pm.slot AND place.k = lab.k GROUP BY draw)
+SELECT round(max((c.o - pos * (pos + 1) / 2) / (pos * neg)), 6) AS observed, round(avg((r.o - pos * (pos + 1) / 2) / (pos * neg)), 6) AS mean, round(avg(CAST(r.o >= c.o AS INTEGER)), 6) AS p_value FROM r, c""")
+def auc_permutation(spark: SparkSession, d: str) -> DataFrame:
+    """The area under the curve of daily forecasts against 500 permutations of their labels in blocks of 24 days."""
+    day = scored(spark, d).groupBy(F.to_date("ts").alias("day")).agg(F.round(F.avg("p"), 6).alias("p"), (2 * F.sum("y") >= F.count("*")).cast("int").alias("y"))
+    a = rs.auc_permutation(day, ["day"], 24, 500)
+    return a.agg(F.round(F.max("observed"), 6).alias("observed"), F.round(F.avg("auc"), 6).alias("mean"), F.round(F.avg((F.col("auc") >= F.col("observed")).cast("int")), 6).alias("p_value"))
+
+
 @query("label_permutation", f"""
 WITH {S}, l AS (SELECT p, y, l_orderkey * 10 + l_linenumber AS id FROM s), d AS (SELECT draw, p, count(*) AS n, sum(CAST((id * 7919 + draw * 104729 + id * draw * 31) % 100 < 25 AS INTEGER)) AS py FROM l, range(1, 51) x(draw) GROUP BY ALL UNION ALL SELECT 0, p, count(*), sum(y) FROM l GROUP BY p),
 r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY draw ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2.0 AS rk FROM d), a AS (SELECT draw, {_AUC} AS auc FROM r GROUP BY draw)

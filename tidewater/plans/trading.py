@@ -9,6 +9,8 @@ from ..functions import windows as fw
 from ..operators import backtest as bt
 from ..operators import bars as ob
 from ..operators import forecast as fc
+from ..operators import jumps
+from ..operators import resampling as rs
 from ..operators import sequential as sq
 from ..operators import validation as ov
 from . import sql as q
@@ -75,16 +77,30 @@ def block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("bootstrap_drawdown", f"""
-WITH {HOUR}, r AS (SELECT i, x / 1000 - 0.25 AS r FROM k), e AS (SELECT i // 24 AS b, i, sum(ln(1 + r)) OVER (PARTITION BY i // 24 ORDER BY i) AS e FROM r), g AS (SELECT *, greatest(0, max(e) OVER (PARTITION BY b ORDER BY i)) AS top FROM e),
-bb AS (SELECT b, arg_max(e, i) AS total, greatest(0, max(e)) AS peak, min(e) AS low, max(top - e) AS deep FROM g GROUP BY b),
-dr AS (SELECT d AS draw, s, (d * 7919 + s * 104729 + d * s * 31) % t AS b FROM t, range(0, 500) x(d), range(0, 10000) y(s) WHERE s < t),
-lo AS (SELECT draw, list({{'e': total, 'top': peak, 'dd': deep, 'low': low}} ORDER BY s) AS l FROM dr JOIN bb USING (b) GROUP BY draw),
-m AS (SELECT draw, 1 - exp(-list_reduce(l, lambda a, x: {{'e': a.e + x.e, 'top': greatest(a.top, a.e + x.top), 'dd': greatest(a.dd, x.dd, a.top - a.e - x.low), 'low': x.low}}).dd) AS mdd FROM lo)
-SELECT round(avg(mdd), 6) AS mean, round(quantile_cont(mdd, 0.025), 6) AS low, round(quantile_cont(mdd, 0.975), 6) AS high FROM m""")
+WITH {HOUR}, r AS (SELECT i, x / 1000 - 0.25 AS r FROM k), e AS (SELECT i // 24 AS b, i, r, sum(ln(1 + r)) OVER (PARTITION BY i // 24 ORDER BY i) AS e FROM r), g AS (SELECT *, max(e) OVER (PARTITION BY b ORDER BY i) AS top FROM e),
+bb AS (SELECT b, arg_max(e, i) AS total, max(e) AS peak, min(e) AS low, max(top - e) AS deep, sum(r) AS s, count(*) AS n, coalesce(sum(r) FILTER (WHERE r < 0), 0) AS sd, coalesce(sum(r * r) FILTER (WHERE r < 0), 0) AS ssd, count(*) FILTER (WHERE r < 0) AS nd FROM g GROUP BY b),
+dr AS (SELECT d AS draw, s AS slot, (d * 7919 + s * 104729 + d * s * 31) % t AS b FROM t, range(0, {DRAWS}) x(d), range(0, 10000) y(s) WHERE s < t),
+lo AS (SELECT draw, list({{'e': total, 'top': peak, 'dd': deep, 'low': low}} ORDER BY slot) AS l, sum(s) / sum(n) AS m, CASE WHEN sum(nd) > 0 THEN sqrt(greatest(sum(ssd) / sum(nd) - pow(sum(sd) / sum(nd), 2), 0)) + 1e-8 ELSE 1e-6 END AS down FROM dr JOIN bb USING (b) GROUP BY draw),
+m AS (SELECT m / down * sqrt(8766) AS so, 1 - exp(-list_reduce(l, lambda a, x: {{'e': a.e + x.e, 'top': greatest(a.top, a.e + x.top), 'dd': greatest(a.dd, x.dd, a.top - a.e - x.low), 'low': x.low}}).dd) AS mdd FROM lo)
+SELECT round(avg(mdd), 6) AS mean, round(quantile_cont(mdd, 0.025), 6) AS low, round(quantile_cont(mdd, 0.975), 6) AS high, round(avg(so), 4) AS sortino_mean, round(quantile_cont(so, 0.025), 4) AS sortino_low, round(quantile_cont(so, 0.975), 4) AS sortino_high FROM m""")
 def bootstrap_drawdown(spark: SparkSession, d: str) -> DataFrame:
-    """Deepest drawdown of 500 resamples: blocks are reduced to five numbers, which chain in the drawn order."""
-    m = ov.bootstrap_drawdown(hourly(spark, d).withColumn("r", F.col("x") / 1000 - 0.25), "r", ["ts"], 24, 500)
-    return m.agg(F.round(F.avg("max_drawdown"), 6).alias("mean"), F.round(F.percentile("max_drawdown", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("max_drawdown", F.lit(0.975)), 6).alias("high"))
+    """Deepest drawdown and Sortino ratio of 10,000 resamples: blocks are reduced to a few numbers, which chain in the drawn order."""
+    m = rs.bootstrap(hourly(spark, d).withColumn("r", F.col("x") / 1000 - 0.25), "r", ["ts"], 24, DRAWS)
+    deep = rs.interval(m, ["max_drawdown"]).toDF("mean", "low", "high")
+    return deep.crossJoin(F.broadcast(rs.interval(m, ["sortino"], 4)))  # one row
+
+
+@query("paired_bootstrap", f"""
+WITH {HOUR}, f AS (SELECT ts, abs(x - lag(x, 1) OVER (ORDER BY ts)) - abs(x - lag(x, 24) OVER (ORDER BY ts)) AS diff FROM k), z AS (SELECT diff, row_number() OVER (ORDER BY ts) - 1 AS i FROM f WHERE diff IS NOT NULL),
+bb AS (SELECT i // 24 AS b, sum(diff) AS s, count(*) AS n FROM z GROUP BY 1), tt AS (SELECT count(*) AS t FROM bb), dr AS (SELECT d AS draw, (d * 7919 + s * 104729 + d * s * 31) % t AS b FROM tt, range(0, {DRAWS}) x(d), range(0, 10000) y(s) WHERE s < t),
+m AS (SELECT draw, sum(s) / sum(n) AS m FROM dr JOIN bb USING (b) GROUP BY draw)
+SELECT round(avg(m), 6) AS mean_mean, round(quantile_cont(m, 0.025), 6) AS mean_low, round(quantile_cont(m, 0.975), 6) AS mean_high, round(avg(CAST(m < 0 AS INTEGER)), 6) AS better FROM m""")
+def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Paired difference of two forecasts' errors (the hour before against the day before): interval over resampled days."""
+    w = Window.orderBy("ts")  # one ordered series of hours
+    diff = hourly(spark, d).withColumn("diff", F.abs(F.col("x") - F.lag("x", 1).over(w)) - F.abs(F.col("x") - F.lag("x", 24).over(w))).where("diff is not null")
+    m = rs.paired(diff, "diff", ["ts"], 24, DRAWS)
+    return rs.interval(m, ["mean"]).crossJoin(F.broadcast(m.agg(F.round(F.avg((F.col("mean") < 0).cast("int")), 6).alias("better"))))  # one row
 
 
 @query("sign_flip_test", f"""
@@ -258,7 +274,7 @@ WITH RECURSIVE e AS (SELECT event_id, event_type, ts, row_number() OVER (PARTITI
   UNION ALL SELECT e.event_id, e.event_type, e.i, CASE WHEN e.ts - c.last >= INTERVAL 24 HOUR THEN e.ts ELSE c.last END, CASE WHEN e.ts - c.last >= INTERVAL 24 HOUR THEN 1 ELSE 0 END FROM c JOIN e ON e.event_type = c.event_type AND e.i = c.i + 1)
 SELECT event_id FROM c WHERE k = 1""")
 def event_cooldown(spark: SparkSession, d: str) -> DataFrame:
-    return sq.cooldown(ob.events(spark, d).select("event_id", "event_type", "ts"), "event_type", "event_id", 86400).select("event_id")
+    return jumps.cooldown(ob.events(spark, d).select("event_id", "event_type", "ts"), "event_type", "event_id", 86400).select("event_id")
 
 
 _SIG = f"{P}, sg AS (SELECT symbol, ts, close, low, high, CASE WHEN p > 0.54 THEN 1.0 WHEN p < 0.46 THEN -1.0 ELSE 0.0 END AS s, row_number() OVER ({q.W}) AS i, {q.rolling('avg', f'(greatest(high - low, abs(high - pc), abs(low - pc)))', 14)} AS atr FROM (SELECT *, lag(close) OVER ({q.W}) AS pc FROM v))"
@@ -299,17 +315,3 @@ SELECT event_id, round(l0, 4) AS lambda_buy, round(l1, 4) AS lambda_sell, round(
 @query("hawkes_intensity", _hawkes_sql())
 def hawkes_intensity(spark: SparkSession, d: str) -> DataFrame:
     return sq.hawkes(ob.l2_events(ob.events(spark, d))).select("event_id", *[R(c, 4) for c in sq.HAWKES])
-
-
-@query("paper_arena", f"""
-WITH RECURSIVE {_SIG}, n AS (SELECT *, lead(i) OVER (PARTITION BY symbol ORDER BY i) AS nx FROM sg),
-h AS (SELECT symbol, i, CAST(CASE WHEN s <> 0 AND close > 0 THEN 1 - 0.1 * 0.001 ELSE 1.0 END AS DOUBLE) AS eq, CAST(1.0 AS DOUBLE) AS top, CASE WHEN s <> 0 AND close > 0 THEN s ELSE 0.0 END AS pos, close AS entry, CASE WHEN s <> 0 AND close > 0 THEN 'OPEN' END AS act FROM n WHERE i = 1
-  UNION ALL SELECT symbol, i, CASE WHEN opened THEN ce * (1 - 0.1 * 0.001) ELSE ce END, greatest(top, CASE WHEN opened THEN ce * (1 - 0.1 * 0.001) ELSE ce END), CASE WHEN opened THEN s WHEN closed THEN 0.0 ELSE pos END, CASE WHEN opened THEN close ELSE entry END, CASE WHEN opened AND closed THEN 'FLIP' WHEN opened THEN 'OPEN' WHEN closed THEN 'CLOSE' END
-  FROM (SELECT *, (closed OR pos = 0) AND s <> 0 AND close > 0 AND 1 - ce / top < 0.5 AS opened FROM (SELECT n.symbol, n.i, n.s, n.close, h.top, h.pos, h.entry, h.pos <> 0 AND n.s <> h.pos AS closed, CASE WHEN h.pos <> 0 AND n.s <> h.pos THEN h.eq * (1 + 0.1 * greatest(-1.0, h.pos * (n.close / h.entry - 1)) - 0.1 * 0.001) ELSE h.eq END AS ce FROM h JOIN n ON n.symbol = h.symbol AND n.i = h.i + 1)))
-SELECT n.symbol, n.ts, round(eq, 6) AS equity, round(1 - eq / greatest(top, eq), 6) AS drawdown, act AS action FROM h JOIN n USING (symbol, i)""")
-def paper_arena(spark: SparkSession, d: str) -> DataFrame:
-    s = signals(spark, d)
-    s = s.withColumn("signal", bt.positions(s)).select("symbol", "ts", "close", "signal")
-    return sq.paper_arena(s, ["symbol"], ["ts"], "signal").select("symbol", T(), R("equity"), R("drawdown"), "action")
-
-
