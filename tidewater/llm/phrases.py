@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import drop_folder, shared_dir
 
 LONGEST = 4
 SLICE = 2 << 20
@@ -238,12 +238,14 @@ def frequent(docs: DataFrame, least: int = 30, bits: int | None = None) -> tuple
         counted = spark.read.schema("lang string, phrase binary, h long, n long").parquet(f"{root}/{k}")
         found.append(counted.select("lang", F.col("phrase").cast("string").alias("phrase"), F.lit(k).alias("words"), "n"))
         if k == 1:
-            words = raw.where("phrase is null and lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
+            raw.where("phrase is null and lang is not null").groupBy("lang").agg(F.sum("n").alias("n")).write.parquet(f"{root}/words")
+            words = spark.read.schema("lang string, n long").parquet(f"{root}/words")
         if k < LONGEST:
             both = _full_buckets(raw, bits, least, tasks), _bitmap(counted.select(F.shiftrightunsigned("h", 64 - bits).alias("at")), "at", bits)
             if bitmaps is not None:
                 bitmaps.unpersist()
             bitmaps = spark.sparkContext.broadcast(both)
+        drop_folder(spark, f"{root}/raw{k}")
     bitmaps.unpersist()
     every = found[0]
     for more in found[1:]:
