@@ -11,14 +11,15 @@ of vectors with their distances to the parent. A search goes best first for a bl
 at once: a page waits under the least bound of the queries that still want it, each page is
 opened once a block, and an entry is computed only for those queries whose stored distances
 don't exclude it by the triangle inequality. Scores are exact whole numbers: products of doubles
-where no sum can pass 2^53, Python's integers otherwise; bounds in floating point have slack.
+where no sum can pass 2^53, Python's integers otherwise; bounds in floating point have slack. A tree
+or query with components beyond 2^400 is scanned: scaled estimates with error bounds choose what is
+multiplied as integers. Between tasks a score travels as a text that sorts as the number does.
 Trees lie in the shared folder; queries come in blocks of bounded size, each sent to all trees,
 and the best of each tree are merged. With few trees a block's queries are parted as well.
 """
 
 from __future__ import annotations
 
-import decimal
 import heapq
 import io
 import math
@@ -39,19 +40,24 @@ PIVOTS = 64
 QUERY_BLOCK = 16_384
 #: Queries that search a tree together.
 GROUP = 64
+#: Beyond this, squares could overflow, and a tree is read row by row.
+WILD = 2.0**400
+_COMPLEMENT = str.maketrans("0123456789", "9876543210")
 
 
-def whole_numbers(vectors: DataFrame, scale: int) -> DataFrame:
-    """``vec_id, v``: floor(scale * x) of each component, for vectors without null or non-finite ones.
+def dyadic(vectors: DataFrame, scale: int) -> DataFrame:
+    """``vec_id, v``: floor(scale * x) / scale of each component, for vectors without null or non-finite ones.
 
-    Components are whole doubles, which hold the floor of any finite product exactly.
+    ``scale`` is a power of two, so these are exact doubles for any finite component, even where
+    scale * x is beyond the largest double: from 2^44 on a double is a multiple of 1/256 already.
     """
+    if scale < 1 or scale & (scale - 1) or scale > 256:
+        raise ValueError("scale must be a power of two up to 256")
     x = F.col("embedding")
-    scaled = F.transform(x, lambda y: y.cast("double") * scale)
-    fine = x.isNotNull() & (F.size(x) > 0) & ~F.exists(scaled, lambda y: y.isNull() | F.isnan(y) | (F.abs(y) == float("inf")))
-    # floor() gives a long, which large doubles pass; they are whole already
-    whole = F.transform(scaled, lambda y: F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y))
-    return vectors.select("vec_id", F.when(fine, whole).alias("v")).where("v is not null and vec_id is not null")
+    wide = F.transform(x, lambda y: y.cast("double"))
+    fine = x.isNotNull() & (F.size(x) > 0) & ~F.exists(wide, lambda y: y.isNull() | F.isnan(y) | (F.abs(y) == float("inf")))
+    cut_off = F.transform(wide, lambda y: F.when(F.abs(y) < 2.0**44, F.floor(y * scale).cast("double") / scale).otherwise(y))
+    return vectors.select("vec_id", F.when(fine, cut_off).alias("v")).where("v is not null and vec_id is not null")
 
 
 def _distance(points: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -59,13 +65,34 @@ def _distance(points: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", d, d))
 
 
-def _scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Inner products, rows by queries, exact: doubles if no partial sum can pass 2^53, else Python's integers."""
-    most = np.abs(rows).max(initial=0) * np.abs(queries).max(initial=0) * rows.shape[1]
+def _whole(x: np.ndarray, scale: int) -> list[list[int]]:
+    """scale * x of each component, as Python's integers."""
+    return [[int(v * scale) if abs(v) < 2.0**52 else int(v) * scale for v in r] for r in x.tolist()]
+
+
+def _scores(rows: np.ndarray, queries: np.ndarray, scale: int) -> np.ndarray:
+    """Inner products of scale * rows and scale * queries, exact: doubles if no partial sum can pass 2^53, else Python's integers."""
+    most = np.abs(rows).max(initial=0) * np.abs(queries).max(initial=0) * rows.shape[1] * scale * scale
+    if most < 2.0**53:
+        return (rows @ queries.T) * (scale * scale)
+    asked = _whole(queries, scale)
+    return np.array([[sum(map(operator.mul, r, q)) for q in asked] for r in _whole(rows, scale)], dtype=object).reshape(len(rows), len(queries))
+
+
+def _paired(rows: np.ndarray, queries: np.ndarray, scale: int) -> np.ndarray:
+    """The same for pairs: row i with query i."""
+    most = np.abs(rows).max(initial=0) * np.abs(queries).max(initial=0) * rows.shape[1] * scale * scale
     if most < 2.0**53:
-        return rows @ queries.T
-    whole = lambda x: np.array([[int(v) for v in r] for r in x.tolist()], dtype=object)
-    return np.array([[sum(map(operator.mul, r, q)) for q in whole(queries)] for r in whole(rows)], dtype=object)
+        return np.einsum("ij,ij->i", rows, queries) * (scale * scale)
+    return np.array([sum(map(operator.mul, r, q)) for r, q in zip(_whole(rows, scale), _whole(queries, scale), strict=True)], dtype=object)
+
+
+def sortable(score: int) -> str:
+    """A text that sorts as the number does, whatever its length."""
+    digits = str(abs(score))
+    if score >= 0:
+        return f"1{len(digits):04d}{digits}"
+    return f"0{9999 - len(digits):04d}" + digits.translate(_COMPLEMENT)
 
 
 class MTree:
@@ -74,11 +101,14 @@ class MTree:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.lexsort((ids,))
         self.ids, self.vectors = ids[order], vectors[order]
+        self.computed = self.skipped = self.products = 0
+        self.pages: list[tuple] = []
+        if np.abs(self.vectors).max(initial=0) > WILD:
+            self.points, self.root_point, self.top, self.root = self.vectors[:, :0], np.zeros(0), math.inf, 0
+            return
         norms = (self.vectors**2).sum(axis=1)
         self.top = float(norms.max())
         self.points = np.hstack([self.vectors, np.sqrt(np.maximum(self.top - norms, 0))[:, None]])
-        self.pages: list[tuple] = []
-        self.computed = self.skipped = 0
         root = self.points.mean(axis=0)
         self.root_point = root
         self.root = self._build(np.arange(len(ids)), root)
@@ -106,9 +136,28 @@ class MTree:
         self.pages[at] = (True, rows, _distance(self.points[rows], parent))
         return at
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+    def scan(self, queries: np.ndarray, own: np.ndarray, k: int, scale: int) -> list[list[tuple[int, int]]]:
+        """``search`` for components of any size: estimates of scaled vectors with bounds on their error, then exact integers for what may count."""
+        down = lambda x: np.ldexp(x, -int(np.frexp(np.abs(x).max(initial=0))[1]))
+        rows, asked, out = down(self.vectors), down(queries), []
+        size = np.sqrt((rows**2).sum(axis=1))
+        for q in range(len(queries)):
+            # rounding of n products and sums, and of what scaling made vanish
+            rough, radius = rows @ asked[q], 1e-12 * rows.shape[1] * size * math.sqrt((asked[q] ** 2).sum()) + 1e-290
+            other = np.flatnonzero(self.ids != own[q])
+            if len(other) > k:
+                low = (rough - radius)[other]
+                other = other[(rough + radius)[other] >= np.partition(low, len(low) - k)[len(low) - k]]
+            exact = _scores(self.vectors[other], queries[q : q + 1], scale)[:, 0] if len(other) else []
+            self.products += len(other)
+            out.append(heapq.nlargest(k, [(int(s), -int(i)) for s, i in zip(exact, self.ids[other], strict=True)]))
+        return out
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, scale: int = 1) -> list[list[tuple[int, int]]]:
         """For each query the ``k`` best ``(score, -id)``, largest first, without rows of its ``own`` id."""
-        n = len(queries)
+        n, unit = len(queries), float(scale * scale)
+        if self.top == math.inf or np.abs(queries).max(initial=0) > WILD:
+            return self.scan(queries, own, k, scale)
         square = (queries**2).sum(axis=1) + self.top
         slack = 1e-6 * (1 + np.sqrt(square))
         asked = np.hstack([queries, np.zeros((n, 1))])
@@ -133,7 +182,7 @@ class MTree:
                 if len(best[q]) == k:
                     worst = best[q][-1][0]
                     low[q] = np.nextafter(float(worst), -np.inf)
-                    reach[q] = math.sqrt(max(0.0, square[q] - 2.0 * worst)) + slack[q]
+                    reach[q] = math.sqrt(max(0.0, square[q] - 2.0 * (float(worst) / unit))) + slack[q]
 
         first = _distance(asked, self.root_point)
         queue: list[tuple] = [(0.0, self.root, np.arange(n), first, np.zeros(n))]
@@ -150,8 +199,19 @@ class MTree:
                 self.computed += int(may.sum())
                 some = np.flatnonzero(may.any(axis=1))
                 if len(some):
-                    rows = entry[1][some]
-                    offer(at, rows, _scores(self.vectors[rows], queries[at]), may[some])
+                    rows, may = entry[1][some], may[some]
+                    wanted = int(may.sum())
+                    if 4 * wanted < may.size:
+                        # few pairs are left: only these are multiplied
+                        r, c = np.nonzero(may)
+                        found = _paired(self.vectors[rows[r]], queries[at[c]], scale)
+                        scores = np.zeros(may.shape, dtype=found.dtype)
+                        scores[r, c] = found
+                        self.products += wanted
+                    else:
+                        scores = _scores(self.vectors[rows], queries[at], scale)
+                        self.products += may.size
+                    offer(at, rows, scores, may)
             else:
                 _, routing, radii, parent, children = entry
                 may = np.abs(d[None, :] - parent[:, None]) - radii[:, None] <= reach[at][None, :]
@@ -187,7 +247,7 @@ class MTree:
                     pages.setdefault(i, {})[j] = flat[name]
                     leaf[i] = bool(kind)
         tree.pages = [(leaf[i], *[pages[i][j] for j in range(len(pages[i]))]) for i in range(len(pages))]
-        tree.root = tree.computed = tree.skipped = 0
+        tree.root = tree.computed = tree.skipped = tree.products = 0
         return tree
 
 
@@ -248,8 +308,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     the exact scores; a score that a long can't hold is shown as the nearest long.
     """
     spark, path = vectors.sparkSession, shared_dir(vectors.sparkSession)
-    schema = "query_id long, vec_id long, score decimal(38,0)"
-    valid = cut(whole_numbers(vectors, scale))
+    schema = "query_id long, vec_id long, score long, sort string"
+    valid = cut(dyadic(vectors, scale))
     queries = valid.where(F.col("vec_id") % every == 0).distinct()
     blocks = math.ceil(queries.count() / QUERY_BLOCK)
     if not blocks:
@@ -273,19 +333,17 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
                     tree = MTree.load(data.as_py()) if len(mine) else None
                     for lo in range(0, len(mine), GROUP):
                         some = mine[lo : lo + GROUP]
-                        out = [(i, -n, s) for i, found in zip(ids[some].tolist(), tree.search(np.array([asks[q] for q in some]), ids[some], k), strict=True) for s, n in found]
+                        out = [(i, -n, s) for i, found in zip(ids[some].tolist(), tree.search(np.array([asks[q] for q in some]), ids[some], k, scale), strict=True) for s, n in found]
                         if out:
-                            score = pa.array([decimal.Decimal(s) for _, _, s in out], type=pa.decimal128(38, 0)) if max(abs(s) for _, _, s in out) < 10**38 else None
-                            if score is None:
-                                raise OverflowError("a score of over 38 digits")
-                            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out]), score], names=["query_id", "vec_id", "score"])
+                            shown = [max(-(2**63), min(2**63 - 1, s)) for _, _, s in out]
+                            columns = [pa.array([x[0] for x in out]), pa.array([x[1] for x in out]), pa.array(shown, pa.int64()), pa.array([sortable(s) for _, _, s in out])]
+                            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score", "sort"])
 
         asks.select("dims", "tree", "part").mapInArrow(search, schema).write.parquet(f"{path}/found/{b}")
         asked.unpersist()
     found = spark.read.schema(schema).parquet(*[f"{path}/found/{b}" for b in range(blocks)])
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    nearest = F.greatest(F.least(F.col("score"), F.lit(2**63 - 1)), F.lit(-(2**63))).cast("long")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", nearest.alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("sort"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 ORACLE_SQL = """
