@@ -113,12 +113,12 @@ def _decayed(t: np.ndarray, jump: np.ndarray, beta: float, width: float = 250.0)
     return (own + before) * np.exp(-beta * tau)
 
 
-def hawkes(events: DataFrame, width: int = 3_600_000_000) -> DataFrame:
+def hawkes(events: DataFrame, width: int = 21_600_000_000) -> DataFrame:
     """``event_id`` and seven measures of four-dimensional Hawkes intensities of one stream of order-book events.
 
     Trades excite as buys or sells by their sign, quote updates as liquidity, the rest as
     volatility; an event's own jump starts with the next event, the first has the base rates.
-    Events are dealt to blocks of an hour with the ten minutes before them, beyond which nothing
+    Events are dealt to blocks of six hours with the ten minutes before them, beyond which nothing
     is left of a jump.
     """
     kind = F.when(F.col("kind") == "trade", F.when(F.col("signed_volume") > 0, 0).otherwise(1)).when(F.col("kind").isin("bid_update", "ask_update", "depth_update"), 2).otherwise(3)

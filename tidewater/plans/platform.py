@@ -14,7 +14,7 @@ from ..operators import genomes as ge
 from ..operators import models as om
 from ..operators.indicators import macro_cycle, market_state
 from ..operators.ledger import latest
-from ..sources import scans, sinks
+from ..sources import paged, scans, sinks
 from ..sources.shared import shared_dir, written
 from ..streaming import features, live
 from . import market
@@ -384,6 +384,36 @@ def depth_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return scans.depth_snapshots(e, "text", "user_id", "ts").select("event_id", R("bid_depth"), R("ask_depth"), R("spread"), R("imbalance"), "degraded")
 
 
+@query("kline_snapshots", """
+WITH e AS (SELECT event_id, user_id, ts, value, event_id % 8 AS k FROM events), s AS (SELECT *, CASE WHEN k = 0 THEN NULL ELSE event_id * 60000 END AS ms, value * 2 + k AS o, CASE WHEN k = 0 THEN NULL ELSE value + 1 END AS c FROM e),
+h AS (SELECT event_id, k, last_value(ms IGNORE NULLS) OVER w AS open_ms, last_value(CASE WHEN k > 0 THEN o END IGNORE NULLS) OVER w AS o, last_value(c IGNORE NULLS) OVER w AS c FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_id, open_ms, round(o, 4) AS open, round(c, 4) AS close, k = 0 AS degraded, CASE WHEN k % 2 = 1 THEN k / 10000.0 ELSE 0.0001 END AS funding_rate, CASE WHEN k % 3 = 1 THEN 1000.0 + k ELSE 0.0 END AS open_interest, CASE WHEN k > 4 THEN 10.0 * k ELSE 50.0 END AS fear_greed FROM h""")
+def kline_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Candles, funding, open interest and fear-and-greed from JSON answers; some are empty, cut off or no JSON."""
+    i, v = F.col("event_id"), F.col("value")
+    k = i % 8
+    row = lambda ms, o, c: F.array(*[x.cast("string") for x in (ms, o, o + 1, o - 1, c, v)])
+    both = F.to_json(F.array(row(i * 60000, v * 2 + k, v + 1), row(i * 60000 + 60000, v, v)))
+    one = F.to_json(F.array(row(i * 60000, v * 2 + k, v + 1)))
+    text = F.when(k == 0, F.when(i % 16 == 0, "[]").otherwise("<html>")).when(k == 3, one).otherwise(both)
+    e = t(spark, d, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("at"), text.alias("text"), F.when(k % 2 == 1, F.concat(F.lit('{"lastFundingRate": "'), (k / 10000).cast("string"), F.lit('"}'))).otherwise("{}").alias("f"),
+        F.when(k % 3 == 1, F.concat(F.lit('{"openInterest": "'), (1000 + k).cast("string"), F.lit('"}'))).otherwise("").alias("o"), F.when(k > 4, F.concat(F.lit('{"data": [{"value": "'), (k * 10).cast("string"), F.lit('"}]}'))).otherwise('{"data": []}').alias("g"))
+    out = scans.macro_snapshots(scans.kline_snapshots(e, "text", "user_id", "at"), "f", "o", "g")
+    return out.select("event_id", "open_ms", R("open", 4), R("close", 4), "degraded", "funding_rate", "open_interest", "fear_greed")
+
+
+@query("streaming_pages", "SELECT event_id, ts, event_type, value FROM events")
+def streaming_pages(spark: SparkSession, d: str) -> DataFrame:
+    """All events from a polled, paged source: polled once while half of them are there, then again from the checkpoint."""
+    spark.dataSource.register(paged.PagedStream)
+    middle = t(spark, d, "events").agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.5)).first()[0]
+    path, schema = shared_dir(spark), "event_id long, ts timestamp_ntz, event_type string, value double"
+    for clock in (middle, None):
+        stream = spark.readStream.format("paged_stream").options(path=f"{d}/events.parquet", page=500, slice=86_400, clock=clock or "").load()
+        stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/out")
+
+
 @query("onchain_valuation", """
 WITH e AS (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN value * 200 END AS price, CASE WHEN event_id % 3 = 0 THEN value / 100 END AS m, CASE WHEN event_id % 3 = 0 THEN value / 600 END AS u FROM events),
 x AS (SELECT event_id, m IS NOT NULL AS live, coalesce(m, CASE WHEN price IS NULL THEN 1.85 ELSE least(greatest((price / 42000 - 1) * 1.5 + 1.2, 0.6), 5.5) END) AS m, coalesce(u, CASE WHEN price IS NULL THEN 0.42 ELSE least(greatest((price / 42000 - 1) * 0.35 + 0.30, -0.2), 0.85) END) AS u FROM e)

@@ -85,6 +85,29 @@ def valuation(rows: DataFrame, price: str, mvrv: str, nupl: str) -> DataFrame:
     return out.withColumn("source", F.when(live, "live").otherwise("calibrated_proxy")).withColumn("influence_weight", F.when(live, 1.0).otherwise(0.0)).withColumn(mvrv, F.col("_m")).withColumn(nupl, F.col("_u")).drop("_m", "_u")
 
 
+def kline_snapshots(answers: DataFrame, text: str, by: str, order: str) -> DataFrame:
+    """The last closed candle of each answer (a list of lists; of two or more the last is still open), or the newest valid one before, marked degraded.
+
+    Adds ``open_ms, open, high, low, close, volume, degraded``; without any valid answer before, they are NULL.
+    """
+    from pyspark.sql import Window
+
+    rows = F.from_json(text, "array<array<string>>")
+    closed = F.when(F.size(rows) >= 2, F.get(rows, F.size(rows) - 2)).when(F.size(rows) == 1, F.get(rows, F.lit(0)))
+    cells = [F.get(closed, F.lit(k)) for k in range(6)]
+    candle = F.struct(cells[0].cast("long").alias("open_ms"), *[c.cast("double").alias(n) for c, n in zip(cells[1:], ("open", "high", "low", "close", "volume"), strict=True)])
+    fine = F.when(closed.isNotNull() & (F.size(closed) >= 6), candle)
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = answers.withColumn("_c", fine).withColumn("_k", F.last("_c", ignorenulls=True).over(w))
+    return out.select("*", "_k.*", F.col("_c").isNull().alias("degraded")).drop("_c", "_k")
+
+
+def macro_snapshots(answers: DataFrame, funding: str, interest: str, fear: str) -> DataFrame:
+    """Funding rate, open interest and fear-and-greed from three kinds of answer; 0.0001, 0 and 50 where one can't be read."""
+    number = lambda text, path: F.get_json_object(text, path).try_cast("double")
+    return answers.withColumns({"funding_rate": F.coalesce(number(F.col(funding), "$.lastFundingRate"), F.lit(0.0001)), "open_interest": F.coalesce(number(F.col(interest), "$.openInterest"), F.lit(0.0)), "fear_greed": F.coalesce(number(F.col(fear), "$.data[0].value"), F.lit(50.0))})
+
+
 class PagedSource(DataSource):
     """``spark.read.format("paged")``: pages of an exchange-like API, a partition a time slice.
 
