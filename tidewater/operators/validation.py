@@ -124,6 +124,29 @@ def sign_flip(blocks: DataFrame, diff: str, resamples: int) -> DataFrame:
     return hits.agg(F.max("observed").alias("observed"), ((F.sum((F.abs("m") >= F.abs("observed")).cast("int")) + 1) / (F.count("*") + 1)).alias("p_value"))
 
 
+def effective_samples(rows: DataFrame, x: str, order: list[str], block: int) -> DataFrame:
+    """``n, rho_1, by_autocorrelation, by_blocks, by_events, degrees_of_freedom`` of one reduced series.
+
+    ``rho_1`` divides the lagged products by the whole sum of squares and is kept within 0.99; the
+    size for events uses the correlation of the pairs instead and stays between 10 and n.
+    """
+    mean = rows.agg(F.avg(x).alias("_m"))
+    d = rows.crossJoin(F.broadcast(mean)).withColumn("_d", F.col(x) - F.col("_m")).withColumn("_e", F.lag("_d").over(Window.orderBy(*order)))  # one row; one series of hours
+    rho = F.greatest(F.lit(-0.99), F.least(F.lit(0.99), F.try_divide(F.sum(F.col("_d") * F.col("_e")), F.sum(F.col("_d") * F.col("_d")))))
+    a = d.agg(F.count("*").alias("n"), rho.alias("rho_1"), F.corr("_d", "_e").alias("_p"))
+    n, r, p = F.col("n"), F.col("rho_1"), F.col("_p")
+    whole = lambda c: F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c))
+    size = F.greatest(F.lit(2), whole(n * (1 - r) / (1 + r)))
+    events = F.greatest(F.lit(10), F.least(n, whole(n * ((1 - p) / (1 + p + 1e-6)))))
+    return a.select("n", "rho_1", size.cast("long").alias("by_autocorrelation"), F.greatest(F.lit(2), F.floor(n / block)).cast("long").alias("by_blocks"), events.cast("long").alias("by_events"), (size - 1).cast("long").alias("degrees_of_freedom"))
+
+
+def independent_blocks(rows: DataFrame, x: str, order: list[str], block: int) -> DataFrame:
+    """``block, first_ts, last_ts, n, mean`` of whole blocks of consecutive rows that don't overlap."""
+    b = _numbered_blocks(rows, order, block).groupBy(F.col("b").cast("long").alias("block"))
+    return b.agg(F.min(order[0]).alias("first_ts"), F.max(order[0]).alias("last_ts"), F.count("*").alias("n"), F.avg(x).alias("mean")).where(F.col("n") == block)
+
+
 def adjusted(tests: DataFrame, p: str = "p", name: str = "name") -> DataFrame:
     """Holm and Benjamini-Hochberg adjusted p-values of one family (a small table)."""
     m = F.count("*").over(Window.partitionBy())

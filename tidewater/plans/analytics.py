@@ -67,6 +67,18 @@ def monthly_auc(spark: SparkSession, d: str) -> DataFrame:
     return out.where("n > 40").select("month", "n", R("auc"))
 
 
+@query("monthly_ic", f"""
+WITH {S}, m AS (SELECT *, strftime(ts, '%Y-%m') AS month FROM s), k AS (SELECT month, rank() OVER (PARTITION BY month ORDER BY p) + (count(*) OVER (PARTITION BY month, p) - 1) / 2.0 AS a, rank() OVER (PARTITION BY month ORDER BY x) + (count(*) OVER (PARTITION BY month, x) - 1) / 2.0 AS b FROM m),
+c AS (SELECT month, count(*) AS n, corr(a, b) AS ic FROM k GROUP BY month HAVING count(*) > 40)
+SELECT month, n, round(ic, 6) AS ic, round(avg(ic) OVER (), 6) AS mean_ic, round(avg(ic) OVER () / nullif(stddev_samp(ic) OVER (), 0), 5) AS information_ratio FROM c""")
+def monthly_ic(spark: SparkSession, d: str) -> DataFrame:
+    """Rank correlation of forecast and outcome for each month, their mean and its ratio to their deviation."""
+    s = scored(spark, d).withColumn("month", F.date_format("ts", "yyyy-MM"))
+    ic = fm.spearman(s, "p", "x", ("month",)).where("n > 40")
+    whole = ic.agg(F.avg("ic").alias("_m"), F.stddev_samp("ic").alias("_d"))
+    return ic.crossJoin(F.broadcast(whole)).select("month", "n", R("ic"), F.round("_m", 6).alias("mean_ic"), F.round(F.try_divide("_m", F.nullif("_d", F.lit(0.0))), 5).alias("information_ratio"))  # one row
+
+
 @query("global_auc", f"WITH {S}, k AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM s) SELECT CAST(sum(y) AS BIGINT) AS positives, CAST(count(*) - sum(y) AS BIGINT) AS negatives, round((sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * (count(*) - sum(y)), 0), 6) AS auc FROM k")
 def global_auc(spark: SparkSession, d: str) -> DataFrame:
     return fm.auc(scored(spark, d), "p", "y").select("positives", "negatives", R("auc"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scans
 from ..functions import windows as fw
+from ..functions.blocks import numbered
 from ..operators import bars as ob
 from ..operators import indicators as oi
 from ..operators import intelligence as on
@@ -50,12 +51,12 @@ def feature_slice(spark: SparkSession, d: str) -> DataFrame:
 WITH f AS ({_stream_sql('error', 'funding')}), o AS ({_stream_sql('signup', 'open_interest')}), j AS (SELECT f.at AS ts, funding, o.open_interest FROM f ASOF LEFT JOIN o ON f.at >= o.at)
 SELECT ts, round(funding, 6) AS funding, open_interest, round(open_interest / nullif(lag(open_interest) OVER (ORDER BY ts), 0) - 1, 6) AS oi_change FROM j""")
 def asof_streams(spark: SparkSession, d: str) -> DataFrame:
-    """Open interest as of each funding event, and its change since the one before (a sparse stream in order)."""
-    from pyspark.sql import Window
-
+    """Open interest as of each funding event, and its change since the one before, by the events' numbers in the whole stream."""
     j = ob.asof_backward(_stream(spark, d, "error", "funding"), _stream(spark, d, "signup", "open_interest"), ["open_interest"], [])
-    before = F.lag("open_interest").over(Window.orderBy("available_time"))
-    return j.select(F.col("available_time").alias("ts"), R("funding"), "open_interest", F.round(F.try_divide(F.col("open_interest"), F.nullif(before, F.lit(0.0))) - 1, 6).alias("oi_change"))
+    k = numbered(j.withColumn("ts", F.col("available_time")), [], "funding")
+    before = k.select((F.col("_rn") + 1).alias("_rn"), F.col("open_interest").alias("before"))
+    change = F.try_divide(F.col("open_interest"), F.nullif(F.col("before"), F.lit(0.0))) - 1
+    return k.join(before, "_rn", "left").select("ts", R("funding"), "open_interest", F.round(change, 6).alias("oi_change"))
 
 
 @query("asof_by_user", """

@@ -402,6 +402,18 @@ def kline_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", "open_ms", R("open", 4), R("close", 4), "degraded", "funding_rate", "open_interest", "fear_greed")
 
 
+@query("macro_cycle_modes", """
+WITH e AS (SELECT event_id, value / 100 AS r, (value - 100) / 30 AS z, value % 100 / 100 AS c, value / 600 AS u FROM events)
+SELECT event_id, CASE WHEN r < 1.0 OR u < 0 THEN 'CAPITULATION' WHEN r >= 3.5 OR u >= 0.7 THEN 'EUPHORIA' WHEN r < 1.6 AND u < 0.25 THEN 'ACCUMULATION' ELSE 'NEUTRAL' END AS by_ratio,
+  CASE WHEN z < 0.1 OR u < 0 THEN 'CAPITULATION' WHEN z >= 5.0 OR u >= 0.7 THEN 'EUPHORIA' WHEN z < 1.5 AND u < 0.25 THEN 'ACCUMULATION' ELSE 'NEUTRAL' END AS by_zscore,
+  CASE WHEN c <= 0.05 OR u < 0 THEN 'CAPITULATION' WHEN c >= 0.95 OR u >= 0.7 THEN 'EUPHORIA' WHEN c <= 0.30 AND u < 0.25 THEN 'ACCUMULATION' ELSE 'NEUTRAL' END AS by_percentile FROM e""")
+def macro_cycle_modes(spark: SparkSession, d: str) -> DataFrame:
+    """The macro cycle by each kind of valuation: ratio, z-score, percentile of its past."""
+    v = F.col("value")
+    kinds = {"ratio": v / 100, "zscore": (v - 100) / 30, "percentile": v % 100 / 100}
+    return t(spark, d, "events").select("event_id", *[macro_cycle(x, v / 600, k).alias(f"by_{k}") for k, x in kinds.items()])
+
+
 @query("streaming_pages", "SELECT event_id, ts, event_type, value FROM events")
 def streaming_pages(spark: SparkSession, d: str) -> DataFrame:
     """All events from a polled, paged source: polled once while half of them are there, then again from the checkpoint."""

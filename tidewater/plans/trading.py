@@ -18,6 +18,7 @@ from .analytics import R, S, scored
 from .registry import query
 
 T = lambda: F.col("ts").cast("timestamp_ntz").alias("ts")
+NTZ = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
 RET = f"r AS (SELECT *, ln(close / nullif(lag(close) OVER ({q.W}), 0)) AS ret_1 FROM bars)"
 
 
@@ -130,6 +131,21 @@ def effective_sample(spark: SparkSession, d: str) -> DataFrame:
     return a.agg(F.count("*").alias("n"), F.round(rho, 6).alias("rho"), F.round(F.count("*") * (1 - rho) / (1 + rho), 4).alias("n_eff"))
 
 
+@query("effective_samples", f"""
+WITH {HOUR}, m AS (SELECT ts, x - avg(x) OVER () AS d FROM k), a AS (SELECT d, lag(d) OVER (ORDER BY ts) AS e FROM m), c AS (SELECT count(*) AS n, greatest(-0.99, least(0.99, sum(d * e) / sum(d * d))) AS rho, corr(d, e) AS pair FROM a)
+SELECT n, round(rho, 6) AS rho_1, CAST(greatest(2, trunc(n * (1 - rho) / (1 + rho))) AS BIGINT) AS by_autocorrelation, CAST(greatest(2, n // 24) AS BIGINT) AS by_blocks, CAST(greatest(10, least(n, trunc(n * ((1 - pair) / (1 + pair + 1e-6))))) AS BIGINT) AS by_events,
+  CAST(greatest(2, trunc(n * (1 - rho) / (1 + rho))) - 1 AS BIGINT) AS degrees_of_freedom FROM c""")
+def effective_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Three effective sample sizes of the hourly series: by lag-1 autocorrelation, by whole days, and as for events."""
+    return ov.effective_samples(hourly(spark, d), "x", ["ts"], 24).withColumn("rho_1", R("rho_1"))
+
+
+@query("independent_blocks", f"WITH {HOUR} SELECT i // 24 AS block, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, round(avg(x), 9) AS mean FROM k GROUP BY 1 HAVING count(*) = 24")
+def independent_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of 24 hours that don't overlap; a last one that isn't whole goes."""
+    return ov.independent_blocks(hourly(spark, d), "x", ["ts"], 24).select("block", NTZ("first_ts"), NTZ("last_ts"), "n", F.round("mean", 9).alias("mean"))
+
+
 P = f"{q.BARS}, {RET}, v AS (SELECT *, {q.rolling('stddev_samp', 'ret_1', 24)} AS vol, (close - low) / nullif(high - low, 0) AS p FROM r)"
 
 
@@ -160,6 +176,14 @@ def sizing_schemes(spark: SparkSession, d: str) -> DataFrame:
     return s.select("symbol", T(), *[F.round(bt.positions(s, k), 6).alias(k) for k in ("fixed", "vol_target", "prob_scaled", "cost_aware")])
 
 
+@query("reference_sizing", f"WITH {q.BARS}, e AS (SELECT symbol, ts, (high - open) / nullif(open, 0) AS mfe, (open - low) / nullif(open, 0) AS mae FROM bars) SELECT symbol, ts, round(CASE WHEN mfe / (mae + 0.0016 + 1e-6) IS NOT NULL THEN least(1, greatest(0, mfe / (mae + 0.0016 + 1e-6) - 0.5)) END, 6) AS size FROM e")
+def reference_sizing(spark: SparkSession, d: str) -> DataFrame:
+    """Size from the favourable against the adverse excursion of a bar and the cost."""
+    o = F.nullif(F.col("open"), F.lit(0.0))
+    b = ob.bars(spark, d).withColumn("mfe", F.try_divide(F.col("high") - F.col("open"), o)).withColumn("mae", F.try_divide(F.col("open") - F.col("low"), o))
+    return b.select("symbol", T(), F.round(bt.reference_size(F.col("mfe"), F.col("mae")), 6).alias("size"))
+
+
 @query("risk_panel", f"""
 WITH {P}, x AS (SELECT symbol, ts, ret_1 / 100 AS r FROM v WHERE ret_1 IS NOT NULL), e AS (SELECT *, exp(sum(ln(1 + greatest(r, -0.999999))) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS eq, row_number() OVER (PARTITION BY symbol ORDER BY r, ts) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM x),
 g AS (SELECT *, 1 - eq / greatest(max(eq) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), 1) AS dd, floor((1 - CAST(0.95 AS DOUBLE)) * n) AS kk FROM e)
