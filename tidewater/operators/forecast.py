@@ -198,3 +198,17 @@ def accuracy_record(rows: DataFrame) -> DataFrame:
     width = F.col("mfe_p90") + F.col("mae_p90")
     missed = F.greatest(F.lit(0.0), F.col("actual_mfe") - F.col("mfe_p90")) + F.greatest(F.lit(0.0), F.col("actual_mae") - F.col("mae_p90"))
     return out.withColumn("width_pct", width * 100).withColumn("winkler", (2 * width + 20 * missed) * 100).withColumn("quantile_loss", 0.5 * (F.col("mfe_error") + F.col("mae_error")))
+
+
+#: Adverse against favourable excursion at the median and in the tail, and the cost that a trade must earn.
+ADVERSE_MEDIAN, ADVERSE_TAIL, FRICTION = 1.32, 1.90, 0.0014
+
+
+def risk_envelope(rows: DataFrame) -> DataFrame:
+    """Envelope of prices and a decision from ``p10, p50, p90`` and ``mean`` of favourable excursions and a ``price``."""
+    p50, p90, price = F.col("p50"), F.col("p90"), F.col("price")
+    down50, down90 = ADVERSE_MEDIAN * p50, ADVERSE_TAIL * p90
+    return rows.withColumns({
+        "upside_median": p50, "downside_median": down50, "upside_tail": p90, "downside_tail": down90, "range_width": p90 + down90, "uncertainty": (p90 - F.col("p10")) / (F.col("mean") + 1e-6), "upper_level": price * (1 + p90), "lower_level": price * (1 - down90),
+        "symmetry": F.when(down90 > p90, "SKEWED_ADVERSE").otherwise("SYMMETRIC"), "decision": F.when(p50 - down50 > FRICTION, "TRADE").otherwise("ABSTAIN"),
+    })

@@ -147,6 +147,27 @@ def quantile_calibration(spark: SparkSession, d: str) -> DataFrame:
     return u.groupBy("q").agg(F.round(cov, 6).alias("coverage"), F.round(cov - F.col("q"), 6).alias("coverage_error"), F.round(F.avg(F.greatest(F.col("q") * e, (F.col("q") - 1) * e)), 6).alias("pinball"))
 
 
+@query("regime_coverage", f"WITH {S} SELECT regime, horizon, count(*) AS n, round(avg(CAST(r BETWEEN -0.03 AND 0.03 AS INTEGER)), 6) AS coverage_80, round(avg(CAST(r BETWEEN -0.03 AND 0.03 AS INTEGER)) - 0.8, 6) AS coverage_error FROM s GROUP BY ALL HAVING count(*) >= 10")
+def regime_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage of the 80 % interval (P10 to P90) in each regime and horizon of ten forecasts or more."""
+    inside = F.avg(F.col("r").between(-0.03, 0.03).cast("int"))
+    a = scored(spark, d).groupBy("regime", "horizon").agg(F.count("*").alias("n"), inside.alias("_c")).where("n >= 10")
+    return a.select("regime", "horizon", "n", F.round("_c", 6).alias("coverage_80"), F.round(F.col("_c") - 0.8, 6).alias("coverage_error"))
+
+
+@query("univariate_auc", f"""
+WITH {S}, u AS (SELECT unnest([{{'feature': 'x', 'v': x}}, {{'feature': 'p', 'v': p}}, {{'feature': 'r', 'v': r}}, {{'feature': 'price', 'v': price}}], recursive := true), y FROM s),
+k AS (SELECT feature, y, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS rk FROM u),
+a AS (SELECT feature, (sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * (count(*) - sum(y)), 0) AS auc FROM k GROUP BY feature)
+SELECT feature, round(auc, 6) AS auc, round(greatest(auc, 1 - auc), 6) AS strength, rank() OVER (ORDER BY round(greatest(auc, 1 - auc), 6) DESC) AS rank FROM a""")
+def univariate_auc(spark: SparkSession, d: str) -> DataFrame:
+    """Area under the curve of each feature alone, and which tells most whatever its direction."""
+    parts = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in ("x", "p", "r", "price")])
+    a = fm.auc(scored(spark, d).select("y", F.explode(parts).alias("f")).select("y", "f.*"), "v", "y", ("feature",))
+    strength = F.round(F.greatest("auc", 1 - F.col("auc")), 6)
+    return a.select("feature", R("auc"), strength.alias("strength")).withColumn("rank", F.rank().over(Window.orderBy(F.desc("strength"))).cast("long"))  # a row a feature
+
+
 @query("confusion_metrics", f"""
 WITH {S}, c AS (SELECT horizon AS y, CASE WHEN p < 0.3 THEN 'A' WHEN p < 0.6 THEN 'N' ELSE 'R' END AS p, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT DISTINCT y AS k FROM c UNION SELECT DISTINCT p FROM c),
 m AS (SELECT k, coalesce((SELECT sum(n) FROM c WHERE y = k), 0) AS t, coalesce((SELECT sum(n) FROM c WHERE p = k), 0) AS s, coalesce((SELECT sum(n) FROM c WHERE y = k AND p = k), 0) AS c FROM k),

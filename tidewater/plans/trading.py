@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import ranks as fr
 from ..functions import windows as fw
 from ..operators import backtest as bt
 from ..operators import bars as ob
@@ -176,6 +177,18 @@ def sizing_schemes(spark: SparkSession, d: str) -> DataFrame:
     return s.select("symbol", T(), *[F.round(bt.positions(s, k), 6).alias(k) for k in ("fixed", "vol_target", "prob_scaled", "cost_aware")])
 
 
+@query("risk_envelope", f"""
+WITH {q.BARS}, m AS (SELECT symbol, ts, close, {q.forward('max', 'high', 24)} / nullif(close, 0) - 1 AS mfe FROM bars), e AS (SELECT symbol, count(mfe) AS n, quantile_cont(mfe, 0.5) AS p50, quantile_cont(mfe, 0.9) AS p90, quantile_cont(mfe, 0.1) AS p10, avg(mfe) AS mean, arg_max(close, ts) AS price FROM m GROUP BY symbol)
+SELECT symbol, n, round(p50, 5) AS upside_median, round(1.32 * p50, 5) AS downside_median, round(p90, 5) AS upside_tail, round(1.9 * p90, 5) AS downside_tail, round(p90 + 1.9 * p90, 5) AS range_width, round((p90 - p10) / (mean + 1e-6), 5) AS uncertainty,
+  round(price * (1 + p90), 4) AS upper_level, round(price * (1 - 1.9 * p90), 4) AS lower_level, CASE WHEN 1.9 * p90 > p90 THEN 'SKEWED_ADVERSE' ELSE 'SYMMETRIC' END AS symmetry, CASE WHEN p50 - 1.32 * p50 > 0.0014 THEN 'TRADE' ELSE 'ABSTAIN' END AS decision FROM e""")
+def risk_envelope(spark: SparkSession, d: str) -> DataFrame:
+    """Median and tail excursions of each symbol as a price envelope around its last close, with the decision they name."""
+    b = ob.bars(spark, d).withColumn("mfe", F.try_divide(fw.forward(F.max, "high", 24), F.nullif(F.col("close"), F.lit(0.0))) - 1)
+    quantiles = fr.exact_quantiles(b, ["symbol"], "mfe", {"p50": 0.5, "p90": 0.9, "p10": 0.1})
+    rest = b.groupBy("symbol").agg(F.count("mfe").alias("n"), F.avg("mfe").alias("mean"), F.max_by("close", "ts").alias("price"))
+    return fc.risk_envelope(quantiles.join(rest, "symbol")).select("symbol", "n", *[F.round(c, 5).alias(c) for c in ("upside_median", "downside_median", "upside_tail", "downside_tail", "range_width", "uncertainty")], R("upper_level", 4), R("lower_level", 4), "symmetry", "decision")
+
+
 @query("reference_sizing", f"WITH {q.BARS}, e AS (SELECT symbol, ts, (high - open) / nullif(open, 0) AS mfe, (open - low) / nullif(open, 0) AS mae FROM bars) SELECT symbol, ts, round(CASE WHEN mfe / (mae + 0.0016 + 1e-6) IS NOT NULL THEN least(1, greatest(0, mfe / (mae + 0.0016 + 1e-6) - 0.5)) END, 6) AS size FROM e")
 def reference_sizing(spark: SparkSession, d: str) -> DataFrame:
     """Size from the favourable against the adverse excursion of a bar and the cost."""
