@@ -337,23 +337,63 @@ def test_weak_labels_agree_with_held_out_labels(spark, odd):
     assert weak_labels.classify(odd.limit(0)).count() == 0
 
 
-def test_em_of_dependent_labellers_equals_a_plain_twin():
-    """Against EM written over single documents and arrays; and an EM that lets no labeller be wrong about good documents."""
-    rng = np.random.default_rng(11)
+def drawn_votes(rng, n, careless):
+    """Votes on ``n`` documents, a fifth of them bad of three kinds; good ones are accused with ``careless``."""
     k = len(weak_labels.LABELLERS)
-    docs = ["".join(rng.choice(list("ggggba"), k)) if rng.random() < 0.2 else "".join(rng.choice(list("gggga"), k)) for _ in range(300)]
-    model = weak_labels.accuracies(sorted({p: docs.count(p) for p in docs}.items()), rounds=7)
-    bad, said = (np.array([[v in x for v in p] for p in docs], dtype=float) for x in ("b", "gb"))
-    share0, rate0 = np.array([0.8] + [0.2 / k] * k), np.vstack([np.full(k, 0.002), np.where(np.eye(k), 0.95, 0.02)])
-    share, rate = share0, rate0
-    for _ in range(7):
-        like = np.exp(bad @ np.log(rate).T + (said - bad) @ np.log(1 - rate).T) * share
-        p = like / like.sum(axis=1, keepdims=True)
-        total = 20 * share0 + p.sum(axis=0)
-        rate = (20 * share0[:, None] * rate0 + p.T @ bad) / (20 * share0[:, None] + p.T @ said)
-        share = total / total.sum()
-    np.testing.assert_allclose([m[0] for m in model], share, rtol=1e-9)
-    np.testing.assert_allclose([m[1] for m in model], rate, rtol=1e-9)
+    kinds = np.array([[0.9, 0.8, 0.1, 0.02, 0.02, 0.3, 0.02, 0.02], [0.02, 0.02, 0.9, 0.7, 0.02, 0.02, 0.5, 0.02], [0.02, 0.05, 0.02, 0.02, 0.8, 0.02, 0.02, 0.9]])
+    good = rng.random(n) < 0.8
+    accused = rng.random((n, k)) < np.where(good[:, None], careless, kinds[rng.integers(0, 3, n)])
+    silent = rng.random((n, k)) < 0.15
+    return good, ["".join("a" if s else "b" if x else "g" for s, x in zip(*r, strict=True)) for r in zip(silent, accused, strict=True)]
+
+
+def test_em_of_dependent_labellers_equals_a_plain_twin():
+    """Five rounds against EM in loops over single documents."""
+    _, docs = drawn_votes(np.random.default_rng(11), 150, 0.03)
+    k, counts = len(weak_labels.LABELLERS), sorted(Counter(docs).items())
+    share = [0.6, 0.3, 0.1]
+    rate = [[0.01] * k, [0.6, 0.5] + [0.1] * (k - 2), [0.1] * (k - 2) + [0.7, 0.4]]
+    got, _ = weak_labels.expectation_maximisation(*weak_labels._outcomes([p for p, _ in counts]), np.array([c for _, c in counts], float), (np.array(share), np.array(rate)), 5)
+    for _ in range(5):
+        total, bad, said = [1.0] * 3, [[1.0] * k for _ in range(3)], [[2.0] * k for _ in range(3)]
+        for d in docs:
+            like = [w * math.prod(1 if v == "a" else r[j] if v == "b" else 1 - r[j] for j, v in enumerate(d)) for w, r in zip(share, rate, strict=True)]
+            for c, x in enumerate(like):
+                total[c] += x / sum(like)
+                for j, v in enumerate(d):
+                    bad[c][j] += x / sum(like) * (v == "b")
+                    said[c][j] += x / sum(like) * (v != "a")
+        share = [x / sum(total) for x in total]
+        rate = [[b / s for b, s in zip(*x, strict=True)] for x in zip(bad, said, strict=True)]
+        rate[0] = [(sum(bad[0]) - k + 1) / (sum(said[0]) - 2 * k + 2)] * k
+    np.testing.assert_allclose(got[0], share, rtol=1e-9)
+    np.testing.assert_allclose(got[1], rate, rtol=1e-9)
+
+
+@pytest.mark.parametrize("careless", [0.002, 0.02, 0.05, 0.1])
+def test_em_finds_kinds_and_rates_whatever_its_start(careless):
+    good, docs = drawn_votes(np.random.default_rng(1), 10_000, careless)
+    accuracy = lambda said: (np.array(said) == good).mean()
+    found = []
+    for start in (0.002, 0.02, 0.1):
+        model = weak_labels.accuracies(sorted(Counter(docs).items()), start)
+        assert len(model[0]) == 4 and model[1][0, 0] == pytest.approx(careless, abs=0.003)
+        found.append(accuracy(weak_labels.posteriors(docs, model) >= 0.5))
+    assert max(found) - min(found) < 0.001
+    assert min(found) > accuracy(["b" not in d for d in docs]) and min(found) > accuracy([d.count("b") <= d.count("g") for d in docs]) + 0.05
+
+
+def test_posteriors_agree_with_held_out_labels_whatever_their_start(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    counts = weak_labels._patterns(docs)
+    held = docs.select("doc_id", weak_labels.votes(F.coalesce("text", F.lit(""))).alias("p")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").toPandas()
+    for start in (0.002, 0.02, 0.05, 0.1):
+        said = weak_labels.posteriors(held.p.tolist(), weak_labels.accuracies(counts, start)) >= 0.5
+        assert (said == (held.quality == 1)).mean() >= 0.99
+    table = weak_labels.reliabilities(docs).toPandas()
+    assert table.groupby("kind").share.first().sum() == pytest.approx(1) and table[table.kind == 0].accuses.max() < 0.01
+    assert weak_labels.reliabilities(docs.limit(0)).count() == 0
 
 
 def test_linear_scorer_and_cutoff_by_brute_force():
