@@ -526,20 +526,26 @@ def test_damaged_archives_are_salvaged_through_spark(spark, tmp_path, monkeypatc
     assert warc.gaps(warc.read(spark, str(tmp_path / "w"), most=20_000)).where("reason = 'record too long'").count() > 0
 
 
-def test_conversations_pack_under_three_limits(spark):
+def test_conversations_pack_under_three_limits(spark, hf):
     talks = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    odd_turns = spark.createDataFrame([(10**9, 0, None, "some words"), (10**9, 1, "assistant", None), (None, 0, "user", "x"), (10**9 + 1, 0, "user", "")], "conv_id long, turn int, role string, text string")
+    talks = talks.select(F.col("conv_id").cast("long"), F.col("turn").cast("int"), "role", "text").unionByName(odd_turns)
     want = {}
     for r in talks.collect():
-        n = len((r.text or "").split())
+        n = len(hf.encode(r.text or "", add_special_tokens=False).ids) + 1
         a, b = want.get(r.conv_id, (0, 0))
         want[r.conv_id] = (a + n, b + n * (r.role == "assistant"))
-    examples = packing.conversation_examples(talks)
+    assert want[10**9][1] == 1 and want[10**9 + 1] == (1, 0)
+    examples = packing.conversation_examples(talks.withColumn("n", F.lit(1)).withColumn("example_id", F.lit("x")), vocabulary())
     assert {r.example_id: (r.n_tokens, r.n_loss) for r in examples.collect()} == {k: v for k, v in want.items() if k is not None}
-    limits = [4096, 8, 2560]
-    out = packing.pack_examples(examples, *limits).join(examples, "example_id").where("not oversize").groupBy("sequence_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("s"), F.sum("n_loss").alias("k")).toPandas()
+    limits = [4096, 4, 3200]
+    out = packing.pack_examples(examples.coalesce(1), *limits).join(examples, "example_id").where("not oversize").groupBy("sequence_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("s"), F.sum("n_loss").alias("k")).toPandas()
     assert out.t.max() <= limits[0] and out.s.max() <= limits[1] and out.k.max() <= limits[2]
-    # the loss limit binds: some sequence has room for tokens but for no more loss
-    assert (out.k > 0.8 * limits[2]).any() and packing.pack_examples(examples.limit(0)).count() == 0
+    # each limit is nearly reached in some sequence in which the other two are not
+    full = np.array([out.t, out.s, out.k]).T / limits
+    assert all(((full[:, i] > 0.97) & (np.delete(full, i, axis=1) <= 0.97).all(axis=1)).any() for i in range(3))
+    assert out.t.sum() / len(out) > 0.8 * limits[0]
+    assert packing.pack_examples(examples.limit(0)).count() == 0 and packing.conversation_examples(talks.limit(0), vocabulary()).count() == 0
 
 
 def test_short_documents_leave_no_padding(spark):

@@ -208,7 +208,8 @@ def pack_examples(examples: DataFrame, tokens: int = 4096, segments: int = 64, l
     """Pack whole examples ``(example_id, n_tokens, n_loss)`` under all three limits, none cut.
 
     Returns ``example_id, sequence_id, offset``. Nulls count as 0; an example that exceeds a
-    bin by itself gets a sequence of its own, marked by ``oversize``; none is dropped.
+    bin by itself gets a sequence of its own, marked by ``oversize``; none is dropped. Repeated
+    rows are packed each, an empty table gives no rows.
     """
     schema = "example_id long, sequence_id long, offset long, oversize boolean"
 
@@ -252,12 +253,25 @@ def pack_examples(examples: DataFrame, tokens: int = 4096, segments: int = 64, l
     return wanted.mapInArrow(run, schema)
 
 
-def conversation_examples(conversations: DataFrame) -> DataFrame:
-    """Instruction data: an example a conversation, counted in words; the assistant's bear loss.
+def conversation_examples(conversations: DataFrame, vocabulary: str) -> DataFrame:
+    """Instruction data: an example a conversation, in ids of the tokenizer; ``example_id, n_tokens, n_loss``.
 
-    Nulls: a null text has no words; rows without a ``conv_id`` are in no conversation.
+    Each turn is its text's ids and one that ends it; those of the assistant's turns bear loss.
+    Nulls: a null text has no ids but its end, a null role bears no loss; rows without a
+    ``conv_id`` are in no conversation; repeated rows count each; other columns are not read.
     """
-    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")).cast("long")
-    return conversations.where("conv_id is not null").groupBy(F.col("conv_id").cast("long").alias("example_id")).agg(
-        F.sum(n).alias("n_tokens"), F.sum(F.when(F.col("role") == "assistant", n).otherwise(0)).alias("n_loss")
-    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .bpe import count_memo
+
+        memo = count_memo(vocabulary)
+        for batch in batches:
+            chunks = [memo.bpe.chunks(t) for t in batch.column(2).to_pylist()]
+            memo.learn(chunks)
+            get = memo.known.__getitem__
+            n = [sum(map(get, c)) + 1 for c in chunks]
+            loss = [k if role == "assistant" else 0 for k, role in zip(n, batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, type=pa.int64()), pa.array(loss, type=pa.int64())], names=["example_id", "n", "loss"])
+
+    turns = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("example_id"), "role", "text")
+    return turns.mapInArrow(count, "example_id long, n long, loss long").groupBy("example_id").agg(F.sum("n").alias("n_tokens"), F.sum("loss").alias("n_loss"))

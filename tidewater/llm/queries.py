@@ -67,9 +67,9 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole conversations in sequences of at most 4096 words, 8 conversations and 2560 words that bear loss."""
-    examples = packing.conversation_examples(read(spark, sf_dir, "conversations"))
-    return packing.pack_examples(examples, 4096, 8, 2560).join(examples, "example_id")
+    """Whole conversations in sequences of at most 4096 ids, 4 conversations and 3200 ids that bear loss."""
+    examples = packing.conversation_examples(read(spark, sf_dir, "conversations"), vocabulary())
+    return packing.pack_examples(examples, 4096, 4, 3200).join(examples, "example_id")
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc, op3_weak_labels, op4_packing, op5_pii, op6_mtree, op7_simhash, op8_quality_rules, op9_token_counts, op10_bpe, op11_centroids, op12_byte_bpe, op13_phrases, instruction_packing)}
