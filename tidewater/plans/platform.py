@@ -13,7 +13,9 @@ from ..operators import evolve as ev
 from ..operators import genomes as ge
 from ..operators import models as om
 from ..operators.indicators import macro_cycle, market_state
+from ..operators.labels import excursions
 from ..operators.ledger import latest
+from ..operators.quantiles import excursion_distribution as excursion_distribution_of
 from ..sources import paged, scans, sinks
 from ..sources.shared import shared_dir, written
 from ..streaming import features, live
@@ -180,6 +182,16 @@ def quantile_regression(spark: SparkSession, d: str) -> DataFrame:
     return om.quantile_regression(_frame(spark, d).drop("features"), ["symbol"], ["vol", "volume_z"], "nxt", 0.9).select("symbol", R("b_vol", 4), R("b_volume_z", 4), R("b_0", 4))
 
 
+@query("excursion_distribution")
+def excursion_distribution(spark: SparkSession, d: str) -> DataFrame:
+    """Five quantiles of the next day's best move, fitted on the first 60 % of each series, for the last 20 %."""
+    s = excursions(signals(spark, d).withColumn("volume_z", fw.zscore("volume", 24)), 24)
+    s = written(s.withColumn("share", F.percent_rank().over(Window.partitionBy("symbol").orderBy("ts"))).select("symbol", "ts", "close", "p", "vol", "volume_z", "ret_1", "mfe_long", "share"))
+    out = excursion_distribution_of(s.where("share <= 0.6"), s.where("share > 0.8"), ["p", "vol", "volume_z", "ret_1"], "mfe_long")
+    names = ("exp_mfe", "p10_mfe", "p25_mfe", "p50_mfe", "p75_mfe", "p90_mfe", "interval_width", "uncertainty_score")
+    return out.select("symbol", NTZ("ts"), R("close", 6), *[R(c, 4) for c in names], F.round("mfe_long", 6).alias("actual_mfe"))
+
+
 @query("isotonic_calibration")
 def isotonic_calibration(spark: SparkSession, d: str) -> DataFrame:
     s = scored(spark, d).select("p", F.col("y").cast("double").alias("y"))
