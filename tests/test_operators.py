@@ -236,3 +236,17 @@ def test_expired_forecasts_are_reported(spark, tmp_path):
     out = live.replay([spark.createDataFrame(s, live.TICK) for s in (rows[:8], rows[8:14], rows[14:])], build, live.TICK, str(tmp_path / "r"))
     got = [(r.forecast_id, r.event_id) for r in out.collect()]
     assert (0, None) in got and (1, 2) in got and (1, 3) in got and (2, 5) not in got
+
+
+def _shuffled_ticks(n):
+    """Ticks of one key, every 450 s, in no order; more than one Arrow frame of 10,000 rows."""
+    rows = [(i, START + dt.timedelta(seconds=450 * i, microseconds=123_457), 1, "a", None if i % 3 else float(i), "") for i in range(n)]
+    return random.Random(4).sample(rows, n)
+
+
+def test_carry_forward_orders_all_rows_of_a_large_key(spark, tmp_path):
+    from tidewater.streaming import live
+
+    n = 25_000
+    out = live.replay([spark.createDataFrame(_shuffled_ticks(n), live.TICK).repartition(7)], live.carry_forward, live.TICK, str(tmp_path / "c"))
+    assert sorted((r.event_id, r.value, r.degraded) for r in out.collect()) == [(i, float(i - i % 3), i % 3 != 0) for i in range(n)]
