@@ -250,3 +250,11 @@ def test_carry_forward_orders_all_rows_of_a_large_key(spark, tmp_path):
     n = 25_000
     out = live.replay([spark.createDataFrame(_shuffled_ticks(n), live.TICK).repartition(7)], live.carry_forward, live.TICK, str(tmp_path / "c"))
     assert sorted((r.event_id, r.value, r.degraded) for r in out.collect()) == [(i, float(i - i % 3), i % 3 != 0) for i in range(n)]
+
+
+def test_cooldown_of_a_large_key_keeps_exact_distances(spark, tmp_path):
+    from tidewater.streaming import live
+
+    n = 25_000
+    out = live.replay([spark.createDataFrame(_shuffled_ticks(n), live.TICK).repartition(7)], live.cooled, live.TICK, str(tmp_path / "d"))
+    assert sorted(r.event_id for r in out.collect()) == list(range(0, n, 2))
