@@ -179,3 +179,9 @@ def test_intelligence_as_of_each_bar(spark):
         past = ret.tail(720).rolling(24).std().dropna()
         share = (past < ret.tail(24).std() - 1e-12).mean() * 100 if len(past) else 35.0  # the current one is among them
         assert v.loc[n - 1].volatility_percentile == int(share)
+
+
+def test_permutation_of_labels_that_are_all_alike(spark):
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i % 7), 0) for i in range(100)]
+    got = resampling.auc_permutation(spark.createDataFrame(rows, "ts date, p double, y int"), ["ts"], 20, 50).collect()
+    assert len(got) == 50 and all(r.auc is None and r.observed is None and r.as_high for r in got)

@@ -118,16 +118,23 @@ def auc_bootstrap(blocks: DataFrame, resamples: int) -> DataFrame:
 def auc_permutation(series: DataFrame, order: list[str], block: int, resamples: int) -> DataFrame:
     """``draw, auc, observed``: labels ``y`` in permuted blocks against forecasts ``p`` in place; rows after the last whole block go.
 
+    Areas are NULL where all labels are alike; ``as_high`` (the positives' rank sum is at least the
+    observed one) is known even then.
+
     ``series`` is a reduced series (a row a day), of which a task holds the ranks.
     """
     s = _small(series.select(*order, "p", "y").orderBy(*order))
     s = s.iloc[: len(s) // block * block]
     rank, y = s["p"].rank().to_numpy(), s["y"].to_numpy(dtype=float).reshape(-1, block) if len(s) else np.zeros((0, block))
     pos = y.sum()
-    area = lambda labels: ((labels * rank).sum(axis=-1) - pos * (pos + 1) / 2) / (pos * (len(s) - pos)) if 0 < pos < len(s) else np.full(labels.shape[0], np.nan)
-    observed = float(area(y.reshape(1, -1))[0]) if len(s) else float("nan")
-    work = lambda draw: {"auc": area(y[orders(draw, len(y))].reshape(len(draw), -1)), "observed": observed}
-    return _over_draws(series.sparkSession, resamples if len(s) else 0, work, "draw long, auc double, observed double")
+    area = lambda sums: (sums - pos * (pos + 1) / 2) / (pos * (len(s) - pos)) if 0 < pos < len(s) else sums * np.nan
+    real = float(y.reshape(-1) @ rank)
+
+    def work(draw: np.ndarray) -> dict[str, np.ndarray]:
+        sums = (y[orders(draw, len(y))].reshape(len(draw), -1) * rank).sum(axis=-1)
+        return {"auc": area(sums), "observed": area(np.full(len(draw), real)), "as_high": sums >= real}
+
+    return _over_draws(series.sparkSession, resamples if len(s) else 0, work, "draw long, auc double, observed double, as_high boolean")
 
 
 def paired(diff: DataFrame, value: str, order: list[str], block: int, resamples: int) -> DataFrame:

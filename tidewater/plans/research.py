@@ -307,7 +307,8 @@ def auc_permutation(spark: SparkSession, d: str) -> DataFrame:
     """The area under the curve of daily forecasts against 500 permutations of their labels in blocks of 24 days."""
     day = scored(spark, d).groupBy(F.to_date("ts").alias("day")).agg(F.round(F.avg("p"), 6).alias("p"), (2 * F.sum("y") >= F.count("*")).cast("int").alias("y"))
     a = rs.auc_permutation(day, ["day"], 24, 500)
-    return a.agg(F.round(F.max("observed"), 6).alias("observed"), F.round(F.avg("auc"), 6).alias("mean"), F.round(F.avg((F.col("auc") >= F.col("observed")).cast("int")), 6).alias("p_value"))
+    area = lambda c: F.coalesce(c, F.lit(float("nan")))  # noqa: E731  as SQL divides 0 by 0 where all days' labels are alike
+    return a.agg(F.round(F.max(area("observed")), 6).alias("observed"), F.round(F.avg(area("auc")), 6).alias("mean"), F.round(F.avg(F.col("as_high").cast("int")), 6).alias("p_value"))
 
 
 @query("label_permutation", f"""
