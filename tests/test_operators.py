@@ -258,3 +258,15 @@ def test_cooldown_of_a_large_key_keeps_exact_distances(spark, tmp_path):
     n = 25_000
     out = live.replay([spark.createDataFrame(_shuffled_ticks(n), live.TICK).repartition(7)], live.cooled, live.TICK, str(tmp_path / "d"))
     assert sorted(r.event_id for r in out.collect()) == list(range(0, n, 2))
+
+
+def test_forecasts_meet_outcomes_of_their_slots_only(spark):
+    from tidewater.streaming import live
+
+    f = spark.createDataFrame([(i, "a", START + dt.timedelta(hours=i)) for i in range(40)], "forecast_id long, forecast_symbol string, made_at timestamp")
+    o = spark.createDataFrame([(i, "a", START + dt.timedelta(hours=i)) for i in range(0, 40, 5)], "event_id long, symbol string, ts timestamp")
+    out = live.resolved(f, o, 6)
+    want = [(i, j) for i in range(40) for j in range(0, 40, 5) if i < j <= i + 6] + [(i, None) for i in range(35, 40)]
+    assert sorted(((r.forecast_id, r.event_id) for r in out.collect()), key=str) == sorted(want, key=str)
+    keys = out._jdf.queryExecution().sparkPlan().toString().split("Join [")[1].split("]")[0]
+    assert "forecast_symbol" in keys and "_made_in" in keys
