@@ -1,6 +1,7 @@
 """Blocks of a few rows against whole series: cooldown by jump maps, exponential means by scan; balance of tasks."""
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -65,3 +66,22 @@ def test_one_key_spreads_over_tasks(spark):
     blocks = numbered(df, ["kind"], "event_id").withColumn("_block", F.floor(F.col("_rn") / 256)).repartition(16, "kind", "_block")
     loads = [n for n in blocks.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect() if n]
     assert len(loads) >= 12 and TaskContext.get() is None
+
+
+def test_forward_extremes_of_dense_ticks(spark):
+    from tidewater.functions import blocks
+
+    rng = random.Random(3)
+    rows = [(i, dt.datetime(2024, 1, 1, 5, 50) + dt.timedelta(seconds=rng.randrange(1500)), "a" if i % 3 else None, None if i % 7 == 0 else rng.choice([1.0, -2.0, 5.5, math.nan])) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, kind string, v double")
+    out = blocks.forward_extremes(df, "kind", "v", (1, 60))
+    for r in out.collect():
+        _, t, kind, _ = rows[r.event_id]
+        for h in (1, 60):
+            after = [x[3] for x in rows if x[2] == kind and 0 < (x[1] - t).total_seconds() <= h]
+            there = [math.inf if x != x else x for x in after if x is not None]
+            back = lambda x: None if x is None else math.inf if x != x else x
+            assert (r[f"n_{h}"], back(r[f"max_{h}"]), back(r[f"min_{h}"])) == (len(after), max(there, default=None), min(there, default=None))
+    assert out.count() == 400 and blocks.forward_extremes(df.limit(0), "kind", "v", (1, 60)).count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan  # frames folded anew for each row cost rows times a frame's rows

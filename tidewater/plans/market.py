@@ -348,15 +348,10 @@ SELECT event_id, {cols} FROM events {wins}""".format(
     wins="WINDOW " + ", ".join(f"w{h} AS (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 1 FOLLOWING AND {h}000000 FOLLOWING)" for h in (60, 300, 900, 1800))))
 def forward_seconds(spark: SparkSession, d: str) -> DataFrame:
     """Excursions strictly after each tick, up to 60 to 1800 seconds, in blocks of six hours with half an hour beyond."""
-    from pyspark.sql import Window
+    from ..functions.blocks import forward_extremes
 
-    from ..functions.blocks import time_blocks
-
-    e = time_blocks(ob.events(spark, d), 6 * 3_600_000_000, after=1_800_000_000)
-    for h in (60, 300, 900, 1800):
-        w = Window.partitionBy("event_type", "_block").orderBy("_us").rangeBetween(1, h * 1_000_000)
-        e = e.withColumn(f"n_{h}", F.count("*").over(w)).withColumn(f"max_{h}", F.round(F.max("value").over(w), 6)).withColumn(f"min_{h}", F.round(F.min("value").over(w), 6))
-    return e.where("_own").select("event_id", *[f"{a}_{h}" for h in (60, 300, 900, 1800) for a in ("n", "max", "min")])
+    out = forward_extremes(ob.events(spark, d), "event_type", "value", (60, 300, 900, 1800))
+    return out.select("event_id", *[F.round(f"{a}_{h}", 6).alias(f"{a}_{h}") if a != "n" else f"n_{h}" for h in (60, 300, 900, 1800) for a in ("n", "max", "min")])
 
 
 @query("horizon_returns", f"WITH {q.BARS} SELECT symbol, ts, round(ln(lead(close, 4) OVER ({q.W}) / nullif(close, 0)), 6) AS fwd_ret_4, round(ln(lead(close, 24) OVER ({q.W}) / nullif(close, 0)), 6) AS fwd_ret_24 FROM bars")
