@@ -72,3 +72,15 @@ def test_answers_that_can_not_be_read(spark):
     assert [(r.open_ms, r.open, r.degraded) for r in out] == [(None, None, True), (60000, 1.0, False), (60000, 1.0, True), (60000, 1.0, True), (180000, 3.0, False), (180000, 3.0, True)]
     macro = spark.createDataFrame([("{}", "x", None), ('{"lastFundingRate":"0.0003"}', '{"openInterest":"12.5"}', '{"data":[{"value":"71"}]}')], "f string, o string, g string")
     assert [tuple(r)[3:] for r in scans.macro_snapshots(macro, "f", "o", "g").collect()] == [(0.0001, 0.0, 50.0), (0.0003, 12.5, 71.0)]
+
+
+def test_a_process_holds_windows_not_the_table(table):
+    class Narrow(paged.TableApi):
+        WINDOW = 300_000_000
+
+    paged._window.cache_clear()
+    r = paged.PagedStreamReader(Narrow(table), 7, 300_000_000, 1)
+    assert [x[0] for p in r.partitions(r.initialOffset(), r.latestOffset()) for x in r.read(p)] == list(range(200))
+    assert paged._window.cache_info().misses > 2 and len(Narrow(table).fetch(us(START) - 10**12, None, 1000)) == 200
+    start = us(START) // 300_000_000 * 300_000_000
+    assert len(paged._window(table, start, start + 300_000_000)[2]) == 45

@@ -22,31 +22,62 @@ from pyspark.sql.types import StructType
 EPOCH = dt.datetime(1970, 1, 1)
 
 
+def _batches(path: str, columns: list[str], where: ds.Expression | None = None) -> ds.Scanner:
+    """A scan that holds few rows at once."""
+    return ds.dataset(path).scanner(columns=columns, filter=where, batch_size=32_768, batch_readahead=2, fragment_readahead=1)
+
+
+def _micros(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return column.cast(pa.timestamp("us")).cast(pa.int64()).to_numpy(zero_copy_only=False)
+
+
+@lru_cache(maxsize=4)
+def _edges(path: str, clock: int | None) -> tuple[int, int] | None:
+    """The first and the newest time up to ``clock``."""
+    first, newest = None, None
+    for batch in _batches(path, ["ts"]).to_batches():
+        us = _micros(batch.column(0).drop_null())
+        us = us if clock is None else us[us <= clock]
+        if len(us):
+            first, newest = min(int(us.min()), int(us.max()) if first is None else first), max(int(us.max()), int(us.min()) if newest is None else newest)
+    return None if first is None else (first, newest)
+
+
 @lru_cache(maxsize=2)
-def _rows(path: str) -> tuple[np.ndarray, np.ndarray, pa.Table]:
-    """Times and ids in order, and the rows; what a server would hold, not the source."""
-    table = ds.dataset(path).to_table(columns=["event_id", "ts", "event_type", "value"]).sort_by([("ts", "ascending"), ("event_id", "ascending")])
-    return table["ts"].cast(pa.timestamp("us")).cast(pa.int64()).to_numpy(), table["event_id"].to_numpy(), table
+def _window(path: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+    """Times and ids in order, and the rows, from ``start`` up to before ``end``: all that a process holds of the table."""
+    at = lambda us: pa.scalar(us, pa.timestamp("us", tz=getattr(ds.dataset(path).schema.field("ts").type, "tz", None)))
+    where = (ds.field("ts") >= at(start)) & (ds.field("ts") < at(end))
+    table = _batches(path, ["event_id", "ts", "event_type", "value"], where).to_table().sort_by([("ts", "ascending"), ("event_id", "ascending")])
+    return _micros(table["ts"]), table["event_id"].to_numpy(), table
 
 
 class TableApi:
-    """``fetch`` gives at most ``limit`` rows after a cursor, in the order of time and id; ``edges`` the first and the newest time there is at ``clock``."""
+    """``fetch`` gives at most ``limit`` rows after a cursor, in the order of time and id; ``edges`` the first and the newest time there is at ``clock``.
+
+    It reads the table by windows of ``WINDOW`` microseconds, wider ones where rows are sparse.
+    """
+
+    WINDOW = 21_600_000_000
 
     def __init__(self, path: str, clock: int | None = None):
         self.path, self.clock = path, clock
 
     def edges(self) -> tuple[int, int] | None:
-        us = _rows(self.path)[0]
-        us = us if self.clock is None else us[: np.searchsorted(us, self.clock, side="right")]
-        return (int(us[0]), int(us[-1])) if len(us) else None
+        return _edges(self.path, self.clock)
 
     def fetch(self, us: int, after: int | None, limit: int) -> list[tuple]:
         """Rows at ``us`` with an id over ``after`` (none: every row at ``us``), then later ones."""
-        times, ids, table = _rows(self.path)
-        first, last = np.searchsorted(times, us, side="left"), np.searchsorted(times, us, side="right")
-        at = first if after is None else first + np.searchsorted(ids[first:last], after, side="right")
-        part = table.slice(at, limit)
-        return list(zip(part["event_id"].to_pylist(), times[at : at + limit].tolist(), part["event_type"].to_pylist(), part["value"].to_pylist(), strict=True))
+        edges, rows, width = _edges(self.path, None), [], self.WINDOW
+        start = us // width * width
+        while edges and len(rows) < limit and start <= edges[1]:
+            times, ids, table = _window(self.path, start, start + width)
+            first, last = np.searchsorted(times, us, side="left"), np.searchsorted(times, us, side="right")
+            at, more = int(first if after is None else first + np.searchsorted(ids[first:last], after, side="right")), limit - len(rows)
+            part = table.slice(at, more)
+            rows += zip(part["event_id"].to_pylist(), times[at : at + more].tolist(), part["event_type"].to_pylist(), part["value"].to_pylist(), strict=True)
+            start, width = start + width, width if len(table) else 2 * width
+        return rows
 
 
 class PagedStream(DataSource):
