@@ -185,3 +185,14 @@ def test_permutation_of_labels_that_are_all_alike(spark):
     rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i % 7), 0) for i in range(100)]
     got = resampling.auc_permutation(spark.createDataFrame(rows, "ts date, p double, y int"), ["ts"], 20, 50).collect()
     assert len(got) == 50 and all(r.auc is None and r.observed is None and r.as_high for r in got)
+
+
+def test_ranks_of_few_values_are_broadcast(spark):
+    rng = random.Random(8)
+    rows = [(float(rng.randint(0, 5)) if i % 9 else None, rng.random(), float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(3)
+    want = sorted(map(tuple, df.toPandas().rank().fillna(-1.0).to_numpy().tolist()))
+    for few in (0, 100, 1000):
+        assert sorted(tuple(-1.0 if x is None else x for x in r) for r in metrics.ranked(df, ["a", "b", "c"], few).collect()) == want
+    plan = metrics.ranked(df, ["a", "b", "c"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
