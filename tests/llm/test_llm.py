@@ -652,3 +652,43 @@ def test_warc_digests_in_base32_and_unknown_forms():
     for bad in (hashlib.sha1(b"x").hexdigest().encode(), base64.b32encode(hashlib.sha1(b"x").digest())):
         with pytest.raises(ValueError, match="payload digest"):
             warc.parse(block(bad))
+
+
+def test_conversations_are_counted_a_few_turns_at_once(monkeypatch):
+    import pyarrow as pa
+
+    from tidewater.llm import bpe, packing
+
+    sizes: list[int] = []
+
+    class Memo:
+        """Counts letters, and notes how many turns it is given."""
+
+        class bpe:  # noqa: N801
+            chunks = staticmethod(list)
+
+        known = dict.fromkeys("ab", 1)
+
+        def learn(self, texts):
+            sizes.append(len(texts))
+
+    class Turns:
+        """Stands in for a table: hands its rows to the function that counts them, in one batch."""
+
+        def where(self, *_):
+            return self
+
+        select = groupBy = agg = where
+
+        def mapInArrow(self, run, schema):
+            n = 3000
+            batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["user", "assistant"] * (n // 2)), pa.array(["ab", "abab"] * (n // 2))], names=["example_id", "role", "text"])
+            (self.out,) = run(iter([batch]))
+            return self
+
+    monkeypatch.setattr(bpe, "count_memo", lambda _: Memo())
+    monkeypatch.setattr(packing.F, "col", lambda _: type("C", (), {"cast": lambda s, _: s, "alias": lambda s, _: s})())
+    monkeypatch.setattr(packing.F, "sum", packing.F.col)
+    out = packing.conversation_examples(Turns(), "").out.to_pydict()
+    assert max(sizes) <= 512 and sum(sizes) == 3000
+    assert out["n"] == [3, 5] * 1500 and out["loss"] == [0, 5] * 1500

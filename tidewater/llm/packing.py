@@ -266,10 +266,12 @@ def conversation_examples(conversations: DataFrame, vocabulary: str) -> DataFram
 
         memo = count_memo(vocabulary)
         for batch in batches:
-            chunks = [memo.bpe.chunks(t) for t in batch.column(2).to_pylist()]
-            memo.learn(chunks)
-            get = memo.known.__getitem__
-            n = [sum(map(get, c)) + 1 for c in chunks]
+            n: list[int] = []
+            for lo in range(0, batch.num_rows, 512):  # pre-tokens of few turns at once
+                chunks = [memo.bpe.chunks(t) for t in batch.column(2).slice(lo, 512).to_pylist()]
+                memo.learn(chunks)
+                get = memo.known.__getitem__
+                n += [sum(map(get, c)) + 1 for c in chunks]
             loss = [k if role == "assistant" else 0 for k, role in zip(n, batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, type=pa.int64()), pa.array(loss, type=pa.int64())], names=["example_id", "n", "loss"])
 
