@@ -116,3 +116,23 @@ def test_fronts_by_rounds_equal_all_pairs(spark, monkeypatch, block):
     first = {i for i in value if not any(beats(value[j], value[i]) for j in value)}
     assert {r.id for r in evolve.dominance_fronts(points, small=60).where("front = 1").select("id").collect()} == first
     assert evolve.dominance_fronts(points.limit(0)).count() == 0
+
+
+def test_fronts_take_as_many_jobs_as_a_way_through_the_grid(spark, monkeypatch):
+    """A chain has as many fronts as points: jobs don't grow with fronts; every front against all pairs on ties, copies and missing values."""
+    monkeypatch.setattr(evolve, "BLOCK", 40)
+    jobs, written = [], evolve.written
+    monkeypatch.setattr(evolve, "written", lambda df: jobs.append(1) or written(df))
+    schema = "id long, " + ", ".join(f"{c} double" for c in evolve.OBJECTIVES)
+    chain = spark.createDataFrame([(i, *[float(i)] * 5) for i in range(200)], schema)
+    assert {(r.id, r.front) for r in evolve.dominance_fronts(chain, small=50).collect()} == {(i, 200 - i) for i in range(200)}
+    assert len(jobs) <= 12
+    rnd = random.Random(8)
+    rows = [(i, *[rnd.choice([math.inf, math.nan, None]) if rnd.random() < 0.02 else float(rnd.randint(0, 5)) for _ in range(5)]) for i in range(400)]
+    rows += [(400 + i, *rows[i % 7][1:]) for i in range(60)]
+    got = {r.id: r.front for r in evolve.dominance_fronts(spark.createDataFrame(rows, schema), small=50).collect()}
+    value = {r[0]: [x if x is not None and math.isfinite(x) else -math.inf for x in r[1:]] for r in rows}
+    want = {}
+    for i in sorted(value, key=value.get, reverse=True):
+        want[i] = 1 + max((want[j] for j in want if -math.inf not in value[j] and value[j] != value[i] and all(a >= b for a, b in zip(value[j], value[i], strict=True))), default=0)
+    assert got == want
