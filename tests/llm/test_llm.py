@@ -407,6 +407,39 @@ def test_linear_scorer_and_cutoff_by_brute_force():
     assert sum(v.values()) == pytest.approx(5.0)  # three slots a word as shares, two of the text
 
 
+def test_scorer_and_cutoff_are_learnt_from_all_documents(spark):
+    """6,000 documents (a sample had held 4,000) against sums and losses over single documents; alike however rows are dealt."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 6000").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, " ")], "doc_id long, text string"))
+    weights, bias, least = weak_labels.train(docs)
+    again = weak_labels.train(docs.repartition(7))
+    assert np.array_equal(again[0], weights) and again[1:] == (bias, least)
+    texts = [r.text or "" for r in docs.collect()]
+    ballots = [weak_labels.ballot(t) for t in texts]
+    y = weak_labels.posteriors(ballots, weak_labels.accuracies(sorted(Counter(ballots).items())))
+    y = np.rint(y * 4096) / 4096
+    good, bad = np.zeros(weak_labels.SLOTS), np.zeros(weak_labels.SLOTS)
+    found = [weak_labels.vector(t) for t in texts]
+    for v, p in zip(found, y, strict=True):
+        for slot, x in v.items():
+            good[slot] += p * x
+            bad[slot] += (1 - p) * x
+    even = 1 / weak_labels.SLOTS
+    np.testing.assert_allclose(weights, np.log((good / y.sum() + even) / (bad / (1 - y).sum() + even)), atol=1e-6)
+    scores = np.array([bias + sum(weights[i] * x for i, x in v.items()) for v in found])
+    there = np.array([bool(t.split()) for t in texts])
+    loss = lambda t: 5 * y[there & (scores < t)].sum() + (1 - y)[there & (scores >= t)].sum()
+    assert loss(least) <= min(loss(t) for t in np.unique(np.floor(scores[there] * 1024) / 1024)) + 1e-6
+
+
+def test_ballots_of_single_texts_equal_votes_of_columns(spark, odd):
+    rng = np.random.default_rng(6)
+    letters = list("aaaeintheofand  \n\t|#*!A\x0b\x1c\xa0\u2003\u0130\u212a\U0001f600.,;:?7")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 400))) for _ in range(300)] + ["the of and to in is " * 9, "one|two |\n" * 40, "SHOUT! " * 30, "a\n\n\nb\n \nb\nb", "\0x y"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").unionByName(odd.select("text")).select("text", weak_labels.votes(F.coalesce("text", F.lit(""))).alias("p")).collect()
+    assert [weak_labels.ballot(r.text or "") for r in rows] == [r.p for r in rows]
+    assert len({r.p for r in rows}) > 10
+
+
 def plain_filter(pages, rounds):
     """A twin over dictionaries: best split by trying all, naive Bayes by EM over single pages."""
     words = Counter({w: url_filter.BASE_COUNT for w in url_filter.BASE_WORDS})

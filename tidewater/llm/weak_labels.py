@@ -5,27 +5,28 @@ depend on each other: table rows are also full of symbols and shout. So a bad do
 kind, and labellers are independent only within good documents and within each kind of bad ones.
 Expectation-maximisation over the counts of vote patterns (at most 3^8, from all rows) estimates
 how many kinds there are, their shares and how often each labeller accuses in each, without true
-labels; good documents are accused at one rate, estimated like all the rest. The posterior of a document's pattern is its soft label. A linear scorer over hashed word features
-is trained on the soft labels of a bounded sample (``sample`` documents, drawn by a hash of the
-text) and judges every whole document, also where all labellers abstain. The cutoff needs no
-labels either: it has the least expected loss on the sample's soft labels.
+labels; good documents are accused at one rate, estimated like all the rest. The posterior of a document's pattern is its soft label. A linear scorer over hashed word features is
+learned from the soft labels of all documents: a feature's weight is the logarithm of how much more
+often good documents have it than bad ones. It judges every whole document, also where all labellers
+abstain. The cutoff needs no labels either: it has the least expected loss on all soft labels.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import boxed, unboxed
+from .common import boxed, shared_dir, unboxed
 from .quality_rules import BLANKS, SYMBOLS, UPPER
 
 #: Fixed value: frequent function words of the four languages.
@@ -37,6 +38,10 @@ STOP_WORDS = (
 ).split()
 LABELLERS = ("symbols", "shouting", "exclaims", "stop_words", "lines", "word_length", "table", "variety")
 SLOTS = 1 << 16
+#: Soft labels and shares of words are whole multiples of these parts of one, so that sums don't hang on the order of rows.
+SOFT, SHARE = 1 << 12, 1 << 32
+#: Cutoffs lie on a grid: so many to a unit of the score.
+GRID = 1024
 
 
 def votes(text: Column) -> Column:
@@ -64,6 +69,33 @@ def votes(text: Column) -> Column:
     )
 
 
+_STOPS = frozenset(w.encode() for w in STOP_WORDS)
+_PARTED = bytes.maketrans(b",.;:!?|", b" " * 7)
+
+
+def ballot(text: str) -> str:
+    """The same as ``votes`` for one text, where it is at hand."""
+    raw = text.encode()
+    bare = raw.translate(None, BLANKS.encode())
+    letters, count = len(text) - len(raw) + len(bare), lambda some: len(bare) - len(bare.translate(None, some.encode()))
+    words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+    symbols, upper, exclaims, bars = count(SYMBOLS), count(UPPER), raw.count(b"!"), raw.count(b"|")
+    n, rows, distinct, kinds = len(words), len(lines), len({*lines}), len({*words})
+    stops = len(_STOPS.intersection(raw.lower().translate(_PARTED).split()))
+    some = letters >= 20
+    cast = (
+        (some, 25 * symbols > letters, symbols * 200 < letters),
+        (some, 10 * upper > 4 * letters, 10 * upper < letters),
+        (some, 30 * exclaims > letters, 200 * exclaims < letters),
+        (n >= 30, stops <= 2, stops >= 6),
+        (rows >= 4, 3 * (rows - distinct) > rows, rows == distinct),
+        (n >= 10, letters > 11 * n or letters < 2 * n, 3 * n < letters < 8 * n),
+        (n >= 10, 6 * bars > n, bars == 0),
+        (n >= 20, 100 * kinds < 20 * n, 100 * kinds > 35 * n),
+    )
+    return "".join("a" if not enough else "b" if bad else "g" if good else "a" for enough, bad, good in cast)
+
+
 Model = tuple[np.ndarray, np.ndarray]
 
 
@@ -145,19 +177,35 @@ def reliabilities(docs: DataFrame) -> DataFrame:
 
 def _patterns(docs: DataFrame) -> list[tuple[str, int]]:
     """Vote patterns of all rows with their counts: at most 3^8."""
-    return sorted((r["pattern"], r["count"]) for r in docs.select(votes(F.coalesce("text", F.lit(""))).alias("pattern")).groupBy("pattern").count().collect())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counter(ballot(t or "") for batch in batches for t in batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), type=pa.string()), pa.array(list(counts.values()), type=pa.int64())], names=["pattern", "n"])
+
+    return sorted((r.pattern, r.n) for r in docs.select("text").mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect())
 
 
 _RUNS = ((re.compile("[A-Z]+"), "A"), (re.compile("[a-z]+"), "a"), (re.compile("[0-9]+"), "0"), (re.compile(r"[^\x00-\x7f]+"), "u"))
 
 
+_CLASSES = str.maketrans(UPPER + UPPER.lower() + "0123456789", "A" * 26 + "a" * 26 + "0" * 10)
+
+
+@lru_cache(100_000)
+def _hashed(s: str) -> int:
+    return xxhash.xxh64_intdigest(s) & (SLOTS - 1)
+
+
+@lru_cache(100_000)
+def _shape(word: str) -> int:
+    for pattern, to in _RUNS:
+        word = pattern.sub(to, word)
+    return _hashed("s" + word)
+
+
 def features(word: str) -> tuple[int, int, int]:
     """Slots of a word: its shape, its end, and itself in lower case without its ends' punctuation."""
-    shape = word[:64]
-    for pattern, to in _RUNS:
-        shape = pattern.sub(to, shape)
-    slot = lambda s: xxhash.xxh64_intdigest(s) & (SLOTS - 1)
-    return slot("s" + shape), slot("e" + word[-2:]), slot("w" + word.lower().strip(".,;:!?|#*$%&<>\"'()"))
+    return _shape(word[:64].translate(_CLASSES)), _hashed("e" + word[-2:]), xxhash.xxh64_intdigest("w" + word.lower().strip(".,;:!?|#*$%&<>\"'()")) & (SLOTS - 1)
 
 
 def whole(words: list[str], distinct: int, text: str) -> tuple[int, int]:
@@ -181,31 +229,19 @@ def vector(text: str | None) -> Counter:
     return found
 
 
-def fit(at: np.ndarray, slots: np.ndarray, values: np.ndarray, y: np.ndarray, rounds: int = 150, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels ``y`` by adaptive gradient steps; classes weigh the same.
+def fit(good: np.ndarray, bad: np.ndarray, n_good: float, n_bad: float) -> np.ndarray:
+    """Weights of slots from the sums of their values in good and in bad documents, both weighed by soft labels.
 
-    ``at``, ``slots`` and ``values`` are the entries of the feature matrix.
+    A slot's rate is its mean value in a document. Both rates gain the rate of an even spread, so
+    that rare slots weigh little. A class without documents says nothing.
     """
-    weights, bias, n = np.zeros(SLOTS), 0.0, len(y)
-    if not n:
-        return weights, 1.0
-    share = np.clip([1 - y.mean(), y.mean()], 0.02, 0.98)
-    cost = y / share[1] + (1 - y) / share[0]
-    scale = np.full(SLOTS, 1e-8)
-    scale_bias = 1e-8
-    for _ in range(rounds):
-        z = np.bincount(at, weights=weights[slots] * values, minlength=n) + bias
-        d = cost * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / n
-        g = np.bincount(slots, weights=d[at] * values, minlength=SLOTS) + ridge * weights
-        scale += g * g
-        scale_bias += d.sum() ** 2
-        weights -= 0.3 * g / np.sqrt(scale)
-        bias -= 0.1 * d.sum() / math.sqrt(scale_bias)
-    return weights, bias
+    even = 1 / SLOTS
+    rates = [x / n if n else np.zeros(SLOTS) for x, n in ((good, n_good), (bad, n_bad))]
+    return np.log(rates[0] + even) - np.log(rates[1] + even) if n_good and n_bad else np.zeros(SLOTS)
 
 
-def cutoff(scores: np.ndarray, y: np.ndarray, regret: float) -> float:
-    """Least kept score at which the sample's soft labels ``y`` expect the least loss.
+def cutoff(scores: np.ndarray, y: np.ndarray, regret: float, bad: np.ndarray | None = None) -> float:
+    """Least kept score at which soft labels expect the least loss: ``y`` good documents of each score, and ``bad`` ones (1 - y, if not given).
 
     A good document lost weighs as much as ``regret`` bad ones kept; of equal losses the lowest
     cutoff counts; it lies halfway between the scores on both sides.
@@ -213,48 +249,77 @@ def cutoff(scores: np.ndarray, y: np.ndarray, regret: float) -> float:
     if not len(scores):
         return 0.0
     order = np.argsort(scores, kind="stable")
-    s, y = scores[order], y[order]
-    loss = regret * np.r_[0.0, np.cumsum(y)] + np.r_[np.cumsum((1 - y)[::-1])[::-1], 0.0]
+    s, y, bad = scores[order], y[order], (1 - y if bad is None else bad)[order]
+    loss = regret * np.r_[0.0, np.cumsum(y)] + np.r_[np.cumsum(bad[::-1])[::-1], 0.0]
     edges = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])  # equal scores are not parted
     k = int(edges[np.argmin(loss[edges])])
     return float(s[0] - 1 if k == 0 else s[-1] + 1 if k == len(s) else (s[k - 1] + s[k]) / 2)
 
 
-def train(docs: DataFrame, sample: int = 4000, regret: float = 5.0) -> tuple[np.ndarray, float, float]:
-    """Weights, bias and cutoff of the scorer, from the text column of ``docs``."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    counts = _patterns(docs)
-    total = sum(n for _, n in counts)
-    if not total:
-        return np.zeros(SLOTS), 1.0, 0.0
-    model = accuracies(counts)
-    edge = min(2**63 - 1, int(sample / total * 2**63))
+def _sums(docs: DataFrame, soft: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Values of each slot in good and in bad documents, summed over all documents by ``soft`` labels of patterns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_of, found, size = defaultdict(lambda: defaultdict(int)), np.zeros((2, SLOTS), dtype=np.int64), 0
+
+        def fold() -> None:
+            for y, words in words_of.items():
+                at, values = np.array([features(w) for w in words]), np.array(list(words.values()))
+                for k, weight in enumerate((y, SOFT - y)):
+                    if weight:
+                        np.add.at(found[k], at, (values * weight)[:, None])
+            words_of.clear()
+
+        def told() -> pa.RecordBatch:
+            fold()
+            at = np.flatnonzero(found.any(axis=0))
+            out = pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(x[at]) for x in found]], names=["slot", "good", "bad"])
+            found[:] = 0
+            return out
 
-    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [vector(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([list(v) for v in found], type=pa.list_(pa.int32())), pa.array([list(v.values()) for v in found], type=pa.list_(pa.float64()))], names=["pattern", "slots", "shares"]
-            )
-
-    # equal texts have equal hashes: each is drawn once, so that copies don't fill the sample
-    drawn = docs.select(text.alias("t")).where(F.col("t") != "").where(F.abs(F.xxhash64("t") % F.lit(2**63 - 1)) < edge)
-    rows = drawn.distinct().select(votes(F.col("t")).alias("pattern"), "t").mapInArrow(sparse, "pattern string, slots array<int>, shares array<double>").orderBy(F.hash("slots")).limit(2 * sample).toArrow()
-    y = posteriors(rows.column("pattern").to_pylist(), model)
-    lists = rows.column("slots").combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy()) if len(y) else np.zeros(0, dtype=np.int64)
-    at = np.repeat(np.arange(len(y)), sizes)
-    slots, values = (rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("slots", "shares"))
-    weights, bias = fit(at, slots, values, y)
-    return weights, bias, cutoff(np.bincount(at, weights=weights[slots] * values, minlength=len(y)) + bias, y, regret)
-
-
-def scored(docs: DataFrame, sample: int = 4000, regret: float = 5.0) -> tuple[DataFrame, float]:
-    """``docs`` with one more column ``_score``, all other columns pass through; and the least kept score."""
-    weights, bias, least = train(docs, sample, regret)
+            for t in batch.column(0).to_pylist():
+                words = (t or "").split()
+                if not words:
+                    continue
+                y, share = soft[ballot(t)], SHARE // len(words)
+                mine = words_of[y]
+                for w in words:
+                    mine[w] += share
+                for slot in whole(words, len({*words}), t):
+                    found[0, slot] += SHARE * y
+                    found[1, slot] += SHARE * (SOFT - y)
+                size += 1
+                if size % 100_000 == 0:  # sums of so many documents fit 64 bits
+                    yield told()
+                elif len(mine) > 100_000:
+                    fold()
+        yield told()
+
+    exact = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).cast("double").alias(c)
+    rows = docs.select("text").mapInArrow(run, "slot int, good long, bad long").groupBy("slot").agg(exact("good"), exact("bad")).toPandas()  # SLOTS rows, whatever the corpus
+    out = np.zeros((2, SLOTS))
+    out[:, rows["slot"].to_numpy()] = rows[["good", "bad"]].to_numpy(dtype=float).T / (SHARE * SOFT)
+    return out[0], out[1]
+
+
+def learn(docs: DataFrame) -> tuple[dict[str, int], np.ndarray, float]:
+    """Soft labels of vote patterns (in parts of ``SOFT``), weights and bias of the scorer, from all rows of ``docs``."""
+    counts = _patterns(docs)
+    if not counts:
+        return {}, np.zeros(SLOTS), 1.0
+    patterns = [p for p, _ in counts]
+    soft = dict(zip(patterns, np.rint(posteriors(patterns, accuracies(counts)) * SOFT).astype(int).tolist(), strict=True))
+    good = sum(n * soft[p] for p, n in counts) / SOFT
+    return soft, fit(*_sums(docs, soft), good, sum(n for _, n in counts) - good), 0.0
+
+
+def _scores(docs: DataFrame, soft: dict[str, int], weights: np.ndarray, bias: float, labelled: bool) -> DataFrame:
+    """``docs`` with ``_score`` (null without words), all other columns pass through; if ``labelled``, with the soft label ``_soft`` instead of the text."""
     model = docs.sparkSession.sparkContext.broadcast((weights, bias))  # SLOTS doubles, whatever the corpus
-    names = docs.columns
-    place = names.index("text")
+    place = docs.columns.index("text")
+    fields = [f for f in docs.schema.fields if not labelled or f.name != "text"] + [StructField("_score", DoubleType())] + ([StructField("_soft", LongType())] if labelled else [])
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = model.value
@@ -268,31 +333,51 @@ def scored(docs: DataFrame, sample: int = 4000, regret: float = 5.0) -> tuple[Da
 
         get = Known().__getitem__
         for batch in batches:
-            scores = []
-            for t in batch.column(place).to_pylist():
+            scores, texts = [], batch.column(place).to_pylist()
+            for t in texts:
                 words = (t or "").split()
                 if words:
                     x, y = whole(words, len({*words}), t)
                     scores.append(float(b + w[x] + w[y] + sum(map(get, words)) / len(words)))
                 else:
                     scores.append(None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, type=pa.float64())], names=[*names, "_score"])
+            columns = [c for k, c in enumerate(batch.columns) if not labelled or k != place] + [pa.array(scores, type=pa.float64())]
+            if labelled:
+                columns.append(pa.array([soft[ballot(t or "")] for t in texts], type=pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(run, StructType(fields))
+
+
+def _least(judged: DataFrame, regret: float) -> float:
+    """The cutoff on a grid of ``GRID`` steps a unit, from scores and soft labels of all documents."""
+    cells = judged.where("_score is not null").groupBy(F.floor(F.col("_score") * GRID).alias("cell")).agg(F.sum("_soft").alias("good"), F.count("*").alias("n")).toPandas()
+    good = cells["good"].to_numpy(dtype=float) / SOFT
+    return cutoff((cells["cell"].to_numpy(dtype=float) + 0.5) / GRID, good, regret, cells["n"].to_numpy(dtype=float) - good)
+
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())])), least
+def train(docs: DataFrame, regret: float = 5.0) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and cutoff of the scorer, from the texts of all rows of ``docs``."""
+    soft, weights, bias = learn(docs)
+    return weights, bias, _least(_scores(docs.select("text"), soft, weights, bias, True), regret)
 
 
-def classify(docs: DataFrame, sample: int = 4000, regret: float = 5.0) -> DataFrame:
+def classify(docs: DataFrame, regret: float = 5.0) -> DataFrame:
     """``doc_id, score, kept`` for every row; a good document lost weighs ``regret`` bad ones kept.
 
     Defined results: a null, empty or blank text has no score and is rejected; repeated rows give
     a row each, with equal scores; null ids stay null; a score that equals the cutoff is kept; an
     empty table gives an empty result; only id and text are read.
     """
-    rows, least = scored(docs.select("doc_id", "text"), sample, regret)
-    return rows.select("doc_id", F.round("_score", 6).alias("score"), F.coalesce(F.col("_score") >= least, F.lit(False)).alias("kept"))
+    docs = docs.select("doc_id", "text")
+    soft, weights, bias = learn(docs)
+    judged, path = _scores(docs, soft, weights, bias, True), shared_dir(docs.sparkSession)
+    judged.write.parquet(path)  # 24 bytes a document, scored once
+    rows = docs.sparkSession.read.schema(judged.schema).parquet(path)
+    return rows.select("doc_id", F.round("_score", 6).alias("score"), F.coalesce(F.col("_score") >= _least(rows, regret), F.lit(False)).alias("kept"))
 
 
-def keep(docs: DataFrame, sample: int = 4000, regret: float = 5.0) -> DataFrame:
+def keep(docs: DataFrame, regret: float = 5.0) -> DataFrame:
     """The rows that the scorer keeps, with their columns as they are."""
-    rows, least = scored(boxed(docs, "text"), sample, regret)
-    return unboxed(rows.where(F.col("_score") >= least), docs.columns)
+    weights, bias, least = train(docs, regret)
+    return unboxed(_scores(boxed(docs, "text"), {}, weights, bias, False).where(F.col("_score") >= least), docs.columns)
