@@ -6,11 +6,13 @@ import math
 import operator
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,6 +326,32 @@ def test_quality_rules(spark, odd, docs):
     assert quality_rules.judge(odd.limit(0)).count() == 0
 
 
+def test_weak_labels_hold_few_rows_and_words_at_once_in_python(spark, monkeypatch):
+    def peak(f, texts):  # MB of Python objects while ``f`` works on one batch
+        batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+        tracemalloc.start()
+        try:
+            assert list(f(iter([batch])))
+            return tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    text, found = " ".join(c * 250 for c in "abcdefghijklmnopqrst"), []
+    docs = spark.createDataFrame([(1, text, "x"), (2, None, "y")], "doc_id long, text string, more string")
+    kind, inner = type(docs), type(docs).mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **b: (found.append(f), inner(self, f, *a, **b))[1])
+    kept = weak_labels.keep(docs)
+    assert len(found) == 3 and kept.columns == docs.columns  # votes, sums, scores for the cutoff
+    for f in found:
+        assert peak(f, [text + str(i) for i in range(4000)]) < 12  # 20 MB of text
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1  # rows stay in the JVM, texts go to Python once
+    # words of all labels together are bounded, not those of each
+    monkeypatch.setattr(weak_labels, "ballot", lambda t: t.split(None, 1)[0])
+    weak_labels._sums(docs.limit(0), {f"p{i}": i + 1 for i in range(10)})
+    assert peak(found[-1], [" ".join([f"p{i}", *(f"w{i}_{j}" for j in range(30_000))]) for i in range(10)]) < 32
+
+
 def test_weak_labels_agree_with_held_out_labels(spark, odd):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet")

@@ -66,6 +66,14 @@ def map_columns(df: DataFrame, columns: list[str], schema: str, function: Callab
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
 
 
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[list[list]]:
+    """The columns of Arrow batches as Python lists, so few rows at once: a batch of 10,000 long texts is never there twice."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield [c.slice(lo, rows).to_pylist() for c in batch.columns]
+        del batch  # before the next one is read
+
+
 def boxed(df: DataFrame, *columns: str) -> DataFrame:
     """The whole row as struct ``_row`` beside the named columns, so that added names can't clash."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[F.col(f"`{c}`") for c in columns])

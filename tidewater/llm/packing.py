@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import portions
+
 
 class Packer:
     """Streams examples ``(key, tokens, loss)`` into closed bins.
@@ -182,21 +184,19 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, tokens: in
 
         packer = Packer(take, tokens, segments, limit, True, pool_tokens)
         count = 0
-        for batch in batches:
-            ids, texts = (c.to_pylist() for c in batch.columns)
-            for lo in range(0, len(ids), 512):
-                chunks = [memo.bpe.chunks(t) for t in texts[lo : lo + 512]]
-                memo.learn(chunks)
-                get = memo.known.__getitem__
-                fresh = []
-                for i, c in zip(ids[lo : lo + 512], chunks, strict=True):
-                    raw = b"".join(map(get, c)) + end
-                    held[count] = [i, raw, len(raw) // 4]
-                    fresh.append((count, len(raw) // 4, len(raw) // 4))
-                    count += 1
-                packer.add(fresh)
-                if rows[0]:
-                    yield flush()
+        for ids, texts in portions(batches):
+            chunks = [memo.bpe.chunks(t) for t in texts]
+            memo.learn(chunks)
+            get = memo.known.__getitem__
+            fresh = []
+            for i, c in zip(ids, chunks, strict=True):
+                raw = b"".join(map(get, c)) + end
+                held[count] = [i, raw, len(raw) // 4]
+                fresh.append((count, len(raw) // 4, len(raw) // 4))
+                count += 1
+            packer.add(fresh)
+            if rows[0]:
+                yield flush()
         packer.finish()
         if rows[0]:
             yield flush()

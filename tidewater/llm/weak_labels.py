@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import boxed, shared_dir, unboxed
+from .common import portions, shared_dir
 from .quality_rules import BLANKS, SYMBOLS, UPPER
 
 #: Fixed value: frequent function words of the four languages.
@@ -179,7 +179,7 @@ def _patterns(docs: DataFrame) -> list[tuple[str, int]]:
     """Vote patterns of all rows with their counts: at most 3^8."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counter(ballot(t or "") for batch in batches for t in batch.column(0).to_pylist())
+        counts = Counter(ballot(t or "") for (texts,) in portions(batches) for t in texts)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), type=pa.string()), pa.array(list(counts.values()), type=pa.int64())], names=["pattern", "n"])
 
     return sorted((r.pattern, r.n) for r in docs.select("text").mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect())
@@ -260,7 +260,7 @@ def _sums(docs: DataFrame, soft: dict[str, int]) -> tuple[np.ndarray, np.ndarray
     """Values of each slot in good and in bad documents, summed over all documents by ``soft`` labels of patterns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, found, size = defaultdict(lambda: defaultdict(int)), np.zeros((2, SLOTS), dtype=np.int64), 0
+        words_of, found, size, held = defaultdict(lambda: defaultdict(int)), np.zeros((2, SLOTS), dtype=np.int64), 0, 0
 
         def fold() -> None:
             for y, words in words_of.items():
@@ -277,23 +277,27 @@ def _sums(docs: DataFrame, soft: dict[str, int]) -> tuple[np.ndarray, np.ndarray
             found[:] = 0
             return out
 
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
+        for (texts,) in portions(batches):
+            for t in texts:
                 words = (t or "").split()
                 if not words:
                     continue
                 y, share = soft[ballot(t)], SHARE // len(words)
                 mine = words_of[y]
+                held -= len(mine)
                 for w in words:
                     mine[w] += share
+                held += len(mine)
                 for slot in whole(words, len({*words}), t):
                     found[0, slot] += SHARE * y
                     found[1, slot] += SHARE * (SOFT - y)
                 size += 1
                 if size % 100_000 == 0:  # sums of so many documents fit 64 bits
                     yield told()
-                elif len(mine) > 100_000:
+                    held = 0
+                elif held > 100_000:  # words of all labels together
                     fold()
+                    held = 0
         yield told()
 
     exact = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).cast("double").alias(c)
@@ -314,39 +318,58 @@ def learn(docs: DataFrame) -> tuple[dict[str, int], np.ndarray, float]:
     return soft, fit(*_sums(docs, soft), good, sum(n for _, n in counts) - good), 0.0
 
 
-def _scores(docs: DataFrame, soft: dict[str, int], weights: np.ndarray, bias: float, labelled: bool) -> DataFrame:
-    """``docs`` with ``_score`` (null without words), all other columns pass through; if ``labelled``, with the soft label ``_soft`` instead of the text."""
+def _scorer(weights: np.ndarray, bias: float) -> Callable[[str | None], float | None]:
+    """The score of a text, null without words; words met before are kept, up to 100,000."""
+
+    class Known(dict):
+        def __missing__(self, word: str) -> float:
+            x = float(sum(weights[i] for i in features(word)))
+            if len(self) < 100_000:
+                self[word] = x
+            return x
+
+    get = Known().__getitem__
+
+    def score(t: str | None) -> float | None:
+        words = (t or "").split()
+        if not words:
+            return None
+        x, y = whole(words, len({*words}), t)
+        return float(bias + weights[x] + weights[y] + sum(map(get, words)) / len(words))
+
+    return score
+
+
+def _labelled(docs: DataFrame, soft: dict[str, int], weights: np.ndarray, bias: float) -> DataFrame:
+    """``docs`` with ``_score`` (null without words) and the soft label ``_soft`` instead of the text; all other columns pass through."""
     model = docs.sparkSession.sparkContext.broadcast((weights, bias))  # SLOTS doubles, whatever the corpus
     place = docs.columns.index("text")
-    fields = [f for f in docs.schema.fields if not labelled or f.name != "text"] + [StructField("_score", DoubleType())] + ([StructField("_soft", LongType())] if labelled else [])
+    fields = [f for f in docs.schema.fields if f.name != "text"] + [StructField("_score", DoubleType()), StructField("_soft", LongType())]
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b = model.value
+        score = _scorer(*model.value)
+        for batch in batches:
+            scores, labels = [], []
+            for (texts,) in portions(iter([batch.select([place])])):
+                scores += map(score, texts)
+                labels += [soft[ballot(t or "")] for t in texts]
+            columns = [c for k, c in enumerate(batch.columns) if k != place]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, type=pa.float64()), pa.array(labels, type=pa.int64())], names=names)
+
+    return docs.mapInArrow(run, StructType(fields))
+
 
-        class Known(dict):
-            def __missing__(self, word: str) -> float:
-                x = float(sum(w[i] for i in features(word)))
-                if len(self) < 300_000:
-                    self[word] = x
-                return x
+def _score(docs: DataFrame, weights: np.ndarray, bias: float) -> Column:
+    """The score of each text of ``docs``. Only the text goes to Python and only the score comes back; the rest of the row stays where it is."""
+    model = docs.sparkSession.sparkContext.broadcast((weights, bias))  # SLOTS doubles, whatever the corpus
 
-        get = Known().__getitem__
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        score = _scorer(*model.value)
         for batch in batches:
-            scores, texts = [], batch.column(place).to_pylist()
-            for t in texts:
-                words = (t or "").split()
-                if words:
-                    x, y = whole(words, len({*words}), t)
-                    scores.append(float(b + w[x] + w[y] + sum(map(get, words)) / len(words)))
-                else:
-                    scores.append(None)
-            columns = [c for k, c in enumerate(batch.columns) if not labelled or k != place] + [pa.array(scores, type=pa.float64())]
-            if labelled:
-                columns.append(pa.array([soft[ballot(t or "")] for t in texts], type=pa.int64()))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.array([score(t) for lo in range(0, len(batch), 512) for t in batch.slice(lo, 512).to_pylist()], type=pa.float64())
 
-    return docs.mapInArrow(run, StructType(fields))
+    return F.arrow_udf(run, DoubleType())(docs["text"])
 
 
 def _least(judged: DataFrame, regret: float) -> float:
@@ -359,7 +382,7 @@ def _least(judged: DataFrame, regret: float) -> float:
 def train(docs: DataFrame, regret: float = 5.0) -> tuple[np.ndarray, float, float]:
     """Weights, bias and cutoff of the scorer, from the texts of all rows of ``docs``."""
     soft, weights, bias = learn(docs)
-    return weights, bias, _least(_scores(docs.select("text"), soft, weights, bias, True), regret)
+    return weights, bias, _least(_labelled(docs.select("text"), soft, weights, bias), regret)
 
 
 def classify(docs: DataFrame, regret: float = 5.0) -> DataFrame:
@@ -371,7 +394,7 @@ def classify(docs: DataFrame, regret: float = 5.0) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     soft, weights, bias = learn(docs)
-    judged, path = _scores(docs, soft, weights, bias, True), shared_dir(docs.sparkSession)
+    judged, path = _labelled(docs, soft, weights, bias), shared_dir(docs.sparkSession)
     judged.write.parquet(path)  # 24 bytes a document, scored once
     rows = docs.sparkSession.read.schema(judged.schema).parquet(path)
     return rows.select("doc_id", F.round("_score", 6).alias("score"), F.coalesce(F.col("_score") >= _least(rows, regret), F.lit(False)).alias("kept"))
@@ -380,4 +403,4 @@ def classify(docs: DataFrame, regret: float = 5.0) -> DataFrame:
 def keep(docs: DataFrame, regret: float = 5.0) -> DataFrame:
     """The rows that the scorer keeps, with their columns as they are."""
     weights, bias, least = train(docs, regret)
-    return unboxed(_scores(boxed(docs, "text"), {}, weights, bias, False).where(F.col("_score") >= least), docs.columns)
+    return docs.where(_score(docs, weights, bias) >= least)
