@@ -270,3 +270,37 @@ def test_forecasts_meet_outcomes_of_their_slots_only(spark):
     assert sorted(((r.forecast_id, r.event_id) for r in out.collect()), key=str) == sorted(want, key=str)
     keys = out._jdf.queryExecution().sparkPlan().toString().split("Join [")[1].split("]")[0]
     assert "forecast_symbol" in keys and "_made_in" in keys
+
+
+def test_dense_forecasts_are_resolved_from_sorted_columns(spark, tmp_path):
+    """Pairs of held and new rows, equal times, kinds without outcomes and without a name."""
+    from tidewater.streaming import live
+
+    rnd = random.Random(9)
+    at = lambda: rnd.choice((rnd.randint(0, 40 * 3_600_000_000), 3_600_000_000 * rnd.randint(0, 40)))
+    rows = [(i, START + dt.timedelta(microseconds=at()), 1, rnd.choice("ab"), 1.0, "") for i in range(600)] + [(600, START, 1, "lonely", 1.0, ""), (601, START, 1, None, 1.0, ""), (602, START, 1, None, 1.0, "")]
+    cut = START + dt.timedelta(hours=17)
+
+    def build(s):
+        f = s.select(F.col("event_id").alias("forecast_id"), F.col("event_type").alias("forecast_symbol"), F.col("ts").alias("made_at"))
+        return live.resolutions(f, s.select("event_id", F.col("event_type").alias("symbol"), "ts"), 6)
+
+    slices = [[r for r in rows if r[1] <= cut], [r for r in rows if r[1] > cut]]
+    out = live.replay([spark.createDataFrame(rnd.sample(s, len(s)), live.TICK).repartition(3) for s in slices], build, live.TICK, str(tmp_path / "d"))
+    want = [(f[0], o[0]) for f in rows for o in rows if f[3] and f[3] == o[3] and f[1] < o[1] <= f[1] + dt.timedelta(hours=6)]
+    by = max(r[1] for r in rows) - dt.timedelta(hours=1, microseconds=max(r[1] for r in rows).microsecond % 1000)
+    want += [(f[0], None) for f in rows if f[1] + dt.timedelta(hours=6) < by and f[0] not in {a for a, _ in want}]
+    assert {(600, None), (601, None), (602, None)} <= set(want)
+    assert sorted(((r.forecast_id, r.event_id) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_pairs_come_in_frames_of_bounded_size():
+    import numpy as np
+
+    from tidewater.streaming import live
+
+    made, ts = np.sort(np.random.default_rng(1).integers(0, 5 * 3_600_000_000, 400)), np.sort(np.random.default_rng(2).integers(0, 9 * 3_600_000_000, 500))
+    frames = list(live.Resolution(2, 1000)._pairs(made, np.arange(400), ts, np.arange(500)))
+    got = [p for f in frames for p in zip(f.forecast_id.tolist(), f.event_id.tolist(), strict=True)]
+    assert got == [(i, j) for i in range(400) for j in range(500) if made[i] < ts[j] <= made[i] + 7_200_000_000]
+    assert len(frames) > 30 and max(map(len, frames)) <= 1000
