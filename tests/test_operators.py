@@ -304,3 +304,36 @@ def test_pairs_come_in_frames_of_bounded_size():
     got = [p for f in frames for p in zip(f.forecast_id.tolist(), f.event_id.tolist(), strict=True)]
     assert got == [(i, j) for i in range(400) for j in range(500) if made[i] < ts[j] <= made[i] + 7_200_000_000]
     assert len(frames) > 30 and max(map(len, frames)) <= 1000
+
+
+def test_ranks_do_not_hang_on_how_often_edges_are_computed(spark, monkeypatch):
+    """A sketch that comes out differently each time it is computed, as one merged in another order may."""
+    import numpy as np
+
+    real = F.percentile_approx
+
+    def unsteady(x, shares, accuracy):
+        drawn = F.udf(lambda edges: sorted(random.SystemRandom().choices(edges, k=len(edges))) if edges else edges, "array<double>").asNondeterministic()
+        return drawn(real(x, shares, accuracy))
+
+    monkeypatch.setattr(ranks.F, "percentile_approx", unsteady)
+    rnd = random.Random(3)
+    rows = [("a" if i % 3 else "b", float(rnd.randint(0, 40)), rnd.random() if i % 2 else 0.5) for i in range(900)]
+    data = spark.createDataFrame(rows, "k string, x double, y double").repartition(3)
+    frame = data.toPandas()
+    for _ in range(3):
+        got = {r.k: (r.ic, r.n) for r in metrics.spearman(data, "x", "y", ("k",)).collect()}
+        for k, g in frame.groupby("k"):
+            assert got[k] == (pytest.approx(g.x.rank().corr(g.y.rank()), abs=1e-12), len(g))
+        q = {r.k: r.mid for r in ranks.exact_quantiles(data, ["k"], "y", {"mid": 0.37}).collect()}
+        assert q == {k: pytest.approx(np.quantile(g.y, 0.37)) for k, g in frame.groupby("k")}
+
+
+def test_rank_correlation_counts_equal_pairs_once(spark):
+    rows = [("a", 1.0, 2.0)] * 50 + [("a", 2.0, 1.0)] * 30 + [("a", 1.0, 1.0)] * 20 + [("a", None, 1.0)] + [("flat", 1.0, float(i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    got = {r.k: r for r in metrics.spearman(df, "x", "y", ("k",)).collect()}
+    f = df.where("k = 'a' and x is not null").toPandas()
+    assert got["a"].ic == pytest.approx(f.x.rank().corr(f.y.rank()), abs=1e-14) and got["a"].n == 100
+    assert math.isnan(got["flat"].ic) and got["flat"].n == 5
+    assert metrics.spearman(df.where("k = 'a'"), "x", "y").first().n == 100

@@ -56,10 +56,18 @@ def auc_one_vs_rest(df: DataFrame, scores: dict[str, str], label: str, by: tuple
 
 
 def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Rank correlation per group: average ranks, then Pearson."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
-    ranked = average_ranks(average_ranks(both, by, x, "_x"), by, y, "_y")
-    return ranked.groupBy(*by).agg(F.corr("_x", "_y").alias("ic"), F.count("*").alias("n"))
+    """Rank correlation per group: average ranks, then Pearson; NaN where a side is constant.
+
+    Equal pairs are counted first and ranked as one row; ranks have the mean (n + 1) / 2.
+    """
+    pairs = written(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("_m")))
+    sizes = pairs.groupBy(*by).agg(F.sum("_m").alias("n"))
+    each = average_ranks(average_ranks(pairs, by, x, "_x", F.sum("_m")), by, y, "_y", F.sum("_m"))
+    each = each.join(F.broadcast(sizes), list(by)) if by else each.crossJoin(F.broadcast(sizes))  # one row a group
+    dx, dy = F.col("_x") - (F.col("n") + 1) / 2, F.col("_y") - (F.col("n") + 1) / 2
+    sums = each.groupBy(*by, "n").agg(F.sum(F.col("_m") * dx * dy).alias("_xy"), F.sqrt(F.sum(F.col("_m") * dx * dx)).alias("_sx"), F.sqrt(F.sum(F.col("_m") * dy * dy)).alias("_sy"))
+    spread = F.col("_sx") * F.col("_sy")
+    return sums.select(*by, F.when(spread > 0, F.col("_xy") / spread).otherwise(float("nan")).alias("ic"), "n")
 
 
 def brier_classes(probabilities: list[Column], label: Column) -> Column:

@@ -1,29 +1,32 @@
 """Exact ranks and quantiles of columns with few groups: dealt by value, so that no group is one task.
 
-Edges come from approximate quantiles of each group (a bounded sketch); they only decide which rows
-meet. Equal values are counted first, so a hot value is one row. What passes between buckets is one
-count a bucket.
+Equal values are counted first, so a hot value is one row. Edges come from approximate quantiles of
+each group's values (a bounded sketch); they only decide which rows meet, but the sketch hangs on the
+order in which its parts are merged. So edges are computed once and written: a second computation
+could deal a value to another bucket than the first. What passes between buckets is one count a bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 BUCKETS = 64
 
 
-def counted(df: DataFrame, by: Sequence[str], x: str, extra: dict | None = None) -> DataFrame:
+def counted(df: DataFrame, by: Sequence[str], x: str, extra: dict | None = None, times: Column | None = None) -> DataFrame:
     """``by..., x, _n, _b, _before``: how often each value stands, its bucket, and how many smaller ones are in buckets before.
 
-    ``extra`` adds aggregates of each value's rows, by name.
+    ``extra`` adds aggregates of each value's rows, by name; ``times`` counts them, if a row stands for several.
     """
     there = df.where(F.col(x).isNotNull())
-    each = there.groupBy(*by, x).agg(F.count("*").alias("_n"), *[v.alias(k) for k, v in (extra or {}).items()])
+    each = written(there.groupBy(*by, x).agg((F.count("*") if times is None else times).alias("_n"), *[v.alias(k) for k, v in (extra or {}).items()]))
     shares = F.array(*[F.lit(k / BUCKETS) for k in range(1, BUCKETS)])
-    edges = there.groupBy(*by).agg(F.percentile_approx(x, shares, 10_000).alias("_edges"))
+    edges = written(each.groupBy(*by).agg(F.percentile_approx(x, shares, 10_000).alias("_edges")))
     joined = each.join(edges, list(by)) if by else each.crossJoin(F.broadcast(edges))  # one row
     dealt = joined.withColumn("_b", F.size(F.filter("_edges", lambda e: e <= F.col(x)))).drop("_edges")
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows a group
@@ -36,9 +39,9 @@ def below(by: Sequence[str], x: str, what: str = "_n"):
     return F.coalesce(F.sum(what).over(Window.partitionBy(*by, "_b").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def average_ranks(df: DataFrame, by: Sequence[str], x: str, out: str) -> DataFrame:
+def average_ranks(df: DataFrame, by: Sequence[str], x: str, out: str, times: Column | None = None) -> DataFrame:
     """``df`` with the rank of ``x`` in its group from 1, equal values sharing the mean of theirs; rows without ``x`` go."""
-    ranks = counted(df, by, x).select(*by, x, (F.col("_before") + below(by, x) + (F.col("_n") + 1) / 2).alias(out))
+    ranks = counted(df, by, x, times=times).select(*by, x, (F.col("_before") + below(by, x) + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, [*by, x])
 
 
