@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater.functions import metrics
 from tidewater.operators import arena, intelligence, resampling
@@ -196,3 +197,49 @@ def test_ranks_of_few_values_are_broadcast(spark):
         assert sorted(tuple(-1.0 if x is None else x for x in r) for r in metrics.ranked(df, ["a", "b", "c"], few).collect()) == want
     plan = metrics.ranked(df, ["a", "b", "c"])._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_correlations_of_constant_missing_and_far_columns(spark):
+    rnd = random.Random(12)
+    rows = [(0.1, None, 1e9 + rnd.random(), rnd.random() if i % 5 else None, float(i % 2)) for i in range(3000)]
+    rows = [(*r, r[2] + (r[3] or 0.0)) for r in rows]
+    names = ["flat", "none", "far", "gaps", "two", "near"]
+    data = pd.DataFrame(rows, columns=names).astype(float)
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(6)
+    got = {(r.feature_a, r.feature_b): r.rho for r in metrics.correlations(df, names).collect()}
+    assert len(got) == 15
+    for (a, b), rho in got.items():
+        if "none" in (a, b):
+            assert rho is None
+        elif "flat" in (a, b):
+            assert math.isnan(rho)
+        else:
+            both = data[[a, b]].dropna()
+            x, y = (both[c] - both[c].mean() for c in (a, b))
+            assert rho == pytest.approx((x * y).sum() / math.sqrt((x * x).sum() * (y * y).sum()), abs=1e-7)
+    assert [r.rho for r in metrics.correlations(df.limit(0), names).collect()] == [None] * 15
+
+
+@pytest.mark.parametrize("common", [1, 3])
+def test_ranks_of_many_values_with_common_and_missing_ones(spark, monkeypatch, common):
+    monkeypatch.setattr(metrics, "COMMON", common)
+    rnd = random.Random(common)
+    rows = [(rnd.choice((7.0, None, 2.0, rnd.random())), float(i % 4), rnd.choice((0.0, rnd.random()))) for i in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(5)
+    want = sorted(map(tuple, df.toPandas().rank().fillna(-1.0).to_numpy().tolist()))
+    got = metrics.ranked(df, ["a", "b", "c"], 20)
+    assert sorted(tuple(-1.0 if x is None else x for x in r) for r in got.collect()) == want
+
+
+def test_digits_are_rounded_as_in_sql(spark):
+    import duckdb
+
+    from tidewater.plans import analytics
+
+    rnd = random.Random(5)
+    values = [0.0, -0.00005, 0.00005, 1.00005, 2.675, 1e9 + 0.12345, 123456.78905, -3.14155, *[rnd.uniform(900, 1e5) * (1 - rnd.randint(0, 10) / 100) * (1 + rnd.randint(0, 8) / 100) for _ in range(5000)]]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r.x for r in df.select(analytics._to_digits(F.col("v")).alias("x")).collect()]
+    c = duckdb.connect()
+    c.register("t", pd.DataFrame({"v": values}))
+    assert got == [x for (x,) in c.sql("SELECT round(v, 4) FROM t").fetchall()]
